@@ -57,9 +57,9 @@ def _media_item_ok(m: Column) -> Column:
     )
 
 
-def rejection_reason(raw: Column) -> Column:
-    """First failed rule for one raw post JSON text, NULL when valid."""
-    v = F.try_parse_json(raw)
+def rejection_reason(v: Column) -> Column:
+    """First failed rule for one parsed post (VARIANT, NULL when the text was
+    not JSON); NULL when valid."""
     t = lambda p: _vtype(v, p)
     media = F.try_variant_get(v, "$.media", "array<variant>")
     counts_ok = F.lit(True)
@@ -95,13 +95,16 @@ def rejection_reason(raw: Column) -> Column:
 
 def split_valid(raw_df: DataFrame, raw_col: str = "raw") -> tuple[DataFrame, DataFrame]:
     """(valid rows parsed to the raw post struct, quarantine with reason)."""
-    checked = raw_df.withColumn("reason", rejection_reason(F.col(raw_col)))
-    quarantine = checked.where(F.col("reason").isNotNull())
+    # The parsed value is its own column so every field test reads it
+    # instead of parsing the text again.
+    parsed = raw_df.withColumn("__v", F.try_parse_json(F.col(raw_col)))
+    checked = parsed.withColumn("reason", rejection_reason(F.col("__v")))
+    quarantine = checked.where(F.col("reason").isNotNull()).drop("__v")
     valid = (
         checked.where(F.col("reason").isNull())
         .withColumn("post", F.from_json(F.col(raw_col), RAW_POST_SCHEMA))
         .select("*", "post.*")
-        .drop("post", "reason")
+        .drop("post", "reason", "__v")
     )
     return valid, quarantine
 

@@ -8,11 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire import session
-from quire.operators import stats
+from quire.functions.text import extract_handles
+from quire.functions.timefmt import iso
+from quire.operators import ingest, ledger, stats
 from quire.sources import fixtures as fx
+from quire.sources.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,3 +66,147 @@ def ledger_stats(spark, sf_dir):
 @query
 def ledger_health(spark, sf_dir):
     return stats.health(fx.ledger_rows(spark, sf_dir))
+
+
+# --- step 2: ledger ---------------------------------------------------------------
+
+
+def _ledger_out(df: DataFrame) -> DataFrame:
+    return df.select(
+        "post_id", "version", iso("processed_at").alias("processed_at"), "category", "status", "page_id"
+    )
+
+
+@query
+def ledger_current(spark, sf_dir):
+    return _ledger_out(ledger.current(fx.ledger_versions(spark, sf_dir)))
+
+
+@query
+def ledger_upsert(spark, sf_dir):
+    """Older history compacted to its latest rows, then the last week's
+    versions applied on top: equal to the latest over all versions."""
+    versions = fx.ledger_versions(spark, sf_dir)
+    cutoff = stats.latest_time(versions) - dt.timedelta(days=7)
+    base = ledger.current(versions.where(F.col("processed_at") < F.lit(cutoff)))
+    changes = versions.where(F.col("processed_at") >= F.lit(cutoff))
+    return _ledger_out(ledger.upsert(base, changes))
+
+
+@query
+def ledger_release(spark, sf_dir):
+    """Stuck claims (status processing) released to failed."""
+    cur = ledger.current(fx.ledger_versions(spark, sf_dir))
+    return ledger.release(cur, ledger.locked(cur)).select("post_id", "version", "status")
+
+
+@query
+def new_posts(spark, sf_dir):
+    cur = ledger.current(fx.ledger_versions(spark, sf_dir))
+    return ledger.new_posts(fx.posts_pages(spark, sf_dir), cur).select("id", "author_username")
+
+
+@query
+def claimable_posts(spark, sf_dir):
+    versions = fx.ledger_versions(spark, sf_dir)
+    cur = ledger.current(versions)
+    at = stats.latest_time(versions)
+    claims = ledger.claim(fx.posts_pages(spark, sf_dir), cur, at, version=1 << 40)
+    return _ledger_out(claims).withColumn("raw_data", F.lit("{}"))
+
+
+@query
+def processed_posts(spark, sf_dir):
+    cur = ledger.current(fx.ledger_versions(spark, sf_dir))
+    keys = ledger.processed(cur).withColumnRenamed("post_id", "id")
+    return fx.posts_pages(spark, sf_dir).join(keys, "id", "left_semi").select("id")
+
+
+@query
+def locked_posts(spark, sf_dir):
+    return ledger.locked(ledger.current(fx.ledger_versions(spark, sf_dir)))
+
+
+# --- step 3: ingest ---------------------------------------------------------------
+
+
+def _post_out(posts: DataFrame) -> DataFrame:
+    return posts.select(
+        "id",
+        "author_username",
+        "author_name",
+        iso("created_at").alias("created_at"),
+        F.size("urls").cast("bigint").alias("n_urls"),
+        F.array_join("urls", " ").alias("urls"),
+        F.array_join("images", " ").alias("images"),
+        "is_thread",
+    )
+
+
+@query
+def ingest_valid(spark, sf_dir):
+    valid, _ = ingest.ingest(fx.raw_posts_pages(spark, sf_dir))
+    return _post_out(valid)
+
+
+@query
+def ingest_quarantine(spark, sf_dir):
+    _, bad = ingest.ingest(fx.raw_posts_pages(spark, sf_dir))
+    return bad.select("page_id", "reason")
+
+
+@query
+def post_lookup(spark, sf_dir):
+    """Many point lookups at once: toxic-labelled documents, by post URL for
+    even ids and by bare id for odd ones."""
+    lab = read(spark, sf_dir, "labels").where(F.col("toxic") == 1)
+    keys = lab.select(
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://x.com/someone/status/"), F.col("doc_id").cast("string")))
+        .otherwise(F.col("doc_id").cast("string"))
+        .alias("key")
+    )
+    return ingest.lookup_posts(fx.posts_pages(spark, sf_dir), keys).select("id", "author_username")
+
+
+@query
+def post_urls(spark, sf_dir):
+    return fx.posts_pages(spark, sf_dir).select("id", F.posexplode("urls").alias("pos", "url")).withColumn(
+        "pos", F.col("pos").cast("bigint")
+    )
+
+
+@query
+def post_mentions(spark, sf_dir):
+    posts = fx.posts_pages(spark, sf_dir)
+    return posts.select("id", F.posexplode(extract_handles("text")).alias("pos", "handle")).withColumn(
+        "pos", F.col("pos").cast("bigint")
+    )
+
+
+@query
+def post_media(spark, sf_dir):
+    media = ingest.extract_media(fx.raw_media_entities(spark, sf_dir))
+    return media.select("post_id", F.posexplode("media").alias("pos", "m")).select(
+        "post_id",
+        F.col("pos").cast("bigint").alias("pos"),
+        F.col("m.type").alias("type"),
+        F.col("m.url").alias("url"),
+        F.col("m.previewUrl").alias("preview_url"),
+        F.col("m.width").alias("width"),
+        F.col("m.height").alias("height"),
+        F.col("m.videoUrl").alias("video_url"),
+        F.col("m.durationMs").cast("double").alias("duration_ms"),
+    )
+
+
+@query
+def best_variant(spark, sf_dir):
+    media = ingest.extract_media(fx.raw_media_entities(spark, sf_dir))
+    return media.select("post_id", F.explode("media").alias("m")).where(F.col("m.videoUrl").isNotNull()).select(
+        "post_id", F.col("m.videoUrl").alias("video_url")
+    )
+
+
+@query
+def newest_posts(spark, sf_dir):
+    return ingest.newest(fx.posts_pages(spark, sf_dir), 20).select("id", iso("created_at").alias("created_at"))

@@ -144,7 +144,251 @@ SELECT count(*) AS total,
 FROM ledger_rows
 """
 
+# --- step 2: ledger ---------------------------------------------------------------
+
+from quire.functions import fixed  # noqa: E402
+
+URL_RE = fixed.URL_PATTERN
+
+POSTS_PAGES = f"""
+page_docs AS (
+  SELECT p.page_id, p.url AS page_url, d.doc_id, d.text AS doc_text, d.lang, d.source
+  FROM pages p JOIN documents d ON p.page_id = d.doc_id
+),
+posts_pages AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id,
+         doc_text || ' ' || page_url
+           || CASE WHEN lang = 'de' THEN ' https://www.youtube.com/watch?v=' || left(md5(page_url), 11) ELSE '' END AS text,
+         source AS author_username, upper(source) AS author_name,
+         TIMESTAMP '2024-01-01 00:00:00' + to_hours(page_id) AS created_at,
+         page_id, page_url, lang
+  FROM page_docs
+),
+posts AS (
+  SELECT *,
+         regexp_extract_all(text, '{URL_RE}')
+           || CASE WHEN page_id % 3 = 2 THEN ['https://video.example.com/' || CAST(page_id AS VARCHAR) || '.mp4']
+                   ELSE []::VARCHAR[] END AS urls,
+         CASE WHEN page_id % 3 IN (1, 2) THEN ['https://pbs.example.com/media/' || CAST(page_id AS VARCHAR) || '.jpg']
+              ELSE []::VARCHAR[] END AS images,
+         false AS is_thread
+  FROM posts_pages
+)"""
+
+_LEDGER_OUT = f"post_id, version, {iso('processed_at')} AS processed_at, category, status, page_id"
+
+LEDGER_CURRENT_Q = f"""
+WITH {LEDGER_CURRENT}
+SELECT {_LEDGER_OUT} FROM ledger_current
+"""
+
+LEDGER_RELEASE = f"""
+WITH {LEDGER_CURRENT}
+SELECT post_id, version, CASE WHEN status = 'processing' THEN 'failed' ELSE status END AS status
+FROM ledger_current
+"""
+
+_BLOCKED = """
+blocked AS (
+  SELECT post_id FROM ledger_current WHERE coalesce(status, 'completed') IN ('completed', 'processing')
+)"""
+
+NEW_POSTS = f"""
+WITH {LEDGER_CURRENT},{_BLOCKED},{POSTS_PAGES}
+SELECT id, author_username FROM posts_pages p
+WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.post_id = p.id)
+"""
+
+CLAIMABLE_POSTS = f"""
+WITH {LEDGER_CURRENT},{_BLOCKED},{POSTS_PAGES}
+SELECT id AS post_id, CAST(1099511627776 AS BIGINT) AS version,
+       {iso('(SELECT max(processed_at) FROM ledger_versions)')} AS processed_at,
+       'review' AS category, 'processing' AS status, CAST(NULL AS VARCHAR) AS page_id, '{{}}' AS raw_data
+FROM posts_pages p
+WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.post_id = p.id)
+"""
+
+PROCESSED_POSTS = f"""
+WITH {LEDGER_CURRENT},{POSTS_PAGES}
+SELECT id FROM posts_pages
+WHERE id IN (SELECT post_id FROM ledger_current WHERE coalesce(status, 'completed') = 'completed')
+"""
+
+LOCKED_POSTS = f"""
+WITH {LEDGER_CURRENT}
+SELECT post_id FROM ledger_current WHERE status = 'processing'
+"""
+
+# --- step 3: ingest ---------------------------------------------------------------
+
+_NUM = "('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT')"
+
+
+def _opt(doc: str, path: str, ok: str) -> str:
+    return f"(json_type({doc}, '{path}') IS NULL OR json_type({doc}, '{path}') IN {ok})"
+
+
+_MEDIA_OK = (
+    "json_type(m) = 'OBJECT' AND json_type(m, '$.type') = 'VARCHAR' "
+    "AND json_extract_string(m, '$.type') IN ('photo', 'video', 'animated_gif') "
+    "AND json_type(m, '$.url') = 'VARCHAR' AND "
+    + " AND ".join(
+        [
+            _opt("m", "$.previewUrl", "('VARCHAR')"),
+            _opt("m", "$.width", _NUM),
+            _opt("m", "$.height", _NUM),
+            _opt("m", "$.videoUrl", "('VARCHAR')"),
+            _opt("m", "$.durationMs", _NUM),
+        ]
+    )
+)
+
+REASON = f"""CASE
+    WHEN NOT json_valid(raw) THEN 'malformed_json'
+    WHEN json_type(raw) <> 'OBJECT' THEN 'not_object'
+    WHEN coalesce(json_type(raw, '$.id'), '') <> 'VARCHAR' THEN 'id'
+    WHEN coalesce(json_type(raw, '$.text'), '') <> 'VARCHAR' THEN 'text'
+    WHEN coalesce(json_type(raw, '$.createdAt'), '') <> 'VARCHAR' THEN 'createdAt'
+    WHEN coalesce(json_type(raw, '$.author'), '') <> 'OBJECT'
+      OR coalesce(json_type(raw, '$.author.username'), '') <> 'VARCHAR'
+      OR coalesce(json_type(raw, '$.author.name'), '') <> 'VARCHAR' THEN 'author'
+    WHEN NOT ({_opt('raw', '$.replyCount', _NUM)} AND {_opt('raw', '$.retweetCount', _NUM)}
+              AND {_opt('raw', '$.likeCount', _NUM)}) THEN 'counts'
+    WHEN NOT ({_opt('raw', '$.conversationId', "('VARCHAR')")} AND {_opt('raw', '$.inReplyToStatusId', "('VARCHAR')")}
+              AND {_opt('raw', '$.authorId', "('VARCHAR')")}) THEN 'ids'
+    WHEN json_type(raw, '$.media') IS NOT NULL
+      AND (json_type(raw, '$.media') <> 'ARRAY'
+           OR coalesce(list_bool_or(list_transform(json_extract(raw, '$.media[*]'), lambda m: NOT ({_MEDIA_OK}))), false))
+      THEN 'media'
+  END"""
+
+_CREATED = "TIMESTAMP '2024-01-01 00:00:00' + to_hours(page_id)"
+
+RAW_POSTS_PAGES = f"""
+raw_page_docs AS (
+  SELECT p.page_id, p.url AS page_url, d.doc_id, d.text AS doc_text, d.lang, d.source
+  FROM pages p JOIN documents d ON p.page_id = d.doc_id
+),
+raw_parts AS (
+  SELECT page_id,
+         CAST(doc_id AS VARCHAR) AS id,
+         doc_text || ' ' || page_url
+           || CASE WHEN lang = 'de' THEN ' https://www.youtube.com/watch?v=' || left(md5(page_url), 11) ELSE '' END AS text,
+         CASE WHEN page_id % 2 = 0 THEN strftime({_CREATED}, '%Y-%m-%dT%H:%M:%S.%gZ')
+              ELSE strftime({_CREATED}, '%a %b %d %H:%M:%S +0000 %Y') END AS created,
+         json_object('username', source, 'name', upper(source)) AS author,
+         CASE page_id % 3
+           WHEN 1 THEN json_array(json_object('type', 'photo',
+                         'url', 'https://pbs.example.com/media/' || CAST(page_id AS VARCHAR) || '.jpg'))
+           WHEN 2 THEN json_array(json_object('type', 'video',
+                         'url', 'https://pbs.example.com/media/' || CAST(page_id AS VARCHAR) || '.jpg',
+                         'videoUrl', 'https://video.example.com/' || CAST(page_id AS VARCHAR) || '.mp4',
+                         'durationMs', page_id * 1000))
+         END AS media
+  FROM raw_page_docs
+),
+raw_good AS (
+  SELECT *,
+    CASE WHEN media IS NULL
+         THEN json_object('id', id, 'text', text, 'createdAt', created, 'author', author, 'conversationId', id)
+         ELSE json_object('id', id, 'text', text, 'createdAt', created, 'author', author, 'conversationId', id, 'media', media)
+    END::VARCHAR AS good
+  FROM raw_parts
+),
+raw_posts AS (
+  SELECT page_id, id, text, CASE
+    WHEN page_id % 50 = 29 THEN left(good, 20)
+    WHEN page_id % 20 = 11 THEN json_object('id', id, 'text', text, 'createdAt', created, 'author', author,
+        'conversationId', id, 'media', json_array(json_object('type', 'sticker', 'url', 'https://pbs.example.com/media/s.webp')))::VARCHAR
+    WHEN page_id % 10 = 3 THEN json_object('id', page_id, 'text', text, 'createdAt', created, 'author', author,
+        'conversationId', id)::VARCHAR
+    WHEN page_id % 10 = 7 THEN json_object('id', id, 'text', text, 'createdAt', created, 'conversationId', id)::VARCHAR
+    ELSE good END AS raw
+  FROM raw_good
+),
+checked AS (SELECT *, {REASON} AS reason FROM raw_posts)"""
+
+INGEST_VALID = f"""
+WITH {RAW_POSTS_PAGES},{POSTS_PAGES}
+SELECT p.id, p.author_username, p.author_name, {iso('p.created_at')} AS created_at,
+       CAST(len(p.urls) AS BIGINT) AS n_urls, array_to_string(p.urls, ' ') AS urls,
+       array_to_string(p.images, ' ') AS images, p.is_thread
+FROM posts p JOIN checked c ON c.page_id = p.page_id
+WHERE c.reason IS NULL
+"""
+
+INGEST_QUARANTINE = f"""
+WITH {RAW_POSTS_PAGES}
+SELECT page_id, reason FROM checked WHERE reason IS NOT NULL
+"""
+
+POST_LOOKUP = f"""
+WITH {POSTS_PAGES}
+SELECT id, author_username FROM posts_pages
+WHERE id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)
+"""
+
+POST_URLS = f"""
+WITH {POSTS_PAGES}
+SELECT id, CAST(u.pos - 1 AS BIGINT) AS pos, u.url
+FROM posts, unnest(posts.urls) WITH ORDINALITY AS u(url, pos)
+"""
+
+POST_MENTIONS = rf"""
+WITH {POSTS_PAGES}
+SELECT id, CAST(h.pos - 1 AS BIGINT) AS pos, h.handle
+FROM posts_pages, unnest(regexp_extract_all(text, '@(\w+)', 1)) WITH ORDINALITY AS h(handle, pos)
+"""
+
+_MEDIA_EXPECTED = """
+media_expected AS (
+  SELECT CAST(page_id AS VARCHAR) AS post_id, CAST(0 AS BIGINT) AS pos,
+         CASE page_id % 3 WHEN 0 THEN 'photo' WHEN 1 THEN 'video' ELSE 'animated_gif' END AS type,
+         'https://pbs.example.com/media/' || CAST(page_id AS VARCHAR) || '.jpg' AS url,
+         CASE WHEN page_id % 5 <> 0 THEN 'https://pbs.example.com/media/' || CAST(page_id AS VARCHAR) || '.jpg:small' END AS preview_url,
+         CASE WHEN page_id % 2 = 0 THEN 1000 + page_id % 100 ELSE 600 + page_id % 50 END AS width,
+         CAST(trunc((CASE WHEN page_id % 2 = 0 THEN 1000 + page_id % 100 ELSE 600 + page_id % 50 END) / 2) AS BIGINT) AS height,
+         CASE WHEN page_id % 3 <> 0 THEN 'https://video.example.com/' || CAST(page_id AS VARCHAR) ||
+           CASE WHEN (page_id % 4) * 1000 >= (page_id % 3) * 1000 + 1000 AND (page_id % 4) * 1000 >= 2000 THEN '/a.mp4'
+                WHEN (page_id % 3) * 1000 + 1000 >= 2000 THEN '/b.mp4'
+                ELSE '/c.mp4' END END AS video_url,
+         CAST(CASE WHEN page_id % 3 <> 0 AND page_id <> 0 THEN page_id * 1000 END AS DOUBLE) AS duration_ms
+  FROM pages
+  WHERE page_id % 11 <> 5
+)"""
+
+POST_MEDIA = f"""
+WITH {_MEDIA_EXPECTED}
+SELECT * FROM media_expected
+"""
+
+BEST_VARIANT = f"""
+WITH {_MEDIA_EXPECTED}
+SELECT post_id, video_url FROM media_expected WHERE video_url IS NOT NULL
+"""
+
+NEWEST_POSTS = f"""
+WITH {POSTS_PAGES}
+SELECT id, {iso('created_at')} AS created_at FROM posts_pages
+ORDER BY created_at DESC, id DESC LIMIT 20
+"""
+
 ORACLE: dict[str, str] = {
+    "ledger_current": LEDGER_CURRENT_Q,
+    "ledger_upsert": LEDGER_CURRENT_Q,
+    "ledger_release": LEDGER_RELEASE,
+    "new_posts": NEW_POSTS,
+    "claimable_posts": CLAIMABLE_POSTS,
+    "processed_posts": PROCESSED_POSTS,
+    "locked_posts": LOCKED_POSTS,
+    "ingest_valid": INGEST_VALID,
+    "ingest_quarantine": INGEST_QUARANTINE,
+    "post_lookup": POST_LOOKUP,
+    "post_urls": POST_URLS,
+    "post_mentions": POST_MENTIONS,
+    "post_media": POST_MEDIA,
+    "best_variant": BEST_VARIANT,
+    "newest_posts": NEWEST_POSTS,
     "weekly_by_category": WEEKLY_BY_CATEGORY,
     "weekly_top_tags": WEEKLY_TOP_TAGS,
     "weekly_highlights": WEEKLY_HIGHLIGHTS,
