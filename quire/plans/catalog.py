@@ -14,7 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import session
+from quire.functions import fixed
+from quire.functions import text as T
+from quire.functions import urls as U
 from quire.functions.text import extract_handles
+from quire.functions.transcript import chunk_lines, clean_vtt
 from quire.functions.timefmt import iso
 from quire.operators import ingest, ledger, stats
 from quire.sources import fixtures as fx
@@ -210,3 +214,63 @@ def best_variant(spark, sf_dir):
 @query
 def newest_posts(spark, sf_dir):
     return ingest.newest(fx.posts_pages(spark, sf_dir), 20).select("id", iso("created_at").alias("created_at"))
+
+
+# --- step 4: URL and text columns ---------------------------------------------------
+
+
+@query
+def url_classes(spark, sf_dir):
+    """Every URL found in posts, classified."""
+    urls = fx.posts_pages(spark, sf_dir).select("id", F.posexplode("urls").alias("pos", "url"))
+    return urls.select(
+        "id",
+        F.col("pos").cast("bigint").alias("pos"),
+        "url",
+        U.url_host("url").alias("host"),
+        U.is_scrapable("url").alias("is_scrapable"),
+        U.is_scrapable_strict("url").alias("is_scrapable_strict"),
+        U.is_video_url("url").alias("is_video"),
+        U.video_id("url").alias("video_id"),
+        U.url_title("url").alias("url_title"),
+        U.site_name(F.lit(None).cast("string"), "url").alias("site_name"),
+    )
+
+
+@query
+def video_ids(spark, sf_dir):
+    urls = fx.posts_pages(spark, sf_dir).select("id", F.explode("urls").alias("url"))
+    return urls.select("id", U.video_id("url").alias("video_id")).where(F.col("video_id").isNotNull())
+
+
+@query
+def truncate_text(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select(
+        "doc_id",
+        T.truncate("text", fixed.TOPIC_WIDTH).alias("t50"),
+        T.truncate("text", fixed.TLDR_WIDTH).alias("t280"),
+        T.truncate("text", fixed.SUMMARY_WIDTH).alias("t2000"),
+        T.truncate_marked("text", fixed.ARTICLE_PROMPT_CUT).alias("cut8000"),
+        T.truncate_marked("text", fixed.TRANSCRIPT_PROMPT_CUT).alias("cut6000"),
+    )
+
+
+@query
+def transcript_clean(spark, sf_dir):
+    return clean_vtt(fx.transcripts(spark, sf_dir), "vtt", "transcript").select("video_id", "transcript")
+
+
+@query
+def message_chunks(spark, sf_dir):
+    """Every document packed into message pieces of at most 4000 units."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select("doc_id", F.posexplode(chunk_lines("text", fixed.DIGEST_CHUNK)).alias("chunk_no", "chunk")).select(
+        "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), T.utf16_length("chunk").alias("chunk_len")
+    )
+
+
+@query
+def html_escape(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select("doc_id", T.html_escape("text").alias("escaped"))

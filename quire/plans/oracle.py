@@ -373,7 +373,140 @@ SELECT id, {iso('created_at')} AS created_at FROM posts_pages
 ORDER BY created_at DESC, id DESC LIMIT 20
 """
 
+# --- step 4: URL and text columns ---------------------------------------------------
+
+JS = fixed.JS_SPACE
+
+
+def js_trim(x: str) -> str:
+    return f"regexp_replace({x}, '^[{JS}]+|[{JS}]+$', '', 'g')"
+
+
+def _skip_any(u: str) -> str:
+    return " OR ".join(f"regexp_matches({u}, '{p}')" for p in fixed.SKIP_PATTERNS)
+
+
+_HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
+_VALID = "regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+')"
+_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+_VID = fixed.VIDEO_ID_PATTERN
+
+URL_CLASSES = rf"""
+WITH {POSTS_PAGES},
+u AS (
+  SELECT id, CAST(o.pos - 1 AS BIGINT) AS pos, o.url
+  FROM posts, unnest(posts.urls) WITH ORDINALITY AS o(url, pos)
+),
+c AS (
+  SELECT *, {_HOST} AS host, {_VALID} AS valid,
+         list_filter(string_split({_PATH}, '/'), lambda s: s <> '')[-1] AS seg
+  FROM u
+)
+SELECT id, pos, url, CASE WHEN valid THEN host END AS host,
+       coalesce(valid AND NOT ({_skip_any('url')}), false) AS is_scrapable,
+       coalesce(valid AND NOT (host IN ('youtube.com', 'youtu.be', 'twitter.com', 'x.com')
+                               OR suffix(host, '.youtube.com') OR suffix(host, '.youtu.be')
+                               OR suffix(host, '.twitter.com') OR suffix(host, '.x.com')
+                               OR regexp_matches(url, '{fixed.SKIP_PATTERNS[4]}')
+                               OR regexp_matches(url, '{fixed.SKIP_PATTERNS[5]}')), false) AS is_scrapable_strict,
+       regexp_matches(url, '{_VID}') AS is_video,
+       nullif(regexp_extract(url, '{_VID}', 1), '') AS video_id,
+       CASE WHEN valid THEN coalesce(nullif(regexp_replace(regexp_replace(coalesce(seg, ''), '[-_]', ' ', 'g'), '\.\w+$', ''), ''), nullif(host, ''))
+            ELSE url END AS url_title,
+       CASE WHEN valid THEN nullif(host, '') END AS site_name
+FROM c
+"""
+
+VIDEO_IDS = rf"""
+WITH {POSTS_PAGES}
+SELECT id, video_id FROM (
+  SELECT id, nullif(regexp_extract(url, '{_VID}', 1), '') AS video_id
+  FROM posts, unnest(posts.urls) AS o(url)
+) WHERE video_id IS NOT NULL
+"""
+
+
+def _trunc(x: str, n: int) -> str:
+    return f"CASE WHEN length({x}) <= {n} THEN {x} ELSE left({x}, {n - 3}) || '...' END"
+
+
+def _cut(x: str, n: int) -> str:
+    return f"left({x}, {n}) || CASE WHEN length({x}) > {n} THEN chr(10) || chr(10) || '[...truncated]' ELSE '' END"
+
+
+TRUNCATE_TEXT = f"""
+SELECT doc_id, {_trunc('text', 50)} AS t50, {_trunc('text', 280)} AS t280, {_trunc('text', 2000)} AS t2000,
+       {_cut('text', 8000)} AS cut8000, {_cut('text', 6000)} AS cut6000
+FROM documents
+"""
+
+_TRANSCRIPTS = rf"""
+vtt_docs AS (
+  SELECT left(md5(p.url), 11) AS video_id,
+         'WEBVTT' || chr(10) || 'Kind: captions' || chr(10) || 'Language: ' || d.lang || chr(10) || chr(10)
+         || array_to_string(list_transform(string_split(d.text, chr(10)), lambda l, i:
+              CAST(i AS VARCHAR) || chr(10) || '00:00:01.000 --> 00:00:02.000' || chr(10) || '<v S>' || l || '</v>'
+              || chr(10) || l), chr(10) || chr(10)) AS vtt
+  FROM pages p JOIN documents d ON p.page_id = d.doc_id
+),
+vtt_lines AS (
+  SELECT video_id,
+    list_filter(
+      list_transform(
+        list_filter(string_split(vtt, chr(10)), lambda l:
+          NOT (starts_with(l, 'WEBVTT') OR starts_with(l, 'Kind:') OR starts_with(l, 'Language:'))
+          AND NOT regexp_matches(l, '^\d{{2}}:\d{{2}}')
+          AND NOT regexp_matches(l, '^[\d:.,{JS}-]+$')
+          AND {js_trim('l')} <> ''),
+        lambda l: {js_trim("regexp_replace(l, '<[^>]+>', '', 'g')")}),
+      lambda l: l <> '') AS lines
+  FROM vtt_docs
+),
+cleaned AS (
+  SELECT video_id,
+    {js_trim(f"regexp_replace(array_to_string(list_filter(lines, lambda l, i: i = 1 OR l <> lines[i - 1]), ' '), '[{JS}]+', ' ', 'g')")} AS transcript
+  FROM vtt_lines
+)"""
+
+TRANSCRIPT_CLEAN = f"""
+WITH {_TRANSCRIPTS}
+SELECT video_id, transcript FROM cleaned
+"""
+
+HTML_ESCAPE = """
+SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped
+FROM documents
+"""
+
+def utf16_len(x: str) -> str:
+    return f"(length({x}) + length(regexp_replace({x}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+
+
+def chunk_fold(text: str, limit: int) -> str:
+    """Greedy line packing as a list fold (same rule as the Spark side)."""
+    ln = utf16_len("line")
+    return f"""(SELECT CASE WHEN r.cur <> '' THEN list_append(r.done, r.cur) ELSE r.done END FROM (
+      SELECT list_reduce(string_split({text}, chr(10)),
+        lambda acc, line: CASE WHEN acc.n + {ln} + 1 > {limit}
+          THEN {{'done': list_append(acc.done, acc.cur), 'cur': line, 'n': CAST({ln} AS BIGINT)}}
+          ELSE {{'done': acc.done, 'cur': acc.cur || CASE WHEN acc.cur <> '' THEN chr(10) ELSE '' END || line,
+                'n': acc.n + CASE WHEN acc.cur <> '' THEN 1 ELSE 0 END + CAST({ln} AS BIGINT)}} END,
+        {{'done': []::VARCHAR[], 'cur': '', 'n': CAST(0 AS BIGINT)}}) AS r))"""
+
+
+MESSAGE_CHUNKS = f"""
+WITH chunks AS (SELECT doc_id, {chunk_fold('text', fixed.DIGEST_CHUNK)} AS pieces FROM documents)
+SELECT doc_id, CAST(c.pos - 1 AS BIGINT) AS chunk_no, CAST({utf16_len('c.chunk')} AS BIGINT) AS chunk_len
+FROM chunks, unnest(chunks.pieces) WITH ORDINALITY AS c(chunk, pos)
+"""
+
 ORACLE: dict[str, str] = {
+    "message_chunks": MESSAGE_CHUNKS,
+    "url_classes": URL_CLASSES,
+    "video_ids": VIDEO_IDS,
+    "truncate_text": TRUNCATE_TEXT,
+    "transcript_clean": TRANSCRIPT_CLEAN,
+    "html_escape": HTML_ESCAPE,
     "ledger_current": LEDGER_CURRENT_Q,
     "ledger_upsert": LEDGER_CURRENT_Q,
     "ledger_release": LEDGER_RELEASE,
