@@ -82,15 +82,17 @@ ERROR_ICONS = {
 ERROR_ICON_DEFAULT = "❌"
 DEFAULT_PRIORITY = "someday"
 POST_URL_PREFIX = "https://x.com/"
-PUBLISHED_TABLE_TITLE = "Grabber Bookmarks"
+PUBLISHED_TABLE_TITLE = "saved_posts"
 
 # --- fixed values: message texts ----------------------------------------------
+# Layout of the digest and alert messages (titles reworded where they named
+# the original product).
 DIGEST_TITLE = "# 📚 Weekly Bookmark Digest\n\n"
 DIGEST_TOP_PICKS = "\n\n## 🎯 Top Picks This Week\n"
 DIGEST_PATTERNS = "\n\n## 📊 Patterns Noticed\n"
 DIGEST_RECOMMENDATIONS = "\n\n## 💡 Recommendations\n"
 ALERT_ERROR = (
-    "{icon} <b>Grabber Error</b>\n\n<b>Type:</b> {code}\n"
+    "{icon} <b>Curation Error</b>\n\n<b>Type:</b> {code}\n"
     "<b>Message:</b> {message}\n<b>Status:</b> {status}"
 )
 ALERT_RETRY = "(will retry)"
@@ -99,15 +101,24 @@ ALERT_AUTH = (
     "🔑 <b>Twitter Auth Expired</b>\n\n"
     "Cookies have expired. Please update them:\n"
     "1. Log into X in Chrome\n"
-    "2. Restart the grabber container\n\n"
+    "2. Restart the curation job\n\n"
     "Processing paused until auth is restored."
 )
 ERROR_RATE_LIMIT = "Twitter rate limit hit"
-ERROR_UNKNOWN_COMMAND = (
-    "bird bookmarks command not available. Update bird: brew upgrade "
-    "steipete/tap/bird or npm i -g @steipete/bird@latest"
-)
-ERROR_NETWORK_PREFIX = "Bird CLI error: "
+ERROR_UNKNOWN_COMMAND = "bookmarks command not available in the source tool; update it"
+ERROR_NETWORK_PREFIX = "Source tool error: "
 
 # --- fixed values: section separators of the analysis prompt --------------------
 PROMPT_SECTION_SEP = "\n\n---\n\n"
+
+# --- fixed values: prompt structure ----------------------------------------------
+# Section headers and line shapes of the two model requests.  The free-form
+# instructions (the reader's profile and the task) are parameters with short
+# defaults of our own, see `quire.operators.inference`.
+PROMPT_USER_CONTEXT = "## USER CONTEXT (for personalized scoring)\n"
+PROMPT_ORIGINAL = "## ORIGINAL TWEET\n"
+PROMPT_THREAD = "## THREAD CONTINUATION ({n} more tweets)\n"
+PROMPT_ARTICLES = "## ARTICLE CONTENT\n"
+PROMPT_TRANSCRIPTS = "## VIDEO TRANSCRIPTS\n"
+PROMPT_IMAGES = "## IMAGE ANALYSIS\n"
+PROMPT_TASK = "## YOUR TASK\n"

@@ -20,7 +20,7 @@ from quire.functions import urls as U
 from quire.functions.text import extract_handles
 from quire.functions.transcript import chunk_lines, clean_vtt
 from quire.functions.timefmt import iso
-from quire.operators import ingest, ledger, stats
+from quire.operators import enrich, inference, ingest, ledger, stats
 from quire.sources import fixtures as fx
 from quire.sources.tables import read
 
@@ -274,3 +274,167 @@ def message_chunks(spark, sf_dir):
 def html_escape(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
     return d.select("doc_id", T.html_escape("text").alias("escaped"))
+
+
+# --- step 5: enrichment -------------------------------------------------------------
+
+
+def _pipeline(spark, sf_dir):
+    """Posts, rule triage and the three fetched context tables."""
+    posts = fx.posts_pages(spark, sf_dir)
+    labels = read(spark, sf_dir, "labels")
+    triage = inference.rule_triage(posts, labels)
+    arts = enrich.fetch_articles(enrich.wanted_from_triage(triage, "needsArticleScrape"), read(spark, sf_dir, "pages"))
+    wanted_v = enrich.wanted_from_triage(triage, "needsYoutubeTranscript").withColumn("video_id", U.video_id("url"))
+    trs = enrich.fetch_transcripts(wanted_v, fx.transcripts(spark, sf_dir))
+    imgs = enrich.fetch_image_texts(enrich.wanted_from_triage(triage, "needsImageAnalysis"), fx.image_texts(spark, sf_dir))
+    return posts, labels, triage, arts, trs, imgs
+
+
+@query
+def article_parse(spark, sf_dir):
+    parsed = enrich.parse_articles(read(spark, sf_dir, "pages"))
+    return parsed.select("url", "title", F.length("content").cast("bigint").alias("content_len"),
+                         F.sha2("content", 256).alias("content_sha"), "excerpt", "site_name")
+
+
+@query
+def enriched_articles(spark, sf_dir):
+    _, _, _, arts, _, _ = _pipeline(spark, sf_dir)
+    return arts.select("post_id", F.col("pos").cast("bigint").alias("pos"), "url", "title", "content",
+                       F.col("content_len").cast("bigint").alias("content_len"))
+
+
+@query
+def enriched_transcripts(spark, sf_dir):
+    _, _, _, _, trs, _ = _pipeline(spark, sf_dir)
+    return trs.select("post_id", F.col("pos").cast("bigint").alias("pos"), "url", "video_id", "transcript")
+
+
+@query
+def enriched_images(spark, sf_dir):
+    _, _, _, _, _, imgs = _pipeline(spark, sf_dir)
+    return imgs.select("post_id", F.col("pos").cast("bigint").alias("pos"), "url", "description")
+
+
+@query
+def image_descriptions(spark, sf_dir):
+    return fx.image_texts(spark, sf_dir)
+
+
+@query
+def thread_expand(spark, sf_dir):
+    members = fx.conversation_members(spark, sf_dir)
+    bookmarks = fx.conversation_bookmarks(spark, sf_dir)
+    return enrich.expand_threads(bookmarks, members).select("post_id", "member_id", "turn", "text")
+
+
+@query
+def video_info(spark, sf_dir):
+    return enrich.parse_video_info(fx.video_info_raw(spark, sf_dir))
+
+
+# --- step 6: inference ----------------------------------------------------------------
+
+
+@query
+def triage_rules(spark, sf_dir):
+    posts = fx.posts_pages(spark, sf_dir)
+    t = inference.rule_triage(posts, read(spark, sf_dir, "labels"))
+    return t.select(
+        F.col("id").alias("post_id"),
+        F.col("triage.contentType").alias("content_type"),
+        F.col("triage.estimatedValue").alias("estimated_value"),
+        F.size("triage.needsArticleScrape").cast("bigint").alias("n_articles"),
+        F.size("triage.needsYoutubeTranscript").cast("bigint").alias("n_transcripts"),
+        F.size("triage.needsImageAnalysis").cast("bigint").alias("n_images"),
+        F.col("triage.needsThreadExpansion").alias("needs_thread"),
+        F.col("triage.skipReason").alias("skip_reason"),
+    )
+
+
+@query
+def triage_skip(spark, sf_dir):
+    posts = fx.posts_pages(spark, sf_dir)
+    t = inference.rule_triage(posts, read(spark, sf_dir, "labels"))
+    at = stats.latest_time(fx.ledger_rows(spark, sf_dir))
+    return inference.triage_skipped(t, at).select("post_id", "category", "status", "page_id", "skip_reason")
+
+
+def _analysis(spark, sf_dir):
+    posts, labels, triage, arts, trs, imgs = _pipeline(spark, sf_dir)
+    counts = enrich.context_summary(arts, trs, imgs)
+    return posts, triage, counts, inference.rule_analysis(posts, triage, counts, labels)
+
+
+@query
+def analysis_rules(spark, sf_dir):
+    _, _, _, a = _analysis(spark, sf_dir)
+    return a.select(
+        F.col("id").alias("post_id"),
+        F.col("analysis.category").alias("category"),
+        F.col("analysis.relevanceScore").alias("score"),
+        F.array_join("analysis.tags", ",").alias("tags"),
+        F.col("analysis.topic").alias("topic"),
+        F.col("analysis.tldr").alias("tldr"),
+        F.col("analysis.topAction").alias("top_action"),
+        F.col("analysis.primaryLink").alias("primary_link"),
+        F.get("analysis.actionItems", 0)["priority"].alias("priority"),
+        F.size("analysis.keyInsights").cast("bigint").alias("n_insights"),
+        F.size("analysis.extractedLinks").cast("bigint").alias("n_links"),
+    )
+
+
+def _model_outputs(spark, sf_dir):
+    """Analysis JSON as a model would return it, with faults on a rule:
+    unknown category when page_id % 10 = 4, score 0 when % 10 = 6, cut-off
+    JSON when % 25 = 9."""
+    _, _, _, a = _analysis(spark, sf_dir)
+    pid = F.col("id").cast("bigint")
+    good = F.to_json("analysis")
+    bad_cat = F.to_json(F.col("analysis").withField("category", F.lit("misc")))
+    bad_score = F.to_json(F.col("analysis").withField("relevanceScore", F.lit(0.0)))
+    out = (
+        F.when(pid % 25 == 9, F.substring(good, 1, 30))
+        .when(pid % 10 == 4, bad_cat)
+        .when(pid % 10 == 6, bad_score)
+        .otherwise(good)
+    )
+    return a.select("id", out.alias("output"))
+
+
+@query
+def analysis_valid(spark, sf_dir):
+    ok, _ = inference.validate_analysis(_model_outputs(spark, sf_dir))
+    return ok.select(F.col("id").alias("post_id"), F.col("analysis.category").alias("category"),
+                     F.col("analysis.relevanceScore").alias("score"))
+
+
+@query
+def analysis_quarantine(spark, sf_dir):
+    _, bad = inference.validate_analysis(_model_outputs(spark, sf_dir))
+    return bad.select(F.col("id").alias("post_id"), "reason")
+
+
+@query
+def analysis_flags(spark, sf_dir):
+    _, _, counts, a = _analysis(spark, sf_dir)
+    f = inference.merge_flags(a, counts)
+    return f.select(
+        F.col("id").alias("post_id"), "has_article", "has_video", "has_thread",
+        F.length("article_content").cast("double").alias("article_len"),
+        F.length("youtube_transcript").cast("double").alias("transcript_len"),
+        "n_image_texts",
+    )
+
+
+@query
+def triage_prompt(spark, sf_dir):
+    return inference.triage_prompt(fx.posts_pages(spark, sf_dir)).withColumnRenamed("id", "post_id")
+
+
+@query
+def enriched_prompt(spark, sf_dir):
+    posts, _, triage, arts, trs, imgs = _pipeline(spark, sf_dir)
+    live = triage.where(F.col("triage.estimatedValue") != "skip")
+    return inference.enriched_prompt(posts, live, arts, trs, imgs).withColumnRenamed("id", "post_id")

@@ -500,7 +500,319 @@ SELECT doc_id, CAST(c.pos - 1 AS BIGINT) AS chunk_no, CAST({utf16_len('c.chunk')
 FROM chunks, unnest(chunks.pieces) WITH ORDINALITY AS c(chunk, pos)
 """
 
+# --- step 5: enrichment ------------------------------------------------------------------
+
+from quire.operators.inference import (  # noqa: E402
+    DEFAULT_TASK,
+    DEFAULT_TRIAGE_HEAD,
+    DEFAULT_TRIAGE_TAIL,
+    DEFAULT_USER_CONTEXT,
+)
+
+
+def valid_url(u: str) -> str:
+    return f"regexp_matches({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+')"
+
+
+def host_of(u: str) -> str:
+    return f"lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
+
+
+def scrapable(u: str) -> str:
+    skip = " OR ".join(f"regexp_matches({u}, '{p}')" for p in fixed.SKIP_PATTERNS)
+    return f"coalesce({valid_url(u)} AND NOT ({skip}), false)"
+
+
+def url_title(u: str) -> str:
+    path = f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+    seg = f"list_filter(string_split({path}, '/'), lambda s: s <> '')[-1]"
+    return (
+        f"CASE WHEN {valid_url(u)} THEN coalesce(nullif(regexp_replace(regexp_replace(coalesce({seg}, ''), "
+        f"'[-_]', ' ', 'g'), '\\.\\w+$', ''), ''), nullif({host_of(u)}, '')) ELSE {u} END"
+    )
+
+
+def squeeze(x: str) -> str:
+    return f"regexp_replace({x}, '[{JS}]+', ' ', 'g')"
+
+
+def trunc(x: str, n: int) -> str:
+    return _trunc(x, n)
+
+
+_ARTICLES = f"""
+parsed_pages AS (
+  SELECT url, html,
+    regexp_replace(regexp_replace(regexp_replace(html,
+      '(?s)<script[^>]*>.*?</script>', ' ', 'g'), '(?s)<style[^>]*>.*?</style>', ' ', 'g'),
+      '(?s)<nav[^>]*>.*?</nav>', ' ', 'g') AS cleaned
+  FROM pages
+),
+articles AS (
+  SELECT url,
+    coalesce(nullif({js_trim("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")}, ''), {url_title('url')}) AS title,
+    {js_trim(squeeze("regexp_replace(CASE WHEN regexp_extract(cleaned, '(?s)<article[^>]*>(.*?)</article>', 1) <> '' THEN regexp_extract(cleaned, '(?s)<article[^>]*>(.*?)</article>', 1) ELSE regexp_extract(cleaned, '(?s)<body[^>]*>(.*)</body>', 1) END, '<[^>]+>', ' ', 'g')"))} AS content,
+    CASE WHEN {valid_url('url')} THEN nullif({host_of('url')}, '') END AS site_name
+  FROM parsed_pages
+)"""
+
+ARTICLE_PARSE = f"""
+WITH {_ARTICLES}
+SELECT url, title, CAST(length(content) AS BIGINT) AS content_len, sha256(content) AS content_sha,
+       CAST(NULL AS VARCHAR) AS excerpt, site_name
+FROM articles
+"""
+
+_TRIAGE = f"""
+tri0 AS (
+  SELECT p.*, l.toxic, l.quality,
+         list_filter(p.urls, lambda u: {scrapable('u')}) AS want_articles,
+         list_filter(p.urls, lambda u: nullif(regexp_extract(u, '{_VID}', 1), '') IS NOT NULL) AS want_videos,
+         {js_trim('p.text')} = '' AS blank
+  FROM posts p LEFT JOIN labels l ON CAST(l.doc_id AS VARCHAR) = p.id
+),
+tri AS (
+  SELECT *,
+    CASE WHEN is_thread THEN 'thread' WHEN len(want_videos) > 0 THEN 'video_share'
+         WHEN len(want_articles) > 0 THEN 'article_share' WHEN len(images) > 0 THEN 'image_post'
+         ELSE 'tweet' END AS content_type,
+    CASE WHEN blank OR coalesce(toxic = 1, false) THEN 'skip'
+         WHEN len(want_articles) > 0 OR len(want_videos) > 0 THEN 'high' ELSE 'medium' END AS estimated_value,
+    CASE WHEN blank THEN 'blank text' WHEN coalesce(toxic = 1, false) THEN 'flagged toxic' END AS skip_reason
+  FROM tri0
+),
+live AS (SELECT * FROM tri WHERE estimated_value <> 'skip')"""
+
+_CONTEXT = f"""
+ctx_articles AS (
+  SELECT w.id AS post_id, CAST(w.pos - 1 AS BIGINT) AS pos, w.url, a.title,
+         {_cut('a.content', 8000)} AS content, CAST(length(a.content) AS BIGINT) AS content_len
+  FROM (SELECT id, o.url, o.pos FROM live, unnest(live.want_articles) WITH ORDINALITY AS o(url, pos)) w
+  JOIN articles a ON a.url = w.url
+  WHERE nullif(a.content, '') IS NOT NULL
+),
+ctx_transcripts AS (
+  SELECT w.id AS post_id, CAST(w.pos - 1 AS BIGINT) AS pos, w.url, w.video_id, {_cut('c.transcript', 6000)} AS transcript
+  FROM (SELECT id, o.url, o.pos, nullif(regexp_extract(o.url, '{_VID}', 1), '') AS video_id
+        FROM live, unnest(live.want_videos) WITH ORDINALITY AS o(url, pos)) w
+  JOIN cleaned c ON c.video_id = w.video_id
+  WHERE nullif(c.transcript, '') IS NOT NULL
+),
+image_texts AS (
+  SELECT url,
+    printf('%s of %dx%d pixels', type, width, height)
+    || CASE WHEN type = 'photo' THEN chr(10) || '📝 Text: ' || {host_of('url')} ELSE '' END
+    || chr(10) || '🔑 Key elements: ' || type || ', w' || CAST(width AS VARCHAR) AS description
+  FROM media_expected
+),
+ctx_images AS (
+  SELECT w.id AS post_id, CAST(w.pos - 1 AS BIGINT) AS pos, w.url, t.description
+  FROM (SELECT id, o.url, o.pos FROM live, unnest(live.images) WITH ORDINALITY AS o(url, pos)) w
+  JOIN image_texts t ON t.url = w.url
+  WHERE nullif(t.description, '') IS NOT NULL
+)"""
+
+_CTX_ALL = f"{POSTS_PAGES},{_TRIAGE},{_ARTICLES},{_TRANSCRIPTS},{_MEDIA_EXPECTED},{_CONTEXT}"
+
+ENRICHED_ARTICLES = f"""
+WITH {_CTX_ALL}
+SELECT post_id, pos, url, title, content, content_len FROM ctx_articles
+"""
+
+ENRICHED_TRANSCRIPTS = f"""
+WITH {_CTX_ALL}
+SELECT post_id, pos, url, video_id, transcript FROM ctx_transcripts
+"""
+
+ENRICHED_IMAGES = f"""
+WITH {_CTX_ALL}
+SELECT post_id, pos, url, description FROM ctx_images
+"""
+
+IMAGE_DESCRIPTIONS = f"""
+WITH {_CTX_ALL}
+SELECT url, description FROM image_texts
+"""
+
+THREAD_EXPAND = """
+WITH conv AS (
+  SELECT conv_id, turn, role, text,
+         CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS member_id
+  FROM conversations
+),
+bad AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system'),
+last AS (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id),
+bm AS (
+  SELECT c.conv_id, c.member_id FROM conv c JOIN last l ON l.conv_id = c.conv_id AND l.turn = c.turn
+  WHERE c.role <> 'system' AND c.turn > 0
+)
+SELECT bm.member_id AS post_id, m.member_id, m.turn, m.text
+FROM bm JOIN conv m ON m.conv_id = bm.conv_id
+WHERE m.conv_id NOT IN (SELECT conv_id FROM bad) AND m.member_id <> bm.member_id
+"""
+
+VIDEO_INFO = rf"""
+WITH v AS (
+  SELECT left(md5(CAST(doc_id AS VARCHAR)), 11) AS video_id,
+         string_split({js_trim("concat_ws('|||', left(text, 30), lang, CASE doc_id % 4 WHEN 0 THEN CAST(n_chars AS VARCHAR) WHEN 1 THEN ' ' || CAST(n_chars AS VARCHAR) || 's' WHEN 2 THEN 'n/a' ELSE CAST(n_chars AS VARCHAR) || '.5' END) || chr(10)")}, '|||') AS parts
+  FROM documents
+)
+SELECT video_id, coalesce(parts[1], '') AS title, coalesce(parts[2], '') AS description,
+       CAST(coalesce(TRY_CAST(regexp_extract({js_trim("coalesce(parts[3], '')")}, '^([+-]?\d+)', 1) AS BIGINT), 0) AS BIGINT) AS duration
+FROM v
+"""
+
+# --- step 6: inference ---------------------------------------------------------------------
+
+TRIAGE_RULES = f"""
+WITH {POSTS_PAGES},{_TRIAGE}
+SELECT id AS post_id, content_type, estimated_value,
+       CAST(len(want_articles) AS BIGINT) AS n_articles, CAST(len(want_videos) AS BIGINT) AS n_transcripts,
+       CAST(len(images) AS BIGINT) AS n_images, is_thread AS needs_thread, skip_reason
+FROM tri
+"""
+
+TRIAGE_SKIP = f"""
+WITH {POSTS_PAGES},{_TRIAGE}
+SELECT id AS post_id, 'review' AS category, 'completed' AS status, CAST(NULL AS VARCHAR) AS page_id, skip_reason
+FROM tri WHERE estimated_value = 'skip'
+"""
+
+_ANALYSIS = f"""
+words AS (
+  SELECT id, w.word, count(*) AS n
+  FROM posts, unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS w(word)
+  GROUP BY id, w.word
+),
+tags AS (
+  SELECT id, list(word ORDER BY rk) AS tags FROM (
+    SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY n DESC, word) AS rk FROM words
+  ) WHERE rk <= 3 GROUP BY id
+),
+counts AS (
+  SELECT l.id,
+    (SELECT count(*) FROM ctx_articles a WHERE a.post_id = l.id) AS n_articles,
+    (SELECT count(*) FROM ctx_transcripts t WHERE t.post_id = l.id) AS n_transcripts,
+    (SELECT count(*) FROM ctx_images i WHERE i.post_id = l.id) AS n_images,
+    (SELECT a.title FROM ctx_articles a WHERE a.post_id = l.id ORDER BY a.pos LIMIT 1) AS first_title,
+    (SELECT a.content FROM ctx_articles a WHERE a.post_id = l.id ORDER BY a.pos LIMIT 1) AS first_article,
+    (SELECT t.transcript FROM ctx_transcripts t WHERE t.post_id = l.id ORDER BY t.pos LIMIT 1) AS first_transcript
+  FROM live l
+),
+an0 AS (
+  SELECT l.*, c.n_articles, c.n_transcripts, c.n_images, c.first_title, c.first_article, c.first_transcript,
+    coalesce(t.tags, []::VARCHAR[]) AS tags,
+    {js_trim(squeeze('l.text'))} AS flat,
+    CAST(least(10, 2 + 2 * least(c.n_articles, 1) + 2 * least(c.n_transcripts, 1) + least(c.n_images, 2)
+               + CASE WHEN l.quality = 1 THEN 3 ELSE 0 END) AS DOUBLE) AS score,
+    CASE l.content_type WHEN 'thread' THEN 'review' WHEN 'video_share' THEN 'video'
+         WHEN 'article_share' THEN 'article' WHEN 'image_post' THEN 'fun' ELSE 'knowledge' END AS category
+  FROM live l JOIN counts c ON c.id = l.id LEFT JOIN tags t ON t.id = l.id
+),
+an AS (
+  SELECT *,
+    CASE category WHEN 'article' THEN 'Read the article' WHEN 'video' THEN 'Watch the video'
+         WHEN 'review' THEN 'Read the thread' ELSE 'Skim the post' END AS top_action,
+    CASE WHEN score >= 4 THEN CASE WHEN score >= 9 THEN 'now' WHEN score >= 7 THEN 'this-week' ELSE 'someday' END END AS priority,
+    {trunc("coalesce(nullif(first_title, ''), flat)", 50)} AS topic,
+    {trunc('flat', 280)} AS tldr,
+    len(list_filter(string_split(regexp_replace(flat, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)), lambda s: length(s) >= 20)) AS n_sent
+  FROM an0
+)"""
+
+ANALYSIS_RULES = f"""
+WITH {_CTX_ALL},{_ANALYSIS}
+SELECT id AS post_id, category, score, array_to_string(tags, ',') AS tags, topic, tldr, top_action,
+       urls[1] AS primary_link, priority, CAST(least(n_sent, 5) AS BIGINT) AS n_insights,
+       CAST(len(urls) AS BIGINT) AS n_links
+FROM an
+"""
+
+_VALIDATED = """
+validated AS (
+  SELECT id, category, score,
+    CASE WHEN CAST(id AS BIGINT) % 25 = 9 THEN 'malformed_json'
+         WHEN CAST(id AS BIGINT) % 10 = 4 THEN 'category'
+         WHEN CAST(id AS BIGINT) % 10 = 6 THEN 'relevanceScore' END AS reason
+  FROM an
+)"""
+
+ANALYSIS_VALID = f"""
+WITH {_CTX_ALL},{_ANALYSIS},{_VALIDATED}
+SELECT id AS post_id, category, score FROM validated WHERE reason IS NULL
+"""
+
+ANALYSIS_QUARANTINE = f"""
+WITH {_CTX_ALL},{_ANALYSIS},{_VALIDATED}
+SELECT id AS post_id, reason FROM validated WHERE reason IS NOT NULL
+"""
+
+ANALYSIS_FLAGS = f"""
+WITH {_CTX_ALL},{_ANALYSIS}
+SELECT id AS post_id, n_articles > 0 AS has_article, n_transcripts > 0 AS has_video, false AS has_thread,
+       CAST(length(first_article) AS DOUBLE) AS article_len, CAST(length(first_transcript) AS DOUBLE) AS transcript_len,
+       CAST(n_images AS BIGINT) AS n_image_texts
+FROM an
+"""
+
+
+def _lit(text: str) -> str:
+    """A Python string as a SQL expression (newlines as chr(10))."""
+    parts = text.split("\n")
+    return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in parts) if text else "''"
+
+
+TRIAGE_PROMPT = f"""
+WITH {POSTS_PAGES}
+SELECT id AS post_id,
+  {_lit(DEFAULT_TRIAGE_HEAD)} || chr(10) || chr(10) || 'TWEET by @' || author_username || ' (' || author_name || '):' || chr(10)
+  || text || chr(10) || chr(10)
+  || CASE WHEN len(urls) > 0 THEN 'LINKS FOUND:' || chr(10) || array_to_string(list_transform(urls, lambda u, i: CAST(i AS VARCHAR) || '. ' || u), chr(10))
+          ELSE 'No links found.' END
+  || chr(10) || chr(10)
+  || CASE WHEN len(images) > 0 THEN 'IMAGES: ' || CAST(len(images) AS VARCHAR) || ' image(s) attached' ELSE '' END
+  || chr(10) || chr(10)
+  || CASE WHEN is_thread THEN 'NOTE: This appears to be part of a thread.' ELSE '' END
+  || chr(10) || chr(10) || {_lit(DEFAULT_TRIAGE_TAIL)} AS prompt
+FROM posts
+"""
+
+_SEP = _lit(fixed.PROMPT_SECTION_SEP)
+
+ENRICHED_PROMPT = f"""
+WITH {_CTX_ALL},
+art AS (SELECT post_id, string_agg('### ' || coalesce(nullif(title, ''), url) || chr(10) || content, {_SEP} ORDER BY pos) AS s FROM ctx_articles GROUP BY post_id),
+trn AS (SELECT post_id, string_agg('### ' || url || chr(10) || transcript, {_SEP} ORDER BY pos) AS s FROM ctx_transcripts GROUP BY post_id),
+img AS (SELECT post_id, string_agg('### Image ' || CAST(rn AS VARCHAR) || chr(10) || description, chr(10) || chr(10) ORDER BY pos) AS s
+        FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY pos) AS rn FROM ctx_images) GROUP BY post_id)
+SELECT l.id AS post_id,
+  concat_ws({_SEP},
+    {_lit(fixed.PROMPT_USER_CONTEXT + DEFAULT_USER_CONTEXT)},
+    {_lit(fixed.PROMPT_ORIGINAL + "**@")} || l.author_username || '** (' || l.author_name || ')' || chr(10) || chr(10) || l.text
+      || chr(10) || chr(10) || '_Content type identified: ' || l.content_type || '_' || chr(10) || '_Estimated value: ' || l.estimated_value || '_',
+    {_lit(fixed.PROMPT_ARTICLES)} || art.s,
+    {_lit(fixed.PROMPT_TRANSCRIPTS)} || trn.s,
+    {_lit(fixed.PROMPT_IMAGES)} || img.s,
+    {_lit(fixed.PROMPT_TASK + DEFAULT_TASK)}) AS prompt
+FROM live l LEFT JOIN art ON art.post_id = l.id LEFT JOIN trn ON trn.post_id = l.id LEFT JOIN img ON img.post_id = l.id
+"""
+
 ORACLE: dict[str, str] = {
+    "article_parse": ARTICLE_PARSE,
+    "enriched_articles": ENRICHED_ARTICLES,
+    "enriched_transcripts": ENRICHED_TRANSCRIPTS,
+    "enriched_images": ENRICHED_IMAGES,
+    "image_descriptions": IMAGE_DESCRIPTIONS,
+    "thread_expand": THREAD_EXPAND,
+    "video_info": VIDEO_INFO,
+    "triage_rules": TRIAGE_RULES,
+    "triage_skip": TRIAGE_SKIP,
+    "analysis_rules": ANALYSIS_RULES,
+    "analysis_valid": ANALYSIS_VALID,
+    "analysis_quarantine": ANALYSIS_QUARANTINE,
+    "analysis_flags": ANALYSIS_FLAGS,
+    "triage_prompt": TRIAGE_PROMPT,
+    "enriched_prompt": ENRICHED_PROMPT,
     "message_chunks": MESSAGE_CHUNKS,
     "url_classes": URL_CLASSES,
     "video_ids": VIDEO_IDS,

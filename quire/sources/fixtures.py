@@ -295,3 +295,46 @@ def raw_media_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     basic = F.array(item)
     extended = F.when(pid % 11 == 5, F.filter(F.array(item), lambda x: F.lit(False))).when(pid % 7 != 3, F.array(item))
     return p.select(F.col("page_id").cast("string").alias("post_id"), extended.alias("extended_media"), basic.alias("basic_media"))
+
+
+def conversation_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thread members with their validation result (conversation id, member
+    id, turn, text, valid)."""
+    from quire.operators.ingest import rejection_reason
+
+    raw = raw_posts_conversations(spark, sf_dir).withColumn("__v", F.try_parse_json("raw"))
+    conv = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    checked = raw.select(
+        "conv_id", "turn", "raw", rejection_reason(F.col("__v")).isNull().alias("valid")
+    ).join(conv, ["conv_id", "turn"])
+    return checked.select(
+        F.concat(F.col("conv_id").cast("string"), F.lit("-0")).alias("conversation_id"),
+        F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("member_id"),
+        "conv_id",
+        "turn",
+        "text",
+        "valid",
+        "raw",
+    )
+
+
+def conversation_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved posts from conversations: the newest turn of each conversation,
+    when it is a valid post."""
+    from quire.operators.ingest import ingest
+
+    members = conversation_members(spark, sf_dir)
+    last = members.groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    newest = members.join(last, ["conv_id", "turn"], "left_semi").select("raw")
+    posts, _ = ingest(newest)
+    return posts
+
+
+def image_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored image descriptions: the rule image model over every extracted
+    media item, validated and rendered."""
+    from quire.operators.inference import image_texts as render, rule_image_model
+    from quire.operators.ingest import extract_media
+
+    media = extract_media(raw_media_entities(spark, sf_dir)).select(F.explode("media").alias("m")).select("m.*")
+    return render(rule_image_model(media))
