@@ -106,3 +106,11 @@ def score_marks(score) -> Column:
 def utf16_length(c) -> Column:
     """Length in UTF-16 code units, as JavaScript counts `.length`."""
     return (F.octet_length(F.encode(_col(c), "UTF-16BE")) / 2).cast("bigint")
+
+
+def with_computed(df, expr: Column, name: str):
+    """`df` plus column `name` = `expr`, emitted through a one-element
+    generator.  Filters on `name` then stay above the generator, so a costly
+    `expr` (whole-text regex work) is evaluated once per row, after earlier
+    joins, instead of being copied into a filter pushed down to the scan."""
+    return df.select("*", F.explode(F.array(expr)).alias(name))

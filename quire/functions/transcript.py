@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
-from quire.functions.text import _col, js_trim, squeeze_space, utf16_length
+from quire.functions.text import _col, js_trim, squeeze_space, utf16_length, with_computed
 
 _HEADER_PREFIXES = ("WEBVTT", "Kind:", "Language:")
 
@@ -40,9 +40,7 @@ def clean_vtt(df: DataFrame, src: str, out: str) -> DataFrame:
         ),
         lambda l: l != "",
     )
-    return df.withColumn("__vtt_lines", lines).withColumn(
-        out, collapse_repeats_joined(F.col("__vtt_lines"))
-    ).drop("__vtt_lines")
+    return with_computed(df, collapse_repeats_joined(lines), out)
 
 
 def collapse_repeats_joined(lines: Column) -> Column:

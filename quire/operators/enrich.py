@@ -47,10 +47,10 @@ def parse_articles(pages: DataFrame) -> DataFrame:
     main = F.when(article != "", article).otherwise(body)
     content = T.js_trim(T.squeeze_space(F.regexp_replace(main, "<[^>]+>", " ")))
     title = T.js_trim(F.regexp_extract(html, r"(?s)<title[^>]*>(.*?)</title>", 1))
-    return pages.select(
+    return T.with_computed(pages, content, "content").select(
         "url",
         T.first_present(title, U.url_title("url")).alias("title"),
-        content.alias("content"),
+        "content",
         F.lit(None).cast("string").alias("excerpt"),
         U.site_name(F.lit(None).cast("string"), "url").alias("site_name"),
     )

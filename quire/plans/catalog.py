@@ -20,7 +20,7 @@ from quire.functions import urls as U
 from quire.functions.text import extract_handles
 from quire.functions.transcript import chunk_lines, clean_vtt
 from quire.functions.timefmt import iso
-from quire.operators import enrich, inference, ingest, ledger, stats
+from quire.operators import alerts, digest, enrich, inference, ingest, ledger, publish, stats
 from quire.sources import fixtures as fx
 from quire.sources.tables import read
 
@@ -438,3 +438,83 @@ def enriched_prompt(spark, sf_dir):
     posts, _, triage, arts, trs, imgs = _pipeline(spark, sf_dir)
     live = triage.where(F.col("triage.estimatedValue") != "skip")
     return inference.enriched_prompt(posts, live, arts, trs, imgs).withColumnRenamed("id", "post_id")
+
+
+# --- step 7: publish, digest, alerts -------------------------------------------------------
+
+
+def _publish_input(spark, sf_dir):
+    """Posts and their validated analyses with merged flags and context."""
+    posts, _, counts, _ = _analysis(spark, sf_dir)
+    ok, _ = inference.validate_analysis(_model_outputs(spark, sf_dir))
+    flags = inference.merge_flags(ok.select("id", "analysis"), counts)
+    return posts, ok.select("id", "analysis").join(flags, "id")
+
+
+@query
+def publish_rows(spark, sf_dir):
+    posts, analyses = _publish_input(spark, sf_dir)
+    at = stats.latest_time(fx.ledger_rows(spark, sf_dir))
+    rows = publish.publish_rows(posts, analyses, at)
+    return rows.withColumn("tags", F.array_join("tags", ","))
+
+
+@query
+def publish_dedup(spark, sf_dir):
+    posts, analyses = _publish_input(spark, sf_dir)
+    live = posts.join(analyses.select("id"), "id", "left_semi")
+    return publish.split_published(live, fx.published(spark, sf_dir)).select(
+        F.col("id").alias("post_id"), "already_published"
+    )
+
+
+@query
+def publish_backlog(spark, sf_dir):
+    cur = ledger.current(fx.ledger_versions(spark, sf_dir))
+    return publish.backlog(cur).select("post_id", "category", iso("processed_at").alias("processed_at"))
+
+
+@query
+def page_blocks(spark, sf_dir):
+    posts, analyses = _publish_input(spark, sf_dir)
+    return publish.page_blocks(posts, analyses)
+
+
+def _digest(spark, sf_dir):
+    inp = digest.digest_input(stats.week_slice(fx.ledger_rows(spark, sf_dir)))
+    d = digest.rule_digest(inp)
+    ok = d.where(inference.digest_reason(F.col("digest")).isNull())
+    return inp, ok.select(digest.render(F.col("digest")).alias("markdown"))
+
+
+@query
+def digest_markdown(spark, sf_dir):
+    return _digest(spark, sf_dir)[1]
+
+
+@query
+def digest_prompt(spark, sf_dir):
+    return digest.digest_prompt(_digest(spark, sf_dir)[0])
+
+
+@query
+def digest_outbox(spark, sf_dir):
+    return digest.outbox(_digest(spark, sf_dir)[1], "markdown", "Markdown")
+
+
+@query
+def error_alerts(spark, sf_dir):
+    return alerts.alerts(fx.errors(spark, sf_dir)).select("event_id", "code", "retryable", "alert_kind", "text")
+
+
+@query
+def run_metrics(spark, sf_dir):
+    """Counters of one poll over all posts: blocked by the ledger, claimed,
+    skipped by triage, analysed."""
+    posts = fx.posts_pages(spark, sf_dir)
+    cur = ledger.current(fx.ledger_versions(spark, sf_dir))
+    t = inference.rule_triage(posts, read(spark, sf_dir, "labels")).select(
+        "id", (F.col("triage.estimatedValue") == "skip").alias("triage_skip")
+    )
+    flags = ledger.blocked_flags(posts.select("id"), cur).join(t, "id")
+    return stats.run_counters(flags)

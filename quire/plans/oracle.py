@@ -797,7 +797,189 @@ SELECT l.id AS post_id,
 FROM live l LEFT JOIN art ON art.post_id = l.id LEFT JOIN trn ON trn.post_id = l.id LEFT JOIN img ON img.post_id = l.id
 """
 
+# --- step 7: publish, digest, alerts --------------------------------------------------------
+
+_PUB = f"""
+pub AS (
+  SELECT an.*, v.reason,
+    'Related to ' || array_to_string(tags, ', ') AS for_you0
+  FROM an JOIN validated v ON v.id = an.id
+  WHERE v.reason IS NULL
+),
+pub2 AS (
+  SELECT *, CASE WHEN len(tags) > 0 THEN for_you0 ELSE '' END AS for_you,
+         {trunc('flat', 600)} AS summary
+  FROM pub
+)"""
+
+PUBLISH_ROWS = f"""
+WITH {_CTX_ALL},{_ANALYSIS},{_VALIDATED},{_PUB},{LEDGER_ROWS}
+SELECT id AS post_id, sha256(id) AS page_id,
+  {trunc("coalesce(coalesce(nullif(topic, ''), nullif(tldr, '')), summary)", 50)} AS topic,
+  score,
+  CASE WHEN score >= 9 THEN '🔥🔥🔥' WHEN score >= 7 THEN '🔥🔥' WHEN score >= 4 THEN '🔥' ELSE '' END AS score_visual,
+  '@' || author_username AS author, category,
+  {trunc('for_you', 250)} AS for_you,
+  coalesce(nullif(priority, ''), 'someday') AS priority,
+  {trunc('top_action', 100)} AS top_action,
+  nullif(urls[1], '') AS primary_link,
+  n_articles > 0 AS has_article, n_transcripts > 0 AS has_video, false AS has_thread,
+  {trunc('tldr', 280)} AS tldr,
+  {trunc('summary', 2000)} AS summary,
+  array_to_string(list_slice(tags, 1, 7), ',') AS tags,
+  'https://x.com/' || author_username || '/status/' || id AS post_url,
+  {iso('created_at')} AS created_at,
+  {iso('(SELECT max(processed_at) FROM ledger_rows)')} AS processed_at
+FROM pub2
+"""
+
+PUBLISH_DEDUP = f"""
+WITH {_CTX_ALL},{_ANALYSIS},{_VALIDATED},{_PUB}
+SELECT id AS post_id, coalesce(quality = 1, false) AS already_published FROM pub
+"""
+
+PUBLISH_BACKLOG = f"""
+WITH {LEDGER_CURRENT}
+SELECT post_id, category, {iso('processed_at')} AS processed_at FROM ledger_current
+WHERE coalesce(status, 'completed') = 'completed' AND page_id IS NULL
+"""
+
+
+def _blk(kind: str, text: str = "NULL", url: str = "NULL", detail: str = "NULL") -> str:
+    return f"{{'type': '{kind}', 'text': CAST({text} AS VARCHAR), 'url': CAST({url} AS VARCHAR), 'detail': CAST({detail} AS VARCHAR)}}"
+
+
+_EMPTY_BLOCKS = "CAST([] AS STRUCT(type VARCHAR, text VARCHAR, url VARCHAR, detail VARCHAR)[])"
+
+
+def _opt_blk(cond: str, block: str) -> str:
+    return f"CASE WHEN {cond} THEN [{block}] ELSE {_EMPTY_BLOCKS} END"
+
+
+_SENTENCES = "list_filter(string_split(regexp_replace(flat, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)), lambda s: length(s) >= 20)"
+
+_LINK_ICON = (
+    "CASE WHEN nullif(regexp_extract(u, '" + _VID + "', 1), '') IS NOT NULL THEN '🎬' "
+    "WHEN regexp_matches(u, 'github\\.com') THEN '📦' ELSE '🔗' END"
+)
+
+PAGE_BLOCKS = f"""
+WITH {_CTX_ALL},{_ANALYSIS},{_VALIDATED},{_PUB},
+blocks AS (
+  SELECT id, list_concat(
+    [{_blk('paragraph', "CASE WHEN score >= 9 THEN '🔥🔥🔥' WHEN score >= 7 THEN '🔥🔥' WHEN score >= 4 THEN '🔥' ELSE '' END || ' ' || CAST(CAST(score AS BIGINT) AS VARCHAR) || '/10 • @' || author_username || ' • ' || category", "'https://x.com/' || author_username || '/status/' || id")},
+     {_blk('paragraph', trunc('flat', 600))}],
+    {_opt_blk("for_you0 IS NOT NULL AND len(tags) > 0", _blk('paragraph', "'💡 ' || for_you0"))},
+    [{_blk('divider')}, {_blk('quote', trunc('text', 2000))}],
+    list_transform(list_slice(images, 1, 4), lambda u: {_blk('image', url='u')}),
+    {_opt_blk("nullif(urls[1], '') IS NOT NULL", _blk('paragraph', "'🔗 ' || urls[1]", 'urls[1]'))},
+    list_transform(list_slice({_SENTENCES}, 1, 5), lambda s: {_blk('bulleted_list_item', 's')}),
+    list_transform(list_slice(urls, 1, 5), lambda u: {_blk('bulleted_list_item', _LINK_ICON + " || ' ' || " + url_title('u'), 'u')}),
+    {_opt_blk("nullif(first_transcript, '') IS NOT NULL", _blk('toggle', "'🎬 Transcript'", detail=trunc('first_transcript', 2000)))},
+    {_opt_blk("nullif(first_article, '') IS NOT NULL", _blk('toggle', "'📄 Article'", detail=trunc('first_article', 2000)))}
+  ) AS bl
+  FROM pub
+)
+SELECT id AS post_id, CAST(b.pos - 1 AS BIGINT) AS block_no, b.blk.type AS block_type, b.blk.text AS text,
+       b.blk.url AS url, b.blk.detail AS detail
+FROM blocks, unnest(blocks.bl) WITH ORDINALITY AS b(blk, pos)
+"""
+
+_DIGEST = f"""
+dcats AS (SELECT category, count(*) AS n FROM week GROUP BY category),
+dtot AS (SELECT sum(n) AS total, count(*) AS ncat FROM dcats),
+digest AS (
+  SELECT
+    '# 📚 Weekly Bookmark Digest' || chr(10) || chr(10)
+    || printf('%d posts saved this week across %d categories.', (SELECT total FROM dtot), (SELECT ncat FROM dtot))
+    || coalesce(chr(10) || chr(10) || '## 🎯 Top Picks This Week' || chr(10)
+         || (SELECT string_agg('- **' || summary || '**' || chr(10) || '  _high score in ' || category || '_', chr(10) ORDER BY rank)
+             FROM highlights WHERE rank <= 3), '')
+    || chr(10) || chr(10) || '## 📊 Patterns Noticed' || chr(10)
+    || (SELECT string_agg('- ' || category || ': ' || CAST(n AS VARCHAR) || ' posts', chr(10) ORDER BY n DESC, category)
+        FROM (SELECT * FROM dcats ORDER BY n DESC, category LIMIT 3))
+    || coalesce(chr(10) || chr(10) || '## 💡 Recommendations' || chr(10)
+         || (SELECT string_agg('- Revisit: ' || summary, chr(10) ORDER BY rank) FROM highlights), '') AS markdown
+  WHERE (SELECT total FROM dtot) > 0
+)"""
+
+DIGEST_MARKDOWN = f"""
+WITH {WEEK},{_HIGHLIGHTS},{_DIGEST}
+SELECT markdown FROM digest
+"""
+
+DIGEST_PROMPT = f"""
+WITH {WEEK},{_HIGHLIGHTS},
+dcats AS (SELECT category, count(*) AS n FROM week GROUP BY category)
+SELECT 'Generate a weekly digest for saved posts.' || chr(10) || chr(10) || 'STATS:' || chr(10) || '- Total processed: '
+  || CAST((SELECT sum(n) FROM dcats) AS VARCHAR) || chr(10) || '- By category: '
+  || (SELECT '{{' || string_agg('"' || category || '":' || CAST(n AS VARCHAR), ',' ORDER BY category) || '}}' FROM dcats)
+  || chr(10) || chr(10) || 'TOP HIGHLIGHTS:' || chr(10)
+  || coalesce((SELECT string_agg('- [' || category || '] ' || summary, chr(10) ORDER BY rank) FROM highlights), '') AS prompt
+WHERE (SELECT count(*) FROM week) > 0
+"""
+
+DIGEST_OUTBOX = f"""
+WITH {WEEK},{_HIGHLIGHTS},{_DIGEST},
+pieces AS (SELECT {chunk_fold('markdown', fixed.DIGEST_CHUNK)} AS p FROM digest)
+SELECT CAST(c.pos - 1 AS BIGINT) AS seq, left(c.piece, 4096) AS text, 'Markdown' AS parse_mode
+FROM pieces, unnest(pieces.p) WITH ORDINALITY AS c(piece, pos)
+"""
+
+_ICON = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.ERROR_ICONS.items())
+
+ERROR_ALERTS = f"""
+WITH {LEDGER_BASE},
+e AS (
+  SELECT event_id, user_id % 5 <> 0 AS auth_valid,
+    CASE WHEN k % 4 = 0 THEN 'rate limit exceeded 429' WHEN k % 4 = 1 THEN 'connect ETIMEDOUT <proxy & dns>'
+         WHEN k % 4 = 2 THEN 'unknown command "bookmarks"' ELSE 'HTTP 429 from upstream' END AS raw
+  FROM ledger_base WHERE event_type = 'error'
+),
+c AS (
+  SELECT *,
+    CASE WHEN contains(raw, 'rate limit') OR contains(raw, '429') THEN 'RATE_LIMIT'
+         WHEN contains(raw, 'unknown command') THEN 'UNKNOWN' ELSE 'NETWORK' END AS code
+  FROM e
+),
+m AS (
+  SELECT *, code <> 'UNKNOWN' AS retryable,
+    CASE code WHEN 'RATE_LIMIT' THEN {_lit(fixed.ERROR_RATE_LIMIT)} WHEN 'UNKNOWN' THEN {_lit(fixed.ERROR_UNKNOWN_COMMAND)}
+         ELSE {_lit(fixed.ERROR_NETWORK_PREFIX)} || raw END AS message
+  FROM c
+)
+SELECT event_id, code, retryable,
+  CASE WHEN code IN ('NETWORK', 'UNKNOWN') AND NOT auth_valid THEN 'auth_expired' ELSE 'error' END AS alert_kind,
+  left(CASE WHEN code IN ('NETWORK', 'UNKNOWN') AND NOT auth_valid THEN {_lit(fixed.ALERT_AUTH)}
+       ELSE (CASE code {_ICON} ELSE '{fixed.ERROR_ICON_DEFAULT}' END) || ' <b>Curation Error</b>' || chr(10) || chr(10)
+            || '<b>Type:</b> ' || code || chr(10) || '<b>Message:</b> '
+            || replace(replace(replace(message, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || chr(10)
+            || '<b>Status:</b> ' || CASE WHEN retryable THEN '(will retry)' ELSE '(manual action needed)' END END, 4096) AS text
+FROM m
+"""
+
+RUN_METRICS = f"""
+WITH {LEDGER_CURRENT},{_BLOCKED},{POSTS_PAGES},{_TRIAGE},
+f AS (
+  SELECT t.id, EXISTS (SELECT 1 FROM blocked b WHERE b.post_id = t.id) AS blocked, t.estimated_value = 'skip' AS triage_skip
+  FROM tri t
+)
+SELECT count(*) AS fetched, count(*) FILTER (WHERE blocked) AS skipped, count(*) FILTER (WHERE NOT blocked) AS claimed,
+       count(*) FILTER (WHERE NOT blocked AND triage_skip) AS triage_skipped,
+       count(*) FILTER (WHERE NOT blocked AND NOT triage_skip) AS analysed
+FROM f
+"""
+
 ORACLE: dict[str, str] = {
+    "publish_rows": PUBLISH_ROWS,
+    "publish_dedup": PUBLISH_DEDUP,
+    "publish_backlog": PUBLISH_BACKLOG,
+    "page_blocks": PAGE_BLOCKS,
+    "digest_markdown": DIGEST_MARKDOWN,
+    "digest_prompt": DIGEST_PROMPT,
+    "digest_outbox": DIGEST_OUTBOX,
+    "error_alerts": ERROR_ALERTS,
+    "run_metrics": RUN_METRICS,
     "article_parse": ARTICLE_PARSE,
     "enriched_articles": ENRICHED_ARTICLES,
     "enriched_transcripts": ENRICHED_TRANSCRIPTS,
