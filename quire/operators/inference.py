@@ -260,9 +260,8 @@ def analysis_reason(a: Column) -> Column:
 def _parsed(outputs: DataFrame, json_col: str, name: str, schema: str) -> DataFrame:
     """Parse model output JSON; text that is not JSON gives a NULL struct
     (from_json alone would give a struct of NULL fields)."""
-    return outputs.withColumn(
-        name, F.when(F.try_parse_json(F.col(json_col)).isNotNull(), F.from_json(json_col, schema))
-    )
+    parsed = F.when(F.try_parse_json(F.col(json_col)).isNotNull(), F.from_json(json_col, schema))
+    return T.with_computed(outputs, parsed, name)
 
 
 def validate_analysis(outputs: DataFrame, json_col: str = "output") -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
-from quire.functions.text import extract_urls
+from quire.functions.text import extract_urls, with_computed
 from quire.functions.timefmt import iso, parse_source_time
 from quire.functions.urls import status_id
 
@@ -97,7 +97,7 @@ def split_valid(raw_df: DataFrame, raw_col: str = "raw") -> tuple[DataFrame, Dat
     """(valid rows parsed to the raw post struct, quarantine with reason)."""
     # The parsed value is its own column so every field test reads it
     # instead of parsing the text again.
-    parsed = raw_df.withColumn("__v", F.try_parse_json(F.col(raw_col)))
+    parsed = with_computed(raw_df, F.try_parse_json(F.col(raw_col)), "__v")
     checked = parsed.withColumn("reason", rejection_reason(F.col("__v")))
     quarantine = checked.where(F.col("reason").isNotNull()).drop("__v")
     valid = (

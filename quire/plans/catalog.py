@@ -22,6 +22,7 @@ from quire.functions.transcript import chunk_lines, clean_vtt
 from quire.functions.timefmt import iso
 from quire.operators import alerts, digest, enrich, inference, ingest, ledger, publish, stats
 from quire.sources import fixtures as fx
+from quire.streaming import jobs as S
 from quire.sources.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,11 +386,12 @@ def analysis_rules(spark, sf_dir):
     )
 
 
-def _model_outputs(spark, sf_dir):
+def _model_outputs(spark, sf_dir, a=None):
     """Analysis JSON as a model would return it, with faults on a rule:
     unknown category when page_id % 10 = 4, score 0 when % 10 = 6, cut-off
     JSON when % 25 = 9."""
-    _, _, _, a = _analysis(spark, sf_dir)
+    if a is None:
+        _, _, _, a = _analysis(spark, sf_dir)
     pid = F.col("id").cast("bigint")
     good = F.to_json("analysis")
     bad_cat = F.to_json(F.col("analysis").withField("category", F.lit("misc")))
@@ -400,7 +402,7 @@ def _model_outputs(spark, sf_dir):
         .when(pid % 10 == 6, bad_score)
         .otherwise(good)
     )
-    return a.select("id", out.alias("output"))
+    return T.with_computed(a, out, "output").select("id", "output")
 
 
 @query
@@ -445,8 +447,8 @@ def enriched_prompt(spark, sf_dir):
 
 def _publish_input(spark, sf_dir):
     """Posts and their validated analyses with merged flags and context."""
-    posts, _, counts, _ = _analysis(spark, sf_dir)
-    ok, _ = inference.validate_analysis(_model_outputs(spark, sf_dir))
+    posts, _, counts, a = _analysis(spark, sf_dir)
+    ok, _ = inference.validate_analysis(_model_outputs(spark, sf_dir, a))
     flags = inference.merge_flags(ok.select("id", "analysis"), counts)
     return posts, ok.select("id", "analysis").join(flags, "id")
 
@@ -518,3 +520,39 @@ def run_metrics(spark, sf_dir):
     )
     flags = ledger.blocked_flags(posts.select("id"), cur).join(t, "id")
     return stats.run_counters(flags)
+
+
+# --- step 8: streaming ----------------------------------------------------------------------
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    """Events streamed through the file source into a parquet ledger."""
+    path = S.scratch(spark, "ledger")
+    events = S.read_stream(spark, f"{sf_dir}/events.parquet", S.EVENT_SCHEMA, max_files=1)
+    S.ingest_to_ledger(fx.ledger_rows_of(events), path, path + "-ckpt")
+    out = spark.read.parquet(path)
+    return out.select("post_id", iso("processed_at").alias("processed_at"), "category", "status", "version")
+
+
+@query
+def stream_new_posts(spark, sf_dir):
+    """Pages streamed in as posts and claimed against the ledger; the
+    result is the set of posts claimed by the stream."""
+    path = S.scratch(spark, "claims")
+    seed = fx.ledger_versions(spark, sf_dir).withColumn("batch_id", F.lit(-1))
+    seed.write.partitionBy("batch_id").parquet(path)
+    pages = S.read_stream(spark, f"{sf_dir}/pages.parquet", "page_id BIGINT, url STRING, html STRING", max_files=1)
+    S.claim_stream(spark, fx.posts_pages(spark, sf_dir, pages), path, path + "-ckpt")
+    out = spark.read.parquet(path).where(F.col("batch_id") >= 0)
+    return out.select("post_id", "status", "category")
+
+
+@query
+def stream_weekly(spark, sf_dir):
+    """7-day windows by category computed by a stateful streaming aggregate."""
+    path = S.scratch(spark, "weekly")
+    events = S.read_stream(spark, f"{sf_dir}/events.parquet", S.EVENT_SCHEMA, max_files=1)
+    S.weekly_windows(fx.ledger_rows_of(events), path, path + "-ckpt")
+    w = S.latest_windows(spark, path)
+    return w.select(iso("window_start").alias("window_start"), iso("window_end").alias("window_end"), "category", "n")

@@ -970,7 +970,33 @@ SELECT count(*) AS fetched, count(*) FILTER (WHERE blocked) AS skipped, count(*)
 FROM f
 """
 
+# --- step 8: streaming -------------------------------------------------------------------------
+
+STREAM_INGEST = f"""
+WITH {LEDGER_ROWS}
+SELECT post_id, {iso('processed_at')} AS processed_at, category, status, version FROM ledger_rows
+"""
+
+STREAM_NEW_POSTS = f"""
+WITH {LEDGER_CURRENT},{_BLOCKED},{POSTS_PAGES}
+SELECT id AS post_id, 'processing' AS status, 'review' AS category FROM posts_pages p
+WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.post_id = p.id)
+"""
+
+STREAM_WEEKLY = f"""
+WITH {LEDGER_ROWS},
+w AS (
+  SELECT time_bucket(INTERVAL 7 DAY, processed_at, TIMESTAMP '1970-01-01 00:00:00') AS ws, category
+  FROM ledger_rows
+)
+SELECT {iso('ws')} AS window_start, {iso('ws + INTERVAL 7 DAY')} AS window_end, category, count(*) AS n
+FROM w GROUP BY ws, category
+"""
+
 ORACLE: dict[str, str] = {
+    "stream_ingest": STREAM_INGEST,
+    "stream_new_posts": STREAM_NEW_POSTS,
+    "stream_weekly": STREAM_WEEKLY,
     "publish_rows": PUBLISH_ROWS,
     "publish_dedup": PUBLISH_DEDUP,
     "publish_backlog": PUBLISH_BACKLOG,

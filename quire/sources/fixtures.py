@@ -55,13 +55,21 @@ def _raw_data() -> F.Column:
 
 
 def _ledger_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
-    return ev.withColumn("k", _k())
+    return _with_k(read(spark, sf_dir, "events"))
+
+
+def _with_k(ev: DataFrame) -> DataFrame:
+    return ev.select("event_id", "ts", "user_id", "event_type", "props").withColumn("k", _k())
 
 
 def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ledger row per event (post id = event id)."""
-    return _ledger_base(spark, sf_dir).select(
+    return ledger_rows_of(read(spark, sf_dir, "events"))
+
+
+def ledger_rows_of(events: DataFrame) -> DataFrame:
+    """Ledger rows from an events DataFrame (batch or streaming)."""
+    return _with_k(events).select(
         F.col("event_id").cast("string").alias("post_id"),
         F.col("ts").cast("timestamp").alias("processed_at"),
         F.col("event_type").alias("category"),
@@ -89,10 +97,11 @@ def ledger_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- posts ----------------------------------------------------------------------
 
 
-def _page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+def _page_docs(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
+    if pages is None:
+        pages = read(spark, sf_dir, "pages")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return pages.join(docs, pages.page_id == docs.doc_id)
+    return pages.select("page_id", "url").join(docs, F.col("page_id") == F.col("doc_id"))
 
 
 def _page_media(page_id: F.Column) -> F.Column:
@@ -112,8 +121,8 @@ def _page_media(page_id: F.Column) -> F.Column:
     return F.when(page_id % 3 == 1, F.array(photo)).when(page_id % 3 == 2, F.array(video))
 
 
-def _page_post_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pd = _page_docs(spark, sf_dir)
+def _page_post_struct(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
+    pd = _page_docs(spark, sf_dir, pages)
     video = F.when(
         F.col("lang") == "de", F.concat(F.lit(" " + WATCH_PREFIX), F.substring(F.md5("url"), 1, 11))
     ).otherwise(F.lit(""))
@@ -131,10 +140,11 @@ def _page_post_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def posts_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def posts_pages(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
     """Posts made from pages joined with documents: the page URL (and, for
-    German documents, a video link) is appended to the document text."""
-    return normalize_posts(_page_post_struct(spark, sf_dir))
+    German documents, a video link) is appended to the document text.
+    `pages` may be a stream of page rows (stream-static join)."""
+    return normalize_posts(_page_post_struct(spark, sf_dir, pages))
 
 
 def raw_posts_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
