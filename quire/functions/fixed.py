@@ -13,6 +13,14 @@ JS_SPACE = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
 
+# The same set as code points, for character-set trimming.
+JS_SPACE_CODEPOINTS = [
+    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680,
+    0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A,
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF,
+]
+JS_SPACE_CHARS = "".join(chr(c) for c in JS_SPACE_CODEPOINTS)
+
 # --- fixed values: URL and handle patterns ------------------------------------
 URL_PATTERN = r"https?://[^" + JS_SPACE + r"]+"
 HANDLE_PATTERN = r"@(\w+)"

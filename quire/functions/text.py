@@ -14,9 +14,15 @@ def _col(c) -> Column:
 
 
 def js_trim(c) -> Column:
-    """`String.prototype.trim`: strip the JavaScript whitespace class."""
-    cls = fixed.JS_SPACE
-    return F.regexp_replace(_col(c), rf"^[{cls}]+|[{cls}]+$", "")
+    """`String.prototype.trim`: strip the JavaScript whitespace set from both
+    ends (character-set trim, no regex)."""
+    return F.btrim(_col(c), F.lit(fixed.JS_SPACE_CHARS))
+
+
+def non_blank(c) -> Column:
+    """True when the text has a character outside the JavaScript whitespace
+    set (`s.trim() !== ''` without building the trimmed string)."""
+    return _col(c).rlike(f"[^{fixed.JS_SPACE}]")
 
 
 def squeeze_space(c) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
-from quire.functions.text import _col, js_trim, squeeze_space, utf16_length, with_computed
+from quire.functions.text import _col, js_trim, non_blank, squeeze_space, utf16_length, with_computed
 
 _HEADER_PREFIXES = ("WEBVTT", "Kind:", "Language:")
 
@@ -21,7 +21,7 @@ def _is_caption_text(line: Column) -> Column:
         is_header = is_header | line.startswith(prefix)
     is_cue_time = line.rlike(r"^\d{2}:\d{2}")
     is_numeric = line.rlike(rf"^[\d:.,{fixed.JS_SPACE}-]+$")
-    return ~is_header & ~is_cue_time & ~is_numeric & (js_trim(line) != "")
+    return ~is_header & ~is_cue_time & ~is_numeric & non_blank(line)
 
 
 def clean_vtt(df: DataFrame, src: str, out: str) -> DataFrame:
@@ -40,7 +40,9 @@ def clean_vtt(df: DataFrame, src: str, out: str) -> DataFrame:
         ),
         lambda l: l != "",
     )
-    return with_computed(df, collapse_repeats_joined(lines), out)
+    # `lines` is its own column: the pairing below reads it twice.
+    staged = with_computed(df, lines, "__vtt_lines")
+    return with_computed(staged, collapse_repeats_joined(F.col("__vtt_lines")), out).drop("__vtt_lines")
 
 
 def collapse_repeats_joined(lines: Column) -> Column:

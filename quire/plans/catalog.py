@@ -280,11 +280,12 @@ def html_escape(spark, sf_dir):
 # --- step 5: enrichment -------------------------------------------------------------
 
 
-def _pipeline(spark, sf_dir):
-    """Posts, rule triage and the three fetched context tables."""
-    posts = fx.posts_pages(spark, sf_dir)
+def _context_tables(spark, sf_dir):
+    """Posts, rule triage and the three fetched context tables.  Posts and
+    triage feed every later branch, so they are staged once."""
+    posts = session.stage(fx.posts_pages(spark, sf_dir))
     labels = read(spark, sf_dir, "labels")
-    triage = inference.rule_triage(posts, labels)
+    triage = session.stage(inference.rule_triage(posts, labels))
     arts = enrich.fetch_articles(enrich.wanted_from_triage(triage, "needsArticleScrape"), read(spark, sf_dir, "pages"))
     wanted_v = enrich.wanted_from_triage(triage, "needsYoutubeTranscript").withColumn("video_id", U.video_id("url"))
     trs = enrich.fetch_transcripts(wanted_v, fx.transcripts(spark, sf_dir))
@@ -301,20 +302,20 @@ def article_parse(spark, sf_dir):
 
 @query
 def enriched_articles(spark, sf_dir):
-    _, _, _, arts, _, _ = _pipeline(spark, sf_dir)
+    _, _, _, arts, _, _ = _context_tables(spark, sf_dir)
     return arts.select("post_id", F.col("pos").cast("bigint").alias("pos"), "url", "title", "content",
                        F.col("content_len").cast("bigint").alias("content_len"))
 
 
 @query
 def enriched_transcripts(spark, sf_dir):
-    _, _, _, _, trs, _ = _pipeline(spark, sf_dir)
+    _, _, _, _, trs, _ = _context_tables(spark, sf_dir)
     return trs.select("post_id", F.col("pos").cast("bigint").alias("pos"), "url", "video_id", "transcript")
 
 
 @query
 def enriched_images(spark, sf_dir):
-    _, _, _, _, _, imgs = _pipeline(spark, sf_dir)
+    _, _, _, _, _, imgs = _context_tables(spark, sf_dir)
     return imgs.select("post_id", F.col("pos").cast("bigint").alias("pos"), "url", "description")
 
 
@@ -363,9 +364,9 @@ def triage_skip(spark, sf_dir):
 
 
 def _analysis(spark, sf_dir):
-    posts, labels, triage, arts, trs, imgs = _pipeline(spark, sf_dir)
-    counts = enrich.context_summary(arts, trs, imgs)
-    return posts, triage, counts, inference.rule_analysis(posts, triage, counts, labels)
+    posts, labels, triage, arts, trs, imgs = _context_tables(spark, sf_dir)
+    counts = session.stage(enrich.context_summary(arts, trs, imgs))
+    return posts, triage, counts, session.stage(inference.rule_analysis(posts, triage, counts, labels))
 
 
 @query
@@ -437,7 +438,7 @@ def triage_prompt(spark, sf_dir):
 
 @query
 def enriched_prompt(spark, sf_dir):
-    posts, _, triage, arts, trs, imgs = _pipeline(spark, sf_dir)
+    posts, _, triage, arts, trs, imgs = _context_tables(spark, sf_dir)
     live = triage.where(F.col("triage.estimatedValue") != "skip")
     return inference.enriched_prompt(posts, live, arts, trs, imgs).withColumnRenamed("id", "post_id")
 

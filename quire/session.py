@@ -63,3 +63,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(root)
     path = os.path.join(root, name) if "://" not in root else f"{root.rstrip('/')}/{name}"
     return path
+
+
+def stage(df):
+    """Materialise `df` once on the shared checkpoint folder and continue
+    from the stored rows (`checkpoint()`, never a local checkpoint).  Used
+    where one intermediate feeds several branches of a plan: the branches
+    read the stored rows instead of recomputing the whole lineage, and a lost
+    executor does not force recomputation from the sources."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        root = shared_dir(spark, "rdd")
+        sc.setCheckpointDir(root)
+    return df.checkpoint(eager=True)
