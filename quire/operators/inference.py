@@ -469,3 +469,30 @@ def enriched_prompt(
         F.lit(fixed.PROMPT_TASK + task),
     )
     return df.select("id", F.array_join(F.filter(sections, lambda x: x.isNotNull()), sep).alias("prompt"))
+
+
+def legacy_context(posts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Context from optional per-post columns (`article_content`,
+    `youtube_transcript`, `image_descriptions`) and a default triage, for
+    callers that fetched context themselves: one-element lists when a text
+    is non-empty, thread members from `thread` if present.
+    Returns (triage, articles, transcripts, images) long tables."""
+    default = F.struct(
+        F.array().cast("array<struct<url:string,reason:string,priority:string>>").alias("needsArticleScrape"),
+        F.array().cast("array<struct<url:string,reason:string>>").alias("needsYoutubeTranscript"),
+        F.array().cast("array<struct<url:string,expectedContent:string>>").alias("needsImageAnalysis"),
+        F.lit(False).alias("needsThreadExpansion"),
+        F.lit("tweet").alias("contentType"),
+        F.lit("medium").alias("estimatedValue"),
+        F.lit(None).cast("string").alias("skipReason"),
+    )
+    triage = posts.select("id", default.alias("triage"))
+    arts = posts.where(T.blank_to_null("article_content").isNotNull()).select(
+        F.col("id").alias("post_id"), F.lit(0).alias("pos"), F.lit("").alias("url"),
+        F.lit(None).cast("string").alias("title"), F.col("article_content").alias("content"),
+    )
+    trs = posts.where(T.blank_to_null("youtube_transcript").isNotNull()).select(
+        F.col("id").alias("post_id"), F.lit(0).alias("pos"), F.lit("").alias("url"), F.col("youtube_transcript").alias("transcript"),
+    )
+    imgs = posts.select(F.col("id").alias("post_id"), F.posexplode(F.coalesce("image_descriptions", F.array().cast("array<string>"))).alias("pos", "description")).withColumn("url", F.lit(""))
+    return triage, arts, trs, imgs

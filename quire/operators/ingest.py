@@ -235,3 +235,9 @@ def rows_with_positions(df: DataFrame, key: str, arr: str, pos: str, val: str) -
 
 def iso_created(posts: DataFrame) -> DataFrame:
     return posts.withColumn("created_at", iso("created_at"))
+
+
+def post_text(article_text: Column, note_text: Column, full_text: Column) -> Column:
+    """Post text: long-form article text, else long-note text, else the
+    plain text (first one present; empty strings count as present)."""
+    return F.coalesce(article_text, note_text, full_text)
