@@ -496,3 +496,29 @@ def legacy_context(posts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
     )
     imgs = posts.select(F.col("id").alias("post_id"), F.posexplode(F.coalesce("image_descriptions", F.array().cast("array<string>"))).alias("pos", "description")).withColumn("url", F.lit(""))
     return triage, arts, trs, imgs
+
+
+def prompt_stub_model(batch: pd.DataFrame) -> pd.DataFrame:
+    """A stand-in triage model for the pandas adapter: reads only the prompt
+    text (links listed, images attached, thread note) and answers with the
+    triage JSON a model would return.  Swap in a real client with the same
+    signature."""
+    import json
+
+    def answer(prompt: str) -> str:
+        has_links = "LINKS FOUND:" in prompt
+        has_images = "image(s) attached" in prompt
+        thread = "part of a thread" in prompt
+        ctype = "thread" if thread else "article_share" if has_links else "image_post" if has_images else "tweet"
+        return json.dumps(
+            {
+                "needsArticleScrape": [],
+                "needsYoutubeTranscript": [],
+                "needsImageAnalysis": [],
+                "needsThreadExpansion": thread,
+                "contentType": ctype,
+                "estimatedValue": "high" if has_links else "medium",
+            }
+        )
+
+    return pd.DataFrame({"id": batch["id"], "output": [answer(p) for p in batch["prompt"]]})

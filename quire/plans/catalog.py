@@ -557,3 +557,16 @@ def stream_weekly(spark, sf_dir):
     S.weekly_windows(fx.ledger_rows_of(events), path, path + "-ckpt")
     w = S.latest_windows(spark, path)
     return w.select(iso("window_start").alias("window_start"), iso("window_end").alias("window_end"), "category", "n")
+
+
+@query
+def triage_model(spark, sf_dir):
+    """Triage prompts sent through the pandas model adapter (Arrow batches
+    via mapInPandas), answers validated.  Rows-only check: model output."""
+    prompts = inference.triage_prompt(fx.posts_pages(spark, sf_dir))
+    answers = inference.run_model(prompts, inference.prompt_stub_model, "id string, output string")
+    ok, bad = inference.validate_triage(answers)
+    return ok.select(
+        F.col("id").alias("post_id"), F.col("triage.contentType").alias("content_type"),
+        F.col("triage.estimatedValue").alias("estimated_value"),
+    )
