@@ -154,6 +154,13 @@ def read_bookmarks(spark, path: str) -> DataFrame:
     return files.select(F.explode(elems).alias("v")).select(F.to_json(F.col("v")).alias("raw"))
 
 
+def read_bookmark_lines(spark, path: str) -> DataFrame:
+    """Bookmark files with one JSON post per line: split across tasks by
+    file blocks, so a large backfill is read in parallel (the array form
+    above reads each file in one task)."""
+    return spark.read.text(path).where(F.length("value") > 0).select(F.col("value").alias("raw"))
+
+
 # --- media extraction from the source's raw entities ---------------------------
 
 

@@ -49,18 +49,22 @@ def local_session(cores: int | str = "*", app: str = "quire") -> SparkSession:
     return spark
 
 
+_LOCAL_ROOT: str | None = None
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A folder under the cluster's shared checkpoint directory.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    is.  Only when it is unset (local tests) do we create one under /tmp and
-    record it in the session, so later callers reuse the same root.
+    is.  Only when it is unset (local tests) is one folder created under /tmp
+    for this process and reused by later callers.
     """
+    global _LOCAL_ROOT
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="quire-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        if _LOCAL_ROOT is None:
+            _LOCAL_ROOT = tempfile.mkdtemp(prefix="quire-ckpt-")
+        root = _LOCAL_ROOT
     path = os.path.join(root, name) if "://" not in root else f"{root.rstrip('/')}/{name}"
     return path
 
@@ -72,8 +76,10 @@ def stage(df):
     read the stored rows instead of recomputing the whole lineage, and a lost
     executor does not force recomputation from the sources."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        root = shared_dir(spark, "rdd")
-        sc.setCheckpointDir(root)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote sessions manage the folder themselves
+        sc = None
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(spark, "rdd"))
     return df.checkpoint(eager=True)

@@ -75,3 +75,9 @@ def test_thread_expand_excludes_self_and_bad_threads(spark):
                                       "id string, conversation_id string, is_thread boolean")
     got = [(r["post_id"], r["member_id"]) for r in enrich.expand_threads(bookmarks, members).collect()]
     assert got == [("thread-1", "thread-2")]
+
+
+def test_bookmark_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps(post(i)) for i in range(5)) + "\n")
+    posts, q = ingest.ingest(ingest.read_bookmark_lines(spark, str(tmp_path)))
+    assert posts.count() == 5 and q.count() == 0
