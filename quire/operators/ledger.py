@@ -5,9 +5,10 @@ a new version and readers take the latest version per key.  That replaces the
 source's `INSERT OR REPLACE` / `UPDATE` (parquet has no row-level update)
 and makes every write an idempotent append.
 
-Latest-by-key is `max(struct(version, ...))` per key: a hash aggregate with
-map-side partial aggregation, so a key that holds a third of all versions is
-reduced to one row per task before the shuffle.
+Latest-by-key is `max(struct(version, ...))` per key: a partial + final
+aggregate (sort-based, since the kept row carries strings), so a key that
+holds a third of all versions is reduced to one row per task before the
+shuffle and no task ever holds a key's versions together.
 """
 
 from __future__ import annotations
@@ -58,6 +59,18 @@ def current(versions: DataFrame) -> DataFrame:
     return latest.select("post_id", F.col("v.version").alias("version"), *[F.col(f"v.{c}").alias(c) for c in PAYLOAD])
 
 
+def current_for(versions: DataFrame, posts: DataFrame, id_col: str = "id") -> DataFrame:
+    """Latest version of only the keys present in `posts`.
+
+    A poll touches a small batch of ids while the ledger holds all history:
+    the versions are first semi-joined with the batch's distinct ids (Spark
+    broadcasts that side when its measured size allows), so the per-key
+    aggregation and its shuffle cover the batch's keys, not the whole ledger.
+    """
+    keys = posts.select(F.col(id_col).alias("post_id")).distinct()
+    return current(versions.join(keys, "post_id", "left_semi"))
+
+
 def compact(spark: SparkSession, versions: DataFrame, path: str) -> DataFrame:
     """Write the latest versions to a new folder and read them back (cuts the
     lineage on shared storage; the old folder stays until the caller swaps)."""

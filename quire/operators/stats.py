@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
+from quire.functions.text import with_computed
 from quire.functions.timefmt import iso
 
 
@@ -50,9 +51,15 @@ def by_category(rows: DataFrame) -> DataFrame:
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _parsed(rows: DataFrame, *cols: str) -> DataFrame:
+    """rows + parsed analysis `a`, parsed once per row (filters inferred from
+    later generators or predicates stay above the parse)."""
+    return with_computed(rows.select(*cols, "raw_data"), parse_analysis(F.col("raw_data")), "a").drop("raw_data")
+
+
 def _tag_rows(rows: DataFrame) -> DataFrame:
-    parsed = rows.select("post_id", "processed_at", parse_analysis(F.col("raw_data"))["tags"].alias("tags"))
-    return parsed.select("post_id", "processed_at", F.posexplode("tags").alias("pos", "tag"))
+    parsed = _parsed(rows, "post_id", "processed_at")
+    return parsed.select("post_id", "processed_at", F.posexplode("a.tags").alias("pos", "tag"))
 
 
 def top_tags(rows: DataFrame, k: int = fixed.TOP_TAGS) -> DataFrame:
@@ -71,9 +78,8 @@ def top_tags(rows: DataFrame, k: int = fixed.TOP_TAGS) -> DataFrame:
 
 def highlights(rows: DataFrame, k: int = fixed.TOP_HIGHLIGHTS) -> DataFrame:
     """The k newest rows whose score is at least 8 (not the k best)."""
-    a = parse_analysis(F.col("raw_data"))
-    scored = rows.select(
-        "post_id", "processed_at", "category", a["score"].alias("score"), a["summary"].alias("summary")
+    scored = _parsed(rows, "post_id", "processed_at", "category").select(
+        "post_id", "processed_at", "category", F.col("a.score").alias("score"), F.col("a.summary").alias("summary")
     ).where(F.col("score") >= fixed.HIGHLIGHT_SCORE)
     order = [F.col("processed_at").desc(), F.col("post_id").desc()]
     top = scored.orderBy(*order).limit(k)

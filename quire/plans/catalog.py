@@ -107,8 +107,11 @@ def ledger_release(spark, sf_dir):
 
 @query
 def new_posts(spark, sf_dir):
-    cur = ledger.current(fx.ledger_versions(spark, sf_dir))
-    return ledger.new_posts(fx.posts_pages(spark, sf_dir), cur).select("id", "author_username")
+    """Posts of the batch not blocked by the ledger; only the batch's keys
+    are aggregated (semi-join before latest-by-key)."""
+    posts = fx.posts_pages(spark, sf_dir)
+    cur = ledger.current_for(fx.ledger_versions(spark, sf_dir), posts)
+    return ledger.new_posts(posts, cur).select("id", "author_username")
 
 
 @query

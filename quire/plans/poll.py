@@ -82,7 +82,7 @@ def run_poll(
     if enrich_fn is not None:
         posts = posts.transform(enrich_fn)
 
-    cur = ledger.current(_prior_versions(spark, ledger_path, batch_id))
+    cur = ledger.current_for(_prior_versions(spark, ledger_path, batch_id), posts)
 
     flagged = ledger.blocked_flags(posts, cur)
     new = session.stage(flagged.where(~F.col("blocked")).drop("blocked"))

@@ -79,9 +79,9 @@ def claim_stream(
     `ledger_path` (a folder of versions partitioned by batch)."""
 
     def claim_batch(batch: DataFrame, batch_id: int) -> None:
-        cur = L.current(spark.read.schema(L.LEDGER_SCHEMA).parquet(ledger_path))
-        at = batch.agg(F.max("created_at")).first()[0]
         fresh = batch.dropDuplicates(["id"])
+        cur = L.current_for(spark.read.schema(L.LEDGER_SCHEMA).parquet(ledger_path), fresh)
+        at = batch.agg(F.max("created_at")).first()[0]
         claims = L.claim(fresh, cur, at, version=(batch_id + 1) << 40)
         (
             claims.withColumn("batch_id", F.lit(batch_id))
