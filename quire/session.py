@@ -21,6 +21,11 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.aggregatePushdown": "true",
+    # Broadcast only on a measured size: no plan-time broadcast from size
+    # estimates; AQE broadcasts a join side once its shuffle output is known
+    # to be below the limit.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
 }
 
 
