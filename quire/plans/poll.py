@@ -39,6 +39,7 @@ class Stores:
     image_texts: DataFrame
     labels: DataFrame | None = None
     published: DataFrame | None = None
+    members: DataFrame | None = None  # thread members (conversation_id, member_id, turn, text, valid)
 
 
 def _versions(df: DataFrame, status: str, category, page_id, raw, at: dt.datetime, version: int) -> DataFrame:
@@ -104,7 +105,16 @@ def run_poll(
     )
     trs = enrich.fetch_transcripts(wanted_v, stores.captions)
     imgs = enrich.fetch_image_texts(enrich.wanted_from_triage(triage, "needsImageAnalysis"), stores.image_texts)
-    counts = session.stage(enrich.context_summary(arts, trs, imgs))
+    threads = None
+    if stores.members is not None:
+        wanted_t = new.join(
+            triage.where(F.col("triage.estimatedValue") != "skip").select(
+                "id", F.col("triage.needsThreadExpansion").alias("wants_thread")
+            ),
+            "id",
+        ).withColumn("is_thread", F.col("is_thread") | F.col("wants_thread"))
+        threads = enrich.expand_threads(wanted_t, stores.members)
+    counts = session.stage(enrich.context_summary(arts, trs, imgs, threads))
     analysis = inference.rule_analysis(new, triage, counts, stores.labels)
     outputs = analysis.select("id", F.to_json("analysis").alias("output"))
     ok, bad = inference.validate_analysis(outputs)

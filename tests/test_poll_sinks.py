@@ -49,6 +49,18 @@ def test_poll_end_to_end_idempotent(spark, tmp_path):
     assert rep["total_processed"] > 0 and json.loads(rep["top_tags"])
 
 
+def test_poll_with_threads(spark, tmp_path):
+    members = fx.conversation_members(spark, SF)
+    st = poll.Stores(pages=read(spark, SF, "pages"), captions=fx.transcripts(spark, SF),
+                     image_texts=fx.image_texts(spark, SF), members=members)
+    raw = fx.raw_posts_conversations(spark, SF).select("raw")
+    lp, pp = str(tmp_path / "ledger"), str(tmp_path / "pages")
+    m = poll.run_poll(spark, raw, st, lp, pp, batch_id=0, now=NOW)
+    assert m["completed"] > 0
+    review = [r for r in ledger.read_ledger(spark, lp).collect() if r["status"] == "completed" and r["category"] == "review"]
+    assert review  # thread replies are analysed as threads
+
+
 def test_ledger_migration_and_create(spark, tmp_path):
     old = tmp_path / "old"
     spark.createDataFrame([("1", NOW, "tool", None, "{}", 1)],
