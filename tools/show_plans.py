@@ -38,18 +38,17 @@ def summarise(df) -> dict:
             if name in NODES:
                 counts[name] += 1
     scans = []
-    for block in text.split("\n\n"):
-        if "Scan parquet" in block.splitlines()[0] if block.strip() else False:
-            loc = re.search(r"Location: \S+ \[(.*?)\]", block)
-            pushed = re.search(r"PushedFilters: (\[.*?\])\n", block + "\n")
-            schema = re.search(r"ReadSchema: (struct<.*?>)\n", block + "\n")
-            scans.append(
-                {
-                    "file": os.path.basename(loc.group(1)) if loc else "?",
-                    "pushed": pushed.group(1) if pushed else "[]",
-                    "read": schema.group(1)[:160] if schema else "",
-                }
-            )
+    for block in re.findall(r"\(\d+\) Scan parquet[^\n]*\n(.*?)(?=\n\(\d+\) |\Z)", text, re.S):
+        loc = re.search(r"Location: \S+ \[(.*?)\]", block)
+        pushed = re.search(r"PushedFilters: (\[.*?\])\n", block + "\n")
+        schema = re.search(r"ReadSchema: (struct<.*?>)\n", block + "\n")
+        scans.append(
+            {
+                "file": os.path.basename(loc.group(1)) if loc else "?",
+                "pushed": pushed.group(1) if pushed else "[]",
+                "read": schema.group(1)[:160] if schema else "",
+            }
+        )
     return {"nodes": dict(counts), "scans": scans}
 
 
