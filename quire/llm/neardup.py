@@ -9,15 +9,14 @@
    maximum-likelihood estimate is not far below it, then confirmed on the full
    shingle sets.
 4. Members of one bucket that are still in different components are compared
-   too.  In a large bucket those documents go first that cannot link to
-   anything: a document linked with another component shares at least
-   threshold * size of its shingles with documents outside its own component.
+   too: in small buckets as pairs, in large ones block against block by matrix
+   products over their full sets, so no rows are made for the pairs.
 5. Confirmed links and class membership give connected components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +32,11 @@ BANDS = ss.REGISTERS // BAND_ROWS
 # A pair whose estimate is this far (over five standard errors) below the
 # threshold is not confirmed on the full sets.
 MARGIN = 0.2
-# Buckets beyond this size first drop documents that cannot link (step 4).
+# Members of larger buckets are compared in blocks (step 4).
 LARGE_BUCKET = 48
+BLOCK = 128
 SALTS = 64
-_BATCH_CHARS = 1 << 22
+_COLUMNS = 8192
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,38 +127,82 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, component = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        for i, c, s in zip(ids, component, ss.shingle_sets(batch.column(1).to_pylist())):
-            n = len(s)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, i, np.int64)), pa.array(np.full(n, c, np.int64)), pa.array(s.view(np.int64))],
-                names=["doc_id", "component", "token"],
-            )
-
-
-def _linkable(members: DataFrame, texts: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """members (doc_id, component) of large buckets -> the doc_ids that share
-    enough shingles with other components to have a link there at all."""
-    tokens = staged(
-        members.join(texts, "doc_id").select("doc_id", "text", "component")
-        .mapInArrow(_tokens, "doc_id long, component long, token long"),
-        "nd-tokens",
-    )
-    # a token is shared if its smallest and largest component differ
-    shared = staged(
-        tokens.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token"),
-        "nd-shared",
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets, by products of 0/1 matrices over
+    _COLUMNS shingles at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    found, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(seen > 1) - 1  # shingles of one set only don't matter
+    use = seen[column] > 1
+    owner, column = owner[use], number[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        first, last = np.searchsorted(column, (low, low + _COLUMNS))
+        part = np.zeros((len(sets), _COLUMNS), np.float32)
+        part[owner[first:last], column[first:last] - low] = 1.0
+        total += part @ part.T
+    return total.astype(np.int64)
+
+
+def _block_links(percent: int) -> Callable:
+    """Rows sorted by pair of blocks: one link for each two components that meet."""
+
+    def solve(ids: list[int], component: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        both, size, of = shared_counts(sets), np.array([len(s) for s in sets]), np.array(component)
+        link = (both * 100 >= percent * (size[:, None] + size[None, :] - both)) & (of[:, None] < of[None, :])
+        first: dict[tuple[int, int], tuple[int, int]] = {}
+        for i, j in zip(*np.nonzero(link)):
+            first.setdefault((component[i], component[j]), (ids[i], ids[j]))
+        return list(first.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, group = None, ([], [], [])
+
+        def done() -> pa.RecordBatch:
+            found = solve(*group) if len(group[0]) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            pair, ids, component, texts = (batch.column(i).to_pylist() for i in range(4))
+            for p, i, c, s in zip(pair, ids, component, ss.shingle_sets(texts)):
+                if p != current:
+                    yield done()
+                    current, group = p, ([], [], [])
+                for column, value in zip(group, (i, c, s)):
+                    column.append(value)
+        yield done()
+
+    return run
+
+
+def block_links(placed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """placed (cluster, doc_id, component): links (a, b) between documents of one
+    cluster and different components.  Members are dealt into blocks of about
+    BLOCK, large components into blocks of their own; a task compares two blocks
+    by matrix products and returns one link for each two components, so neither
+    pairs of documents nor a cluster as a whole are ever held as rows."""
+    sizes = staged(placed.groupBy("cluster", "component").agg(F.count("*").alias("c")), "nd-sizes")
+    mixed = sizes.groupBy("cluster").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("c") < BLOCK / 2, F.col("c")).otherwise(0)).alias("pooled")).filter("kinds > 1")
+    share = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / BLOCK))
+    own = F.col("c") >= BLOCK / 2
+    block = F.when(own, F.xxhash64("component", share("doc_id", "c"))).otherwise(F.xxhash64(F.lit("pool"), share("component", "pooled")))
+    dealt = staged(
+        placed.join(sizes, ["cluster", "component"]).join(mixed, "cluster")
+        .select("cluster", "doc_id", "component", block.alias("block"), F.when(own, F.col("component")).alias("pure")),
+        "nd-dealt",
     )
-    support = tokens.join(shared, "token").groupBy("doc_id").agg(F.count("*").alias("shared"))
-    out = staged(
-        support.join(reps.select("doc_id", "n"), "doc_id").filter(F.col("shared") * 100 >= F.col("n") * percent).select("doc_id").distinct(),
-        "nd-linkable",
+    blocks = dealt.select("cluster", "block", "pure").distinct()
+    x, y = blocks.toDF("cluster", "block_a", "pure_a"), blocks.toDF("cluster", "block_b", "pure_b")
+    pairs = staged(
+        x.join(y, "cluster").filter("block_a <= block_b and (pure_a is null or pure_b is null or pure_a <> pure_b)")
+        .select("cluster", "block_a", "block_b", F.xxhash64("cluster", "block_a", "block_b").alias("pair")),
+        "nd-blocks",
     )
-    unstage(tokens)
-    unstage(shared)
-    return out
+    sides = pairs.select("cluster", F.col("block_a").alias("block"), "pair").unionByName(pairs.select("cluster", F.col("block_b").alias("block"), "pair")).distinct()
+    rows = dealt.join(sides, ["cluster", "block"]).select("pair", "doc_id", "component").join(texts, "doc_id").select("pair", "doc_id", "component", "text")
+    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_block_links(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -195,30 +239,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     crowded = staged(bands.join(heads, "bucket"), "nd-crowded")
     unstage(bands)
-    involved = crowded.select("doc_id").distinct()
-    texts = staged(texts_in.join(involved, "doc_id", "left_semi"), "nd-texts")
-
+    small, large = crowded.filter(F.col("size") <= LARGE_BUCKET), crowded.filter(F.col("size") > LARGE_BUCKET)
     star = crowded.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = staged(confirmed(likely_pairs(star, reps, percent), texts, percent), "nd-links")
-    parts = staged(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "nd-parts")
+    inside = small.select("bucket", F.col("doc_id").alias("a")).join(small.select("bucket", F.col("doc_id").alias("b")), "bucket").filter("a < b")
+    likely = staged(likely_pairs(inside.select("a", "b").union(star).distinct(), reps, percent), "nd-likely")
+    involved = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(large.select("doc_id")).distinct()
+    texts = staged(texts_in.join(involved.hint("merge"), "doc_id", "left_semi"), "nd-texts")
 
-    # members of one bucket that are still apart
-    placed = crowded.join(parts, crowded.doc_id == parts.node, "left").select(
-        "bucket", "size", "doc_id", F.coalesce("component", "doc_id").alias("component")
-    )
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-    apart = staged(placed.join(mixed, "bucket"), "nd-apart")
-    large = apart.filter(F.col("size") > LARGE_BUCKET)
-    linkable = _linkable(large.select("doc_id", "component").distinct(), texts, reps, percent)
-    rest = staged(
-        apart.filter(F.col("size") <= LARGE_BUCKET).unionByName(large.join(linkable, "doc_id", "left_semi").select(*apart.columns)),
-        "nd-rest",
-    )
-    x, y = rest.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("c_a")), rest.select(
-        "bucket", F.col("doc_id").alias("b"), F.col("component").alias("c_b")
-    )
-    cross = x.join(y, "bucket").filter("a < b and c_a <> c_b").select("a", "b").distinct()
-    more = staged(confirmed(likely_pairs(cross, reps, percent), texts, percent), "nd-more")
+    links = staged(confirmed(likely.join(star, ["a", "b"]), texts, percent), "nd-links")
+    parts = staged(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "nd-parts")
+    # pairs of small buckets that are still apart
+    part_of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    apart = likely.join(star, ["a", "b"], "left_anti").join(part_of("a"), "a", "left").join(part_of("b"), "b", "left")
+    apart = apart.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    more = staged(confirmed(apart, texts, percent), "nd-more")
+    # large buckets, joined to clusters
+    clusters = connected_components(large.select(F.col("doc_id").alias("src"), F.col("head").alias("dst")))
+    placed = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(part_of("doc_id"), "doc_id", "left")
+    placed = staged(placed.select("cluster", "doc_id", F.coalesce("c_doc_id", "doc_id").alias("component")), "nd-placed")
+    more = more.unionByName(staged(block_links(placed, texts, percent), "nd-block-links"))
 
     edges = parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(
         more.select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -230,7 +269,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
-    for old in (texts, crowded, heads, apart, rest, links, more, parts, classes, reps):
+    for old in (texts, crowded, heads, likely, links, placed):
         unstage(old)
     return out
 
