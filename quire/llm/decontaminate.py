@@ -74,8 +74,8 @@ def postings(docs: DataFrame, terms: DataFrame, width: int, limit: int) -> DataF
     per document with k null; both with n_words and the document's row_key."""
     pos, word = F.col("pos"), F.col("word")
     each = _texts(docs).select("doc_id", "row_key", "w", F.posexplode_outer("w").alias("pos", "word"))
-    parts = []
-    for i, part in enumerate(_parts(terms, limit)):
+    wanted_terms, parts = staged(terms, "dc-terms"), []
+    for i, part in enumerate(_parts(wanted_terms, limit)):
         hit = each.withColumn("k", _term_key(word)).join(part.withColumn("wanted", F.lit(True)), "k", "left")
         head = (F.coalesce(pos, F.lit(0)) == 0) if i == 0 else F.lit(False)
         around = F.slice("w", F.greatest(pos - width + 2, F.lit(1)), F.least(pos, F.lit(width - 1)) + width)
@@ -85,7 +85,9 @@ def postings(docs: DataFrame, terms: DataFrame, width: int, limit: int) -> DataF
         )
         kept = hit.filter(F.col("wanted") | head).select("doc_id", "row_key", F.size("w").cast("long").alias("n_words"), F.explode_outer(F.array_compact(rows)).alias("r"))
         parts.append(kept.select("doc_id", "row_key", "n_words", "r.*"))
-    return staged(reduce(DataFrame.unionByName, parts), "dc-postings")
+    out = staged(reduce(DataFrame.unionByName, parts), "dc-postings")
+    unstage(wanted_terms)
+    return out
 
 
 def matches(index: DataFrame, rarest: DataFrame, slop: int | None = None) -> DataFrame:
@@ -118,8 +120,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, limit:
     columns are ignored; an empty table gives no rows."""
     windows = staged(item_windows(items, width), "dc-windows")
     rarest = rarest_terms(docs, windows.select("phrase", "n").distinct(), limit)
-    terms = staged(rarest.select("k").distinct(), "dc-terms")
-    index = postings(docs, terms, width, limit)
+    index = postings(docs, rarest.select("k").distinct(), width, limit)
     hits = staged(matches(index, rarest).select("row_key", "start", "n", "phrase").distinct(), "dc-hits")
     spots = hits.select("row_key", F.explode(F.expr("sequence(start, start + n - 1)")).alias("p")).distinct()
     n_hit = spots.groupBy("row_key").agg(F.count("*").alias("n_hit"))

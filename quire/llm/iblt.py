@@ -36,9 +36,11 @@ def _check(k: str) -> str:
     return f"xxhash64({k}, 7L)"
 
 
-def _cells_of(k: str) -> str:
-    """SQL: bits of the digest's three cells."""
-    places = (f"pmod({k}, {BLOCK})", f"pmod(shiftright({k}, 16), {BLOCK}) + {BLOCK}", f"pmod(shiftright({k}, 32), {BLOCK}) + {2 * BLOCK}")
+def _cells_of(k: str, salt: int) -> str:
+    """SQL: bits of the digest's three cells; sketches of another salt deal
+    digests out anew."""
+    h = f"xxhash64({k}, {salt}L)" if salt else k
+    places = (f"pmod({h}, {BLOCK})", f"pmod(shiftright({h}, 16), {BLOCK}) + {BLOCK}", f"pmod(shiftright({h}, 32), {BLOCK}) + {2 * BLOCK}")
     return "(" + " | ".join(f"shiftleft(1, cast({x} as int))" for x in places) + ")"
 
 
@@ -54,24 +56,21 @@ def _added(cells: str, keyed: str, sign: str) -> str:
     )
 
 
-def _entries(keys: str, n: str = "1L") -> str:
-    return f"transform({keys}, k -> named_struct('k', k, 'n', {n}, 'h', {_check('k')}, 'at', {_cells_of('k')}))"
-
-
-def sketch(keys: str) -> str:
+def sketch(keys: str, salt: int = 0) -> str:
     """SQL: the cells of one group that holds the digests in array `keys`."""
-    return _added(_EMPTY, _entries(keys), "1L")
+    entries = f"transform({keys}, k -> named_struct('k', k, 'n', 1L, 'h', {_check('k')}, 'at', {_cells_of('k', salt)}))"
+    return _added(_EMPTY, entries, "1L")
 
 
 def difference(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
 
 
-def peel(cells: str) -> str:
+def peel(cells: str, salt: int = 0) -> str:
     """SQL: (cells, found): what is left after peeling, and the digests found."""
     start = f"named_struct('cells', {cells}, 'found', cast(array() as array<bigint>))"
     pure = f"filter(s.cells, x -> abs(x.c) = 1L and x.h = {_check('x.k')})"
-    taken = f"array_distinct(transform({pure}, x -> named_struct('k', x.k, 'n', x.c, 'h', x.h, 'at', {_cells_of('x.k')})))"
+    taken = f"array_distinct(transform({pure}, x -> named_struct('k', x.k, 'n', x.c, 'h', x.h, 'at', {_cells_of('x.k', salt)})))"
     # one-element transforms bind a value that is used more than once
     step = (
         f"element_at(transform(array({taken}), t -> if(size(t) = 0, s, named_struct('cells', {_added('s.cells', 't', '-1L')}, "
@@ -88,7 +87,7 @@ def differing(a: str, b: str, groups: int) -> str:
     """SQL: the digests in just one of the arrays `a` and `b`, recovered from
     sketches of `groups` (a power of two) groups; null if peeling fails."""
     of = lambda keys: f"filter({keys}, k -> (shiftright(k, 48) & {groups - 1}L) = g)"
-    one = f"element_at(transform(array({peel(difference(sketch(of(a)), sketch(of(b))))}), s -> if({_empty('s.cells')}, s.found, null)), 1)"
+    one = f"element_at(transform(array({peel(difference(sketch(of(a), groups), sketch(of(b), groups)), groups)}), s -> if({_empty('s.cells')}, s.found, null)), 1)"
     # after a group that fails the rest isn't peeled
     return f"aggregate(sequence(0L, {groups - 1}L), cast(array() as array<bigint>), (f, g) -> if(f is null, f, concat(f, {one})))"
 
