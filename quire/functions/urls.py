@@ -72,8 +72,9 @@ def site_name(og_site, c) -> Column:
 
 
 def status_id(c) -> Column:
-    """Trailing numeric id of a post URL or a bare id (point lookup key)."""
-    return F.nullif(F.regexp_extract(_col(c), r"(\d+)$", 1), F.lit(""))
+    """Point lookup key: the part of a post URL after `/status/` up to the next
+    `/`, `?` or `#`; a key without it is the id itself."""
+    return F.nullif(F.coalesce(F.nullif(F.regexp_extract(_col(c), r"/status/([^/?#]+)", 1), F.lit("")), _col(c)), F.lit(""))
 
 
 def post_url(author, post_id) -> Column:

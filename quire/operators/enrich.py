@@ -20,7 +20,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import fixed
 from quire.functions import text as T
 from quire.functions import urls as U
 from quire.functions.transcript import clean_vtt
@@ -64,13 +63,13 @@ def wanted_articles(posts: DataFrame) -> DataFrame:
     )
 
 
-def fetch_articles(wanted: DataFrame, pages: DataFrame, cut: int = fixed.ARTICLE_PROMPT_CUT) -> DataFrame:
+def fetch_articles(wanted: DataFrame, pages: DataFrame) -> DataFrame:
     """Join wanted URLs to stored pages; failed fetches (no page, empty
     content) are dropped.  Only wanted pages are parsed."""
     keys = wanted.select("url").distinct()
     parsed = parse_articles(pages.join(keys, "url", "left_semi"))
     found = parsed.where(T.blank_to_null("content").isNotNull()).select(
-        "url", "title", T.truncate_marked("content", cut).alias("content"), F.length("content").alias("content_len")
+        "url", "title", "content", F.length("content").alias("content_len")
     )
     return wanted.join(found, "url")
 
@@ -86,14 +85,12 @@ def wanted_transcripts(posts: DataFrame) -> DataFrame:
     )
 
 
-def fetch_transcripts(wanted: DataFrame, vtts: DataFrame, cut: int = fixed.TRANSCRIPT_PROMPT_CUT) -> DataFrame:
+def fetch_transcripts(wanted: DataFrame, vtts: DataFrame) -> DataFrame:
     """Join wanted video ids to stored captions; clean only wanted ones; drop
     empty results."""
     keys = wanted.select("video_id").distinct()
     cleaned = clean_vtt(vtts.join(keys, "video_id", "left_semi"), "vtt", "transcript")
-    found = cleaned.where(T.blank_to_null("transcript").isNotNull()).select(
-        "video_id", T.truncate_marked("transcript", cut).alias("transcript")
-    )
+    found = cleaned.where(T.blank_to_null("transcript").isNotNull()).select("video_id", "transcript")
     return wanted.join(found, "video_id")
 
 

@@ -136,10 +136,10 @@ def triage_skipped(triage: DataFrame, processed_at) -> DataFrame:
 
 
 def word_tags(posts: DataFrame, k: int = 3) -> DataFrame:
-    """Per post: the k most frequent words of five or more ASCII letters
+    """Per post: the k most frequent words of five or more letters
     (ties by word).  Words are counted per (post, word); each post keeps at
     most k, so the per-post list is bounded."""
-    words = posts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0)).alias("word"))
+    words = posts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{5,}"), 0)).alias("word"))
     counts = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("id").orderBy(F.col("n").desc(), F.col("word"))
     top = counts.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
@@ -245,7 +245,11 @@ def analysis_reason(a: Column) -> Column:
         F.coalesce(a["extractedLinks"], F.array()), lambda x: ~F.coalesce(x["type"].isin(*fixed.LINK_TYPES), F.lit(False))
     )
     missing = F.lit(False)
-    for field in ("topic", "summary", "tldr", "forYou"):
+    required = (
+        "topic", "summary", "tldr", "forYou", "hasArticle", "hasVideo", "hasThread",
+        "keyInsights", "quotes", "extractedLinks", "tags", "actionItems",
+    )
+    for field in required:
         missing = missing | a[field].isNull()
     return (
         F.when(a.isNull(), "malformed_json")
@@ -425,15 +429,15 @@ def enriched_prompt(
     task: str = DEFAULT_TASK,
 ) -> DataFrame:
     """The analysis request per post: sections joined by a rule, absent
-    sections left out; article text cut at 8000 and transcripts at 6000
-    (already cut by the fetch step), thread members numbered from 2 and
+    sections left out; article text cut at 8000 and transcripts at 6000 (only
+    here: the context tables hold the full text), thread members numbered from 2 and
     images from 1."""
     art = _nested(
         articles,
-        F.concat(F.lit("### "), T.first_present("title", "url"), F.lit("\n"), F.col("content")),
+        F.concat(F.lit("### "), T.first_present("title", "url"), F.lit("\n"), T.truncate_marked("content", fixed.ARTICLE_PROMPT_CUT)),
         "art",
     )
-    trn = _nested(transcripts, F.concat(F.lit("### "), F.col("url"), F.lit("\n"), F.col("transcript")), "trn")
+    trn = _nested(transcripts, F.concat(F.lit("### "), F.col("url"), F.lit("\n"), T.truncate_marked("transcript", fixed.TRANSCRIPT_PROMPT_CUT)), "trn")
     img = _nested(images, F.col("description"), "img")
     df = posts.join(triage, "id").join(art, "id", "left").join(trn, "id", "left").join(img, "id", "left")
     if threads is not None:

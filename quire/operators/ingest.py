@@ -86,7 +86,7 @@ def rejection_reason(v: Column) -> Column:
             t("$.media").isNotNull()
             & (
                 ~t("$.media").startswith("ARRAY")
-                | F.coalesce(F.exists(media, lambda m: ~_media_item_ok(m)), F.lit(False))
+                | F.coalesce(F.exists(media, lambda m: ~F.coalesce(_media_item_ok(m), F.lit(False))), F.lit(False))
             ),
             "media",
         )
@@ -216,7 +216,7 @@ def extract_media(entities: DataFrame) -> DataFrame:
 
 def lookup_posts(posts: DataFrame, keys: DataFrame, key_col: str = "key") -> DataFrame:
     """Point lookup by id or post URL, for a whole set of keys at once: the
-    trailing number of each key is the id; a semi-join keeps matching posts
+    part after `/status/`, or the whole key, is the id; a semi-join keeps matching posts
     (the key side is deduplicated by the join itself)."""
     ids = keys.select(status_id(F.col(key_col)).alias("id")).where(F.col("id").isNotNull())
     return posts.join(ids, "id", "left_semi")

@@ -121,12 +121,16 @@ def claim(posts: DataFrame, cur: DataFrame, claimed_at: dt.datetime, version: in
     )
 
 
-def release(cur: DataFrame, keys: DataFrame, status: str = "failed") -> DataFrame:
+def release(cur: DataFrame, keys: DataFrame, status: str = "failed", version: int | None = None) -> DataFrame:
     """Set `status` on the rows of `keys` (an update by key): left join of
-    the distinct change keys, `coalesce(new, old)`."""
+    the distinct change keys, `coalesce(new, old)`.  To append the result as new
+    versions give a `version` above those stored; changed rows carry it, so
+    `upsert` prefers them."""
+    newer = F.col("version") if version is None else F.when(F.col("__new_status").isNotNull(), F.lit(version).cast("bigint")).otherwise(F.col("version"))
     change = keys.select("post_id").distinct().withColumn("__new_status", F.lit(status))
     return (
         cur.join(change, "post_id", "left")
+        .withColumn("version", newer)
         .withColumn("status", F.coalesce("__new_status", "status"))
         .drop("__new_status")
     )

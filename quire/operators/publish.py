@@ -73,7 +73,7 @@ def published_ids(published: DataFrame) -> DataFrame:
     """Post ids of published pages, taken from their post URL (an equi-join
     key, not a substring match)."""
     return published.select(
-        F.regexp_extract("post_url", r"/status/([^/?#]+)$", 1).alias("id")
+        F.regexp_extract("post_url", r"/status/([^/?#]+)", 1).alias("id")
     ).where(F.col("id") != "").distinct()
 
 
@@ -132,7 +132,7 @@ def page_blocks(posts: DataFrame, analyses: DataFrame) -> DataFrame:
         opt(T.blank_to_null(a["primaryLink"]).isNotNull(), _block("paragraph", F.concat(F.lit("🔗 "), a["primaryLink"]), a["primaryLink"])),
         F.transform(F.slice(F.coalesce(a["keyInsights"], F.array().cast("array<string>")), 1, fixed.MAX_INSIGHTS), lambda s: _block("bulleted_list_item", s)),
         F.transform(
-            F.slice(a["extractedLinks"], 1, fixed.MAX_LINKS),
+            F.slice(F.coalesce(a["extractedLinks"], F.array().cast("array<struct<url:string,title:string,type:string,description:string>>")), 1, fixed.MAX_LINKS),
             lambda l: _block("bulleted_list_item", F.concat(_link_icon(l["type"]), F.lit(" "), l["title"]), l["url"]),
         ),
         extras,

@@ -586,13 +586,13 @@ live AS (SELECT * FROM tri WHERE estimated_value <> 'skip')"""
 _CONTEXT = f"""
 ctx_articles AS (
   SELECT w.id AS post_id, CAST(w.pos - 1 AS BIGINT) AS pos, w.url, a.title,
-         {_cut('a.content', 8000)} AS content, CAST(length(a.content) AS BIGINT) AS content_len
+         a.content, CAST(length(a.content) AS BIGINT) AS content_len
   FROM (SELECT id, o.url, o.pos FROM live, unnest(live.want_articles) WITH ORDINALITY AS o(url, pos)) w
   JOIN articles a ON a.url = w.url
   WHERE nullif(a.content, '') IS NOT NULL
 ),
 ctx_transcripts AS (
-  SELECT w.id AS post_id, CAST(w.pos - 1 AS BIGINT) AS pos, w.url, w.video_id, {_cut('c.transcript', 6000)} AS transcript
+  SELECT w.id AS post_id, CAST(w.pos - 1 AS BIGINT) AS pos, w.url, w.video_id, c.transcript
   FROM (SELECT id, o.url, o.pos, nullif(regexp_extract(o.url, '{_VID}', 1), '') AS video_id
         FROM live, unnest(live.want_videos) WITH ORDINALITY AS o(url, pos)) w
   JOIN cleaned c ON c.video_id = w.video_id
@@ -681,7 +681,7 @@ FROM tri WHERE estimated_value = 'skip'
 _ANALYSIS = f"""
 words AS (
   SELECT id, w.word, count(*) AS n
-  FROM posts, unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS w(word)
+  FROM posts, unnest(regexp_extract_all(lower(text), '\p{{L}}{{5,}}')) AS w(word)
   GROUP BY id, w.word
 ),
 tags AS (
@@ -781,8 +781,8 @@ _SEP = _lit(fixed.PROMPT_SECTION_SEP)
 
 ENRICHED_PROMPT = f"""
 WITH {_CTX_ALL},
-art AS (SELECT post_id, string_agg('### ' || coalesce(nullif(title, ''), url) || chr(10) || content, {_SEP} ORDER BY pos) AS s FROM ctx_articles GROUP BY post_id),
-trn AS (SELECT post_id, string_agg('### ' || url || chr(10) || transcript, {_SEP} ORDER BY pos) AS s FROM ctx_transcripts GROUP BY post_id),
+art AS (SELECT post_id, string_agg('### ' || coalesce(nullif(title, ''), url) || chr(10) || {_cut('content', 8000)}, {_SEP} ORDER BY pos) AS s FROM ctx_articles GROUP BY post_id),
+trn AS (SELECT post_id, string_agg('### ' || url || chr(10) || {_cut('transcript', 6000)}, {_SEP} ORDER BY pos) AS s FROM ctx_transcripts GROUP BY post_id),
 img AS (SELECT post_id, string_agg('### Image ' || CAST(rn AS VARCHAR) || chr(10) || description, chr(10) || chr(10) ORDER BY pos) AS s
         FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY pos) AS rn FROM ctx_images) GROUP BY post_id)
 SELECT l.id AS post_id,

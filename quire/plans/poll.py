@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import session
+from quire.functions import urls as U
 from quire.functions.timefmt import iso
 from quire.operators import enrich, inference, ingest, ledger, publish
 
@@ -101,7 +102,7 @@ def run_poll(
 
     arts = enrich.fetch_articles(enrich.wanted_from_triage(triage, "needsArticleScrape"), stores.pages)
     wanted_v = enrich.wanted_from_triage(triage, "needsYoutubeTranscript").withColumn(
-        "video_id", F.regexp_extract("url", r"(?:youtube\.com/watch\?v=|youtu\.be/|youtube\.com/shorts/)([a-zA-Z0-9_-]{11})", 1)
+        "video_id", U.video_id("url")
     )
     trs = enrich.fetch_transcripts(wanted_v, stores.captions)
     imgs = enrich.fetch_image_texts(enrich.wanted_from_triage(triage, "needsImageAnalysis"), stores.image_texts)
@@ -119,7 +120,9 @@ def run_poll(
     outputs = analysis.select("id", F.to_json("analysis").alias("output"))
     ok, bad = inference.validate_analysis(outputs)
     ok = session.stage(inference.merge_flags(ok.select("id", "analysis"), counts).join(ok.select("id", "analysis"), "id"))
-    failed_rows = _versions(bad, "failed", F.lit("review"), F.lit(None), F.lit("{}"), now, base + 1)
+    # a post without a usable triage fails too, so no post stays claimed
+    unanswered = new.join(triage.where(F.col("triage.estimatedValue").isNotNull()).select("id"), "id", "left_anti").select("id")
+    failed_rows = _versions(bad.select("id").unionByName(unanswered), "failed", F.lit("review"), F.lit(None), F.lit("{}"), now, base + 1)
 
     live = new.join(ok.select("id"), "id", "left_semi")
     published = stores.published if stores.published is not None else spark.createDataFrame([], "post_url string")

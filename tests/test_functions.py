@@ -111,3 +111,9 @@ def test_error_classification(spark):
     assert got["unknown command"] == ("UNKNOWN", False, "error")
     bad = spark.createDataFrame([("some network error", False)], "raw_message string, auth_valid boolean")
     assert alerts.alerts(bad).first()["alert_kind"] == "auth_expired"
+
+
+def test_status_id_takes_the_part_after_status(spark):
+    keys = ["https://x.com/a/status/123", "https://x.com/a/status/123?s=20", "https://x.com/a/status/e2e-1/photo/1", "e2e-tweet-123", "77", ""]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    assert [r[0] for r in df.select(U.status_id("k")).collect()] == ["123", "123", "e2e-1", "e2e-tweet-123", "77", None]
