@@ -134,6 +134,21 @@ def expand_threads(bookmarks: DataFrame, members: DataFrame) -> DataFrame:
     return b.join(ok, "conversation_id").where(F.col("member_id") != F.col("post_id"))
 
 
+def thread_counts(bookmarks: DataFrame, members: DataFrame) -> DataFrame:
+    """(post_id, n): how many other members each bookmark's thread has.  The
+    members are counted once per conversation (partial aggregates), so saved
+    members of one conversation aren't paired with each other."""
+    sizes = (
+        members.groupBy("conversation_id")
+        .agg(F.bool_and(F.col("valid")).alias("ok"), F.count(F.lit(1)).alias("size"))
+        .where("ok")
+    )
+    own = members.groupBy("conversation_id", F.col("member_id").alias("post_id")).agg(F.count(F.lit(1)).alias("own"))
+    b = bookmarks.where(F.col("is_thread")).select(F.col("id").alias("post_id"), "conversation_id")
+    n = F.col("size") - F.coalesce("own", F.lit(0))
+    return b.join(sizes, "conversation_id").join(own, ["conversation_id", "post_id"], "left").select("post_id", n.alias("n"))
+
+
 # --- video info ------------------------------------------------------------------------
 
 
@@ -165,8 +180,9 @@ def context_counts(posts: DataFrame, **contexts: DataFrame) -> DataFrame:
 
 
 def context_summary(articles: DataFrame, transcripts: DataFrame, images: DataFrame, threads: DataFrame | None = None) -> DataFrame:
-    """Per post: how many articles, transcripts, image texts and thread
-    members were found, and the first article and transcript.  The long
+    """Per post (`threads`: post_id, n): how many articles, transcripts, image texts and thread
+    members were found, the first article and transcript and, in order, all
+    image texts (a post's own images).  The long
     tables are stacked and folded by one aggregate per post."""
     cols = ["post_id", "kind", "pos", "title", "value"]
     parts = [
@@ -175,20 +191,23 @@ def context_summary(articles: DataFrame, transcripts: DataFrame, images: DataFra
         images.select("post_id", F.lit("i").alias("kind"), "pos", F.lit(None).cast("string").alias("title"), F.col("description").alias("value")),
     ]
     if threads is not None:
-        parts.append(threads.select("post_id", F.lit("h").alias("kind"), F.col("turn").alias("pos"), F.lit(None).cast("string").alias("title"), F.col("text").alias("value")))
+        none = F.lit(None).cast("string")
+        parts.append(threads.select("post_id", F.lit("h").alias("kind"), F.col("n").alias("pos"), none.alias("title"), none.alias("value")))
     stacked = parts[0].select(*cols)
     for p in parts[1:]:
         stacked = stacked.unionByName(p.select(*cols))
     kind = F.col("kind")
     first = lambda k, c: F.min_by(F.when(kind == k, F.col(c)), F.when(kind == k, F.col("pos")))
+    images_in_order = F.array_sort(F.collect_list(F.when(kind == "i", F.struct("pos", "value"))))
     return stacked.groupBy("post_id").agg(
         F.count_if(kind == "a").alias("n_articles"),
         F.count_if(kind == "t").alias("n_transcripts"),
         F.count_if(kind == "i").alias("n_images"),
-        F.count_if(kind == "h").alias("n_thread"),
+        F.coalesce(F.sum(F.when(kind == "h", F.col("pos"))), F.lit(0)).cast("bigint").alias("n_thread"),
         first("a", "title").alias("first_title"),
         first("a", "value").alias("first_article"),
         first("t", "value").alias("first_transcript"),
+        F.transform(images_in_order, lambda x: x["value"]).alias("image_texts"),
     ).withColumnRenamed("post_id", "id")
 
 

@@ -200,7 +200,7 @@ def rule_analysis(posts: DataFrame, triage: DataFrame, counts: DataFrame, labels
     analysis = F.struct(
         category.alias("category"),
         T.truncate(F.coalesce(T.blank_to_null("first_title"), flat), fixed.TOPIC_WIDTH).alias("topic"),
-        T.truncate(flat, 600).alias("summary"),
+        flat.alias("summary"),
         T.truncate(flat, fixed.TLDR_WIDTH).alias("tldr"),
         F.when(F.size(tags) > 0, F.concat(F.lit("Related to "), F.array_join(tags, ", "))).otherwise(F.lit("")).alias("forYou"),
         top_action.alias("topAction"),
@@ -362,7 +362,7 @@ def image_texts(images: DataFrame) -> DataFrame:
 
 def merge_flags(analysis: DataFrame, counts: DataFrame) -> DataFrame:
     """Model flags OR context present; first article and transcript kept,
-    every image text kept (counted here)."""
+    every image text kept and counted."""
     df = analysis.join(counts, "id", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     return df.select(
@@ -373,6 +373,7 @@ def merge_flags(analysis: DataFrame, counts: DataFrame) -> DataFrame:
         F.col("first_article").alias("article_content"),
         F.col("first_transcript").alias("youtube_transcript"),
         n("n_images").cast("bigint").alias("n_image_texts"),
+        F.coalesce("image_texts", F.array().cast("array<string>")).alias("image_texts"),
     )
 
 

@@ -235,6 +235,13 @@ def first_per_id(posts: DataFrame, order_col: str) -> DataFrame:
     return posts.join(best, ["id", order_col], "left_semi")
 
 
+def first_of_batch(posts: DataFrame) -> DataFrame:
+    """One row per id: the newest (the source lists newest first), ties by
+    content, so a rerun keeps the same row."""
+    order = F.struct("created_at", F.xxhash64(*posts.columns))
+    return posts.groupBy("id").agg(F.max_by(F.struct(*posts.columns), order).alias("post")).select("post.*")
+
+
 def rows_with_positions(df: DataFrame, key: str, arr: str, pos: str, val: str) -> DataFrame:
     """Long form of an array column: one row per element with its position."""
     return df.select(key, F.posexplode(arr).alias(pos, val))

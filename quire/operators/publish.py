@@ -2,7 +2,7 @@
 against what is already published, the publish backlog, and the sinks.
 
 Page ids are `sha2(post_id)`, so re-running a batch rewrites the same pages;
-the page sink overwrites only the partitions of the batch it writes.
+the page sink replaces only the folder of the batch it writes.
 """
 
 from __future__ import annotations
@@ -145,12 +145,6 @@ def page_blocks(posts: DataFrame, analyses: DataFrame) -> DataFrame:
 
 
 def write_pages(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Page sink: partitioned by batch and category; a rerun of the batch
-    overwrites exactly its own partitions (dynamic partition overwrite)."""
-    (
-        rows.withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", "category")
-        .parquet(path)
-    )
+    """Page sink: one folder per batch; a rerun of the batch replaces it
+    whole, also when a category changed or no page is left."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

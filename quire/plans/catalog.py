@@ -20,6 +20,7 @@ from quire.functions import urls as U
 from quire.functions.text import extract_handles
 from quire.functions.transcript import chunk_lines, clean_vtt
 from quire.functions.timefmt import iso
+from quire.plans import poll
 from quire.operators import alerts, digest, enrich, inference, ingest, ledger, publish, stats
 from quire.sources import fixtures as fx
 from quire.streaming import jobs as S
@@ -446,6 +447,55 @@ def enriched_prompt(spark, sf_dir):
     return inference.enriched_prompt(posts, live, arts, trs, imgs).withColumnRenamed("id", "post_id")
 
 
+def _faulty_triage(labels):
+    """Rule triage as an unreliable model: no answer when id % 20 = 5, no
+    value when id % 20 = 8."""
+
+    def model(posts):
+        n = F.col("id").cast("bigint") % 20
+        value = F.when(n != 8, F.col("triage.estimatedValue"))
+        return inference.rule_triage(posts, labels).where(n != 5).withColumn("triage", F.col("triage").withField("estimatedValue", value))
+
+    return model
+
+
+def _faulty_analysis(prompts):
+    """An analysis model that sees only the prompt: the category follows from
+    its sections.  No answer when id % 25 = 10, an unknown category when 14, no
+    tags when 16."""
+    n = F.col("id").cast("bigint") % 25
+    category = (
+        F.when(n == 14, "misc").when(F.contains("prompt", F.lit(fixed.PROMPT_ARTICLES)), "article")
+        .when(F.contains("prompt", F.lit(fixed.PROMPT_TRANSCRIPTS)), "video").otherwise("knowledge")
+    )
+    texts = [F.lit(x).alias(x) for x in ("topic", "summary", "tldr", "forYou")]
+    flags = [F.lit(False).alias(x) for x in ("hasArticle", "hasVideo", "hasThread")]
+    lists = [F.array().cast("array<string>").alias(x) for x in ("keyInsights", "quotes", "extractedLinks", "actionItems")]
+    tags = F.when(n != 16, F.array(F.lit("tag"))).alias("tags")
+    answer = F.to_json(F.struct(category.alias("category"), *texts, *flags, *lists, tags, F.lit(7.0).alias("relevanceScore")))
+    return prompts.where(n != 10).select("id", answer.alias("output"))
+
+
+@query
+def poll_outcome(spark, sf_dir):
+    """One whole poll over the raw posts with models that leave out or spoil
+    answers: the final state of every accepted post."""
+    path = S.scratch(spark, "poll")
+    stores = poll.Stores(
+        pages=read(spark, sf_dir, "pages"), captions=fx.transcripts(spark, sf_dir),
+        image_texts=fx.image_texts(spark, sf_dir), published=fx.published(spark, sf_dir),
+    )
+    poll.run_poll(
+        spark, fx.raw_posts_pages(spark, sf_dir), stores, path + "/ledger", path + "/pages", 0, dt.datetime(2024, 2, 1),
+        triage_model=_faulty_triage(read(spark, sf_dir, "labels")), analysis_model=_faulty_analysis,
+    )
+    cur = ledger.current(ledger.read_ledger(spark, path + "/ledger"))
+    pages = spark.read.parquet(path + "/pages").select("post_id", F.lit(True).alias("page"))
+    return cur.join(pages, "post_id", "left").select(
+        "post_id", "status", "category", F.coalesce("page", F.lit(False)).alias("has_page")
+    )
+
+
 # --- step 7: publish, digest, alerts -------------------------------------------------------
 
 

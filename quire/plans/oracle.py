@@ -654,7 +654,7 @@ WHERE m.conv_id NOT IN (SELECT conv_id FROM bad) AND m.member_id <> bm.member_id
 VIDEO_INFO = rf"""
 WITH v AS (
   SELECT left(md5(CAST(doc_id AS VARCHAR)), 11) AS video_id,
-         string_split({js_trim("concat_ws('|||', left(text, 30), lang, CASE doc_id % 4 WHEN 0 THEN CAST(n_chars AS VARCHAR) WHEN 1 THEN ' ' || CAST(n_chars AS VARCHAR) || 's' WHEN 2 THEN 'n/a' ELSE CAST(n_chars AS VARCHAR) || '.5' END) || chr(10)")}, '|||') AS parts
+         string_split({js_trim("concat_ws('|||', text, lang, CASE doc_id % 4 WHEN 0 THEN CAST(n_chars AS VARCHAR) WHEN 1 THEN ' ' || CAST(n_chars AS VARCHAR) || 's' WHEN 2 THEN 'n/a' ELSE CAST(n_chars AS VARCHAR) || '.5' END) || chr(10)")}, '|||') AS parts
   FROM documents
 )
 SELECT video_id, coalesce(parts[1], '') AS title, coalesce(parts[2], '') AS description,
@@ -681,7 +681,7 @@ FROM tri WHERE estimated_value = 'skip'
 _ANALYSIS = f"""
 words AS (
   SELECT id, w.word, count(*) AS n
-  FROM posts, unnest(regexp_extract_all(lower(text), '\p{{L}}{{5,}}')) AS w(word)
+  FROM posts, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{5,}}')) AS w(word)
   GROUP BY id, w.word
 ),
 tags AS (
@@ -797,6 +797,28 @@ SELECT l.id AS post_id,
 FROM live l LEFT JOIN art ON art.post_id = l.id LEFT JOIN trn ON trn.post_id = l.id LEFT JOIN img ON img.post_id = l.id
 """
 
+POLL_OUTCOME = f"""
+WITH {_CTX_ALL},{RAW_POSTS_PAGES},
+accepted AS (SELECT id FROM (SELECT id, {REASON} AS reason FROM raw_posts) WHERE reason IS NULL),
+outcome AS (
+  SELECT t.id, CAST(t.id AS BIGINT) AS n, t.estimated_value, coalesce(t.quality = 1, false) AS known,
+    CASE WHEN t.id IN (SELECT post_id FROM ctx_articles) THEN 'article'
+         WHEN t.id IN (SELECT post_id FROM ctx_transcripts) THEN 'video' ELSE 'knowledge' END AS answer
+  FROM tri t JOIN accepted a ON a.id = t.id
+),
+judged AS (
+  SELECT *,
+    CASE WHEN known THEN 'known'
+         WHEN n % 20 = 5 OR n % 20 = 8 THEN 'failed'
+         WHEN estimated_value = 'skip' THEN 'skipped'
+         WHEN n % 25 IN (10, 14, 16) THEN 'failed' ELSE 'done' END AS fate
+  FROM outcome
+)
+SELECT id AS post_id, CASE WHEN fate = 'failed' THEN 'failed' ELSE 'completed' END AS status,
+       CASE WHEN fate = 'done' THEN answer ELSE 'review' END AS category, fate = 'done' AS has_page
+FROM judged
+"""
+
 # --- step 7: publish, digest, alerts --------------------------------------------------------
 
 _PUB = f"""
@@ -808,7 +830,7 @@ pub AS (
 ),
 pub2 AS (
   SELECT *, CASE WHEN len(tags) > 0 THEN for_you0 ELSE '' END AS for_you,
-         {trunc('flat', 600)} AS summary
+         flat AS summary
   FROM pub
 )"""
 
@@ -868,7 +890,7 @@ WITH {_CTX_ALL},{_ANALYSIS},{_VALIDATED},{_PUB},
 blocks AS (
   SELECT id, list_concat(
     [{_blk('paragraph', "CASE WHEN score >= 9 THEN '🔥🔥🔥' WHEN score >= 7 THEN '🔥🔥' WHEN score >= 4 THEN '🔥' ELSE '' END || ' ' || CAST(CAST(score AS BIGINT) AS VARCHAR) || '/10 • @' || author_username || ' • ' || category", "'https://x.com/' || author_username || '/status/' || id")},
-     {_blk('paragraph', trunc('flat', 600))}],
+     {_blk('paragraph', 'flat')}],
     {_opt_blk("for_you0 IS NOT NULL AND len(tags) > 0", _blk('paragraph', "'💡 ' || for_you0"))},
     [{_blk('divider')}, {_blk('quote', trunc('text', 2000))}],
     list_transform(list_slice(images, 1, 4), lambda u: {_blk('image', url='u')}),
@@ -997,6 +1019,7 @@ ORACLE: dict[str, str] = {
     "stream_ingest": STREAM_INGEST,
     "stream_new_posts": STREAM_NEW_POSTS,
     "stream_weekly": STREAM_WEEKLY,
+    "poll_outcome": POLL_OUTCOME,
     "publish_rows": PUBLISH_ROWS,
     "publish_dedup": PUBLISH_DEDUP,
     "publish_backlog": PUBLISH_BACKLOG,

@@ -1,14 +1,19 @@
 """One poll of saved posts, end to end, as a batch job.
 
     raw JSON -> validate (quarantine) -> batch dedup -> anti-join ledger
-    -> claim versions -> triage (skip branch) -> enrichment joins
-    -> analysis -> output validation (failures: `failed`, retried next poll)
-    -> published check -> page rows -> final ledger versions
-
-All writes are keyed by `batch_id`: the ledger and the page table are
-partitioned by it and written with dynamic partition overwrite, so re-running
-a batch after a failure replaces exactly what that batch wrote.  Versions are
-`(batch_id + 1) << 40` plus the step, above any earlier batch.
+    -> claim versions -> published check -> triage (validated; skip branch)
+    -> enrichment joins -> analysis (rule model or a model fed with prompts)
+    -> output validation -> page rows -> final ledger versions
+
+No post is lost: fetched = skipped + already published + skipped by triage +
+failed + completed.  A post without a valid triage or analysis gets a `failed`
+version and is claimable in the next poll.  Model answers are stored once
+(`stage`), so every later branch sees the same answer.
+
+All writes go to the folder of their `batch_id` and replace it whole, so
+re-running a batch replaces exactly what that batch wrote, also when an answer
+changed or nothing is left to write.  Versions are `(batch_id + 1) << 40` plus
+the step, above any earlier batch.
 """
 
 from __future__ import annotations
@@ -73,93 +78,100 @@ def run_poll(
     now: dt.datetime,
     limit: int | None = None,
     triage_model: Model | None = None,
+    analysis_model: Model | None = None,
     enrich_fn: Callable[[DataFrame], DataFrame] | None = None,
 ) -> dict[str, int]:
-    """Run one poll; returns the run counters."""
+    """Run one poll; returns the run counters.
+
+    `triage_model` maps posts to (id, triage); `analysis_model` maps prompts
+    (id, prompt) to (id, output JSON).  Without them the rule models answer."""
     base = (batch_id + 1) << 40
     posts, quarantine = ingest.ingest(raw)
     if limit is not None:
         posts = ingest.newest(posts, limit)
-    posts = posts.dropDuplicates(["id"])
+    posts = ingest.first_of_batch(posts)
     if enrich_fn is not None:
         posts = posts.transform(enrich_fn)
 
     cur = ledger.current_for(_prior_versions(spark, ledger_path, batch_id), posts)
-
-    flagged = ledger.blocked_flags(posts, cur)
-    new = session.stage(flagged.where(~F.col("blocked")).drop("blocked"))
-    # Built from the staged rows, so the final write does not read the ledger.
+    published = stores.published if stores.published is not None else spark.createDataFrame([], "post_url string")
+    # staged, so the final write does not read the ledger
+    flagged = session.stage(publish.split_published(ledger.blocked_flags(posts, cur), published))
+    new = flagged.where(~F.col("blocked")).drop("blocked")
     claims = _versions(new, "processing", F.lit("review"), F.lit(None), F.lit("{}"), now, base)
-
-    triage = triage_model(new) if triage_model is not None else inference.rule_triage(new, stores.labels)
-    triage = session.stage(triage)
     tweet = new.select("id", _post_struct().alias("tweet"))
-    skipped = triage.where(F.col("triage.estimatedValue") == "skip").join(tweet, "id")
+    known_rows = _versions(
+        new.where("already_published").select("id").join(tweet, "id"), "completed", F.lit("review"), F.lit(None),
+        F.to_json(F.struct("tweet", F.lit(True).alias("alreadyPublished"))), now, base + 1,
+    )
+    todo = new.where(~F.col("already_published")).drop("already_published")
+
+    answers = triage_model(todo) if triage_model is not None else inference.rule_triage(todo, stores.labels)
+    triage = session.stage(
+        answers.where(inference.triage_reason(F.col("triage")).isNull()).join(todo.select("id"), "id", "left_semi")
+    )
+    skip = F.col("triage.estimatedValue") == "skip"
+    skipped, live = triage.where(skip), triage.where(~skip)
     skip_rows = _versions(
-        skipped, "completed", F.lit("review"), F.lit(None),
+        skipped.join(tweet, "id"), "completed", F.lit("review"), F.lit(None),
         F.to_json(F.struct("tweet", "triage", F.lit(True).alias("skipped"))), now, base + 1,
     )
 
-    arts = enrich.fetch_articles(enrich.wanted_from_triage(triage, "needsArticleScrape"), stores.pages)
-    wanted_v = enrich.wanted_from_triage(triage, "needsYoutubeTranscript").withColumn(
-        "video_id", U.video_id("url")
-    )
-    trs = enrich.fetch_transcripts(wanted_v, stores.captions)
-    imgs = enrich.fetch_image_texts(enrich.wanted_from_triage(triage, "needsImageAnalysis"), stores.image_texts)
+    wanted_a = enrich.wanted_from_triage(live, "needsArticleScrape").where(U.is_scrapable("url"))
+    arts = enrich.fetch_articles(wanted_a, stores.pages)
+    wanted_v = enrich.wanted_from_triage(live, "needsYoutubeTranscript").withColumn("video_id", U.video_id("url"))
+    trs = enrich.fetch_transcripts(wanted_v.where(F.col("video_id").isNotNull()), stores.captions)
+    imgs = enrich.fetch_image_texts(enrich.wanted_from_triage(live, "needsImageAnalysis"), stores.image_texts)
     threads = None
     if stores.members is not None:
-        wanted_t = new.join(
-            triage.where(F.col("triage.estimatedValue") != "skip").select(
-                "id", F.col("triage.needsThreadExpansion").alias("wants_thread")
-            ),
-            "id",
-        ).withColumn("is_thread", F.col("is_thread") | F.col("wants_thread"))
-        threads = enrich.expand_threads(wanted_t, stores.members)
-    counts = session.stage(enrich.context_summary(arts, trs, imgs, threads))
-    analysis = inference.rule_analysis(new, triage, counts, stores.labels)
-    outputs = analysis.select("id", F.to_json("analysis").alias("output"))
-    ok, bad = inference.validate_analysis(outputs)
-    ok = session.stage(inference.merge_flags(ok.select("id", "analysis"), counts).join(ok.select("id", "analysis"), "id"))
-    # a post without a usable triage fails too, so no post stays claimed
-    unanswered = new.join(triage.where(F.col("triage.estimatedValue").isNotNull()).select("id"), "id", "left_anti").select("id")
-    failed_rows = _versions(bad.select("id").unionByName(unanswered), "failed", F.lit("review"), F.lit(None), F.lit("{}"), now, base + 1)
-
-    live = new.join(ok.select("id"), "id", "left_semi")
-    published = stores.published if stores.published is not None else spark.createDataFrame([], "post_url string")
-    split = publish.split_published(live, published)
-    rows = publish.publish_rows(split.where(~F.col("already_published")).drop("already_published"), ok, now)
-    publish.write_pages(rows, pages_path, batch_id)
-
-    payload = ok.join(tweet, "id").join(triage, "id")
-    done = payload.join(split.select("id", "already_published"), "id")
-    done_rows = _versions(
-        done,
-        "completed",
-        F.col("analysis.category"),
-        F.when(~F.col("already_published"), F.sha2(F.col("id"), 256)),
-        F.to_json(F.struct("tweet", "triage", "analysis", F.col("already_published").alias("alreadyPublished"))),
-        now,
-        base + 1,
+        wanted_t = todo.join(live.select("id", F.col("triage.needsThreadExpansion").alias("wants")), "id")
+        threads = wanted_t.withColumn("is_thread", F.col("is_thread") | F.col("wants"))
+    thread_counts = None if threads is None else enrich.thread_counts(threads, stores.members)
+    counts = session.stage(enrich.context_summary(arts, trs, imgs, thread_counts))
+    if analysis_model is None:
+        outputs = inference.rule_analysis(todo, triage, counts, stores.labels).select("id", F.to_json("analysis").alias("output"))
+    else:
+        members = None if threads is None else enrich.expand_threads(threads, stores.members)
+        prompts = inference.enriched_prompt(todo, live, arts, trs, imgs, members)
+        outputs = analysis_model(prompts).select("id", "output").join(live.select("id"), "id", "left_semi")
+    ok, _ = inference.validate_analysis(session.stage(outputs))
+    ok = ok.select("id", "analysis")
+    ok = session.stage(inference.merge_flags(ok, counts).join(ok, "id"))
+    # whatever has no valid answer of either model fails, so no post stays claimed
+    answered = skipped.select("id").unionByName(ok.select("id"))
+    failed_rows = _versions(
+        todo.select("id").join(answered, "id", "left_anti"), "failed", F.lit("review"), F.lit(None), F.lit("{}"), now, base + 1
+    )
+    publish.write_pages(publish.publish_rows(todo, ok, now), pages_path, batch_id)
+
+    analysis = (
+        F.col("analysis")
+        .withField("hasArticle", F.col("has_article"))
+        .withField("hasVideo", F.col("has_video"))
+        .withField("hasThread", F.col("has_thread"))
+        .withField("youtubeTranscript", F.col("youtube_transcript"))
+        .withField("articleContent", F.col("article_content"))
+        .withField("imageAnalysis", F.col("image_texts"))
     )
-    batch = claims.unionByName(skip_rows).unionByName(failed_rows).unionByName(done_rows)
-    (
-        batch.withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(ledger_path)
+    done_rows = _versions(
+        ok.join(tweet, "id").join(triage, "id"), "completed", F.col("analysis.category"), F.sha2(F.col("id"), 256),
+        F.to_json(F.struct("tweet", "triage", analysis.alias("analysis"))), now, base + 1,
     )
-    m = flagged.agg(
-        F.count(F.lit(1)).alias("fetched"), F.count_if(F.col("blocked")).alias("skipped")
+    written = f"{ledger_path}/batch_id={batch_id}"
+    batch = claims.unionByName(known_rows).unionByName(skip_rows).unionByName(failed_rows).unionByName(done_rows)
+    batch.write.mode("overwrite").parquet(written)
+
+    final = spark.read.schema(ledger.LEDGER_SCHEMA).parquet(written).where(F.col("version") == base + 1)
+    completed = F.col("status") == "completed"
+    true_in = lambda key: F.coalesce(F.get_json_object("raw_data", f"$.{key}") == "true", F.lit(False))
+    w = final.agg(
+        F.count_if(F.col("status") == "failed").alias("failed"),
+        F.count_if(completed & true_in("skipped")).alias("triage_skipped"),
+        F.count_if(completed & true_in("alreadyPublished")).alias("already_published"),
+        F.count_if(completed & F.col("page_id").isNotNull()).alias("completed"),
     ).first()
-    return {
-        "fetched": m["fetched"],
-        "skipped": m["skipped"],
-        "quarantined": quarantine.count(),
-        "triage_skipped": skip_rows.count(),
-        "failed": failed_rows.count(),
-        "completed": done_rows.count(),
-    }
+    m = flagged.agg(F.count(F.lit(1)).alias("fetched"), F.count_if(F.col("blocked")).alias("skipped")).first()
+    return {**m.asDict(), "quarantined": quarantine.count(), **w.asDict()}
 
 
 def _prior_versions(spark: SparkSession, path: str, batch_id: int) -> DataFrame:

@@ -228,7 +228,7 @@ def video_info_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("doc_id") % 4 == 2, F.lit("n/a"))
         .otherwise(F.concat(n, F.lit(".5")))
     )
-    info = F.concat_ws("|||", F.substring("text", 1, 30), F.col("lang"), duration)
+    info = F.concat_ws("|||", F.col("text"), F.col("lang"), duration)
     return d.select(
         F.substring(F.md5(F.col("doc_id").cast("string")), 1, 11).alias("video_id"),
         F.concat(info, F.lit("\n")).alias("printed"),

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
+from quire.operators import ingest
 from quire.operators import ledger as L
 from quire.session import shared_dir
 
@@ -79,17 +80,13 @@ def claim_stream(
     `ledger_path` (a folder of versions partitioned by batch)."""
 
     def claim_batch(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(["id"])
-        cur = L.current_for(spark.read.schema(L.LEDGER_SCHEMA).parquet(ledger_path), fresh)
+        fresh = ingest.first_of_batch(batch)
+        # a replayed batch doesn't see the claims of its first attempt
+        prior = spark.read.schema(L.LEDGER_SCHEMA + ", batch_id BIGINT").parquet(ledger_path)
+        cur = L.current_for(prior.where(F.col("batch_id") != batch_id).drop("batch_id"), fresh)
         at = batch.agg(F.max("created_at")).first()[0]
         claims = L.claim(fresh, cur, at, version=(batch_id + 1) << 40)
-        (
-            claims.withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(ledger_path)
-        )
+        claims.write.mode("overwrite").parquet(f"{ledger_path}/batch_id={batch_id}")
 
     writer = posts.writeStream.foreachBatch(claim_batch).option("checkpointLocation", checkpoint)
     q = _trigger(writer, interval).start()

@@ -7,7 +7,7 @@ import os
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quire.operators import inference, ingest, ledger, publish
+from quire.operators import enrich, inference, ingest, ledger, publish
 from quire.plans import poll
 from quire.sources import fixtures as fx
 from quire.sources.tables import read
@@ -31,7 +31,7 @@ def test_poll_end_to_end_idempotent(spark, tmp_path):
     lp, pp = str(tmp_path / "ledger"), str(tmp_path / "pages")
     m0 = poll.run_poll(spark, raw, stores(spark), lp, pp, batch_id=0, now=NOW)
     assert m0["skipped"] == 0 and m0["fetched"] > 0
-    assert m0["triage_skipped"] + m0["failed"] + m0["completed"] == m0["fetched"]
+    assert m0["triage_skipped"] + m0["already_published"] + m0["failed"] + m0["completed"] == m0["fetched"]
     cur = ledger.current(ledger.read_ledger(spark, lp))
     st = {r["status"] for r in cur.collect()}
     assert st <= {"completed", "failed"} and "completed" in st
@@ -42,7 +42,7 @@ def test_poll_end_to_end_idempotent(spark, tmp_path):
     assert spark.read.parquet(pp).count() == n_pages
     # the next poll sees everything completed (nothing failed in the rule model)
     m1 = poll.run_poll(spark, raw, stores(spark), lp, pp, batch_id=1, now=NOW)
-    assert m1["skipped"] == m0["completed"] + m0["triage_skipped"]
+    assert m1["skipped"] == m0["completed"] + m0["triage_skipped"] + m0["already_published"]
     # the digest statistics read the ledger the poll wrote
     from quire.operators import stats
     rep = stats.weekly_report(ledger.read_ledger(spark, lp), as_of=NOW).first()
@@ -83,6 +83,41 @@ def test_page_sink_overwrites_own_batch(spark, tmp_path):
     publish.write_pages(rows, p, 1)
     publish.write_pages(rows, p, 0)
     assert spark.read.parquet(p).count() == 4
+    # a retry with a changed category leaves no second page, an empty one none
+    publish.write_pages(rows.withColumn("category", F.lit("fun")), p, 0)
+    assert spark.read.parquet(p).count() == 4
+    publish.write_pages(rows.limit(0), p, 0)
+    assert spark.read.parquet(p).count() == 2
+
+
+def test_poll_stores_the_whole_answer_and_loses_no_post(spark, tmp_path):
+    from quire.plans.catalog import _faulty_analysis, _faulty_triage
+
+    raw = fx.raw_posts_pages(spark, SF)
+    lp, pp = str(tmp_path / "ledger"), str(tmp_path / "pages")
+    m = poll.run_poll(spark, raw, stores(spark), lp, pp, 0, NOW,
+                      triage_model=_faulty_triage(read(spark, SF, "labels")), analysis_model=_faulty_analysis)
+    assert m["failed"] > 0 and m["already_published"] > 0
+    assert m["triage_skipped"] + m["already_published"] + m["failed"] + m["completed"] == m["fetched"]
+    cur = ledger.current(ledger.read_ledger(spark, lp)).collect()
+    assert len(cur) == m["fetched"] and "processing" not in {r["status"] for r in cur}
+    done = [json.loads(r["raw_data"])["analysis"] for r in cur if r["page_id"]]
+    assert all(("articleContent" in a) == a["hasArticle"] and "imageAnalysis" in a for a in done)
+    assert max(len(a.get("articleContent", "")) for a in done) > 0
+    assert any(a["imageAnalysis"] for a in done)
+
+
+def test_thread_counts_equal_expanded_members(spark):
+    members, marks = fx.conversation_members(spark, SF), fx.conversation_bookmarks(spark, SF)
+    want = {r["post_id"]: r["count"] for r in enrich.expand_threads(marks, members).groupBy("post_id").count().collect()}
+    got = {r["post_id"]: r["n"] for r in enrich.thread_counts(marks, members).collect() if r["n"]}
+    assert got == want and want
+
+
+def test_first_of_batch(spark):
+    rows = [("1", NOW, "old"), ("1", NOW + dt.timedelta(1), "new"), ("2", None, "x"), ("2", None, "x")]
+    posts = spark.createDataFrame(rows, "id string, created_at timestamp, text string")
+    assert sorted((r["id"], r["text"]) for r in ingest.first_of_batch(posts).collect()) == [("1", "new"), ("2", "x")]
 
 
 def test_triage_validation(spark):
