@@ -98,11 +98,19 @@ def render(d: Column) -> Column:
 
 def outbox(messages: DataFrame, text_col: str, parse_mode: str, limit: int = fixed.DIGEST_CHUNK) -> DataFrame:
     """Messages -> ordered outbox rows: each text packed into pieces of at
-    most `limit` units, each piece cut at the hard limit."""
-    pieces = messages.select("*", F.posexplode(chunk_lines(text_col, limit)).alias("seq", "piece"))
-    return pieces.select(
+    most `limit` units.  A piece beyond the hard limit (one long line) goes on
+    in further rows, so no text is lost; empty pieces are left out."""
+    cut = fixed.MESSAGE_HARD_CUT
+
+    def rows(piece: Column) -> Column:
+        last = F.floor((F.length(piece) - 1) / cut).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(piece, i * cut + 1, F.lit(cut)))
+
+    pieces = T.with_computed(messages, F.filter(chunk_lines(text_col, limit), lambda p: p != ""), "__pieces")
+    long = pieces.select("*", F.posexplode(F.flatten(F.transform("__pieces", rows))).alias("seq", "__text"))
+    return long.select(
         *[c for c in messages.columns if c != text_col],
         F.col("seq").cast("bigint").alias("seq"),
-        F.substring("piece", 1, fixed.MESSAGE_HARD_CUT).alias("text"),
+        F.col("__text").alias("text"),
         F.lit(parse_mode).alias("parse_mode"),
     )

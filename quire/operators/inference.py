@@ -505,25 +505,17 @@ def legacy_context(posts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
 
 def prompt_stub_model(batch: pd.DataFrame) -> pd.DataFrame:
     """A stand-in triage model for the pandas adapter: reads only the prompt
-    text (links listed, images attached, thread note) and answers with the
-    triage JSON a model would return.  Swap in a real client with the same
-    signature."""
-    import json
-
-    def answer(prompt: str) -> str:
-        has_links = "LINKS FOUND:" in prompt
-        has_images = "image(s) attached" in prompt
-        thread = "part of a thread" in prompt
-        ctype = "thread" if thread else "article_share" if has_links else "image_post" if has_images else "tweet"
-        return json.dumps(
-            {
-                "needsArticleScrape": [],
-                "needsYoutubeTranscript": [],
-                "needsImageAnalysis": [],
-                "needsThreadExpansion": thread,
-                "contentType": ctype,
-                "estimatedValue": "high" if has_links else "medium",
-            }
-        )
-
-    return pd.DataFrame({"id": batch["id"], "output": [answer(p) for p in batch["prompt"]]})
+    text (links listed, images attached, thread note), a whole batch at a time,
+    and answers with the triage JSON a model would return.  Swap in a real
+    client with the same signature."""
+    holds = {name: batch["prompt"].str.contains(mark, regex=False) for name, mark in _PROMPT_MARKS.items()}
+    kind = pd.Series("tweet", index=batch.index).mask(holds["images"], "image_post").mask(holds["links"], "article_share")
+    kind = kind.mask(holds["thread"], "thread")
+    value = pd.Series("medium", index=batch.index).mask(holds["links"], "high")
+    expand = holds["thread"].map({True: "true", False: "false"})
+    lists = '{"needsArticleScrape":[],"needsYoutubeTranscript":[],"needsImageAnalysis":[],"needsThreadExpansion":'
+    output = lists + expand + ',"contentType":"' + kind + '","estimatedValue":"' + value + '"}'
+    return pd.DataFrame({"id": batch["id"], "output": output})
+
+
+_PROMPT_MARKS = {"links": "LINKS FOUND:", "images": "image(s) attached", "thread": "part of a thread"}

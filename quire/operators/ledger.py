@@ -51,24 +51,24 @@ def append_versions(versions: DataFrame, path: str) -> None:
     )
 
 
-def current(versions: DataFrame) -> DataFrame:
-    """Latest version per post id."""
-    latest = versions.groupBy("post_id").agg(
-        F.max(F.struct("version", *PAYLOAD)).alias("v")
-    )
-    return latest.select("post_id", F.col("v.version").alias("version"), *[F.col(f"v.{c}").alias(c) for c in PAYLOAD])
+def current(versions: DataFrame, columns: list[str] = PAYLOAD) -> DataFrame:
+    """Latest version per post id.  Only `columns` are carried through the
+    aggregate and its shuffle; ask for those needed, the stored payload is large."""
+    latest = versions.groupBy("post_id").agg(F.max(F.struct("version", *columns)).alias("v"))
+    return latest.select("post_id", F.col("v.version").alias("version"), *[F.col(f"v.{c}").alias(c) for c in columns])
 
 
-def current_for(versions: DataFrame, posts: DataFrame, id_col: str = "id") -> DataFrame:
+def current_for(versions: DataFrame, posts: DataFrame, id_col: str = "id", columns: list[str] = PAYLOAD) -> DataFrame:
     """Latest version of only the keys present in `posts`.
 
     A poll touches a small batch of ids while the ledger holds all history:
     the versions are first semi-joined with the batch's distinct ids (Spark
     broadcasts that side when its measured size allows), so the per-key
     aggregation and its shuffle cover the batch's keys, not the whole ledger.
+    `columns` are cut before the join, so no payload is shuffled for a status.
     """
     keys = posts.select(F.col(id_col).alias("post_id")).distinct()
-    return current(versions.join(keys, "post_id", "left_semi"))
+    return current(versions.select("post_id", "version", *columns).join(keys, "post_id", "left_semi"), columns)
 
 
 def compact(spark: SparkSession, versions: DataFrame, path: str) -> DataFrame:
@@ -80,7 +80,8 @@ def compact(spark: SparkSession, versions: DataFrame, path: str) -> DataFrame:
 
 def upsert(base: DataFrame, changes: DataFrame) -> DataFrame:
     """Insert-or-replace by post id: newer versions win."""
-    return current(base.unionByName(changes))
+    columns = [c for c in PAYLOAD if c in base.columns]
+    return current(base.unionByName(changes.select(base.columns)), columns)
 
 
 def _status(c: str = "status") -> F.Column:

@@ -77,6 +77,9 @@ def ledger_health(spark, sf_dir):
 # --- step 2: ledger ---------------------------------------------------------------
 
 
+SHOWN = ["processed_at", "category", "status", "page_id"]
+
+
 def _ledger_out(df: DataFrame) -> DataFrame:
     return df.select(
         "post_id", "version", iso("processed_at").alias("processed_at"), "category", "status", "page_id"
@@ -85,7 +88,7 @@ def _ledger_out(df: DataFrame) -> DataFrame:
 
 @query
 def ledger_current(spark, sf_dir):
-    return _ledger_out(ledger.current(fx.ledger_versions(spark, sf_dir)))
+    return _ledger_out(ledger.current(fx.ledger_versions(spark, sf_dir), SHOWN))
 
 
 @query
@@ -94,7 +97,7 @@ def ledger_upsert(spark, sf_dir):
     versions applied on top: equal to the latest over all versions."""
     versions = fx.ledger_versions(spark, sf_dir)
     cutoff = stats.latest_time(versions) - dt.timedelta(days=7)
-    base = ledger.current(versions.where(F.col("processed_at") < F.lit(cutoff)))
+    base = ledger.current(versions.where(F.col("processed_at") < F.lit(cutoff)), SHOWN)
     changes = versions.where(F.col("processed_at") >= F.lit(cutoff))
     return _ledger_out(ledger.upsert(base, changes))
 
@@ -102,7 +105,7 @@ def ledger_upsert(spark, sf_dir):
 @query
 def ledger_release(spark, sf_dir):
     """Stuck claims (status processing) released to failed."""
-    cur = ledger.current(fx.ledger_versions(spark, sf_dir))
+    cur = ledger.current(fx.ledger_versions(spark, sf_dir), ["status"])
     return ledger.release(cur, ledger.locked(cur)).select("post_id", "version", "status")
 
 
@@ -111,14 +114,14 @@ def new_posts(spark, sf_dir):
     """Posts of the batch not blocked by the ledger; only the batch's keys
     are aggregated (semi-join before latest-by-key)."""
     posts = fx.posts_pages(spark, sf_dir)
-    cur = ledger.current_for(fx.ledger_versions(spark, sf_dir), posts)
+    cur = ledger.current_for(fx.ledger_versions(spark, sf_dir), posts, columns=["status"])
     return ledger.new_posts(posts, cur).select("id", "author_username")
 
 
 @query
 def claimable_posts(spark, sf_dir):
     versions = fx.ledger_versions(spark, sf_dir)
-    cur = ledger.current(versions)
+    cur = ledger.current(versions, ["status"])
     at = stats.latest_time(versions)
     claims = ledger.claim(fx.posts_pages(spark, sf_dir), cur, at, version=1 << 40)
     return _ledger_out(claims).withColumn("raw_data", F.lit("{}"))
@@ -126,14 +129,14 @@ def claimable_posts(spark, sf_dir):
 
 @query
 def processed_posts(spark, sf_dir):
-    cur = ledger.current(fx.ledger_versions(spark, sf_dir))
+    cur = ledger.current(fx.ledger_versions(spark, sf_dir), ["status"])
     keys = ledger.processed(cur).withColumnRenamed("post_id", "id")
     return fx.posts_pages(spark, sf_dir).join(keys, "id", "left_semi").select("id")
 
 
 @query
 def locked_posts(spark, sf_dir):
-    return ledger.locked(ledger.current(fx.ledger_versions(spark, sf_dir)))
+    return ledger.locked(ledger.current(fx.ledger_versions(spark, sf_dir), ["status"]))
 
 
 # --- step 3: ingest ---------------------------------------------------------------
@@ -526,7 +529,7 @@ def publish_dedup(spark, sf_dir):
 
 @query
 def publish_backlog(spark, sf_dir):
-    cur = ledger.current(fx.ledger_versions(spark, sf_dir))
+    cur = ledger.current(fx.ledger_versions(spark, sf_dir), SHOWN)
     return publish.backlog(cur).select("post_id", "category", iso("processed_at").alias("processed_at"))
 
 
@@ -558,6 +561,13 @@ def digest_outbox(spark, sf_dir):
     return digest.outbox(_digest(spark, sf_dir)[1], "markdown", "Markdown")
 
 
+@query
+def document_outbox(spark, sf_dir):
+    """Every document as an outgoing message: no text is lost at the limits."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest.outbox(docs, "text", "HTML").select("doc_id", "seq", F.sha2("text", 256).alias("text_sha"), "parse_mode")
+
+
 @query
 def error_alerts(spark, sf_dir):
     return alerts.alerts(fx.errors(spark, sf_dir)).select("event_id", "code", "retryable", "alert_kind", "text")
@@ -568,7 +578,7 @@ def run_metrics(spark, sf_dir):
     """Counters of one poll over all posts: blocked by the ledger, claimed,
     skipped by triage, analysed."""
     posts = fx.posts_pages(spark, sf_dir)
-    cur = ledger.current(fx.ledger_versions(spark, sf_dir))
+    cur = ledger.current(fx.ledger_versions(spark, sf_dir), ["status"])
     t = inference.rule_triage(posts, read(spark, sf_dir, "labels")).select(
         "id", (F.col("triage.estimatedValue") == "skip").alias("triage_skip")
     )
@@ -615,7 +625,7 @@ def stream_weekly(spark, sf_dir):
 @query
 def triage_model(spark, sf_dir):
     """Triage prompts sent through the pandas model adapter (Arrow batches
-    via mapInPandas), answers validated.  Rows-only check: model output."""
+    via mapInPandas), answers validated."""
     prompts = inference.triage_prompt(fx.posts_pages(spark, sf_dir))
     answers = inference.run_model(prompts, inference.prompt_stub_model, "id string, output string")
     ok, bad = inference.validate_triage(answers)

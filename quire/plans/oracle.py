@@ -777,6 +777,14 @@ SELECT id AS post_id,
 FROM posts
 """
 
+TRIAGE_MODEL = f"""
+WITH {POSTS_PAGES}
+SELECT id AS post_id,
+  CASE WHEN is_thread THEN 'thread' WHEN len(urls) > 0 THEN 'article_share' WHEN len(images) > 0 THEN 'image_post' ELSE 'tweet' END AS content_type,
+  CASE WHEN len(urls) > 0 THEN 'high' ELSE 'medium' END AS estimated_value
+FROM posts
+"""
+
 _SEP = _lit(fixed.PROMPT_SECTION_SEP)
 
 ENRICHED_PROMPT = f"""
@@ -941,11 +949,23 @@ SELECT 'Generate a weekly digest for saved posts.' || chr(10) || chr(10) || 'STA
 WHERE (SELECT count(*) FROM week) > 0
 """
 
+def _whole(pieces: str) -> str:
+    """Non-empty pieces, those over 4096 characters going on in further ones."""
+    return f"""flatten(list_transform(list_filter({pieces}, lambda x: x <> ''),
+      lambda x: list_transform(range(0, length(x), 4096), lambda i: substring(x, i + 1, 4096))))"""
+
+
 DIGEST_OUTBOX = f"""
 WITH {WEEK},{_HIGHLIGHTS},{_DIGEST},
 pieces AS (SELECT {chunk_fold('markdown', fixed.DIGEST_CHUNK)} AS p FROM digest)
-SELECT CAST(c.pos - 1 AS BIGINT) AS seq, left(c.piece, 4096) AS text, 'Markdown' AS parse_mode
-FROM pieces, unnest(pieces.p) WITH ORDINALITY AS c(piece, pos)
+SELECT CAST(c.pos - 1 AS BIGINT) AS seq, c.piece AS text, 'Markdown' AS parse_mode
+FROM pieces, unnest({_whole('pieces.p')}) WITH ORDINALITY AS c(piece, pos)
+"""
+
+DOCUMENT_OUTBOX = f"""
+WITH pieces AS (SELECT doc_id, {chunk_fold('text', fixed.DIGEST_CHUNK)} AS p FROM documents)
+SELECT doc_id, CAST(c.pos - 1 AS BIGINT) AS seq, sha256(c.piece) AS text_sha, 'HTML' AS parse_mode
+FROM pieces, unnest({_whole('pieces.p')}) WITH ORDINALITY AS c(piece, pos)
 """
 
 _ICON = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.ERROR_ICONS.items())
@@ -1020,6 +1040,8 @@ ORACLE: dict[str, str] = {
     "stream_new_posts": STREAM_NEW_POSTS,
     "stream_weekly": STREAM_WEEKLY,
     "poll_outcome": POLL_OUTCOME,
+    "triage_model": TRIAGE_MODEL,
+    "document_outbox": DOCUMENT_OUTBOX,
     "publish_rows": PUBLISH_ROWS,
     "publish_dedup": PUBLISH_DEDUP,
     "publish_backlog": PUBLISH_BACKLOG,

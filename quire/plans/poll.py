@@ -93,7 +93,7 @@ def run_poll(
     if enrich_fn is not None:
         posts = posts.transform(enrich_fn)
 
-    cur = ledger.current_for(_prior_versions(spark, ledger_path, batch_id), posts)
+    cur = ledger.current_for(_prior_versions(spark, ledger_path, batch_id), posts, columns=["status"])
     published = stores.published if stores.published is not None else spark.createDataFrame([], "post_url string")
     # staged, so the final write does not read the ledger
     flagged = session.stage(publish.split_published(ledger.blocked_flags(posts, cur), published))

@@ -83,7 +83,7 @@ def claim_stream(
         fresh = ingest.first_of_batch(batch)
         # a replayed batch doesn't see the claims of its first attempt
         prior = spark.read.schema(L.LEDGER_SCHEMA + ", batch_id BIGINT").parquet(ledger_path)
-        cur = L.current_for(prior.where(F.col("batch_id") != batch_id).drop("batch_id"), fresh)
+        cur = L.current_for(prior.where(F.col("batch_id") != batch_id).drop("batch_id"), fresh, columns=["status"])
         at = batch.agg(F.max("created_at")).first()[0]
         claims = L.claim(fresh, cur, at, version=(batch_id + 1) << 40)
         claims.write.mode("overwrite").parquet(f"{ledger_path}/batch_id={batch_id}")

@@ -46,3 +46,16 @@ def test_weekly_stream_over_many_files_equals_batch(spark, tmp_path):
              .select(F.col("window.start").alias("ws"), "category", "count").collect())
     assert streamed == {(r["ws"], r["category"]): r["count"] for r in batch}
     assert len(spark.read.parquet(out).select("batch_id").distinct().collect()) > 1
+
+
+def test_outbox_loses_no_text(spark):
+    from quire.operators import digest
+
+    texts = ["x" * 5000, "", "a\n" + "y" * 9000 + "\nb", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    rows = digest.outbox(df, "text", "HTML").collect()
+    assert all(r["text"] and len(r["text"]) <= 4096 for r in rows)
+    for i, t in enumerate(texts):
+        mine = sorted((r["seq"], r["text"]) for r in rows if r["id"] == i)
+        assert "".join(x for _, x in mine).replace("\n", "") == (t or "").replace("\n", "")
+        assert [n for n, _ in mine] == list(range(len(mine)))
