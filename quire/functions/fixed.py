@@ -112,6 +112,7 @@ ALERT_AUTH = (
     "2. Restart the curation job\n\n"
     "Processing paused until auth is restored."
 )
+STATS_TITLE = "📊 <b>Curation Stats</b>\n\n"
 ERROR_RATE_LIMIT = "Twitter rate limit hit"
 ERROR_UNKNOWN_COMMAND = "bookmarks command not available in the source tool; update it"
 ERROR_NETWORK_PREFIX = "Source tool error: "

@@ -9,10 +9,10 @@ the post asks for (URL, video id, image URL, conversation), joined once:
                             --join on key--> (post, pos, context)
 
 Heavy columns (HTML, VTT) are filtered by the wanted keys before they are
-parsed, and cut to prompt size before the join that fans them out, so the
-shuffle carries bounded rows.  A URL wanted by a third of all posts is a
-skewed join key on the wanted side only (one row per key on the source side);
-AQE splits that partition.
+parsed.  The key set of a batch is measured and broadcast up to a bound
+(`session.measured_keys`), so the stored pages aren't shuffled for that; a
+larger one is a sort-merge join.  A URL wanted by a third of all posts is a
+skewed join key on the wanted side only (one row per key on the source side).
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions import urls as U
 from quire.functions.transcript import clean_vtt
+from quire.session import measured_keys
 
 
 # --- articles ----------------------------------------------------------------------
@@ -32,12 +33,21 @@ def _strip_block(html: Column, tag: str) -> Column:
     return F.regexp_replace(html, rf"(?s)<{tag}[^>]*>.*?</{tag}>", " ")
 
 
+def _meta(html: Column, key: str, value: str) -> Column:
+    """Content of the first `<meta {key}="{value}" content="...">`, the two
+    attributes in either order, or NULL."""
+    tag = rf"(?i)<meta\s[^>]*\b{key}\s*=\s*[\"']{value}[\"'][^>]*>"
+    content = F.regexp_extract(F.regexp_extract(html, tag, 0), r"""(?i)\bcontent\s*=\s*("[^"]*"|'[^']*')""", 1)
+    return T.blank_to_null(T.js_trim(F.substring(content, F.lit(2), F.length(content) - 2)))
+
+
 def parse_articles(pages: DataFrame) -> DataFrame:
     """Stored pages -> url, title, content, excerpt, site.
 
     Content is the text of `<article>` (else `<body>`) with script, style and
     nav blocks removed and tags stripped; the title falls back to the URL
-    title; the site is the host (the pages carry no og:site_name).
+    title; the excerpt is the description of the page's metadata; the site is
+    its og:site_name, else the host.
     """
     html = F.col("html")
     cleaned = _strip_block(_strip_block(_strip_block(html, "script"), "style"), "nav")
@@ -50,8 +60,8 @@ def parse_articles(pages: DataFrame) -> DataFrame:
         "url",
         T.first_present(title, U.url_title("url")).alias("title"),
         "content",
-        F.lit(None).cast("string").alias("excerpt"),
-        U.site_name(F.lit(None).cast("string"), "url").alias("site_name"),
+        _meta(html, "name", "description").alias("excerpt"),
+        U.site_name(_meta(html, "property", "og:site_name"), "url").alias("site_name"),
     )
 
 
@@ -66,7 +76,7 @@ def wanted_articles(posts: DataFrame) -> DataFrame:
 def fetch_articles(wanted: DataFrame, pages: DataFrame) -> DataFrame:
     """Join wanted URLs to stored pages; failed fetches (no page, empty
     content) are dropped.  Only wanted pages are parsed."""
-    keys = wanted.select("url").distinct()
+    keys, _ = measured_keys(wanted.select("url").distinct())
     parsed = parse_articles(pages.join(keys, "url", "left_semi"))
     found = parsed.where(T.blank_to_null("content").isNotNull()).select(
         "url", "title", "content", F.length("content").alias("content_len")
@@ -88,7 +98,7 @@ def wanted_transcripts(posts: DataFrame) -> DataFrame:
 def fetch_transcripts(wanted: DataFrame, vtts: DataFrame) -> DataFrame:
     """Join wanted video ids to stored captions; clean only wanted ones; drop
     empty results."""
-    keys = wanted.select("video_id").distinct()
+    keys, _ = measured_keys(wanted.select("video_id").distinct())
     cleaned = clean_vtt(vtts.join(keys, "video_id", "left_semi"), "vtt", "transcript")
     found = cleaned.where(T.blank_to_null("transcript").isNotNull()).select("video_id", "transcript")
     return wanted.join(found, "video_id")
@@ -103,7 +113,7 @@ def wanted_images(posts: DataFrame) -> DataFrame:
 
 def fetch_image_texts(wanted: DataFrame, image_texts: DataFrame) -> DataFrame:
     """Join wanted image URLs to stored descriptions; empty ones dropped."""
-    keys = wanted.select("url").distinct()
+    keys, _ = measured_keys(wanted.select("url").distinct())
     found = image_texts.join(keys, "url", "left_semi").where(T.blank_to_null("description").isNotNull())
     return wanted.join(found.select("url", "description"), "url")
 

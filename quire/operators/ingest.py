@@ -161,6 +161,19 @@ def read_bookmark_lines(spark, path: str) -> DataFrame:
     return spark.read.text(path).where(F.length("value") > 0).select(F.col("value").alias("raw"))
 
 
+def read_captions(spark, path: str) -> DataFrame:
+    """Caption files under `path`, each read whole: (video_id, vtt).  The id is
+    the file name before its first dot (`<id>.en.vtt`, `<id>.vtt`); in a folder
+    `video_id=<id>` the folder names it.  Blank files give no row."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    where = F.col("_metadata.file_path")
+    folder = F.regexp_extract(where, r"/video_id=([^/]+)/[^/]*$", 1)
+    name = F.regexp_extract(where, r"([^/.]+)[^/]*$", 1)
+    return files.where(F.trim("value") != "").select(
+        F.when(folder != "", folder).otherwise(name).alias("video_id"), F.col("value").alias("vtt")
+    )
+
+
 # --- media extraction from the source's raw entities ---------------------------
 
 

@@ -18,6 +18,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import measured_keys
+
 LEDGER_SCHEMA = (
     "post_id STRING, processed_at TIMESTAMP, category STRING, page_id STRING, "
     "raw_data STRING, status STRING, version BIGINT"
@@ -61,14 +63,24 @@ def current(versions: DataFrame, columns: list[str] = PAYLOAD) -> DataFrame:
 def current_for(versions: DataFrame, posts: DataFrame, id_col: str = "id", columns: list[str] = PAYLOAD) -> DataFrame:
     """Latest version of only the keys present in `posts`.
 
-    A poll touches a small batch of ids while the ledger holds all history:
-    the versions are first semi-joined with the batch's distinct ids (Spark
-    broadcasts that side when its measured size allows), so the per-key
-    aggregation and its shuffle cover the batch's keys, not the whole ledger.
-    `columns` are cut before the join, so no payload is shuffled for a status.
+    A poll touches a small batch of ids while the ledger holds all history.
+    The batch's ids are measured: a small set is broadcast, so only the batch's
+    versions are aggregated and shuffled.  A larger set is met after the
+    aggregate, which has reduced each key per task before the shuffle and shares
+    its partitioning with the join; a hot key is one row per task either way.
+    `columns` are cut first, so no payload is shuffled for a status.
     """
-    keys = posts.select(F.col(id_col).alias("post_id")).distinct()
-    return current(versions.select("post_id", "version", *columns).join(keys, "post_id", "left_semi"), columns)
+    keys, small = measured_keys(posts.select(F.col(id_col).alias("post_id")).distinct())
+    cut = versions.select("post_id", "version", *columns)
+    if small:
+        return current(cut.join(keys, "post_id", "left_semi"), columns)
+    return current(cut, columns).join(keys, "post_id", "left_semi")
+
+
+def ever_failed(versions: DataFrame) -> DataFrame:
+    """Ids (`id`) with a failed version.  With `claim` these are the retries:
+    it drops those whose latest version is no longer a failure."""
+    return versions.where(F.col("status") == "failed").select(F.col("post_id").alias("id")).distinct()
 
 
 def compact(spark: SparkSession, versions: DataFrame, path: str) -> DataFrame:

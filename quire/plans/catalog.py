@@ -284,6 +284,24 @@ def html_escape(spark, sf_dir):
     return d.select("doc_id", T.html_escape("text").alias("escaped"))
 
 
+@query
+def caption_files(spark, sf_dir):
+    """Captions read back from one file a video, then cleaned."""
+    path = S.scratch(spark, "captions")
+    captions = fx.transcripts(spark, sf_dir).where(F.col("vtt").isNotNull())
+    captions.select("video_id", F.col("vtt").alias("value")).write.partitionBy("video_id").text(path)
+    return clean_vtt(ingest.read_captions(spark, path), "vtt", "transcript").select("video_id", "transcript")
+
+
+@query
+def bookmark_files(spark, sf_dir):
+    """Posts read from bookmark files with one JSON post a line, then validated."""
+    path = S.scratch(spark, "bookmarks")
+    fx.raw_posts_pages(spark, sf_dir).select("raw").write.text(path)
+    valid, _ = ingest.ingest(ingest.read_bookmark_lines(spark, path))
+    return _post_out(valid)
+
+
 # --- step 5: enrichment -------------------------------------------------------------
 
 
@@ -586,8 +604,17 @@ def run_metrics(spark, sf_dir):
     return stats.run_counters(flags)
 
 
+@query
+def stats_message(spark, sf_dir):
+    """The statistics message for the day of the newest ledger row."""
+    rows = fx.ledger_rows(spark, sf_dir)
+    return alerts.stats_message(rows, F.to_date(F.lit(stats.latest_time(rows))))
+
+
 # --- step 8: streaming ----------------------------------------------------------------------
 
+STREAM_FILES = 6
+
 
 @query
 def stream_ingest(spark, sf_dir):
@@ -606,19 +633,40 @@ def stream_new_posts(spark, sf_dir):
     path = S.scratch(spark, "claims")
     seed = fx.ledger_versions(spark, sf_dir).withColumn("batch_id", F.lit(-1))
     seed.write.partitionBy("batch_id").parquet(path)
-    pages = S.read_stream(spark, f"{sf_dir}/pages.parquet", "page_id BIGINT, url STRING, html STRING", max_files=1)
-    S.claim_stream(spark, fx.posts_pages(spark, sf_dir, pages), path, path + "-ckpt")
+    return _claims_of_stream(spark, sf_dir, path)
+
+
+def _claims_of_stream(spark, sf_dir, path, **options):
+    """The claims of a stream of all pages in STREAM_FILES micro-batches; a third
+    of the pages comes in a second time."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    files = S.as_files(pages.unionByName(pages.where("page_id % 3 = 0")), path + "-in", STREAM_FILES)
+    stream = S.read_stream(spark, files, "page_id BIGINT, url STRING", max_files=1)
+    S.claim_stream(spark, fx.posts_pages(spark, sf_dir, stream), path, path + "-ckpt", **options)
     out = spark.read.parquet(path).where(F.col("batch_id") >= 0)
     return out.select("post_id", "status", "category")
 
 
+@query
+def stream_retry(spark, sf_dir):
+    """The same stream, every micro-batch taking up failed ledger rows: posts
+    whose latest version is a failure are claimed once, whether they come in
+    again or not."""
+    path = S.scratch(spark, "retries")
+    seed = fx.ledger_versions(spark, sf_dir).withColumn("batch_id", F.lit(-1))
+    seed.write.partitionBy("batch_id").parquet(path)
+    return _claims_of_stream(spark, sf_dir, path, retry_failed=True)
+
+
 @query
 def stream_weekly(spark, sf_dir):
-    """7-day windows by category computed by a stateful streaming aggregate."""
+    """7-day windows by category over micro-batches that each hold rows of all
+    weeks."""
     path = S.scratch(spark, "weekly")
-    events = S.read_stream(spark, f"{sf_dir}/events.parquet", S.EVENT_SCHEMA, max_files=1)
+    files = S.as_files(read(spark, sf_dir, "events"), path + "-in", STREAM_FILES)
+    events = S.read_stream(spark, files, S.EVENT_SCHEMA, max_files=1)
     S.weekly_windows(fx.ledger_rows_of(events), path, path + "-ckpt")
-    w = S.latest_windows(spark, path)
+    w = S.window_totals(spark, path)
     return w.select(iso("window_start").alias("window_start"), iso("window_end").alias("window_end"), "category", "n")
 
 

@@ -973,20 +973,21 @@ _ICON = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.ERROR_ICONS.items())
 ERROR_ALERTS = f"""
 WITH {LEDGER_BASE},
 e AS (
-  SELECT event_id, user_id % 5 <> 0 AS auth_valid,
+  SELECT event_id, user_id % 5 <> 0 AS auth_valid, k % 3 <> 0 AS from_source,
     CASE WHEN k % 4 = 0 THEN 'rate limit exceeded 429' WHEN k % 4 = 1 THEN 'connect ETIMEDOUT <proxy & dns>'
          WHEN k % 4 = 2 THEN 'unknown command "bookmarks"' ELSE 'HTTP 429 from upstream' END AS raw
   FROM ledger_base WHERE event_type = 'error'
 ),
 c AS (
   SELECT *,
-    CASE WHEN contains(raw, 'rate limit') OR contains(raw, '429') THEN 'RATE_LIMIT'
+    CASE WHEN NOT from_source THEN 'UNKNOWN'
+         WHEN contains(raw, 'rate limit') OR contains(raw, '429') THEN 'RATE_LIMIT'
          WHEN contains(raw, 'unknown command') THEN 'UNKNOWN' ELSE 'NETWORK' END AS code
   FROM e
 ),
 m AS (
   SELECT *, code <> 'UNKNOWN' AS retryable,
-    CASE code WHEN 'RATE_LIMIT' THEN {_lit(fixed.ERROR_RATE_LIMIT)} WHEN 'UNKNOWN' THEN {_lit(fixed.ERROR_UNKNOWN_COMMAND)}
+    CASE WHEN NOT from_source THEN raw WHEN code = 'RATE_LIMIT' THEN {_lit(fixed.ERROR_RATE_LIMIT)} WHEN code = 'UNKNOWN' THEN {_lit(fixed.ERROR_UNKNOWN_COMMAND)}
          ELSE {_lit(fixed.ERROR_NETWORK_PREFIX)} || raw END AS message
   FROM c
 )
@@ -1025,6 +1026,23 @@ SELECT id AS post_id, 'processing' AS status, 'review' AS category FROM posts_pa
 WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.post_id = p.id)
 """
 
+STREAM_RETRY = f"""
+WITH {LEDGER_CURRENT},{_BLOCKED},{POSTS_PAGES},
+asked AS (
+  SELECT id AS post_id FROM posts_pages UNION SELECT post_id FROM ledger_current WHERE status = 'failed'
+)
+SELECT post_id, 'processing' AS status, 'review' AS category FROM asked a
+WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.post_id = a.post_id)
+"""
+
+STATS_MESSAGE = f"""
+WITH {LEDGER_ROWS}
+SELECT {_lit(fixed.STATS_TITLE)} || 'Total processed: ' || count(*) || chr(10) || 'Today: '
+       || count(*) FILTER (WHERE CAST(processed_at AS DATE) = (SELECT CAST(max(processed_at) AS DATE) FROM ledger_rows))
+       || chr(10) || 'Errors: ' || count(*) FILTER (WHERE status = 'failed') AS text
+FROM ledger_rows
+"""
+
 STREAM_WEEKLY = f"""
 WITH {LEDGER_ROWS},
 w AS (
@@ -1039,6 +1057,10 @@ ORACLE: dict[str, str] = {
     "stream_ingest": STREAM_INGEST,
     "stream_new_posts": STREAM_NEW_POSTS,
     "stream_weekly": STREAM_WEEKLY,
+    "stream_retry": STREAM_RETRY,
+    "caption_files": TRANSCRIPT_CLEAN,
+    "bookmark_files": INGEST_VALID,
+    "stats_message": STATS_MESSAGE,
     "poll_outcome": POLL_OUTCOME,
     "triage_model": TRIAGE_MODEL,
     "document_outbox": DOCUMENT_OUTBOX,

@@ -76,6 +76,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+# Largest measured size of a key set that is broadcast.
+KEY_BYTES = 32 * 1024 * 1024
+
+
+def measured_keys(keys):
+    """Mark a set of string keys as a broadcast side when its measured size
+    (characters plus 32 bytes a key) is at most KEY_BYTES, so the large side of a
+    semi-join isn't shuffled to meet a small batch.  Returns (keys, is_small)."""
+    from pyspark.sql import functions as F
+
+    size = keys.agg(F.sum(F.octet_length(keys.columns[0]) + 32)).first()[0] or 0
+    return (F.broadcast(keys), True) if size <= KEY_BYTES else (keys, False)
+
+
 def stage(df):
     """Materialise `df` once on the shared checkpoint folder and continue
     from the stored rows (`checkpoint()`, never a local checkpoint).  Used

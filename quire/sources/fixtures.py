@@ -181,6 +181,7 @@ def raw_posts_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         "conv_id",
         "turn",
+        "text",
         F.to_json(
             F.struct(
                 post_id.alias("id"),
@@ -250,6 +251,7 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         F.col("user_id").cast("string").alias("user_id"),
         msg.alias("raw_message"),
+        (k % 3 != 0).alias("from_source"),
         (F.col("user_id") % 5 != 0).alias("auth_valid"),
     )
 
@@ -313,10 +315,7 @@ def conversation_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators.ingest import rejection_reason
 
     raw = raw_posts_conversations(spark, sf_dir).withColumn("__v", F.try_parse_json("raw"))
-    conv = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    checked = raw.select(
-        "conv_id", "turn", "raw", rejection_reason(F.col("__v")).isNull().alias("valid")
-    ).join(conv, ["conv_id", "turn"])
+    checked = raw.select("conv_id", "turn", "text", "raw", rejection_reason(F.col("__v")).isNull().alias("valid"))
     return checked.select(
         F.concat(F.col("conv_id").cast("string"), F.lit("-0")).alias("conversation_id"),
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("member_id"),
@@ -333,9 +332,8 @@ def conversation_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     when it is a valid post."""
     from quire.operators.ingest import ingest
 
-    members = conversation_members(spark, sf_dir)
-    last = members.groupBy("conv_id").agg(F.max("turn").alias("turn"))
-    newest = members.join(last, ["conv_id", "turn"], "left_semi").select("raw")
+    turns = raw_posts_conversations(spark, sf_dir)
+    newest = turns.groupBy("conv_id").agg(F.max_by("raw", F.struct("turn", "raw")).alias("raw")).select("raw")
     posts, _ = ingest(newest)
     return posts
 

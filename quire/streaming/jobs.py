@@ -6,11 +6,12 @@
   ledger (read again in every batch, so claims of batch N block batch N+1)
   and their claim versions appended; a replayed batch overwrites only its own
   `batch_id` partition, so a retry after executor loss writes nothing twice.
-  Rows whose last attempt failed are claimable again (retry), completed and
-  processing rows are not.
-* `weekly_windows`: 7-day tumbling windows by category with a watermark on
-  the processing time; update-mode rows are appended per batch and readers
-  take the newest count per window.
+  Rows whose last attempt failed are claimable again, completed and processing
+  rows are not; with `retry_failed` every batch also takes up failed ledger rows
+  that don't come in again.
+* `weekly_windows`: 7-day tumbling windows by category.  Each batch writes its
+  own counts and readers add them up, so a row counts however late it comes and
+  no state is kept between batches.
 
 Every job runs with `trigger(availableNow=True)` by default (backfill, then
 stop); pass a processing-time interval for a standing poll.  Checkpoints and
@@ -19,6 +20,7 @@ outputs live under the shared `spark.checkpoint.dir`.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return shared_dir(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
 
 
+def as_files(df: DataFrame, path: str, files: int) -> str:
+    """Write `df` as `files` parquet files, the input of a stream of as many
+    micro-batches."""
+    df.repartition(files).write.parquet(path)
+    return path
+
+
 def _trigger(writer, interval: str | None):
     return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
 
@@ -75,18 +84,26 @@ def claim_stream(
     ledger_path: str,
     checkpoint: str,
     interval: str | None = None,
+    retry_failed: bool = False,
 ) -> None:
     """Claim new posts of every micro-batch against the ledger at
-    `ledger_path` (a folder of versions partitioned by batch)."""
+    `ledger_path` (a folder of versions partitioned by batch).  A claim's time
+    is the newest post's of the batch (now, for a batch without posts)."""
 
     def claim_batch(batch: DataFrame, batch_id: int) -> None:
-        fresh = ingest.first_of_batch(batch)
+        # only ids are claimed; the batch is read by three jobs below
+        posts = batch.select("id", "created_at").persist()
+        asked = ingest.first_of_batch(posts).select("id")
         # a replayed batch doesn't see the claims of its first attempt
         prior = spark.read.schema(L.LEDGER_SCHEMA + ", batch_id BIGINT").parquet(ledger_path)
-        cur = L.current_for(prior.where(F.col("batch_id") != batch_id).drop("batch_id"), fresh, columns=["status"])
-        at = batch.agg(F.max("created_at")).first()[0]
-        claims = L.claim(fresh, cur, at, version=(batch_id + 1) << 40)
+        prior = prior.where(F.col("batch_id") != batch_id).drop("batch_id")
+        if retry_failed:
+            asked = asked.unionByName(L.ever_failed(prior)).distinct()
+        cur = L.current_for(prior, asked, columns=["status"])
+        at = posts.agg(F.max("created_at")).first()[0] or dt.datetime.now(dt.timezone.utc)
+        claims = L.claim(asked, cur, at, version=(batch_id + 1) << 40)
         claims.write.mode("overwrite").parquet(f"{ledger_path}/batch_id={batch_id}")
+        posts.unpersist()
 
     writer = posts.writeStream.foreachBatch(claim_batch).option("checkpointLocation", checkpoint)
     q = _trigger(writer, interval).start()
@@ -94,42 +111,23 @@ def claim_stream(
         q.awaitTermination()
 
 
-def weekly_windows(
-    rows: DataFrame,
-    out_path: str,
-    checkpoint: str,
-    watermark: str = "8 days",
-    interval: str | None = None,
-) -> None:
-    """Counts per 7-day window (epoch-aligned) and category."""
-    counts = (
-        rows.withWatermark("processed_at", watermark)
-        .groupBy(F.window("processed_at", f"{fixed.WEEK_DAYS} days"), "category")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def weekly_windows(rows: DataFrame, out_path: str, checkpoint: str, interval: str | None = None) -> None:
+    """Counts per 7-day window (epoch-aligned) and category, in one folder per
+    micro-batch, which a replay replaces."""
 
-    def append(batch: DataFrame, batch_id: int) -> None:
-        (
-            batch.select(
-                F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "category", "n",
-                F.lit(batch_id).alias("batch_id"),
-            )
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(out_path)
-        )
-
-    writer = counts.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", checkpoint)
+    def add(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy(F.window("processed_at", f"{fixed.WEEK_DAYS} days"), "category").agg(F.count(F.lit(1)).alias("n"))
+        counts.select(
+            F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "category", "n"
+        ).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+    writer = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     q = _trigger(writer, interval).start()
     if interval is None:
         q.awaitTermination()
 
 
-def latest_windows(spark: SparkSession, out_path: str) -> DataFrame:
-    """Newest count per (window, category) over all appended batches."""
-    df = spark.read.parquet(out_path)
-    best = df.groupBy("window_start", "window_end", "category").agg(
-        F.max(F.struct("batch_id", "n")).alias("v")
-    )
-    return best.select("window_start", "window_end", "category", F.col("v.n").alias("n"))
+def window_totals(spark: SparkSession, out_path: str) -> DataFrame:
+    """Count per (window, category) over all micro-batches written so far."""
+    parts = spark.read.parquet(out_path)
+    return parts.groupBy("window_start", "window_end", "category").agg(F.sum("n").alias("n"))

@@ -39,8 +39,8 @@ def test_weekly_stream_over_many_files_equals_batch(spark, tmp_path):
 
     out = str(tmp_path / "out")
     ev = S.read_stream(spark, str(src), S.EVENT_SCHEMA, max_files=2)
-    S.weekly_windows(fx.ledger_rows_of(ev), out, out + "-ckpt", watermark="30 days")
-    streamed = {(r["window_start"], r["category"]): r["n"] for r in S.latest_windows(spark, out).collect()}
+    S.weekly_windows(fx.ledger_rows_of(ev), out, out + "-ckpt")
+    streamed = {(r["window_start"], r["category"]): r["n"] for r in S.window_totals(spark, out).collect()}
     batch_rows = fx.ledger_rows_of(spark.read.parquet(str(src)))
     batch = (batch_rows.groupBy(F.window("processed_at", "7 days"), "category").count()
              .select(F.col("window.start").alias("ws"), "category", "count").collect())
@@ -59,3 +59,20 @@ def test_outbox_loses_no_text(spark):
         mine = sorted((r["seq"], r["text"]) for r in rows if r["id"] == i)
         assert "".join(x for _, x in mine).replace("\n", "") == (t or "").replace("\n", "")
         assert [n for n, _ in mine] == list(range(len(mine)))
+
+
+def test_stream_takes_up_failed_rows_once(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    t = dt.datetime(2024, 1, 1)
+    old = [("f", t, "review", None, "{}", "failed", 5), ("g", t, "review", None, "{}", "failed", 1),
+           ("g", t, "review", None, "{}", "completed", 2), ("p", t, "review", None, "{}", "processing", 1)]
+    spark.createDataFrame(old, SCHEMA).write.parquet(ledger + "/batch_id=-1")
+    src = str(tmp_path / "in")
+    for ids in (["a", "p", "a"], ["a", "b", "g"], ["f", "c"]):
+        spark.createDataFrame([(i, t) for i in ids], "id string, created_at timestamp").coalesce(1).write.mode("append").parquet(src)
+    posts = S.read_stream(spark, src, "id string, created_at timestamp", max_files=1)
+    S.claim_stream(spark, posts, ledger, str(tmp_path / "ckpt"), retry_failed=True)
+    got = spark.read.parquet(ledger).where("batch_id >= 0").collect()
+    assert sorted(r["post_id"] for r in got) == ["a", "b", "c", "f"]
+    assert {r["status"] for r in got} == {"processing"}
+    assert {r["batch_id"] for r in got if r["post_id"] == "f"} == {0}

@@ -117,3 +117,40 @@ def test_status_id_takes_the_part_after_status(spark):
     keys = ["https://x.com/a/status/123", "https://x.com/a/status/123?s=20", "https://x.com/a/status/e2e-1/photo/1", "e2e-tweet-123", "77", ""]
     df = spark.createDataFrame([(k,) for k in keys], "k string")
     assert [r[0] for r in df.select(U.status_id("k")).collect()] == ["123", "123", "e2e-1", "e2e-tweet-123", "77", None]
+
+
+def test_errors_from_elsewhere_are_unknown_and_not_retried(spark):
+    df = spark.createDataFrame(
+        [("rate limit 429", True, False), ("rate limit 429", True, True), ("x", True, None), ("x", False, False)],
+        "raw_message string, auth_valid boolean, from_source boolean",
+    )
+    got = [(r["code"], r["retryable"], r["message"], r["alert_kind"]) for r in alerts.alerts(df).collect()]
+    assert got[0] == ("UNKNOWN", False, "rate limit 429", "error") and got[1][:2] == ("RATE_LIMIT", True)
+    assert got[2] == ("UNKNOWN", False, "x", "error") and got[3][3] == "auth_expired"
+
+
+def test_article_excerpt_and_site_from_metadata(spark):
+    from quire.operators.enrich import parse_articles
+
+    head = {
+        "a": """<meta name="description" content="It's short"><meta content='My "Site"' property='og:site_name'/>""",
+        "b": """<meta name="keywords" content="k"><meta name="description" content="  ">""",
+        "c": "",
+    }
+    pages = spark.createDataFrame(
+        [(f"https://h.example/{k}", f"<html><head>{v}</head><body>t</body></html>") for k, v in head.items()], "url string, html string"
+    )
+    got = {r["url"][-1]: (r["excerpt"], r["site_name"]) for r in parse_articles(pages).collect()}
+    assert got == {"a": ("It's short", 'My "Site"'), "b": (None, "h.example"), "c": (None, "h.example")}
+
+
+def test_caption_files_by_name_and_folder(spark, tmp_path):
+    from quire.operators.ingest import read_captions
+
+    (tmp_path / "abc.en.vtt").write_text("WEBVTT\n\nhello")
+    (tmp_path / "12345678901.vtt").write_text("WEBVTT")
+    (tmp_path / "blank.vtt").write_text("  ")
+    (tmp_path / "video_id=00e1").mkdir()
+    (tmp_path / "video_id=00e1" / "part-0.txt").write_text("text")
+    got = {r["video_id"]: r["vtt"] for r in read_captions(spark, str(tmp_path)).collect()}
+    assert got == {"abc": "WEBVTT\n\nhello", "12345678901": "WEBVTT", "00e1": "text"}

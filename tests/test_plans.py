@@ -44,3 +44,25 @@ def test_hot_key_latest_version_is_partially_aggregated(spark):
     hot = cur.where(F.col("post_id") == "hot").first()
     assert hot["version"] == max(i for i in range(n) if i % 3 == 0)
     assert cur.count() == 1 + len([i for i in range(n) if i % 3 != 0])
+
+
+@pytest.mark.parametrize("bound", [1 << 25, 0])
+def test_current_for_meets_a_hot_key_before_the_shuffle(spark, monkeypatch, bound):
+    from quire import session
+
+    monkeypatch.setattr(session, "KEY_BYTES", bound)
+    n = 9000
+    versions = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("post_id"),
+        F.lit("{}").alias("raw_data"), F.lit("completed").alias("status"), F.col("id").alias("version"),
+    )
+    posts = spark.createDataFrame([("hot",), ("1",), ("none",), (None,)], "id string")
+    cur = ledger.current_for(versions, posts, columns=["status"])
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        cur.explain()
+    plan = buf.getvalue()
+    # bottom up, the versions are reduced before anything of theirs is shuffled
+    assert "partial_max" in plan and "raw_data" not in plan
+    assert ("BroadcastHashJoin" in plan) == (bound > 0)
+    assert sorted((r["post_id"], r["version"]) for r in cur.collect()) == [("1", 1), ("hot", n - 3)]
