@@ -649,11 +649,11 @@ def _claims_of_stream(spark, sf_dir, path, **options):
 
 @query
 def stream_retry(spark, sf_dir):
-    """The same stream, every micro-batch taking up failed ledger rows: posts
-    whose latest version is a failure are claimed once, whether they come in
-    again or not."""
+    """The same stream against a ledger of all events, every micro-batch taking
+    up failed ledger rows: they are claimed once, whether they come in again or
+    not."""
     path = S.scratch(spark, "retries")
-    seed = fx.ledger_versions(spark, sf_dir).withColumn("batch_id", F.lit(-1))
+    seed = fx.ledger_rows(spark, sf_dir).withColumn("batch_id", F.lit(-1))
     seed.write.partitionBy("batch_id").parquet(path)
     return _claims_of_stream(spark, sf_dir, path, retry_failed=True)
 

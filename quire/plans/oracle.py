@@ -1027,12 +1027,12 @@ WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.post_id = p.id)
 """
 
 STREAM_RETRY = f"""
-WITH {LEDGER_CURRENT},{_BLOCKED},{POSTS_PAGES},
+WITH {LEDGER_ROWS},{POSTS_PAGES},
 asked AS (
-  SELECT id AS post_id FROM posts_pages UNION SELECT post_id FROM ledger_current WHERE status = 'failed'
+  SELECT id AS post_id FROM posts_pages UNION SELECT post_id FROM ledger_rows WHERE status = 'failed'
 )
 SELECT post_id, 'processing' AS status, 'review' AS category FROM asked a
-WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.post_id = a.post_id)
+WHERE post_id NOT IN (SELECT l.post_id FROM ledger_rows l WHERE l.status <> 'failed')
 """
 
 STATS_MESSAGE = f"""
