@@ -15,6 +15,8 @@ from quire.llm.common import staged, table
 # a passage of about fifty words
 REPEAT_BYTES = 240
 MIN_SCORE = 0.5
+# near copies share this part of their distinct five-word shingles
+NEAR_PERCENT = 80
 
 
 def _columns(docs: DataFrame) -> list:
@@ -31,9 +33,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies; of rows that
-    repeat a doc_id, one.  Documents without a doc_id stay."""
-    report = neardup.near_duplicates(docs)
+    """Keeps the smallest doc_id of each group of near copies (NEAR_PERCENT or
+    more); of rows that repeat a doc_id, one.  Documents without a doc_id stay."""
+    report = neardup.near_duplicates(docs, NEAR_PERCENT)
     lost = report.filter(~F.col("kept")).select("doc_id").distinct()
     first = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
     return first.join(lost, "doc_id", "left_anti").select(*docs.columns)

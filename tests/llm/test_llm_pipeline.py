@@ -58,6 +58,16 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(mix)
 
 
+def test_near_copies_from_four_fifths(spark):
+    base = [f"w{i}" for i in range(200)]
+    edited = lambda k: " ".join(f"edit{k}x{i}" if i % 30 == 15 and i < 30 * k else w for i, w in enumerate(base))
+    # 4 edits: 176 of 216 shingles (0.815); 5 edits: 171 of 221 (0.774)
+    other = lambda t: t.replace("w", "v")
+    rows = [(1, edited(0)), (2, edited(4)), (3, other(edited(0))), (4, other(edited(5)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3, 4}
+
+
 def test_empty_tables(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
