@@ -7,7 +7,8 @@ number of its digests, their XOR, and the XOR of their check values.  Sketches
 of two versions subtract cell by cell: what both have cancels.  Peeling takes a
 cell with one digest left, removes the digest from its other cells, and so on;
 it recovers the differing digests if all cells empty.  If not, both sketches
-are made again with more groups.
+are made again with more groups; a difference too large for the most groups is
+counted from the digests themselves.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from quire.llm.common import staged, table, unstage
 BLOCK = 5
 CELLS = 3 * BLOCK
 ROUNDS = 6
-RETRIES = (4, 16, 64)  # groups of the larger sketches; beyond, likeness is the share of equal cells
+RETRIES = (4, 16, 64)  # groups of the larger sketches; beyond, the digests are intersected
 _BUCKET_ROWS = 256
 _MAX_BUCKETS = 1 << 16
 _FAN = 256
@@ -101,7 +102,8 @@ def written(cells: str, n: str) -> str:
 
 def _with_likeness(df: DataFrame, name: str, a: str, b: str, cells_a: str, cells_b: str) -> DataFrame:
     """Adds `name`: Jaccard similarity of the paragraph sets, from the number of
-    differing digests that peeling recovers."""
+    differing digests that peeling recovers or, if every size fails, from the
+    digests that both have."""
     first = f"element_at(transform(array({peel(difference(cells_a, cells_b))}), s -> if({_empty('s.cells')}, s.found, null)), 1)"
     df = df.withColumn("__d0", F.when(F.expr(f"{cells_a} = {cells_b}"), F.expr("cast(array() as array<bigint>)")).otherwise(F.expr(first)))
     last = "__d0"
@@ -111,9 +113,8 @@ def _with_likeness(df: DataFrame, name: str, a: str, b: str, cells_a: str, cells
         last = f"__d{groups}"
     total = f"(size({a}) + size({b}))"
     found = f"size({last})"
-    # if every size failed: the share of equal cells among those in use
-    used = f"size(filter(zip_with({cells_a}, {cells_b}, (x, y) -> x.c > 0L or y.c > 0L), z -> z))"
-    alike = f"size(filter(zip_with({cells_a}, {cells_b}, (x, y) -> x.c > 0L and x = y), z -> z)) / cast(greatest(1, {used}) as double)"
+    both = f"size(array_intersect({a}, {b}))"
+    alike = f"element_at(transform(array({both}), n -> n / cast({total} - n as double)), 1)"
     value = f"case when {total} = 0 then 1D when {last} is null then {alike} else ({total} - {found}) / cast({total} + {found} as double) end"
     return df.withColumn(name, F.expr(value)).drop("__d0", *[f"__d{g}" for g in RETRIES])
 

@@ -332,6 +332,20 @@ def test_fingerprints(spark, empty, monkeypatch):
     assert iblt.fingerprints(df.filter("doc_id = 200")).first().near_next == 1.0
 
 
+@pytest.mark.parametrize("n", [300, 3000])
+def test_likeness_of_large_differences(spark, n):
+    shared = [f"shared {i}" for i in range(100)]
+    rows = [(1, shared + [f"a {i}" for i in range(n // 2)]), (2, [f"b {i}" for i in range(n // 2)] + shared)]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in iblt.fingerprints(df).collect()}
+    for (i, t), (_, other) in zip(rows, rows[::-1]):
+        t, other = "\n".join(t), "\n".join(other)
+        m = len(t) // 4
+        a, e, b = (set(x.split("\n")) for x in (t, t[: len(t) - m] + other[:m], other))
+        assert abs(got[i].near_next - len(a & b) / len(a | b)) < 1e-12
+        assert abs(got[i].near_edited - len(a & e) / len(a | e)) < 1e-12
+
+
 def test_sketch_recovers_the_difference(spark):
     df = spark.range(1).select(F.expr("transform(sequence(1, 60), x -> xxhash64(x))").alias("a"), F.expr("transform(sequence(8, 66), x -> xxhash64(x))").alias("b"))
     found = F.coalesce(*[F.expr(iblt.differing("a", "b", g)) for g in iblt.RETRIES])
