@@ -33,12 +33,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies (NEAR_PERCENT or
-    more); of rows that repeat a doc_id, one.  Documents without a doc_id stay."""
-    report = neardup.near_duplicates(docs, NEAR_PERCENT)
-    lost = report.filter(~F.col("kept")).select("doc_id").distinct()
-    first = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
-    return first.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the row with the smallest doc_id of each group of near copies
+    (NEAR_PERCENT or more); texts that share a doc_id are judged one by one.  Of
+    rows that repeat doc_id and text, the least by the other columns.  Documents
+    without a doc_id stay."""
+    named = docs.filter("doc_id is not null").withColumn("__key", decontaminate.row_key())
+    report = neardup.near_duplicates(named.select(F.col("__key").alias("doc_id"), "text"), NEAR_PERCENT)
+    ids = named.select("__key", "doc_id").distinct().join(report.select(F.col("doc_id").alias("__key"), "component_id").distinct(), "__key")
+    first = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("m")).select("m.__key")
+    once = named.groupBy("__key").agg(F.min(F.struct(*_columns(docs))).alias("row"))
+    return once.join(first, "__key", "left_semi").select("row.*").unionByName(docs.filter("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

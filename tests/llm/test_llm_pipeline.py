@@ -68,6 +68,15 @@ def test_near_copies_from_four_fifths(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3, 4}
 
 
+def test_repeated_ids_keep_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "s"), (2, b, "s"), (2, a, "s"), (3, c, "t"), (3, c, "s"), (None, a, "s"), (None, a, "s"), (4, None, "s"), (4, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    want = [(1, a, "s"), (2, b, "s"), (3, c, "s"), (None, a, "s"), (None, a, "s"), (4, None, "s"), (4, "", "s")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_empty_tables(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
