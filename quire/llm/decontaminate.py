@@ -68,10 +68,11 @@ def rarest_terms(docs: DataFrame, phrases: DataFrame, limit: int) -> DataFrame:
     return out
 
 
-def postings(docs: DataFrame, terms: DataFrame, width: int, limit: int) -> DataFrame:
+def postings(docs: DataFrame, terms: DataFrame, width: int, limit: int, slop: int = 0) -> DataFrame:
     """The staged index.  A row per occurrence of a wanted term (k, pos, before:
-    words before it in `around`, around: the words within width - 1), and a row
-    per document with k null; both with n_words and the document's row_key."""
+    words before it in `around`, around: the words within width + slop - 1), and
+    a row per document with k null; both with n_words and the document's row_key."""
+    width += slop
     pos, word = F.col("pos"), F.col("word")
     each = _texts(docs).select("doc_id", "row_key", "w", F.posexplode_outer("w").alias("pos", "word"))
     wanted_terms, parts = staged(terms, "dc-terms"), []
@@ -87,13 +88,15 @@ def postings(docs: DataFrame, terms: DataFrame, width: int, limit: int) -> DataF
         parts.append(kept.select("doc_id", "row_key", "n_words", "r.*"))
     out = staged(reduce(DataFrame.unionByName, parts), "dc-postings")
     unstage(wanted_terms)
+    out._width = width
     return out
 
 
 def matches(index: DataFrame, rarest: DataFrame, slop: int | None = None) -> DataFrame:
     """Windows that occur: doc_id, row_key, start, n, phrase, exact.  With a
-    `slop`, windows whose words all lie within n + slop words around the rarest
-    one, in any order, are returned too, with exact false (proximity)."""
+    `slop`, windows whose words, as often as the window has them, all lie in a
+    run of n + slop words that holds the rarest one, in any order, are returned
+    too, with exact false (proximity); the index must reach n + slop - 1 words."""
     found = index.filter("k is not null").join(rarest, "k")
     begin = F.col("before") - F.col("offset")
     # a window that would begin before the text has no place
@@ -102,10 +105,15 @@ def matches(index: DataFrame, rarest: DataFrame, slop: int | None = None) -> Dat
     if slop is None:
         kept = found.filter(exact).withColumn("exact", F.lit(True))
     else:
-        reach = F.floor((F.col("n") + slop) / 2).cast("int")
-        first = F.greatest(F.col("before") - reach, F.lit(0))
-        nearby = F.slice("around", first + 1, F.col("before") - first + 1 + reach)
-        near = F.size(F.array_except(F.split("phrase", " "), nearby)) == 0
+        longest = rarest.agg(F.max("n")).first()[0] or 0
+        if longest + slop > index._width:
+            raise ValueError(f"the index reaches {index._width - 1} words, a slop of {slop} needs {longest + slop - 1}")
+        often = lambda xs: f"size(filter({xs}, x -> x = t))"
+        run, words = f"slice(around, s + 1, n + {slop})", "split(phrase, ' ')"
+        near = F.expr(
+            f"exists(sequence(greatest(before - n - {slop} + 1, 0), before), "
+            f"s -> forall(array_distinct({words}), t -> {often(run)} >= {often(words)}))"
+        )
         kept = found.withColumn("exact", exact).filter(F.col("exact") | near)
     return kept.select("doc_id", "row_key", (F.col("pos") - F.col("offset")).alias("start"), "n", "phrase", "exact")
 

@@ -180,6 +180,23 @@ def test_proximity(spark):
     assert [r[0] for r in near] == [1]
 
 
+def test_proximity_at_any_place(spark):
+    w = [f"t{i}" for i in range(10)]
+    texts = {i: w[:5] + ["new"] + w[5:] for i in range(3)} | {3: w[:9] + ["x"] * 3 + w[9:], 4: ["x"] * 20 + w[:1] + ["x", "x"] + w[1:]}
+    texts[5] = ["t9", "a", "b"]  # needs a twice
+    phrase = {0: " ".join(w), 1: "a t9 a"}
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()] + [(6, "a b a t9"), (7, "t0 " * 40)], "doc_id long, text string")
+    for term in ("t0", "t4", "t9"):
+        rarest = spark.createDataFrame([(p, p.split().index(term), 10 if i == 0 else 3) for i, p in phrase.items() if term in p], "phrase string, offset int, n int")
+        rarest = rarest.withColumn("k", F.xxhash64(F.lit(term)))
+        index = decontaminate.postings(d, rarest.select("k").distinct(), 10, 1 << 20, slop=2)
+        got = {(r.doc_id, r.n) for r in decontaminate.matches(index, rarest, slop=2).collect()}
+        assert got == {(i, 10) for i in (0, 1, 2, 4)} | ({(6, 3)} if term == "t9" else set())
+        short = decontaminate.postings(d, rarest.select("k").distinct(), 10, 1 << 20)
+        with pytest.raises(ValueError):
+            decontaminate.matches(short, rarest, slop=2)
+
+
 # --- 3 near duplicates -------------------------------------------------------
 
 
