@@ -24,12 +24,18 @@ def _columns(docs: DataFrame) -> list:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null or no letter, or a posterior
-    below MIN_SCORE."""
+    """Drops documents without a language: null or no letter, a posterior below
+    MIN_SCORE, or n-grams less likely, on average, than langid.bounds allows for
+    the best language (another language, letter noise)."""
     model = langid.fit(docs.select("lang", "text"))
+    least = langid.bounds(model, docs.select("lang", "text"))
     rows = docs.select(F.struct(*_columns(docs)).alias("row"), "text")
-    found = langid.predict(model, rows)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("row.*")
+    found = langid.predict(model, rows).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    scored = langid.typical(model, found.select("row", F.col("lang_pred").alias("lang"), F.col("row.text").alias("text")))
+    if not least:
+        return docs.limit(0)
+    bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("lang")]
+    return scored.filter(F.col("typical") >= bound).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ multiplies a batch's sparse n-gram counts with the matrix in numpy.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +24,12 @@ ORDERS = (1, 2, 3)
 MAX_LANGUAGES = 256  # 16 MB of matrix at most
 SMOOTHING = 0.5
 UNKNOWN = "und"
+# a text is unlike its language if its mean log probability per n-gram is this
+# many standard deviations of the labelled rows, and this much, below their mean
+SPREADS = 8.0
+MIN_SPREAD = 2.5
 _BLOCK = 1 << 18  # characters taken at once
+_NOT_LETTERS = re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F\d]+")
 _FACTOR = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -140,6 +146,46 @@ def predict(model: Model, rows: DataFrame) -> DataFrame:
     return rows.select("row", F.col("text").cast("string")).mapInArrow(_predictor(shared), f"row {kind}, lang_pred string, score double")
 
 
+def _typical(model: Model, text: str, at_language: int) -> float:
+    """Mean log probability per n-gram; digits and ASCII signs count as a space,
+    so keys and numbers in a text don't weigh."""
+    counts = gram_counts(_NOT_LETTERS.sub(" ", text))
+    at = np.flatnonzero(counts)
+    return float(counts[at] @ model.log_prob[at_language, at] / counts.sum())
+
+
+def _typical_rows(shared) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {x: i for i, x in enumerate(shared.value.languages)}
+        for batch in batches:
+            langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            found = [
+                _typical(shared.value, t, number[x]) if x in number and t and _letters(t) else None for x, t in zip(langs, texts)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["row", "lang", "typical"])
+
+    return run
+
+
+def typical(model: Model, rows: DataFrame) -> DataFrame:
+    """rows (row struct, lang, text) -> row, lang, typical: the text's mean log
+    probability per n-gram in `lang`, null without letters or for a language
+    that was not learned."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.select("row", F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(
+        _typical_rows(shared), f"row {kind}, lang string, typical double"
+    )
+
+
+def bounds(model: Model, labelled: DataFrame) -> dict[str, float]:
+    """Least `typical` of a text of each language, from all labelled rows (lang,
+    text); one number per language goes to the driver."""
+    scores = typical(model, labelled.filter("lang is not null").select(F.struct(F.lit(0).alias("x")).alias("row"), "lang", "text"))
+    found = scores.filter("typical is not null").groupBy("lang").agg(F.avg("typical"), F.stddev_pop("typical")).collect()
+    return {lang: mean - max(MIN_SPREAD, SPREADS * spread) for lang, mean, spread in found}
+
+
 def _bucket_of_five():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 

@@ -58,6 +58,19 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(mix)
 
 
+def test_language_rejects_what_was_not_learned(spark):
+    rng = random.Random(3)
+    make = lambda letters: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    one, two = make("aeioustrn"), make("aeiouklmpv")
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, text(one, 60), "xa") for i in range(30)] + [(30 + i, text(two, 60), "xb") for i in range(30)]
+    rows += [(60, text(one, 5), None), (61, text(two, 300), None), (62, "token 9f81 77 " + text(one, 8) + " 123-456-789", None)]
+    rows += [(70, text(make("bcdfghjqwxyz"), 60), None), (71, "".join(rng.choice("bcdfghjqwxyz ") for _ in range(400)), None)]
+    rows += [(72, "это русский текст который не был выучен", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == set(range(63))
+
+
 def test_near_copies_from_four_fifths(spark):
     base = [f"w{i}" for i in range(200)]
     edited = lambda k: " ".join(f"edit{k}x{i}" if i % 30 == 15 and i < 30 * k else w for i, w in enumerate(base))
