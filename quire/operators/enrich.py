@@ -9,9 +9,9 @@ the post asks for (URL, video id, image URL, conversation), joined once:
                             --join on key--> (post, pos, context)
 
 Heavy columns (HTML, VTT) are filtered by the wanted keys before they are
-parsed.  The key set of a batch is measured and broadcast up to a bound
-(`session.measured_keys`), so the stored pages aren't shuffled for that; a
-larger one is a sort-merge join.  A URL wanted by a third of all posts is a
+parsed.  The key set of a batch is measured and broadcast up to a bound; beyond
+it a Bloom filter over the keys is broadcast instead, so that of the stored pages
+hardly more than the wanted ones are shuffled (`keyfilter`).  A URL wanted by a third of all posts is a
 skewed join key on the wanted side only (one row per key on the source side).
 """
 
@@ -23,8 +23,13 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions import urls as U
 from quire.functions.transcript import clean_vtt
+from quire.operators.keyfilter import wanted_rows
 from quire.session import measured_keys
 
+# A conversation with more members than HOT_MEMBERS is spread over SALTS tasks.
+HOT_MEMBERS = 10_000
+SALTS = 32
+
 
 # --- articles ----------------------------------------------------------------------
 
@@ -76,8 +81,7 @@ def wanted_articles(posts: DataFrame) -> DataFrame:
 def fetch_articles(wanted: DataFrame, pages: DataFrame) -> DataFrame:
     """Join wanted URLs to stored pages; failed fetches (no page, empty
     content) are dropped.  Only wanted pages are parsed."""
-    keys, _ = measured_keys(wanted.select("url").distinct())
-    parsed = parse_articles(pages.join(keys, "url", "left_semi"))
+    parsed = parse_articles(wanted_rows(pages, wanted, "url"))
     found = parsed.where(T.blank_to_null("content").isNotNull()).select(
         "url", "title", "content", F.length("content").alias("content_len")
     )
@@ -98,8 +102,7 @@ def wanted_transcripts(posts: DataFrame) -> DataFrame:
 def fetch_transcripts(wanted: DataFrame, vtts: DataFrame) -> DataFrame:
     """Join wanted video ids to stored captions; clean only wanted ones; drop
     empty results."""
-    keys, _ = measured_keys(wanted.select("video_id").distinct())
-    cleaned = clean_vtt(vtts.join(keys, "video_id", "left_semi"), "vtt", "transcript")
+    cleaned = clean_vtt(wanted_rows(vtts, wanted, "video_id"), "vtt", "transcript")
     found = cleaned.where(T.blank_to_null("transcript").isNotNull()).select("video_id", "transcript")
     return wanted.join(found, "video_id")
 
@@ -113,8 +116,7 @@ def wanted_images(posts: DataFrame) -> DataFrame:
 
 def fetch_image_texts(wanted: DataFrame, image_texts: DataFrame) -> DataFrame:
     """Join wanted image URLs to stored descriptions; empty ones dropped."""
-    keys, _ = measured_keys(wanted.select("url").distinct())
-    found = image_texts.join(keys, "url", "left_semi").where(T.blank_to_null("description").isNotNull())
+    found = wanted_rows(image_texts, wanted, "url").where(T.blank_to_null("description").isNotNull())
     return wanted.join(found.select("url", "description"), "url")
 
 
@@ -132,16 +134,30 @@ def valid_threads(members: DataFrame) -> DataFrame:
     )
 
 
-def expand_threads(bookmarks: DataFrame, members: DataFrame) -> DataFrame:
+def expand_threads(bookmarks: DataFrame, members: DataFrame, hot: int = HOT_MEMBERS, salts: int = SALTS) -> DataFrame:
     """Other members of each bookmark's thread, in thread order.
 
     `members` has (conversation_id, member_id, turn, text, valid).  The join
     is bookmark x members of its conversation, excluding the bookmark itself;
     each conversation is met by the bookmarks in it, not paired with itself.
+
+    Conversations are counted first (partial aggregates).  Their members aren't
+    shuffled by conversation alone: those of a conversation with more than `hot`
+    members are dealt to `salts` tasks by their id, and its bookmarks go to each.
+    The hot conversations are at most one for `hot` members; where their ids aren't
+    small when measured, they meet the members by a shuffle join instead.
     """
-    ok = members.join(valid_threads(members), "conversation_id", "left_semi")
-    b = bookmarks.where(F.col("is_thread")).select(F.col("id").alias("post_id"), "conversation_id")
-    return b.join(ok, "conversation_id").where(F.col("member_id") != F.col("post_id"))
+    sizes = members.groupBy("conversation_id").agg(F.bool_and(F.col("valid")).alias("__ok"), F.count(F.lit(1)).alias("__size"))
+    fan = F.when(F.col("__size") > hot, salts).otherwise(1)
+    b = (
+        bookmarks.where(F.col("is_thread")).select(F.col("id").alias("post_id"), "conversation_id")
+        .join(sizes.where("__ok").select("conversation_id", fan.alias("__fan")), "conversation_id")
+        .select("post_id", "conversation_id", F.explode(F.sequence(F.lit(0), F.col("__fan") - 1)).alias("__salt"))
+    )
+    heavy, _ = measured_keys(sizes.where(F.col("__size") > hot).select("conversation_id"))
+    salt = F.when(F.col("__heavy"), F.pmod(F.hash("member_id"), F.lit(salts))).otherwise(0)
+    m = members.join(heavy.withColumn("__heavy", F.lit(True)), "conversation_id", "left").withColumn("__salt", salt).drop("__heavy")
+    return b.join(m, ["conversation_id", "__salt"]).where(F.col("member_id") != F.col("post_id")).drop("__salt")
 
 
 def thread_counts(bookmarks: DataFrame, members: DataFrame) -> DataFrame:

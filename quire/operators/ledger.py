@@ -42,6 +42,24 @@ def create_ledger(spark: SparkSession, table: str, path: str) -> None:
     )
 
 
+def append_bucketed(versions: DataFrame, table: str, path: str, buckets: int) -> None:
+    """Append versions to a table bucketed by post id and sorted by id and version
+    (made if absent).  Latest-by-key and the joins on the id then read a bucket's
+    rows where they lie: nothing of the ledger is shuffled, however long its
+    history, and the other side of a join is dealt to the buckets.  Rows are dealt
+    out before the write, so an append adds one file a bucket."""
+    (
+        versions.repartition(buckets, "post_id")
+        .sortWithinPartitions("post_id", "version")
+        .write.format("parquet")
+        .bucketBy(buckets, "post_id")
+        .sortBy("post_id", "version")
+        .option("path", path)
+        .mode("append")
+        .saveAsTable(table)
+    )
+
+
 def append_versions(versions: DataFrame, path: str) -> None:
     """Append versions, partitioned by day (idempotent per batch when the
     caller derives `version` from the batch)."""

@@ -670,6 +670,71 @@ def stream_weekly(spark, sf_dir):
     return w.select(iso("window_start").alias("window_start"), iso("window_end").alias("window_end"), "category", "n")
 
 
+@query
+def stream_dedup(spark, sf_dir):
+    """Saved posts in the order they come in, some of them again within two hours
+    and some long after: what the state store lets through."""
+    path = S.scratch(spark, "dedup")
+    files = S.as_slices(fx.saves(spark, sf_dir), path + "-in", "created_at", STREAM_FILES)
+    saved = S.read_stream(spark, files, "id STRING, created_at TIMESTAMP", max_files=1)
+    S.append_files(S.first_within(saved, "2 hours"), path, path + "-ckpt")
+    return spark.read.parquet(path).select(F.col("id").alias("post_id"), iso("created_at").alias("saved_at"))
+
+
+@query
+def stream_weekly_watermark(spark, sf_dir):
+    """Weeks closed by a watermark of two days over events of which some come in
+    fifteen days late: the counts given out, and the late rows."""
+    path = S.scratch(spark, "closed")
+    files = S.as_slices(fx.arrivals(spark, sf_dir), path + "-in", "arrived", STREAM_FILES)
+    rows = fx.ledger_rows_of(S.read_stream(spark, files, S.EVENT_SCHEMA, max_files=1))
+    S.weekly_closed(rows, path, path + "-ckpt", "2 days")
+    S.late_counts(spark, rows, path + "-late", path + "-late-ckpt", "2 days")
+    late = spark.read.parquet(path + "-late/late").groupBy("window_start", "category").agg(F.sum("n").alias("n"))
+    shown = ["kind", "window_start", "category", "n"]
+    closed = spark.read.parquet(path).withColumn("kind", F.lit("closed")).select(*shown)
+    both = closed.unionByName(late.withColumn("kind", F.lit("late")).select(*shown))
+    return both.withColumn("window_start", iso("window_start"))
+
+
+@query
+def stream_digests(spark, sf_dir):
+    """Events streamed into the ledger, and from there a digest for every week that
+    closes: the outbox."""
+    path = S.scratch(spark, "digests")
+    events = S.read_stream(spark, f"{sf_dir}/events.parquet", S.EVENT_SCHEMA, max_files=1)
+    S.ingest_to_ledger(fx.ledger_rows_of(events), path + "/ledger", path + "/ledger-ckpt")
+    S.weekly_digests(spark, path + "/ledger", path + "/outbox", path + "/ckpt", "1 day", max_files=12)
+    out = spark.read.schema("seq BIGINT, text STRING, parse_mode STRING, week STRING").parquet(path + "/outbox")
+    return out.select("week", "seq", "text", "parse_mode")
+
+
+@query
+def stream_quarantine(spark, sf_dir):
+    """Raw post texts streamed as lines `page id, tab, post`, validated with two
+    sinks: the quarantine."""
+    path = S.scratch(spark, "raw")
+    lines = fx.raw_posts_pages(spark, sf_dir).select(F.concat(F.col("page_id").cast("string"), F.lit("\t"), "raw").alias("value"))
+    lines.repartition(STREAM_FILES).write.text(path + "-in")
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).option("lineSep", "\n").text(path + "-in")
+    at = F.instr("value", "\t")
+    raw = stream.select(F.substring("value", F.lit(1), at - 1).cast("bigint").alias("page_id"), F.expr("substring(value, instr(value, '\t') + 1)").alias("raw"))
+    S.ingest_stream(raw, path, path + "-ckpt")
+    return spark.read.parquet(path + "/quarantine").select("page_id", "reason")
+
+
+@query
+def new_posts_bucketed(spark, sf_dir):
+    """Posts of the batch not blocked by a ledger stored in buckets: its versions
+    are aggregated and joined without a shuffle."""
+    path = S.scratch(spark, "buckets")
+    table = "quire_ledger_" + path[-12:]
+    versions = fx.ledger_versions(spark, sf_dir).drop("raw_data")
+    ledger.append_bucketed(versions, table, path, buckets=16)
+    cur = ledger.current(spark.table(table), ["status"])
+    return ledger.new_posts(fx.posts_pages(spark, sf_dir), cur).select("id", "author_username")
+
+
 @query
 def triage_model(spark, sf_dir):
     """Triage prompts sent through the pandas model adapter (Arrow batches

@@ -1053,7 +1053,96 @@ SELECT {iso('ws')} AS window_start, {iso('ws + INTERVAL 7 DAY')} AS window_end,
 FROM w GROUP BY ws, category
 """
 
+STREAM_DEDUP = f"""
+WITH saves AS (
+  SELECT page_id, 0 AS h FROM pages
+  UNION ALL SELECT page_id, 1 FROM pages WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id, 200 FROM pages WHERE page_id % 5 = 0
+),
+timed AS (SELECT page_id, h, page_id + h AS hour FROM saves),
+bounds AS (SELECT min(hour) * 3600 AS lo, max(hour) * 3600 AS hi FROM timed),
+sliced AS (SELECT *, ((hour * 3600 - lo) * 6) // (hi - lo + 1) AS slice FROM timed, bounds),
+batched AS (SELECT page_id, h, hour, dense_rank() OVER (ORDER BY slice) AS b FROM sliced),
+newest AS (SELECT b, max(max(hour)) OVER (ORDER BY b) AS m FROM batched GROUP BY b)
+SELECT CAST(page_id AS VARCHAR) AS post_id, {iso("(TIMESTAMP '2024-01-01 00:00:00' + to_hours(hour))")} AS saved_at
+FROM batched s LEFT JOIN newest n ON n.b = s.b - 2
+-- a key is forgotten two hours after it passed, by the watermark (newest less two
+-- hours) of the batches before the last one
+WHERE h = 0 OR (h = 200 AND n.m - 2 >= page_id + 2)
+"""
+
+STREAM_WEEKLY_WATERMARK = f"""
+WITH arrived AS (
+  SELECT event_type AS category, ts, ts + CASE WHEN event_id % 20 = 0 THEN INTERVAL 15 DAY ELSE INTERVAL 0 DAY END AS came FROM events
+),
+bounds AS (SELECT min(CAST(floor(epoch(came)) AS BIGINT)) AS lo, max(CAST(floor(epoch(came)) AS BIGINT)) AS hi FROM arrived),
+sliced AS (SELECT category, ts, ((CAST(floor(epoch(came)) AS BIGINT) - lo) * 6) // (hi - lo + 1) AS slice FROM arrived, bounds),
+batched AS (
+  SELECT category, ts, dense_rank() OVER (ORDER BY slice) AS b,
+         time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01 00:00:00') AS ws
+  FROM sliced
+),
+newest AS (SELECT b, max(max(ts)) OVER (ORDER BY b) AS m FROM batched GROUP BY b),
+told AS (
+  SELECT r.category, r.ws,
+         CASE WHEN r.ws + INTERVAL 7 DAY <= n.m - INTERVAL 2 DAY THEN 'late'
+              WHEN r.ws + INTERVAL 7 DAY <= (SELECT max(m) FROM newest) - INTERVAL 2 DAY THEN 'closed' END AS kind
+  FROM batched r LEFT JOIN newest n ON n.b = r.b - 2
+)
+SELECT kind, {iso('ws')} AS window_start, category, CAST(count(*) AS BIGINT) AS n FROM told WHERE kind IS NOT NULL GROUP BY ALL
+"""
+
+STREAM_DIGESTS = f"""
+WITH {LEDGER_ROWS},
+weeks AS (
+  SELECT post_id, processed_at, category, {ANALYSIS_COLS},
+         time_bucket(INTERVAL 7 DAY, processed_at, TIMESTAMP '1970-01-01 00:00:00') AS ws
+  FROM ledger_rows
+),
+closed AS (
+  SELECT DISTINCT ws FROM weeks WHERE ws + INTERVAL 7 DAY <= (SELECT max(processed_at) FROM ledger_rows) - INTERVAL 1 DAY
+),
+dcats AS (
+  SELECT ws, category, count(*) AS n, row_number() OVER (PARTITION BY ws ORDER BY count(*) DESC, category) AS place
+  FROM weeks GROUP BY ws, category
+),
+dtot AS (SELECT ws, sum(n) AS total, count(*) AS ncat FROM dcats GROUP BY ws),
+patterns AS (
+  SELECT ws, string_agg('- ' || category || ': ' || CAST(n AS VARCHAR) || ' posts', chr(10) ORDER BY place) AS t
+  FROM dcats WHERE place <= 3 GROUP BY ws
+),
+hl AS (
+  SELECT * FROM (
+    SELECT ws, category, coalesce(summary, '') AS summary,
+           row_number() OVER (PARTITION BY ws ORDER BY processed_at DESC, post_id DESC) AS rank
+    FROM weeks WHERE score >= 8)
+  WHERE rank <= 10
+),
+picks AS (
+  SELECT ws, string_agg('- **' || summary || '**' || chr(10) || '  _high score in ' || category || '_', chr(10) ORDER BY rank) AS t
+  FROM hl WHERE rank <= 3 GROUP BY ws
+),
+recs AS (SELECT ws, string_agg('- Revisit: ' || summary, chr(10) ORDER BY rank) AS t FROM hl GROUP BY ws),
+made AS (
+  SELECT c.ws,
+    {_lit(fixed.DIGEST_TITLE)}
+    || printf('%d posts saved this week across %d categories.', d.total, d.ncat)
+    || coalesce({_lit(fixed.DIGEST_TOP_PICKS)} || k.t, '')
+    || {_lit(fixed.DIGEST_PATTERNS)} || p.t
+    || coalesce({_lit(fixed.DIGEST_RECOMMENDATIONS)} || r.t, '') AS markdown
+  FROM closed c JOIN dtot d USING (ws) JOIN patterns p USING (ws) LEFT JOIN picks k USING (ws) LEFT JOIN recs r USING (ws)
+),
+pieces AS (SELECT ws, {chunk_fold('markdown', fixed.DIGEST_CHUNK)} AS p FROM made)
+SELECT strftime(ws, '%Y-%m-%d') AS week, CAST(c.pos - 1 AS BIGINT) AS seq, c.piece AS text, 'Markdown' AS parse_mode
+FROM pieces, unnest({_whole('pieces.p')}) WITH ORDINALITY AS c(piece, pos)
+"""
+
 ORACLE: dict[str, str] = {
+    "stream_dedup": STREAM_DEDUP,
+    "stream_weekly_watermark": STREAM_WEEKLY_WATERMARK,
+    "stream_digests": STREAM_DIGESTS,
+    "stream_quarantine": INGEST_QUARANTINE,
+    "new_posts_bucketed": NEW_POSTS,
     "stream_ingest": STREAM_INGEST,
     "stream_new_posts": STREAM_NEW_POSTS,
     "stream_weekly": STREAM_WEEKLY,

@@ -346,3 +346,26 @@ def image_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     media = extract_media(raw_media_entities(spark, sf_dir)).select(F.explode("media").alias("m")).select("m.*")
     return render(rule_image_model(media))
+
+
+# --- streams ------------------------------------------------------------------------
+
+
+def saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts as they are saved (id, created_at = time of the save): every page at
+    its hour, every third again an hour later, every fifth again 200 hours later."""
+    p = read(spark, sf_dir, "pages").select("page_id")
+    hours = F.array_compact(
+        F.array(F.lit(0), F.when(F.col("page_id") % 3 == 0, F.lit(1)), F.when(F.col("page_id") % 5 == 0, F.lit(200)))
+    )
+    return p.select("page_id", F.explode(hours).alias("h")).select(
+        F.col("page_id").cast("string").alias("id"),
+        F.timestamp_seconds(F.lit(EPOCH_2024) + (F.col("page_id") + F.col("h")) * 3600).alias("created_at"),
+    )
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the time they come in: their own, but 15 days later for every
+    twentieth."""
+    late = F.when(F.col("event_id") % 20 == 0, F.expr("interval 15 days")).otherwise(F.expr("interval 0 days"))
+    return read(spark, sf_dir, "events").withColumn("arrived", F.col("ts") + late)
