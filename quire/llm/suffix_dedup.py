@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import staged, table, unstage
@@ -37,6 +37,7 @@ from quire.llm.deepshallow import repeated_offsets
 
 K = 16  # bytes of a k-gram
 HOT = 512
+HOT_SHARE = 1000
 _BLOCK = 1 << 19
 _rng = np.random.default_rng(60_221_407)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -91,7 +92,7 @@ def _signed(x: int) -> int:
 
 
 _ANCHORS = "array<struct<key:long,at:int,low:int,high:int>>"
-_INDEX = f"doc_id long, d1 long, d2 long, n_bytes long, sha256 string, anchors {_ANCHORS}"
+_INDEX = f"doc_id long, d1 long, d2 long, n_words long, anchors {_ANCHORS}"
 
 
 def _index(min_bytes: int) -> Callable:
@@ -100,12 +101,11 @@ def _index(min_bytes: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, sha, bounds = [], [], [0]
+            n_words, bounds = [], [0]
             keys, ats, lows, highs = [], [], [], []
             for text in batch.column(3).to_pylist():
                 data = text.encode("utf-8", "surrogatepass") if text else b""
-                size.append(len(data))
-                sha.append(hashlib.sha256(data).hexdigest())
+                n_words.append(len(data.split()))
                 at, low, high = anchors(data, min_bytes)
                 view = memoryview(data)
                 keys += [_signed(xxhash.xxh3_64_intdigest(view[a : a + core])) for a in at.tolist()]
@@ -116,9 +116,9 @@ def _index(min_bytes: int) -> Callable:
             flat = [np.concatenate(x).astype(np.int32) if x else np.empty(0, np.int32) for x in (ats, lows, highs)]
             rows = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), *map(pa.array, flat)], fields=list(kind.value_type))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(sha),
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(n_words, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows)],
-                names=["doc_id", "d1", "d2", "n_bytes", "sha256", "anchors"],
+                names=["doc_id", "d1", "d2", "n_words", "anchors"],
             )
 
     return run
@@ -223,33 +223,36 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
-        for x, y, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            data = text.encode("utf-8", "surrogatepass")
-            runs = merged([(r["s"], r["e"]) for r in spans])
-            kept, characters, at = [], [], 0
-            for s, e in [*runs, (len(data), len(data))]:
-                kept.append(data[at:s])
-                # the text keeps a character of which a byte is kept
-                while at < s and at > 0 and data[at] & 0xC0 == 0x80:
-                    at -= 1
-                end = s
-                while at < end < len(data) and data[end] & 0xC0 == 0x80:
-                    end += 1
-                characters.append(data[at:end])
-                at = e
-            digest = hashlib.sha256()
-            for part in kept:
-                digest.update(part)
-            row = (x, y, sum(e - s for s, e in runs), len(runs), digest.hexdigest(), b"".join(characters).decode("utf-8", "surrogatepass"))
-            for column, value in zip(out, row):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
-            names=["d1", "d2", "n_removed", "n_spans", "kept_sha256", "kept_text"],
-        )
+def _cut(min_words: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], []]
+            for x, y, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                data = text.encode("utf-8", "surrogatepass")
+                runs = [(s, e) for s, e in merged([(r["s"], r["e"]) for r in spans]) if not min_words or len(data[s:e].split()) >= min_words]
+                kept, characters, at = [], [], 0
+                for s, e in [*runs, (len(data), len(data))]:
+                    kept.append(data[at:s])
+                    # the text keeps a character of which a byte is kept
+                    while at < s and at > 0 and data[at] & 0xC0 == 0x80:
+                        at -= 1
+                    end = s
+                    while at < end < len(data) and data[end] & 0xC0 == 0x80:
+                        end += 1
+                    characters.append(data[at:end])
+                    at = e
+                digest = hashlib.sha256()
+                for part in kept:
+                    digest.update(part)
+                row = (x, y, sum(e - s for s, e in runs), len(runs), digest.hexdigest(), b"".join(characters).decode("utf-8", "surrogatepass"))
+                for column, value in zip(out, row):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
+                names=["d1", "d2", "n_removed", "n_spans", "kept_sha256", "kept_text"],
+            )
+
+    return run
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -260,16 +263,16 @@ def _identified(docs: DataFrame) -> DataFrame:
     )
 
 
-def repeats(docs: DataFrame, min_bytes: int = 400) -> tuple[DataFrame, DataFrame]:
-    """(index, cut): the staged index has a row per document (doc_id, d1, d2,
-    n_bytes, sha256, copies: documents with the same text); cut has a row per
-    text that loses bytes but has no exact copy: d1, d2, n_removed, n_spans,
-    kept_sha256, kept_text."""
+def repeats(docs: DataFrame, min_bytes: int = 400, min_words: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(texts, cut): texts has a row per different text of `min_bytes` or more (d1,
+    d2, n_words, copies: documents with this text); cut has a row per text that
+    loses bytes but has no exact copy: d1, d2, n_removed, n_spans, kept_sha256,
+    kept_text.  Covered runs of fewer than `min_words` words stay."""
     named = _identified(docs)
     index = staged(named.select("doc_id", "d1", "d2", "text").mapInArrow(_index(min_bytes), _INDEX), "sd-index")
     texts = staged(
         index.filter("size(anchors) > 0").groupBy("d1", "d2")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("anchors").alias("anchors")),
+        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("anchors").alias("anchors")),
         "sd-texts",
     )
     rows = texts.select("d1", "d2", "rep", F.explode("anchors").alias("r")).select("d1", "d2", "rep", "r.*")
@@ -302,48 +305,74 @@ def repeats(docs: DataFrame, min_bytes: int = 400) -> tuple[DataFrame, DataFrame
     )
     cut = staged(
         holders.select("d1", "d2", "text").dropDuplicates(["d1", "d2"]).join(lists, ["d1", "d2"])
-        .mapInArrow(_cut, "d1 long, d2 long, n_removed long, n_spans long, kept_sha256 string, kept_text string"),
+        .mapInArrow(_cut(min_words), "d1 long, d2 long, n_removed long, n_spans long, kept_sha256 string, kept_text string"),
         "sd-cut",
     )
-    for old in (holders, spans, hot, twice):
+    for old in (index, holders, spans, hot, twice):
         unstage(old)
-    whole = texts.filter("copies > 1").select("d1", "d2", "copies")
-    out = index.select("doc_id", "d1", "d2", "n_bytes", "sha256").join(whole, ["d1", "d2"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    return out, cut
+    return texts.select("d1", "d2", "n_words", "copies"), cut
+
+
+def _with_cuts(docs: DataFrame, carried: Column, min_bytes: int, min_words: int) -> DataFrame:
+    """row (`carried`), text, whole (a copied text, removed), n_removed, n_spans,
+    kept_sha256, kept_text (null: the text loses nothing) for every row of docs.
+
+    Texts that are too short meet nothing.  Copied texts need no more than their
+    digests: those with over 1/HOT_SHARE of all rows, HOT_SHARE at most, are
+    broadcast, so that no task gets all copies of one text."""
+    texts, cut = repeats(docs, min_bytes, min_words)
+    text = F.col("text").cast("string")
+    rows = docs.select(carried.alias("row"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("d1"), F.xxhash64(F.lit(17), F.coalesce(text, F.lit(""))).alias("d2"))
+    long = F.coalesce(F.octet_length("text"), F.lit(0)) >= min_bytes
+    copied = texts.filter((F.col("copies") > 1) & (F.col("n_words") >= min_words)).withColumn("whole", F.lit(True))
+    bound = (texts.agg(F.sum("copies")).first()[0] or 0) // HOT_SHARE
+    hot = F.broadcast(copied.filter(F.col("copies") > bound).select("d1", "d2", "whole"))
+    met = rows.filter(long).join(hot, ["d1", "d2"], "left")
+    none = {"n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept_text": "string"}
+    shown = ["row", "text", "whole", *none]
+    empty = {c: F.lit(None).cast(t) for c, t in none.items()}
+    changes = cut.withColumn("whole", F.lit(False)).unionByName(copied.filter(F.col("copies") <= bound).select("d1", "d2", "whole").withColumns(empty))
+    rest = met.filter("whole is null").drop("whole").join(changes, ["d1", "d2"], "left").select(*shown)
+    done = met.filter("whole").withColumns(empty).select(*shown)
+    short = rows.filter(~long).withColumns({"whole": F.lit(None).cast("boolean"), **empty}).select(*shown)
+    return rest.unionByName(done).unionByName(short).withColumn("whole", F.coalesce("whole", F.lit(False)))
 
 
 def repeat_report(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text for every row.
 
     A null text counts as empty; texts shorter than `min_bytes` lose nothing.
     Strings never cross documents.  Two rows with the same doc_id are two
-    documents.  Other columns are ignored; an empty table gives no rows."""
-    index, cut = repeats(docs, min_bytes)
-    copied = (F.col("copies") > 1) & (F.col("n_bytes") >= min_bytes)
-    return index.join(cut.drop("kept_text"), ["d1", "d2"], "left").select(
-        "doc_id",
-        "n_bytes",
-        F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copied, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copied, F.lit(_EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
+    documents.  kept_sha256 is of the remaining bytes; kept_text is what of the
+    text can be shown of them (a character stays if one of its bytes does).  Other
+    columns are ignored; an empty table gives no rows."""
+    found = _with_cuts(docs, F.col("doc_id").cast("long"), min_bytes, 0).withColumn("text", F.coalesce("text", F.lit("")))
+    n_bytes = F.octet_length("text").cast("long")
+    return found.select(
+        F.col("row").alias("doc_id"),
+        n_bytes.alias("n_bytes"),
+        F.when(F.col("whole"), n_bytes).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(F.col("whole"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(F.col("whole"), F.lit(_EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", F.sha2("text", 256))).alias("kept_sha256"),
+        F.when(F.col("whole"), F.lit("")).otherwise(F.coalesce("kept_text", "text")).alias("kept_text"),
     )
 
 
-def without_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
+def without_repeats(docs: DataFrame, min_bytes: int = 400, min_words: int = 0) -> DataFrame:
     """`docs` with repeated strings cut out of `text` and `n_chars` renewed; all
-    columns and rows stay.  A character goes only if all its bytes go.  A null
-    text stays null."""
-    index, cut = repeats(docs, min_bytes)
-    whole = index.filter((F.col("copies") > 1) & (F.col("n_bytes") >= min_bytes)).select("d1", "d2", F.lit("").alias("kept_text")).distinct()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__d1": F.xxhash64(text), "__d2": F.xxhash64(F.lit(17), text)})
-    changes = cut.select("d1", "d2", "kept_text").unionByName(whole).select(
-        F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), F.col("kept_text").alias("__kept")
-    )
-    out = keyed.join(changes, ["__d1", "__d2"], "left").withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce("__kept", "text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns and rows stay, whatever their names.  A character goes only if all its
+    bytes go; runs of fewer than `min_words` words stay.  A null text stays null."""
+    others = [c for c in docs.columns if c != "text"]
+    found = _with_cuts(docs, F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0).alias("none")]), min_bytes, min_words)
+    text = F.when(F.col("text").isNotNull(), F.when(F.col("whole"), F.lit("")).otherwise(F.coalesce("kept_text", "text"))).alias("text")
+    changed = F.col("whole") | F.col("kept_text").isNotNull()
+    out = []
+    for c in docs.columns:
+        own = F.col("row").getField(c) if c != "text" else text
+        if c == "n_chars":
+            own = F.when(changed, F.length(text)).otherwise(own).cast(docs.schema[c].dataType)
+        out.append(own.alias(c))
+    return found.select(*out)
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
