@@ -14,15 +14,17 @@ in the whole corpus is counted through a minimal perfect hash:
    its pair's hash, after the key stored there was compared.  Hash, keys and
    counts are broadcast in parts of at most PART_PAIRS pairs, one pass a part.
 
-Long texts are cut before a single space between ASCII letters or digits.  No
-token of either tokenizer goes over such a place, so the pieces' tokens are the
-text's, and memory stays bounded.
+Texts are cut before single spaces between visible ASCII or Latin letters.  No
+token of either tokenizer goes over such a place, so the tokens of the units
+between are the text's; a unit is aligned once, when a task first meets it.  Long
+texts are taken in parts, and the units held are bounded.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -36,13 +38,14 @@ from pyspark.sql import functions as F
 from quire.llm import perfect_hash
 from quire.llm.common import staged, table, unstage
 
-PIECE = 1 << 16  # characters from which a text is cut
-FLUSH = 1 << 19  # characters aligned at once
+FLUSH = 1 << 19  # characters taken at once
+HELD = 1 << 22  # characters of units from which a task starts anew with none
+LONG = 1 << 17  # characters of a unit that the fast tokenizer isn't given
 SHARD_PAIRS = 1 << 14
 PART_PAIRS = 1 << 22  # of 20 bytes each, broadcast at once
 TASK_PAIRS = 1 << 20  # distinct pairs a task holds before it gives them out
 FAN_IN = 16
-_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+_CUT = re.compile(r" (?<=[!-~À-ɏ] )(?=[!-~À-ɏ])")
 _B = 1 << 20  # a pair is a * _B + b
 
 
@@ -92,7 +95,7 @@ def byte_level_side(path: str) -> Side:
     fast = tiktoken.Encoding("side", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [whole.encode(t, add_special_tokens=False).ids if len(t) > 2 * PIECE else fast.encode_ordinary(t) for t in texts]
+        return [whole.encode(t, add_special_tokens=False).ids if len(t) > LONG else fast.encode_ordinary(t) for t in texts]
 
     return Side(tokens, encode)
 
@@ -127,37 +130,23 @@ def pieces(text: str, size: int) -> list[str]:
     return [*out, text[start:]]
 
 
-@dataclass
-class Aligned:
-    """Some texts aligned: per text its row, figures and hash; per link group the
-    text (by its place in `rows`), the pair and how many links have it."""
-
-    rows: list[int]
-    n_a: np.ndarray
-    n_b: np.ndarray
-    n_groups: np.ndarray
-    sha: list[str]
-    of: np.ndarray
-    pair: np.ndarray
-    links: np.ndarray
-
-
 def _align(a: Side, b: Side, ids_a: list[list[int]], ids_b: list[list[int]]):
-    """Pieces aligned at once: per piece its tokens and groups, its groups as text,
-    and per link the piece and the pair."""
+    """Units aligned at once: per unit its tokens and groups, its groups as text
+    and its number of links, and the pair of every link."""
     n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
-    flat_a, flat_b = (np.concatenate([np.asarray(i, np.int64) for i in x]) for x in (ids_a, ids_b))
+    flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(x), np.int64) for x in (ids_a, ids_b))
     end_a, end_b = np.cumsum(a.length[flat_a]), np.cumsum(b.length[flat_b])
-    ends = np.union1d(end_a, end_b)
+    ends = np.sort(np.concatenate((end_a, end_b)), kind="stable")
+    twice = ends[1:] == ends[:-1]
+    both, ends = ends[1:][twice], ends[np.append(True, ~twice)]
     at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-    piece_of_a = np.repeat(np.arange(len(n_a)), n_a)
-    piece = piece_of_a[at_a]
-    both = ends[(end_a[at_a] == ends) & (end_b[at_b] == ends)]
-    group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
-    n_groups = np.bincount(piece_of_a[np.searchsorted(end_a, both)], minlength=len(n_a))
+    unit_of_a = np.repeat(np.arange(len(n_a)), n_a)
+    n_links = np.bincount(unit_of_a[at_a], minlength=len(n_a))
+    n_groups = np.bincount(unit_of_a[np.searchsorted(end_a, both)], minlength=len(n_a))
     # text of the groups: ids in order of (group, side), each with what follows it
-    order = np.argsort(np.concatenate((group_a * 2, group_b * 2 + 1)), kind="stable")
-    side = np.concatenate((group_a * 2, group_b * 2 + 1))[order]
+    side = np.concatenate((np.searchsorted(both, end_a) * 2, np.searchsorted(both, end_b) * 2 + 1))
+    order = np.argsort(side, kind="stable")
+    side = side[order]
     digits = np.concatenate((a.digits[flat_a], b.digits[flat_b]))[order]
     width = np.concatenate((a.n_digits[flat_a], b.n_digits[flat_b]))[order]
     after = np.where(np.append(side[1:], -1) == side, ord(","), np.where(side % 2 == 0, ord("|"), ord(";")))
@@ -166,66 +155,128 @@ def _align(a: Side, b: Side, ids_a: list[list[int]], ids_b: list[list[int]]):
     written = np.cumsum(width + 1)
     bounds = np.concatenate(([0], written[np.cumsum(n_a + n_b) - 1])).tolist()
     texts = [text[s : e - 1] for s, e in zip(bounds, bounds[1:])]
-    return n_a, n_b, n_groups, texts, piece, flat_a[at_a] * _B + flat_b[at_b]
-
-
-def _valid(a: Side, b: Side, piece: str, ids_a: list[int], ids_b: list[int]) -> bool:
-    want = (" " + piece).encode("utf-8", "surrogatepass")
-    return a.spelled(ids_a) == want and b.spelled(ids_b) == want
+    return n_a, n_b, n_groups, n_links, texts, flat_a[at_a] * _B + flat_b[at_b]
 
 
 def _summed(pair: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs and their links."""
-    keys, at = np.unique(pair, return_inverse=True)
-    out = np.zeros(len(keys), np.int64)
-    np.add.at(out, at, links)
-    return keys, out
-
-
-def _short(a: Side, b: Side, rows: list[int], texts: list[str]) -> Aligned:
-    """Texts of one piece each."""
-    ids_a, ids_b = a.encode([" " + t for t in texts]), b.encode(texts)
-    good = [i for i, t in enumerate(texts) if _valid(a, b, t, ids_a[i], ids_b[i])]
-    none = np.empty(0, np.int64)
-    if not good:
-        return Aligned([], none, none, none, [], none, none, none)
-    n_a, n_b, n_groups, said, of, pair = _align(a, b, [ids_a[i] for i in good], [ids_b[i] for i in good])
-    return Aligned([rows[i] for i in good], n_a, n_b, n_groups, [hashlib.sha256(x).hexdigest() for x in said], of, pair, np.ones(len(of), np.int64))
-
-
-def _long(a: Side, b: Side, row: int, parts: list[str]) -> Aligned | None:
-    """One text of several pieces, piece by piece."""
-    totals, sha, keys, links = np.zeros(3, np.int64), hashlib.sha256(), np.empty(0, np.int64), np.empty(0, np.int64)
-    for i, part in enumerate(parts):
-        ids_a, ids_b = a.encode([" " + part])[0], b.encode([part])[0]
-        if not _valid(a, b, part, ids_a, ids_b):
-            return None
-        n_a, n_b, n_groups, said, of, pair = _align(a, b, [ids_a], [ids_b])
-        totals += (n_a[0], n_b[0], n_groups[0])
-        sha.update(said[0] if i == 0 else b";" + said[0])
-        keys, links = _summed(np.concatenate((keys, pair)), np.concatenate((links, np.ones(len(of), np.int64))))
-    return Aligned([row], totals[:1], totals[1:2], totals[2:], [sha.hexdigest()], np.zeros(len(keys), np.int64), keys, links)
-
-
-def aligned(a: Side, b: Side, texts: list[str | None], piece: int = PIECE, flush: int = FLUSH) -> Iterator[Aligned]:
-    """All texts with tokens, some at a time."""
-    rows, held, size = [], [], 0
+    order = np.argsort(pair, kind="stable")
+    pair, links = pair[order], links[order]
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.empty(0, np.int64)
+    return pair[first], np.add.reduceat(links, first) if len(first) else links
+
+
+_FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+
+
+class Units:
+    """The units met so far: stretches between safe spaces.  Both tokenizers cut a
+    unit without regard to what is around it, so it is aligned when first met.
+    `counts` gives its links' figures in the second pass."""
+
+    def __init__(self, a: Side, b: Side, counts: Counts | None = None):
+        self.a, self.b, self.counts = a, b, counts
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.size = 0  # characters held
+        self.groups: list[bytes] = []
+        self.valid = np.empty(0, bool)
+        self.figures = np.empty((len(_FIGURES), 0), np.int64)
+        self.pairs = np.empty(0, np.int64)
+
+    def numbers(self, units: list[str]) -> np.ndarray:
+        new = [u for u in dict.fromkeys(units) if u not in self.number]
+        if new:
+            self._compile(new)
+        return np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+
+    def _compile(self, new: list[str]) -> None:
+        ids_a, ids_b = self.a.encode([" " + u for u in new]), self.b.encode(new)
+        valid = np.zeros(len(new), bool)
+        for i, u in enumerate(new):
+            want = (" " + u).encode("utf-8", "surrogatepass")
+            valid[i] = self.a.spelled(ids_a[i]) == want and self.b.spelled(ids_b[i]) == want
+        good = np.flatnonzero(valid)
+        figures = np.zeros((len(_FIGURES), len(new)), np.int64)
+        groups = [b""] * len(new)
+        if len(good):
+            *four, texts, pairs = _align(self.a, self.b, [ids_a[i] for i in good], [ids_b[i] for i in good])
+            figures[:4, good] = four
+            for i, text in zip(good.tolist(), texts):
+                groups[i] = text
+            if self.counts:
+                keys, at = np.unique(pairs, return_inverse=True)
+                n, best = self.counts.of(keys)
+                starts = np.cumsum(four[3]) - four[3]
+                figures[4, good] = np.add.reduceat(best[at].astype(np.int64), starts)
+                figures[5, good] = np.add.reduceat(n[at], starts)
+            else:
+                self.pairs = np.concatenate((self.pairs, pairs))
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        self.size += sum(map(len, new))
+        self.groups += groups
+        self.valid = np.concatenate((self.valid, valid))
+        self.figures = np.concatenate((self.figures, figures), axis=1)
+
+    def links(self, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs and their links, every unit taken `times`."""
+        return _summed(self.pairs, np.repeat(times, self.figures[3]))
+
+
+@dataclass
+class Block:
+    """Some texts as numbers of units, text by text from `starts`; or a part of
+    one text, the last one or not."""
+
+    rows: list[int]
+    starts: np.ndarray
+    numbers: np.ndarray
+    part: bool = False
+    last: bool = True
+
+    def valid(self, units: Units) -> np.ndarray:
+        return np.logical_and.reduceat(units.valid[self.numbers], self.starts)
+
+
+def blocks(units: Units, texts: list[str | None], flush: int | None = None) -> Iterator[Block]:
+    """All texts but null and empty ones."""
+    flush = flush or FLUSH
+    rows, starts, held, size = [], [], [], 0
     for row, text in enumerate(texts):
         if not text:
             continue
-        parts = pieces(text, piece)
-        if len(parts) > 1:
-            if found := _long(a, b, row, parts):
-                yield found
+        if len(text) > flush and len(parts := pieces(text, flush)) > 1:
+            for i, part in enumerate(parts):
+                yield Block([row], np.zeros(1, np.int64), units.numbers(_CUT.split(part)), True, i + 1 == len(parts))
             continue
         rows.append(row)
-        held.append(text)
+        starts.append(len(held))
+        held += _CUT.split(text)
         size += len(text)
         if size >= flush:
-            yield _short(a, b, rows, held)
-            rows, held, size = [], [], 0
-    if held:
-        yield _short(a, b, rows, held)
+            yield Block(rows, np.array(starts), units.numbers(held))
+            rows, starts, held, size = [], [], [], 0
+    if rows:
+        yield Block(rows, np.array(starts), units.numbers(held))
+
+
+class LinkCounts:
+    """Links by pair, of which a bounded number is held."""
+
+    def __init__(self):
+        self.held = [(np.empty(0, np.int64),) * 2]  # the first: all so far, added up
+
+    def add(self, keys: np.ndarray, links: np.ndarray) -> bool:
+        """Whether more than TASK_PAIRS are held now."""
+        self.held.append((keys, links))
+        if sum(len(k) for k, _ in self.held[1:]) > max(1 << 18, len(self.held[0][0])):
+            self.held = [self.total()]
+        return len(self.held[0][0]) > TASK_PAIRS
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        return _summed(*(np.concatenate(x) for x in zip(*self.held)))
 
 
 def _count(paths: tuple[str, str]) -> Callable:
@@ -237,23 +288,34 @@ def _count(paths: tuple[str, str]) -> Callable:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), part, np.int64)), pa.array(k), pa.array(n)], names=["part", "pair", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _sides(*paths)
-        part = TaskContext.get().partitionId()
-        held = [(np.empty(0, np.int64),) * 2]  # the first: all so far, added up
-
-        def added() -> tuple[np.ndarray, np.ndarray]:
-            keys, links = (np.concatenate(x) for x in zip(*held))
-            return _summed(keys, links)
-
+        units, part = Units(*_sides(*paths)), TaskContext.get().partitionId()
+        counts, times = LinkCounts(), np.empty(0, np.int64)
+        of_text, text_valid = LinkCounts(), True  # of a text that comes in parts
         for batch in batches:
-            for found in aligned(a, b, batch.column(0).to_pylist()):
-                held.append(_summed(found.pair, found.links))
-                if sum(len(k) for k, _ in held[1:]) > max(1 << 18, len(held[0][0])):
-                    held = [added()]
-                    if len(held[0][0]) > TASK_PAIRS:
-                        yield from out(part, *held[0])
-                        held = [(np.empty(0, np.int64),) * 2]
-        yield from out(part, *added())
+            for block in blocks(units, batch.column(0).to_pylist()):
+                valid = block.valid(units)
+                taken = np.bincount(block.numbers[np.repeat(valid, np.diff(block.starts, append=len(block.numbers)))], minlength=len(units.number))
+                if block.part:
+                    of_text.add(*units.links(taken))
+                    text_valid = text_valid and bool(valid[0])
+                    if block.last:
+                        if text_valid:
+                            counts.add(*of_text.total())
+                        of_text, text_valid = LinkCounts(), True
+                else:
+                    taken[: len(times)] += times
+                    times = taken
+                if units.size > HELD:
+                    times.resize(len(units.number))
+                    counts.add(*units.links(times))
+                    units.clear()
+                    times = np.empty(0, np.int64)
+                if len(counts.held[0][0]) > TASK_PAIRS:
+                    yield from out(part, *counts.total())
+                    counts = LinkCounts()
+        times = np.append(times, np.zeros(len(units.number) - len(times), np.int64))
+        counts.add(*units.links(times))
+        yield from out(part, *counts.total())
 
     return run
 
@@ -349,28 +411,33 @@ class Counts:
         return n, (n > 0) & (n == self.highest[pairs % _B])
 
 
-_FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-
-
 def _look_up(paths: tuple[str, str], known) -> Callable:
     """(keys ..., text) -> (keys ..., figures, groups_sha256)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _sides(*paths)
-        counts: Counts = known.value
+        units = Units(*_sides(*paths), known.value)
         for batch in batches:
             out = np.zeros((len(_FIGURES), batch.num_rows), np.int64)
             sha = [""] * batch.num_rows
-            for found in aligned(a, b, batch.column(batch.num_columns - 1).to_pylist()):
-                keys, at = np.unique(found.pair, return_inverse=True)
-                n, best = counts.of(keys)
-                rows = np.asarray(found.rows, np.int64)
-                out[0, rows], out[1, rows], out[2, rows] = found.n_a, found.n_b, found.n_groups
-                out[3, rows] = found.n_a + found.n_b - found.n_groups
-                np.add.at(out[4], rows[found.of], found.links * best[at])
-                np.add.at(out[5], rows[found.of], found.links * n[at])
-                for row, x in zip(found.rows, found.sha):
-                    sha[row] = x
+            digest, text_valid = hashlib.sha256(), True  # of a text that comes in parts
+            for block in blocks(units, batch.column(batch.num_columns - 1).to_pylist()):
+                valid = block.valid(units)
+                out[:, block.rows] += np.add.reduceat(units.figures[:, block.numbers], block.starts, axis=1)
+                spelled = list(map(units.groups.__getitem__, block.numbers.tolist()))
+                if block.part:
+                    digest.update(b";".join(spelled) + (b"" if block.last else b";"))
+                    text_valid = text_valid and bool(valid[0])
+                    if block.last:
+                        valid[0], sha[block.rows[0]] = text_valid, digest.hexdigest()
+                        digest, text_valid = hashlib.sha256(), True
+                else:
+                    for row, s, e in zip(block.rows, block.starts.tolist(), [*block.starts[1:].tolist(), len(spelled)]):
+                        sha[row] = hashlib.sha256(b";".join(spelled[s:e])).hexdigest()
+                if block.last:
+                    for row in np.asarray(block.rows)[~valid].tolist():
+                        out[:, row], sha[row] = 0, ""
+                if units.size > HELD:
+                    units.clear()
             keep = [batch.column(i) for i in range(batch.num_columns - 1)]
             names = [batch.schema.field(i).name for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*keep, *(pa.array(x) for x in out), pa.array(sha, pa.string())], names=[*names, *_FIGURES, "groups_sha256"])
