@@ -7,7 +7,8 @@ expected number of copies is lambda = target * w / sum(w * size) with its
 inclusion weight w (1 unless given), at most `cap`.  floor(lambda) copies are
 certain; for the rest p, documents are ranked by Pareto's quantity
 (u / (1 - u)) / (p / (1 - p)), u a hash of the document, and taken in that order
-up to the source's remaining words.
+up to the source's remaining words; last, the document that brings a source
+nearest to its target is added, NEAREST_ROUNDS times while one does.
 
 The cut in the order is found by radix selection: sums of sizes by source and
 leading digits of the rank, so no source is ever sorted as a whole.
@@ -23,6 +24,7 @@ from quire.llm.common import space_words, staged, table, unstage
 CAP = 3.0
 DIGIT_BITS = 12
 LEVELS = 2
+NEAREST_ROUNDS = 3  # documents added at the end, one at a time
 _KEY_BITS = DIGIT_BITS * LEVELS
 
 
@@ -52,8 +54,9 @@ def source_targets(sizes: DataFrame, weights: DataFrame, cap: float = CAP) -> Da
 
 
 def _rank_key(seed: int):
-    """The rank as an integer of _KEY_BITS bits: v = q / (1 + q) for Pareto's q."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
+    """The rank as an integer of _KEY_BITS bits: v = q / (1 + q) for Pareto's q.  u
+    hashes id, text and size, so rows that share or lack an id don't tie."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_hash", "size"), 11).cast("double") + 0.5) / float(1 << 53)
     odds = (u / (1 - u)) / (F.col("part") / (1 - F.col("part")))
     return F.least(F.floor(odds / (1 + odds) * float(1 << _KEY_BITS)), F.lit((1 << _KEY_BITS) - 1)).cast("long")
 
@@ -93,19 +96,33 @@ def _taken_in_order(ranked: DataFrame, need: DataFrame, share: float) -> DataFra
     return others.unionByName(ties).drop("prefix", "need", "most")
 
 
+def _nearest(ranked: DataFrame) -> DataFrame:
+    """Set `extra` to 1 for one more document of each source: the one whose size
+    comes nearest to what its source still needs, if it brings the source nearer
+    (ties: the first in the order of `key`)."""
+    need = ranked.groupBy("source").agg((F.sum(F.col("part") * F.col("size")) - F.sum(F.col("extra") * F.col("size"))).alias("need"))
+    gap = F.abs(F.col("n.need") - F.col("r.size"))
+    open_ = ranked.filter(F.col("key").isNotNull() & (F.col("extra") == 0)).alias("r")
+    best = (
+        open_.join(need.alias("n"), F.col("r.source").eqNullSafe(F.col("n.source"))).filter(gap < F.abs(F.col("n.need")))
+        .groupBy("r.source").agg(F.min(F.struct(gap.alias("gap"), "r.key", "r.row")).alias("m")).select("m.row", F.lit(1).alias("more"))
+    )
+    return ranked.join(best, "row", "left").withColumn("extra", F.col("extra") + F.coalesce("more", F.lit(0))).drop("more")
+
+
 def mixed(docs: DataFrame, weights: DataFrame | None = None, cap: float = CAP, seed: int = 4, weight_column: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, text_hash per row of `docs`.
 
     size: words of the text (null: 0); taken = copies * size.  `weights`
     (source, weight > 0) defaults to 1, 2, 3 in the order of the sources.  A null
-    source is a source of its own.  Rows with the same doc_id are ranked alike
-    and separated by size; rows that repeat all of it are interchangeable.
+    source is a source of its own.  Rows that repeat doc_id and text tie and
+    are interchangeable.
     Documents without words are never taken.  Other columns are ignored; an
     empty table gives no rows.  The same table gives the same mix."""
     own = F.col(f"`{weight_column}`").cast("double") if weight_column else F.lit(1.0)
     sized = staged(
         docs.select(
-            "doc_id", F.col("source").cast("string").alias("source"),
+            "doc_id", F.monotonically_increasing_id().alias("row"), F.col("source").cast("string").alias("source"),
             F.size(space_words(F.col("text").cast("string"))).cast("long").alias("size"),
             F.greatest(F.coalesce(own, F.lit(0.0)), F.lit(0.0)).alias("w"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
         ),
@@ -119,14 +136,17 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, cap: float = CAP, s
     copies = F.when((F.col("size") > 0) & (F.col("weighed") > 0), F.least(F.col("target") * F.col("w") / F.col("weighed"), F.lit(cap))).otherwise(0.0)
     d = d.withColumn("expected", copies).withColumn("certain", F.floor("expected")).withColumn("part", F.col("expected") - F.col("certain"))
     d = d.withColumn("key", F.when(F.col("part") > 0, _rank_key(seed)))
-    ranked = staged(d.select("doc_id", "text_hash", "source", "size", "source_size", "target", "certain", "part", "key"), "mx-ranked")
+    ranked = staged(d.select("doc_id", "row", "text_hash", "source", "size", "source_size", "target", "certain", "part", "key"), "mx-ranked")
 
     need = ranked.groupBy("source").agg(F.sum(F.col("part") * F.col("size")).alias("need"))
     first = staged(_taken_in_order(ranked.withColumn("extra", F.lit(0)), need, 1.0), "mx-first")
     # the document at the cut may be long: what it would have filled goes to
-    # later documents that fit, again in order
+    # later documents that fit, again in order; a few more may then come nearer
     rest = first.groupBy("source").agg((F.sum(F.col("part") * F.col("size")) - F.sum(F.col("extra") * F.col("size"))).alias("need"))
-    out = _taken_in_order(first, rest, 0.5).withColumn("copies", (F.col("certain") + F.col("extra")).cast("int"))
+    chosen = staged(_taken_in_order(first, rest, 1.0), "mx-second")
+    for i in range(NEAREST_ROUNDS):
+        chosen = staged(_nearest(chosen), f"mx-near{i}")
+    out = chosen.withColumn("copies", (F.col("certain") + F.col("extra")).cast("int"))
     for old in (sums, plan):
         unstage(old)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "text_hash")

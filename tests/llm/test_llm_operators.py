@@ -262,6 +262,69 @@ def test_mixing_comes_near_its_targets(spark):
     assert all(abs(r.k - r.t) <= 0.02 * r.t for r in out)
 
 
+def test_order_and_cut_against_brute_force(spark, monkeypatch):
+    """Documents are taken in the order of their ranks up to the need, then those
+    after the cut that still fit, then the one that comes nearest."""
+    rng = random.Random(6)
+    rows = [(rng.choice([i, None]), f"v{i} " + "w " * int(rng.paretovariate(1.1) * 9), rng.choice("abbbc")) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ranks = {}
+    real = mixing.staged
+
+    def staged(df, label):
+        out = real(df, label)
+        if label == "mx-ranked":
+            for r in out.collect():
+                ranks.setdefault(r.source, []).append(r)
+        return out
+
+    monkeypatch.setattr(mixing, "staged", staged)
+    got = {}
+    for r in mixing.mixed(d).collect():
+        got.setdefault(r.source_size, []).append((r.size, r.copies))
+    for docs_of in ranks.values():
+        order = sorted((r for r in docs_of if r.key is not None), key=lambda r: r.key)
+        assert len({r.key for r in order}) == len(order)  # rows without an id are told apart by their texts
+        need = sum(r.part * r.size for r in docs_of)
+        taken, left = set(), need
+        for r in order:  # up to the cut
+            if r.size > need:
+                continue
+            if r.size > left:
+                break
+            taken.add(r.row)
+            left -= r.size
+        rest = left
+        for r in order:  # later ones that fit
+            if r.row in taken or r.size > rest:
+                continue
+            if r.size > left:
+                break
+            taken.add(r.row)
+            left -= r.size
+        for _ in range(mixing.NEAREST_ROUNDS):
+            near = min((r for r in order if r.row not in taken), key=lambda r: (abs(left - r.size), r.key), default=None)
+            if near and abs(left - near.size) < abs(left):
+                taken.add(near.row)
+                left -= near.size
+        want = sorted((r.size, r.certain + (r.row in taken)) for r in docs_of)
+        assert sorted(got[docs_of[0].source_size]) == want
+
+
+def test_sources_of_the_given_table_meet_their_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source")
+    out = mixing.op4_pareto_mixing(spark, "/root/testdata/sf0.01").join(docs, "doc_id")
+    rows = {}
+    for r in out.collect():
+        rows.setdefault(r.source, []).append(r)
+    for of in rows.values():
+        target, gap = of[0].target, of[0].target - sum(r.taken for r in of)
+        most = max(r.copies for r in of)
+        single = [r.size for r in of if r.copies < most and r.size]  # one copy more of these is open
+        assert abs(gap) <= 0.01 * target or all(abs(gap - n) >= abs(gap) for n in single), of[0].source
+    assert sum(abs(of[0].target - sum(r.taken for r in of)) > 0.01 * of[0].target for of in rows.values()) <= 2
+
+
 def test_water_filling(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 5), ("z", 0)], "source string, source_size long")
     weights = spark.createDataFrame([("a", 5.0), ("b", 1.0), (None, 3.0), ("z", 1.0)], "source string, weight double")
@@ -410,8 +473,11 @@ def brute_repeats(rows, size):
 def test_repeats(docs, empty, monkeypatch, size, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = suffix_dedup.repeat_report(docs, size).collect()
-    assert sorted(map(tuple, got)) == brute_repeats(rows, size)
+    report = suffix_dedup.repeat_report(docs, size)
+    assert sorted(map(tuple, report.drop("kept_text").collect())) == brute_repeats(rows, size)
+    for r in report.collect():  # the text shows the kept bytes, and whole characters
+        kept = r.kept_text.encode()
+        assert r.n_bytes - r.n_removed <= len(kept) and (len(kept) > r.n_bytes - r.n_removed or hashlib.sha256(kept).hexdigest() == r.kept_sha256)
     assert suffix_dedup.repeat_report(empty, size).count() == 0
 
 

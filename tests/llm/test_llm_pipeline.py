@@ -95,3 +95,39 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+CLASHES = ["key", "row", "hash", "text_hash", "size", "target", "copies", "taken", "whole", "kept_text", "d1", "__key", "__kept", "n_words", "lang_pred"]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_any_columns(spark, tmp_path, name, stage):
+    """Columns that are called like helpers, and a map, go through every stage."""
+    word = lambda i: f"word{i % 7}{'abcdefgh'[i % 8]}"
+    shared = " ".join(f"shared{i}x" for i in range(60))
+    rows = [(i, " ".join(word(i * 31 + j * j) + str(i) for j in range(70)) + (" " + shared if i < 2 else ""), "en", "ab"[i % 2], 9) for i in range(12)]
+    rows += [rows[3], (None, None, None, None, None), (20, "", "en", "a", 0)]
+    spark.createDataFrame([(1, shared)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    plain = sorted(map(str, stage(spark, docs, str(tmp_path)).collect()))
+    more = docs
+    for c in CLASHES:
+        more = more.withColumn(c, corpus_pipeline.F.lit(c))
+    more = more.withColumn("tags", corpus_pipeline.F.create_map(corpus_pipeline.F.lit("k"), corpus_pipeline.F.col("doc_id")))
+    out = corpus_pipeline.staged(stage(spark, more, str(tmp_path)), "clash-" + name.replace(" ", "-"))
+    assert out.columns[: len(more.columns)] == more.columns
+    assert all(r[c] == c for r in out.select(*CLASHES).collect() for c in CLASHES)
+    back = out.drop(*CLASHES, "tags")
+    for c in ("size", "source_size", "target", "copies", "taken"):
+        back = back.withColumnRenamed(f"mix_{c}", c)
+    assert sorted(map(str, back.collect())) == plain
+
+
+def test_passages_are_counted_in_words(spark):
+    long_words = " ".join(f"extraordinarily{i}" for i in range(40))  # over 240 bytes, 40 words
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, f"one {long_words} end"), (2, f"two {long_words} fin"), (3, f"three {passage} end"), (4, f"four {passage} fin")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    assert got[1] == rows[0][1] and got[2] == rows[1][1]
+    assert len(got[3].split()) <= 3 and len(got[4].split()) <= 3
