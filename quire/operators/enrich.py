@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions import urls as U
+from quire.functions.markdown import html_to_markdown
 from quire.functions.transcript import clean_vtt
 from quire.operators.keyfilter import wanted_rows
 from quire.session import measured_keys
@@ -46,10 +47,10 @@ def _meta(html: Column, key: str, value: str) -> Column:
     return T.blank_to_null(T.js_trim(F.substring(content, F.lit(2), F.length(content) - 2)))
 
 
-def parse_articles(pages: DataFrame) -> DataFrame:
+def parse_articles(pages: DataFrame, markdown: bool = False) -> DataFrame:
     """Stored pages -> url, title, content, excerpt, site.
 
-    Content is the text of `<article>` (else `<body>`) with script, style and
+    With `markdown`, content is the page as Markdown (`html_to_markdown`).  Else it is the text of `<article>` (else `<body>`) with script, style and
     nav blocks removed and tags stripped; the title falls back to the URL
     title; the excerpt is the description of the page's metadata; the site is
     its og:site_name, else the host.
@@ -59,7 +60,7 @@ def parse_articles(pages: DataFrame) -> DataFrame:
     article = F.regexp_extract(cleaned, r"(?s)<article[^>]*>(.*?)</article>", 1)
     body = F.regexp_extract(cleaned, r"(?s)<body[^>]*>(.*)</body>", 1)
     main = F.when(article != "", article).otherwise(body)
-    content = T.js_trim(T.squeeze_space(F.regexp_replace(main, "<[^>]+>", " ")))
+    content = html_to_markdown(html) if markdown else T.js_trim(T.squeeze_space(F.regexp_replace(main, "<[^>]+>", " ")))
     title = T.js_trim(F.regexp_extract(html, r"(?s)<title[^>]*>(.*?)</title>", 1))
     return T.with_computed(pages, content, "content").select(
         "url",
@@ -78,10 +79,10 @@ def wanted_articles(posts: DataFrame) -> DataFrame:
     )
 
 
-def fetch_articles(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+def fetch_articles(wanted: DataFrame, pages: DataFrame, markdown: bool = False) -> DataFrame:
     """Join wanted URLs to stored pages; failed fetches (no page, empty
     content) are dropped.  Only wanted pages are parsed."""
-    parsed = parse_articles(wanted_rows(pages, wanted, "url"))
+    parsed = parse_articles(wanted_rows(pages, wanted, "url"), markdown)
     found = parsed.where(T.blank_to_null("content").isNotNull()).select(
         "url", "title", "content", F.length("content").alias("content_len")
     )

@@ -325,6 +325,12 @@ def article_parse(spark, sf_dir):
                          F.sha2("content", 256).alias("content_sha"), "excerpt", "site_name")
 
 
+@query
+def article_markdown(spark, sf_dir):
+    """Every stored page as Markdown: headings, paragraphs, lists, links, marks and code."""
+    return enrich.parse_articles(read(spark, sf_dir, "pages"), markdown=True).select("url", "title", "content")
+
+
 @query
 def enriched_articles(spark, sf_dir):
     _, _, _, arts, _, _ = _context_tables(spark, sf_dir)

@@ -146,7 +146,8 @@ FROM ledger_rows
 
 # --- step 2: ledger ---------------------------------------------------------------
 
-from quire.functions import fixed  # noqa: E402
+from quire.functions import fixed
+from quire.functions.markdown import ENTITIES  # noqa: E402
 
 URL_RE = fixed.URL_PATTERN
 
@@ -556,6 +557,32 @@ articles AS (
   FROM parsed_pages
 )"""
 
+# The stored pages hold headings, paragraphs, line breaks and bold text inside `<article>`.
+_ENTITIES_SQL = "x"
+for _name, _char in ENTITIES.items():
+    _ENTITIES_SQL = f"replace({_ENTITIES_SQL}, '&{_name};', '{_char.replace(chr(39), chr(39) * 2)}')"
+
+ARTICLE_MARKDOWN = f"""
+WITH {_ARTICLES},
+marked AS (
+  SELECT url, title,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1),
+      '[ \\t\\r\\n\\f]+', ' ', 'g'), '<h1>', chr(1) || '# ', 'g'), '</h1>|</?p>', chr(1), 'g'),
+      ' ?<br> ?', chr(10), 'g') AS m
+  FROM parsed_pages JOIN articles USING (url)
+),
+blocks AS (
+  SELECT url, title, list_transform(string_split(m, chr(1)), lambda b:
+    trim(regexp_replace(replace(b, '<b>', '**'), chr(10), '  ' || chr(10), 'g'), ' ' || chr(10))
+    || CASE WHEN contains(b, '<b>') THEN '**' ELSE '' END) AS bs
+  FROM marked
+)
+SELECT url, title, array_to_string(list_transform(list_filter(bs, lambda x: x <> ''),
+  lambda x: {_ENTITIES_SQL}), chr(10) || chr(10)) AS content
+FROM blocks
+"""
+
 ARTICLE_PARSE = f"""
 WITH {_ARTICLES}
 SELECT url, title, CAST(length(content) AS BIGINT) AS content_len, sha256(content) AS content_sha,
@@ -1163,6 +1190,7 @@ ORACLE: dict[str, str] = {
     "error_alerts": ERROR_ALERTS,
     "run_metrics": RUN_METRICS,
     "article_parse": ARTICLE_PARSE,
+    "article_markdown": ARTICLE_MARKDOWN,
     "enriched_articles": ENRICHED_ARTICLES,
     "enriched_transcripts": ENRICHED_TRANSCRIPTS,
     "enriched_images": ENRICHED_IMAGES,
