@@ -8,12 +8,12 @@ it).  Rows that fail are diverted with a reason instead of being dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
 from quire.functions.text import extract_urls, with_computed
-from quire.functions.timefmt import iso, parse_source_time
+from quire.functions.timefmt import parse_source_time
 from quire.functions.urls import status_id
 
 RAW_POST_SCHEMA = (
@@ -93,13 +93,16 @@ def rejection_reason(v: Column) -> Column:
     )
 
 
-def split_valid(raw_df: DataFrame, raw_col: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """(valid rows parsed to the raw post struct, quarantine with reason)."""
+def split_valid(raw_df: DataFrame, raw_col: str = "raw", seen: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid rows parsed to the raw post struct, quarantine with reason).  The first action that
+    reads the valid rows fills `seen` with the number of rejected ones."""
     # The parsed value is its own column so every field test reads it
     # instead of parsing the text again.
     parsed = with_computed(raw_df, F.try_parse_json(F.col(raw_col)), "__v")
     checked = parsed.withColumn("reason", rejection_reason(F.col("__v")))
     quarantine = checked.where(F.col("reason").isNotNull()).drop("__v")
+    if seen is not None:
+        checked = checked.observe(seen, F.count_if(F.col("reason").isNotNull()).alias("quarantined"))
     valid = (
         checked.where(F.col("reason").isNull())
         .withColumn("post", F.from_json(F.col(raw_col), RAW_POST_SCHEMA))
@@ -136,9 +139,9 @@ def normalize_posts(raw: DataFrame) -> DataFrame:
     )
 
 
-def ingest(raw_df: DataFrame, raw_col: str = "raw") -> tuple[DataFrame, DataFrame]:
+def ingest(raw_df: DataFrame, raw_col: str = "raw", seen: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """JSON texts -> (normalised valid posts, quarantine)."""
-    valid, quarantine = split_valid(raw_df, raw_col)
+    valid, quarantine = split_valid(raw_df, raw_col, seen)
     return normalize_posts(valid), quarantine
 
 
@@ -154,10 +157,105 @@ def read_bookmarks(spark, path: str) -> DataFrame:
     return files.select(F.explode(elems).alias("v")).select(F.to_json(F.col("v")).alias("raw"))
 
 
+def _outside(bare: Column, parity: int) -> Column:
+    """Characters of a piece outside strings, if `parity` quotes (mod 2) stand before it.
+    `bare` has no escapes, so every second part between quotes is outside."""
+    parts = F.split(bare, '"')
+    return F.array_join(F.filter(parts, lambda _, i: i % 2 == parity), "")
+
+
+def _rise(outside: Column) -> Column:
+    """Brackets opened less brackets closed."""
+    return F.length(F.regexp_replace(outside, r"[^\[{]", "")) - F.length(F.regexp_replace(outside, r"[^\]}]", ""))
+
+
+def split_bookmarks(spark, path: str) -> DataFrame:
+    """Bookmark files of any size, each one JSON array or object: one row per element
+    (`raw`), the same elements as `read_bookmarks` gives.
+
+    A file is read by blocks, as pieces that end at `}`.  A piece alone doesn't say whether it
+    starts inside a string, so its change of depth is counted for both cases.  Sums over the
+    pieces of a block, and over the blocks of a file (few rows), give each piece the quotes and the
+    depth before it.  An element ends where the depth falls to that of the file's top; its
+    pieces are gathered by (file, element), so no task gets more than a block of pieces or
+    one element.  Elements that aren't objects come with the object after them.  What can't be parsed
+    comes as its text, for the quarantine; a blank file gives one null row; a broken
+    file may be one element, as in `read_bookmarks`.
+    """
+    pieces = (
+        spark.read.text(path, lineSep="}")
+        .select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.col("_metadata.file_size").alias("bytes"), F.monotonically_increasing_id().alias("seq"), "value",
+        )
+    )
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    pieces = with_computed(pieces, bare, "bare").select(
+        "file", "block", "bytes", "seq", "value",
+        ((F.size(F.split("bare", '"')) - 1) % 2).alias("quotes"),
+        _rise(_outside(F.col("bare"), 0)).alias("rise0"),
+        _rise(_outside(F.col("bare"), 1)).alias("rise1"),
+        F.octet_length("value").alias("width"),
+    )
+    # the closing bracket itself counts where the piece ends outside a string
+    turn = F.col("quotes")
+    pieces = pieces.withColumn("rise0", F.col("rise0") - (turn == 0).cast("int")).withColumn(
+        "rise1", F.col("rise1") - (turn == 1).cast("int")
+    )
+    inside = Window.partitionBy("file", "block").orderBy("seq")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    p = pieces.withColumn("q", zero(F.sum("quotes").over(before)) % 2)
+    # depth changes of a piece if the block starts outside (up0) or inside (up1) a string
+    p = p.withColumn("up0", F.when(F.col("q") == 0, F.col("rise0")).otherwise(F.col("rise1")))
+    p = p.withColumn("up1", F.when(F.col("q") == 0, F.col("rise1")).otherwise(F.col("rise0")))
+    blocks = p.groupBy("file", "block").agg(
+        (F.sum("quotes") % 2).alias("quotes"), F.sum("up0").alias("up0"), F.sum("up1").alias("up1"),
+        F.sum(F.col("width") + 1).alias("width"), F.max("seq").alias("last"),
+        F.min_by("value", "seq").alias("head"),
+    )
+    files = Window.partitionBy("file").orderBy("block")
+    earlier = files.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("start", zero(F.sum("quotes").over(earlier)) % 2)
+    blocks = blocks.withColumn("up", F.when(F.col("start") == 0, F.col("up0")).otherwise(F.col("up1")))
+    whole = Window.partitionBy("file")
+    is_array = F.first("head").over(files.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    blocks = blocks.select(
+        "file", "block", "start", zero(F.sum("up").over(earlier)).alias("depth"),
+        F.btrim(is_array, F.lit(" \t\r\n\ufeff")).startswith("[").cast("int").alias("top"),
+        F.when(F.col("block") == F.max("block").over(whole), F.col("last")).alias("last"),
+        F.sum("width").over(whole).alias("width"),
+    )
+    at = p.drop("width").join(blocks, ["file", "block"])
+    at = at.withColumn("up", F.when(F.col("start") == 0, F.col("up0")).otherwise(F.col("up1")))
+    at = at.withColumn("after", F.col("depth") + F.sum("up").over(inside))
+    # the last piece has no closing bracket unless the file's bytes say so
+    at = at.withColumn("open_end", F.coalesce(F.col("seq") == F.col("last"), F.lit(False)) & (F.col("width") > F.col("bytes")))
+    at = at.withColumn("ends", ((F.col("after") <= F.col("top")) & ((F.col("start") + F.col("q") + turn) % 2 == 0) & ~F.col("open_end")).cast("int"))
+    marks = at.groupBy("file", "block").agg(F.sum("ends").alias("n")).withColumn("first", zero(F.sum("n").over(earlier)))
+    at = at.join(marks.drop("n"), ["file", "block"]).withColumn("element", F.col("first") + zero(F.sum("ends").over(before)))
+    text = F.concat("value", F.when(F.col("open_end"), "").otherwise("}"))
+    whole_text = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("block", "seq", text.alias("text")))), lambda x: x["text"]), ""
+    )
+    elements = at.groupBy("file", "element").agg(whole_text.alias("text"), F.first("top").alias("top"), F.max("open_end").alias("tail"))
+    edge = F.regexp_replace("text", r"\A[\s\ufeff]*[\[,]?\s*", "")
+    inner = F.when(F.col("top") == 0, F.col("text")).when(F.col("tail"), F.regexp_replace(edge, r"\]?\s*\z", "")).otherwise(edge)
+    elements = with_computed(elements, inner, "inner").where(
+        (F.btrim("inner", F.lit(" \t\r\n")) != "") | ((F.col("top") == 0) & (F.col("element") == 0))
+    )
+    listed = F.variant_get(F.try_parse_json(F.concat(F.lit("["), F.col("inner"), F.lit("]"))), "$", "array<variant>")
+    raws = F.coalesce(
+        F.transform(listed, lambda v: F.to_json(v)),
+        F.when(F.btrim("inner", F.lit(" \t\r\n")) == "", F.array(F.lit(None).cast("string"))).otherwise(F.array("inner")),
+    )
+    return elements.select(F.explode(raws).alias("raw"))
+
+
 def read_bookmark_lines(spark, path: str) -> DataFrame:
     """Bookmark files with one JSON post per line: split across tasks by
-    file blocks, so a large backfill is read in parallel (the array form
-    above reads each file in one task)."""
+    file blocks, so a large backfill is read in parallel (large files in the array form are
+    read by `split_bookmarks`)."""
     return spark.read.text(path).where(F.length("value") > 0).select(F.col("value").alias("raw"))
 
 
@@ -255,15 +353,6 @@ def first_of_batch(posts: DataFrame) -> DataFrame:
     return posts.groupBy("id").agg(F.max_by(F.struct(*posts.columns), order).alias("post")).select("post.*")
 
 
-def rows_with_positions(df: DataFrame, key: str, arr: str, pos: str, val: str) -> DataFrame:
-    """Long form of an array column: one row per element with its position."""
-    return df.select(key, F.posexplode(arr).alias(pos, val))
-
-
-def iso_created(posts: DataFrame) -> DataFrame:
-    return posts.withColumn("created_at", iso("created_at"))
-
-
 def post_text(article_text: Column, note_text: Column, full_text: Column) -> Column:
     """Post text: long-form article text, else long-note text, else the
     plain text (first one present; empty strings count as present)."""

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quire import session
@@ -33,6 +33,8 @@ from quire.operators import enrich, inference, ingest, ledger, publish
 
 Model = Callable[[DataFrame], DataFrame]
 
+COUNTERS = ["fetched", "skipped", "quarantined", "failed", "triage_skipped", "already_published", "completed"]
+
 
 @dataclass
 class Stores:
@@ -80,13 +82,16 @@ def run_poll(
     triage_model: Model | None = None,
     analysis_model: Model | None = None,
     enrich_fn: Callable[[DataFrame], DataFrame] | None = None,
+    markdown: bool = False,
 ) -> dict[str, int]:
-    """Run one poll; returns the run counters.
+    """Run one poll; returns the run counters.  They are observed by the jobs that read the
+    posts, settle which are new, and write the versions, so no job only counts.
 
     `triage_model` maps posts to (id, triage); `analysis_model` maps prompts
     (id, prompt) to (id, output JSON).  Without them the rule models answer."""
     base = (batch_id + 1) << 40
-    posts, quarantine = ingest.ingest(raw)
+    read, settled, wrote = Observation(), Observation(), Observation()
+    posts, _ = ingest.ingest(raw, seen=read)
     if limit is not None:
         posts = ingest.newest(posts, limit)
     posts = ingest.first_of_batch(posts)
@@ -96,7 +101,10 @@ def run_poll(
     cur = ledger.current_for(_prior_versions(spark, ledger_path, batch_id), posts, columns=["status"])
     published = stores.published if stores.published is not None else spark.createDataFrame([], "post_url string")
     # staged, so the final write does not read the ledger
-    flagged = session.stage(publish.split_published(ledger.blocked_flags(posts, cur), published))
+    flags = publish.split_published(ledger.blocked_flags(posts, cur), published)
+    flagged = session.stage(
+        flags.observe(settled, F.count(F.lit(1)).alias("fetched"), F.count_if(F.col("blocked")).alias("skipped"))
+    )
     new = flagged.where(~F.col("blocked")).drop("blocked")
     claims = _versions(new, "processing", F.lit("review"), F.lit(None), F.lit("{}"), now, base)
     tweet = new.select("id", _post_struct().alias("tweet"))
@@ -118,7 +126,7 @@ def run_poll(
     )
 
     wanted_a = enrich.wanted_from_triage(live, "needsArticleScrape").where(U.is_scrapable("url"))
-    arts = enrich.fetch_articles(wanted_a, stores.pages)
+    arts = enrich.fetch_articles(wanted_a, stores.pages, markdown)
     wanted_v = enrich.wanted_from_triage(live, "needsYoutubeTranscript").withColumn("video_id", U.video_id("url"))
     trs = enrich.fetch_transcripts(wanted_v.where(F.col("video_id").isNotNull()), stores.captions)
     imgs = enrich.fetch_image_texts(enrich.wanted_from_triage(live, "needsImageAnalysis"), stores.image_texts)
@@ -159,19 +167,19 @@ def run_poll(
     )
     written = f"{ledger_path}/batch_id={batch_id}"
     batch = claims.unionByName(known_rows).unionByName(skip_rows).unionByName(failed_rows).unionByName(done_rows)
-    batch.write.mode("overwrite").parquet(written)
-
-    final = spark.read.schema(ledger.LEDGER_SCHEMA).parquet(written).where(F.col("version") == base + 1)
-    completed = F.col("status") == "completed"
+    completed = (F.col("version") == base + 1) & (F.col("status") == "completed")
     true_in = lambda key: F.coalesce(F.get_json_object("raw_data", f"$.{key}") == "true", F.lit(False))
-    w = final.agg(
-        F.count_if(F.col("status") == "failed").alias("failed"),
+    counted = batch.observe(
+        wrote,
+        F.count_if((F.col("version") == base + 1) & (F.col("status") == "failed")).alias("failed"),
         F.count_if(completed & true_in("skipped")).alias("triage_skipped"),
         F.count_if(completed & true_in("alreadyPublished")).alias("already_published"),
         F.count_if(completed & F.col("page_id").isNotNull()).alias("completed"),
-    ).first()
-    m = flagged.agg(F.count(F.lit(1)).alias("fetched"), F.count_if(F.col("blocked")).alias("skipped")).first()
-    return {**m.asDict(), "quarantined": quarantine.count(), **w.asDict()}
+    )
+    counted.write.mode("overwrite").parquet(written)
+    seen = {**settled.get, **read.get, **wrote.get}
+    # a plan that Spark finds to be empty observes nothing
+    return {k: seen.get(k) or 0 for k in COUNTERS}
 
 
 def _prior_versions(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
