@@ -71,14 +71,6 @@ def parse_articles(pages: DataFrame, markdown: bool = False) -> DataFrame:
     )
 
 
-def wanted_articles(posts: DataFrame) -> DataFrame:
-    """(post_id, pos, url) for every scrapable URL of every post."""
-    return (
-        posts.select(F.col("id").alias("post_id"), F.posexplode("urls").alias("pos", "url"))
-        .where(U.is_scrapable("url"))
-    )
-
-
 def fetch_articles(wanted: DataFrame, pages: DataFrame, markdown: bool = False) -> DataFrame:
     """Join wanted URLs to stored pages; failed fetches (no page, empty
     content) are dropped.  Only wanted pages are parsed."""
@@ -92,14 +84,6 @@ def fetch_articles(wanted: DataFrame, pages: DataFrame, markdown: bool = False)
 # --- transcripts -------------------------------------------------------------------
 
 
-def wanted_transcripts(posts: DataFrame) -> DataFrame:
-    return (
-        posts.select(F.col("id").alias("post_id"), F.posexplode("urls").alias("pos", "url"))
-        .withColumn("video_id", U.video_id("url"))
-        .where(F.col("video_id").isNotNull())
-    )
-
-
 def fetch_transcripts(wanted: DataFrame, vtts: DataFrame) -> DataFrame:
     """Join wanted video ids to stored captions; clean only wanted ones; drop
     empty results."""
@@ -111,10 +95,6 @@ def fetch_transcripts(wanted: DataFrame, vtts: DataFrame) -> DataFrame:
 # --- images --------------------------------------------------------------------------
 
 
-def wanted_images(posts: DataFrame) -> DataFrame:
-    return posts.select(F.col("id").alias("post_id"), F.posexplode("images").alias("pos", "url"))
-
-
 def fetch_image_texts(wanted: DataFrame, image_texts: DataFrame) -> DataFrame:
     """Join wanted image URLs to stored descriptions; empty ones dropped."""
     found = wanted_rows(image_texts, wanted, "url").where(T.blank_to_null("description").isNotNull())
@@ -196,16 +176,6 @@ def parse_video_info(printed: DataFrame) -> DataFrame:
 # --- context counts (analysis flags) -------------------------------------------------------
 
 
-def context_counts(posts: DataFrame, **contexts: DataFrame) -> DataFrame:
-    """posts + n_<kind> for each context table (counted per post, then one
-    left join per kind on post id)."""
-    out = posts
-    for kind, ctx in contexts.items():
-        counts = ctx.groupBy("post_id").agg(F.count(F.lit(1)).alias(f"n_{kind}")).withColumnRenamed("post_id", "id")
-        out = out.join(counts, "id", "left").withColumn(f"n_{kind}", F.coalesce(f"n_{kind}", F.lit(0)))
-    return out
-
-
 def context_summary(articles: DataFrame, transcripts: DataFrame, images: DataFrame, threads: DataFrame | None = None) -> DataFrame:
     """Per post (`threads`: post_id, n): how many articles, transcripts, image texts and thread
     members were found, the first article and transcript and, in order, all

@@ -435,7 +435,7 @@ def enriched_prompt(
     images from 1."""
     art = _nested(
         articles,
-        F.concat(F.lit("### "), T.first_present("title", "url"), F.lit("\n"), T.truncate_marked("content", fixed.ARTICLE_PROMPT_CUT)),
+        F.concat(F.lit("### "), F.coalesce(T.first_present("title", "url"), F.lit("")), F.lit("\n"), T.truncate_marked("content", fixed.ARTICLE_PROMPT_CUT)),
         "art",
     )
     trn = _nested(transcripts, F.concat(F.lit("### "), F.col("url"), F.lit("\n"), T.truncate_marked("transcript", fixed.TRANSCRIPT_PROMPT_CUT)), "trn")
@@ -476,12 +476,13 @@ def enriched_prompt(
     return df.select("id", F.array_join(F.filter(sections, lambda x: x.isNotNull()), sep).alias("prompt"))
 
 
-def legacy_context(posts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def legacy_context(posts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Context from optional per-post columns (`article_content`,
     `youtube_transcript`, `image_descriptions`) and a default triage, for
     callers that fetched context themselves: one-element lists when a text
-    is non-empty, thread members from `thread` if present.
-    Returns (triage, articles, transcripts, images) long tables."""
+    is non-empty, and the texts of an optional array column `thread` as thread members,
+    in order.  Returns (triage, articles, transcripts, images, threads) long tables for
+    `enriched_prompt`; the triage asks for no expansion, as the thread comes with the post."""
     default = F.struct(
         F.array().cast("array<struct<url:string,reason:string,priority:string>>").alias("needsArticleScrape"),
         F.array().cast("array<struct<url:string,reason:string>>").alias("needsYoutubeTranscript"),
@@ -500,7 +501,9 @@ def legacy_context(posts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
         F.col("id").alias("post_id"), F.lit(0).alias("pos"), F.lit("").alias("url"), F.col("youtube_transcript").alias("transcript"),
     )
     imgs = posts.select(F.col("id").alias("post_id"), F.posexplode(F.coalesce("image_descriptions", F.array().cast("array<string>"))).alias("pos", "description")).withColumn("url", F.lit(""))
-    return triage, arts, trs, imgs
+    texts = F.col("thread") if "thread" in posts.columns else F.array().cast("array<string>")
+    threads = posts.select(F.col("id").alias("post_id"), F.posexplode(texts).alias("turn", "text"))
+    return triage, arts, trs, imgs, threads
 
 
 def prompt_stub_model(batch: pd.DataFrame) -> pd.DataFrame:

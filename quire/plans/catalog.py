@@ -302,6 +302,18 @@ def bookmark_files(spark, sf_dir):
     return _post_out(valid)
 
 
+@query
+def bookmark_arrays(spark, sf_dir):
+    """Posts read from bookmark files that hold one JSON array each, by blocks, then validated."""
+    path = S.scratch(spark, "arrays")
+    raw = fx.raw_posts_pages(spark, sf_dir).where(F.try_parse_json("raw").isNotNull())
+    in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "raw"))), lambda x: x["raw"]), ",\n")
+    files = raw.groupBy(F.floor(F.col("page_id") / 500).alias("file")).agg(F.concat(F.lit("["), in_order, F.lit("]")).alias("value"))
+    files.write.partitionBy("file").text(path)
+    valid, _ = ingest.ingest(ingest.split_bookmarks(spark, path))
+    return _post_out(valid)
+
+
 # --- step 5: enrichment -------------------------------------------------------------
 
 
@@ -362,6 +374,42 @@ def thread_expand(spark, sf_dir):
     return enrich.expand_threads(bookmarks, members).select("post_id", "member_id", "turn", "text")
 
 
+def _thread_posts(spark, sf_dir):
+    return fx.conversation_bookmarks(spark, sf_dir), fx.conversation_members(spark, sf_dir)
+
+
+@query
+def thread_prompt(spark, sf_dir):
+    """Analysis requests of saved conversation posts by the call in which a caller brings the
+    article text itself (here the post's own text), with the thread's members."""
+    posts, members = _thread_posts(spark, sf_dir)
+    none = F.lit(None)
+    given = posts.select(
+        "id", F.col("text").alias("article_content"), none.cast("string").alias("youtube_transcript"),
+        none.cast("array<string>").alias("image_descriptions"),
+    )
+    triage, arts, trs, imgs, _ = inference.legacy_context(given)
+    threads = enrich.expand_threads(posts, members)
+    return inference.enriched_prompt(posts, triage, arts, trs, imgs, threads).withColumnRenamed("id", "post_id")
+
+
+@query
+def thread_flags(spark, sf_dir):
+    """The flags of saved conversation posts: what a caller's answer says, or the context found."""
+    posts, members = _thread_posts(spark, sf_dir)
+    given = posts.select(
+        "id", F.lit(None).cast("string").alias("article_content"), F.col("text").alias("youtube_transcript"),
+        F.lit(None).cast("array<string>").alias("image_descriptions"),
+    )
+    _, arts, trs, imgs, _ = inference.legacy_context(given)
+    counts = enrich.context_summary(arts, trs, imgs.withColumn("title", F.lit(None).cast("string")), enrich.thread_counts(posts, members))
+    says = F.struct(
+        (F.length("text") % 2 == 0).alias("hasArticle"), F.lit(None).cast("boolean").alias("hasVideo"), F.lit(False).alias("hasThread")
+    )
+    flags = inference.merge_flags(posts.select("id", says.alias("analysis")), counts)
+    return flags.select(F.col("id").alias("post_id"), "has_article", "has_video", "has_thread", F.length("youtube_transcript").cast("bigint").alias("transcript_len"))
+
+
 @query
 def video_info(spark, sf_dir):
     return enrich.parse_video_info(fx.video_info_raw(spark, sf_dir))
@@ -503,19 +551,26 @@ def _faulty_analysis(prompts):
     return prompts.where(n != 10).select("id", answer.alias("output"))
 
 
-@query
-def poll_outcome(spark, sf_dir):
-    """One whole poll over the raw posts with models that leave out or spoil
-    answers: the final state of every accepted post."""
+def _poll(spark, sf_dir):
+    """One whole poll over the raw posts with models that leave out or spoil answers:
+    its folder and its counters."""
     path = S.scratch(spark, "poll")
     stores = poll.Stores(
         pages=read(spark, sf_dir, "pages"), captions=fx.transcripts(spark, sf_dir),
         image_texts=fx.image_texts(spark, sf_dir), published=fx.published(spark, sf_dir),
     )
-    poll.run_poll(
+    counters = poll.run_poll(
         spark, fx.raw_posts_pages(spark, sf_dir), stores, path + "/ledger", path + "/pages", 0, dt.datetime(2024, 2, 1),
         triage_model=_faulty_triage(read(spark, sf_dir, "labels")), analysis_model=_faulty_analysis,
     )
+    return path, counters
+
+
+@query
+def poll_outcome(spark, sf_dir):
+    """One whole poll over the raw posts with models that leave out or spoil
+    answers: the final state of every accepted post."""
+    path, _ = _poll(spark, sf_dir)
     cur = ledger.current(ledger.read_ledger(spark, path + "/ledger"))
     pages = spark.read.parquet(path + "/pages").select("post_id", F.lit(True).alias("page"))
     return cur.join(pages, "post_id", "left").select(
@@ -523,6 +578,26 @@ def poll_outcome(spark, sf_dir):
     )
 
 
+@query
+def poll_counters(spark, sf_dir):
+    """The run counters of that poll, as its jobs observed them."""
+    _, counters = _poll(spark, sf_dir)
+    return spark.createDataFrame([tuple(counters.values())], ", ".join(f"{k} bigint" for k in counters))
+
+
+@query
+def poll_payloads(spark, sf_dir):
+    """The stored payload of every post of that poll: its parts, and the post in it."""
+    path, _ = _poll(spark, sf_dir)
+    cur = ledger.current(ledger.read_ledger(spark, path + "/ledger"))
+    field = lambda p: F.get_json_object("raw_data", p)
+    return cur.select(
+        "post_id", F.array_join(F.json_object_keys("raw_data"), ",").alias("parts"), field("$.tweet.id").alias("tweet_id"),
+        F.sha2(field("$.tweet.text"), 256).alias("text_sha"), F.coalesce(F.json_array_length(field("$.tweet.urls")), F.lit(0)).cast("bigint").alias("n_urls"),
+        field("$.triage.estimatedValue").alias("estimated_value"), field("$.analysis.category").alias("category"),
+    )
+
+
 # --- step 7: publish, digest, alerts -------------------------------------------------------
 
 

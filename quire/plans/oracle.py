@@ -854,6 +854,66 @@ SELECT id AS post_id, CASE WHEN fate = 'failed' THEN 'failed' ELSE 'completed' E
 FROM judged
 """
 
+_JUDGED = POLL_OUTCOME[: POLL_OUTCOME.rindex("SELECT id AS post_id")]
+
+POLL_COUNTERS = _JUDGED + """
+SELECT count(*) AS fetched, CAST(0 AS BIGINT) AS skipped,
+  (SELECT count(*) FROM raw_posts) - count(*) AS quarantined,
+  count(*) FILTER (WHERE fate = 'failed') AS failed, count(*) FILTER (WHERE fate = 'skipped') AS triage_skipped,
+  count(*) FILTER (WHERE fate = 'known') AS already_published, count(*) FILTER (WHERE fate = 'done') AS completed
+FROM judged
+"""
+
+POLL_PAYLOADS = _JUDGED + """
+SELECT j.id AS post_id,
+  CASE fate WHEN 'failed' THEN '' WHEN 'known' THEN 'tweet,alreadyPublished' WHEN 'skipped' THEN 'tweet,triage,skipped'
+       ELSE 'tweet,triage,analysis' END AS parts,
+  CASE WHEN fate <> 'failed' THEN j.id END AS tweet_id,
+  CASE WHEN fate <> 'failed' THEN sha256(t.text) END AS text_sha,
+  CAST(CASE WHEN fate <> 'failed' THEN len(t.urls) ELSE 0 END AS BIGINT) AS n_urls,
+  CASE WHEN fate IN ('skipped', 'done') THEN j.estimated_value END AS estimated_value,
+  CASE WHEN fate = 'done' THEN answer END AS category
+FROM judged j JOIN tri t ON t.id = j.id
+"""
+
+_THREAD_POSTS = """
+conv AS (
+  SELECT conv_id, turn, role, text, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS member_id
+  FROM conversations
+),
+bad AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system'),
+last AS (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id),
+saved AS (SELECT c.* FROM conv c JOIN last l ON l.conv_id = c.conv_id AND l.turn = c.turn WHERE c.role <> 'system'),
+others AS (
+  SELECT s.member_id AS post_id, m.turn, m.text, row_number() OVER (PARTITION BY s.member_id ORDER BY m.turn) + 1 AS rn
+  FROM saved s JOIN conv m ON m.conv_id = s.conv_id AND m.member_id <> s.member_id
+  WHERE s.turn > 0 AND s.conv_id NOT IN (SELECT conv_id FROM bad)
+)"""
+
+THREAD_PROMPT = f"""
+WITH {_THREAD_POSTS},
+thr AS (
+  SELECT post_id, '## THREAD CONTINUATION (' || count(*) || ' more tweets)' || chr(10)
+    || string_agg('[' || rn || '] ' || text, chr(10) || chr(10) ORDER BY rn) AS s
+  FROM others GROUP BY post_id
+)
+SELECT p.member_id AS post_id, concat_ws({_SEP},
+  {_lit(fixed.PROMPT_USER_CONTEXT + DEFAULT_USER_CONTEXT)},
+  {_lit(fixed.PROMPT_ORIGINAL + "**@")} || role || '** (' || upper(role[1]) || role[2:] || ')' || chr(10) || chr(10) || text
+    || chr(10) || chr(10) || '_Content type identified: tweet_' || chr(10) || '_Estimated value: medium_',
+  thr.s,
+  CASE WHEN text <> '' THEN {_lit(fixed.PROMPT_ARTICLES + "### ")} || chr(10) || {_cut('text', 8000)} END,
+  {_lit(fixed.PROMPT_TASK + DEFAULT_TASK)}) AS prompt
+FROM saved p LEFT JOIN thr ON thr.post_id = p.member_id
+"""
+
+THREAD_FLAGS = f"""
+WITH {_THREAD_POSTS}
+SELECT member_id AS post_id, length(text) % 2 = 0 AS has_article, text <> '' AS has_video,
+  member_id IN (SELECT post_id FROM others) AS has_thread, CAST(length(nullif(text, '')) AS BIGINT) AS transcript_len
+FROM saved
+"""
+
 # --- step 7: publish, digest, alerts --------------------------------------------------------
 
 _PUB = f"""
@@ -1178,6 +1238,11 @@ ORACLE: dict[str, str] = {
     "bookmark_files": INGEST_VALID,
     "stats_message": STATS_MESSAGE,
     "poll_outcome": POLL_OUTCOME,
+    "poll_counters": POLL_COUNTERS,
+    "poll_payloads": POLL_PAYLOADS,
+    "thread_prompt": THREAD_PROMPT,
+    "thread_flags": THREAD_FLAGS,
+    "bookmark_arrays": INGEST_VALID,
     "triage_model": TRIAGE_MODEL,
     "document_outbox": DOCUMENT_OUTBOX,
     "publish_rows": PUBLISH_ROWS,

@@ -133,9 +133,16 @@ def test_triage_validation(spark):
 
 
 def test_legacy_context_and_text_fallback(spark):
-    posts = spark.createDataFrame([("1", "art", "", ["d1", "d2"])],
-                                  "id string, article_content string, youtube_transcript string, image_descriptions array<string>")
-    triage, arts, trs, imgs = inference.legacy_context(posts)
+    posts = spark.createDataFrame(
+        [("1", "art", "", ["d1", "d2"], ["t2", "t3"], "u", "U", "post")],
+        "id string, article_content string, youtube_transcript string, image_descriptions array<string>, "
+        "thread array<string>, author_username string, author_name string, text string",
+    )
+    triage, arts, trs, imgs, threads = inference.legacy_context(posts)
+    assert [tuple(r) for r in threads.select("post_id", "turn", "text").collect()] == [("1", 0, "t2"), ("1", 1, "t3")]
+    assert inference.legacy_context(posts.drop("thread"))[4].count() == 0
+    prompt = inference.enriched_prompt(posts, triage, arts, trs, imgs, threads).first()["prompt"]
+    assert "(2 more tweets)\n[2] t2\n\n[3] t3" in prompt and "### \nart" in prompt
     assert arts.count() == 1 and trs.count() == 0 and imgs.count() == 2
     assert triage.first()["triage"]["estimatedValue"] == "medium"
     df = spark.createDataFrame([(None, None, "full"), (None, "note", "full"), ("art", "note", "full")], "a string, n string, f string")
@@ -151,3 +158,9 @@ def test_first_per_id_and_model_adapter(spark):
 
     out = inference.run_model(posts, model, "id string, label string")
     assert out.count() == 3 and {r["label"] for r in out.collect()} == {"x"}
+
+
+def test_poll_without_posts_counts_nothing(spark, tmp_path):
+    raw = spark.createDataFrame([], "raw string")
+    m = poll.run_poll(spark, raw, stores(spark), str(tmp_path / "l"), str(tmp_path / "p"), batch_id=0, now=NOW)
+    assert m == dict.fromkeys(poll.COUNTERS, 0)
