@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from quire.functions import fixed
 from quire.functions import text as T
 from quire.functions.transcript import chunk_lines
-from quire.operators import stats
+from quire.operators import inference, stats
+from quire.session import stage
 
 
 def digest_input(rows: DataFrame) -> DataFrame:
@@ -76,6 +77,14 @@ def rule_digest(inp: DataFrame) -> DataFrame:
     )
 
 
+def model_digest(inp: DataFrame, model) -> tuple[DataFrame, DataFrame]:
+    """The digest by a model: `model` maps the request (prompt) to the answer (output JSON).
+    Returns the valid digest (`digest`, for `render`) and the rejected answer with its reason;
+    an empty week asks nothing."""
+    ok, bad = inference.validate_digests(stage(model(digest_prompt(inp)).select("output")))
+    return ok.select("digest"), bad.select("output", "reason")
+
+
 def render(d: Column) -> Column:
     """Markdown: title, digest text, then top picks, patterns and
     recommendations when present."""

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from quire.functions import fixed
 from quire.functions import text as T
 from quire.functions import urls as U
+from quire.session import stage
 
 TRIAGE_SCHEMA = (
     "needsArticleScrape ARRAY<STRUCT<url: STRING, reason: STRING, priority: STRING>>, "
@@ -318,6 +319,29 @@ def digest_reason(d: Column) -> Column:
     )
 
 
+IMAGE_SCHEMA = (
+    "description STRING, hasText BOOLEAN, extractedText STRING, contentType STRING, "
+    "keyElements ARRAY<STRING>, relevance STRING"
+)
+
+DIGEST_SCHEMA = (
+    "digest STRING, patterns ARRAY<STRING>, recommendations ARRAY<STRING>, "
+    "topPicks ARRAY<STRUCT<summary: STRING, why: STRING>>"
+)
+
+
+def validate_images(outputs: DataFrame, json_col: str = "output") -> tuple[DataFrame, DataFrame]:
+    """Image model output JSON (url, output) -> (valid images, quarantine with reason)."""
+    parsed = _parsed(outputs, json_col, "image", IMAGE_SCHEMA).withColumn("reason", image_reason(F.col("image")))
+    return parsed.where(F.col("reason").isNull()).drop("reason"), parsed.where(F.col("reason").isNotNull())
+
+
+def validate_digests(outputs: DataFrame, json_col: str = "output") -> tuple[DataFrame, DataFrame]:
+    """Digest model output JSON -> (valid digests, quarantine with reason)."""
+    parsed = _parsed(outputs, json_col, "digest", DIGEST_SCHEMA).withColumn("reason", digest_reason(F.col("digest")))
+    return parsed.where(F.col("reason").isNull()).drop("reason"), parsed.where(F.col("reason").isNotNull())
+
+
 # --- image descriptions -------------------------------------------------------------------------
 
 
@@ -357,6 +381,17 @@ def image_texts(images: DataFrame) -> DataFrame:
     return ok.select("url", render_image_text(F.col("image")).alias("description"))
 
 
+def describe_images(wanted: DataFrame, model: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Image texts by a model: each wanted URL is asked once.  `model` maps (url) to
+    (url, output JSON); its answers are stored once, so both results see the same ones.  Returns
+    (url, description) of the valid answers, the least by text where a model gives
+    several, and the rejected answers with their reason."""
+    answers = stage(model(wanted.select("url").where(F.col("url").isNotNull()).distinct()).select("url", "output"))
+    ok, bad = validate_images(answers)
+    described = image_texts(ok).groupBy("url").agg(F.min("description").alias("description"))
+    return described, bad.select("url", "output", "reason")
+
+
 # --- flags and prompts ---------------------------------------------------------------------------
 
 

@@ -367,6 +367,48 @@ def image_descriptions(spark, sf_dir):
     return fx.image_texts(spark, sf_dir)
 
 
+def _faulty_images(urls):
+    """An unreliable image model: no JSON, an unknown kind or no key elements for some lengths of url."""
+    n = F.length("url") % 5
+    good = F.struct(
+        F.concat(F.lit("image at "), F.col("url")).alias("description"), F.lit(False).alias("hasText"),
+        F.when(n == 1, "painting").otherwise("photo").alias("contentType"),
+        F.when(n != 2, F.array(F.lit("sky"), F.lit("sea"))).alias("keyElements"), F.lit("attached").alias("relevance"),
+    )
+    return urls.select("url", F.when(n == 0, "{x").otherwise(F.to_json(good)).alias("output"))
+
+
+@query
+def image_model(spark, sf_dir):
+    """Every extracted image described by a model that spoils answers: text, or why it is rejected."""
+    media = ingest.extract_media(fx.raw_media_entities(spark, sf_dir)).select(F.explode("media.url").alias("url"))
+    described, rejected = inference.describe_images(media, _faulty_images)
+    return described.withColumn("reason", F.lit(None).cast("string")).unionByName(
+        rejected.select("url", F.lit(None).cast("string").alias("description"), "reason")
+    )
+
+
+def _digest_answers(requests):
+    """A digest model's stand-in: reads the request and answers by it."""
+    total = F.regexp_extract("prompt", r"Total processed: (\d+)", 1)
+    first = F.regexp_extract("prompt", r"\n- \[([^\]]*)\]", 1)
+    answer = F.struct(
+        F.concat(total, F.lit(" posts were saved.")).alias("digest"),
+        F.array(F.concat(F.lit("first: "), first)).alias("patterns"),
+        F.array().cast("array<string>").alias("recommendations"),
+        F.array(F.struct(first.alias("summary"), F.lit("newest").alias("why"))).alias("topPicks"),
+    )
+    return requests.select(F.to_json(answer).alias("output"))
+
+
+@query
+def digest_model(spark, sf_dir):
+    """The week's digest by a model that is given the request, validated and rendered."""
+    inp = digest.digest_input(stats.week_slice(fx.ledger_rows(spark, sf_dir)))
+    ok, _ = digest.model_digest(inp, _digest_answers)
+    return ok.select(digest.render(F.col("digest")).alias("markdown"))
+
+
 @query
 def thread_expand(spark, sf_dir):
     members = fx.conversation_members(spark, sf_dir)

@@ -1036,6 +1036,25 @@ SELECT 'Generate a weekly digest for saved posts.' || chr(10) || chr(10) || 'STA
 WHERE (SELECT count(*) FROM week) > 0
 """
 
+IMAGE_MODEL = f"""
+WITH {_CTX_ALL},
+asked AS (SELECT DISTINCT url, length(url) % 5 AS n FROM image_texts WHERE url IS NOT NULL)
+SELECT url, CASE WHEN n > 2 THEN 'image at ' || url || chr(10) || '🔑 Key elements: sky, sea' END AS description,
+  CASE n WHEN 0 THEN 'malformed_json' WHEN 1 THEN 'contentType' WHEN 2 THEN 'keyElements' END AS reason
+FROM asked
+"""
+
+DIGEST_MODEL = f"""
+WITH {WEEK},{_HIGHLIGHTS},
+said AS (
+  SELECT (SELECT count(*) FROM week) AS total, coalesce((SELECT category FROM highlights ORDER BY rank LIMIT 1), '') AS top
+)
+SELECT {_lit(fixed.DIGEST_TITLE)} || CAST(total AS VARCHAR) || ' posts were saved.' || {_lit(fixed.DIGEST_TOP_PICKS)}
+  || '- **' || top || '**' || chr(10) || '  _newest_' || {_lit(fixed.DIGEST_PATTERNS)} || '- first: ' || top AS markdown
+FROM said WHERE total > 0
+"""
+
+
 def _whole(pieces: str) -> str:
     """Non-empty pieces, those over 4096 characters going on in further ones."""
     return f"""flatten(list_transform(list_filter({pieces}, lambda x: x <> ''),
@@ -1239,6 +1258,8 @@ ORACLE: dict[str, str] = {
     "stats_message": STATS_MESSAGE,
     "poll_outcome": POLL_OUTCOME,
     "poll_counters": POLL_COUNTERS,
+    "image_model": IMAGE_MODEL,
+    "digest_model": DIGEST_MODEL,
     "poll_payloads": POLL_PAYLOADS,
     "thread_prompt": THREAD_PROMPT,
     "thread_flags": THREAD_FLAGS,

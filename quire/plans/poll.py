@@ -83,12 +83,15 @@ def run_poll(
     analysis_model: Model | None = None,
     enrich_fn: Callable[[DataFrame], DataFrame] | None = None,
     markdown: bool = False,
+    image_model: Model | None = None,
 ) -> dict[str, int]:
     """Run one poll; returns the run counters.  They are observed by the jobs that read the
     posts, settle which are new, and write the versions, so no job only counts.
 
     `triage_model` maps posts to (id, triage); `analysis_model` maps prompts
-    (id, prompt) to (id, output JSON).  Without them the rule models answer."""
+    (id, prompt) to (id, output JSON).  Without them the rule models answer.
+    `image_model` maps image URLs (url) to (url, output JSON) in place of stored image texts; an
+    image without a valid answer gives no text.  With `markdown` articles are fetched as Markdown."""
     base = (batch_id + 1) << 40
     read, settled, wrote = Observation(), Observation(), Observation()
     posts, _ = ingest.ingest(raw, seen=read)
@@ -129,7 +132,9 @@ def run_poll(
     arts = enrich.fetch_articles(wanted_a, stores.pages, markdown)
     wanted_v = enrich.wanted_from_triage(live, "needsYoutubeTranscript").withColumn("video_id", U.video_id("url"))
     trs = enrich.fetch_transcripts(wanted_v.where(F.col("video_id").isNotNull()), stores.captions)
-    imgs = enrich.fetch_image_texts(enrich.wanted_from_triage(live, "needsImageAnalysis"), stores.image_texts)
+    wanted_i = enrich.wanted_from_triage(live, "needsImageAnalysis")
+    described = stores.image_texts if image_model is None else inference.describe_images(wanted_i, image_model)[0]
+    imgs = enrich.fetch_image_texts(wanted_i, described)
     threads = None
     if stores.members is not None:
         wanted_t = todo.join(live.select("id", F.col("triage.needsThreadExpansion").alias("wants")), "id")
