@@ -136,10 +136,11 @@ def triage_skipped(triage: DataFrame, processed_at) -> DataFrame:
 # --- K2: rule analysis ------------------------------------------------------------------
 
 
-def word_tags(posts: DataFrame, k: int = 3) -> DataFrame:
+def word_tags(posts: DataFrame, k: int = 9) -> DataFrame:
     """Per post: the k most frequent words of five or more letters
     (ties by word).  Words are counted per (post, word); each post keeps at
-    most k, so the per-post list is bounded."""
+    most k, so the per-post list is bounded.  A page shows fewer
+    (`fixed.MAX_TAGS`)."""
     words = posts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{5,}"), 0)).alias("word"))
     counts = words.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("id").orderBy(F.col("n").desc(), F.col("word"))
@@ -163,7 +164,8 @@ def rule_analysis(posts: DataFrame, triage: DataFrame, counts: DataFrame, labels
 
     `counts` has per post id the number of fetched articles, transcripts,
     image texts and thread members plus the first article title.  Score is
-    a bounded formula of those counts and the quality label.
+    a bounded formula of those counts and the quality label.  All sentences of
+    the text are its insights; only the page cuts their number.
     """
     df = posts.join(triage.where(F.col("triage.estimatedValue") != "skip"), "id")
     df = df.join(counts, "id", "left").join(word_tags(posts), "id", "left")
@@ -209,11 +211,7 @@ def rule_analysis(posts: DataFrame, triage: DataFrame, counts: DataFrame, labels
         F.lit(False).alias("hasArticle"),
         F.lit(False).alias("hasVideo"),
         F.lit(False).alias("hasThread"),
-        F.slice(
-            F.filter(F.split(F.regexp_replace(flat, r"([.!?]) ", "$1\n"), "\n"), lambda s: F.length(s) >= 20),
-            1,
-            fixed.MAX_INSIGHTS,
-        ).alias("keyInsights"),
+        F.array_remove(F.split(F.regexp_replace(flat, r"([.!?]) ", "$1\n"), "\n"), "").alias("keyInsights"),
         F.array().cast("array<string>").alias("quotes"),
         F.transform(
             "urls",

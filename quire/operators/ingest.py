@@ -272,6 +272,13 @@ def read_captions(spark, path: str) -> DataFrame:
     )
 
 
+def read_caption_lines(spark, path: str) -> DataFrame:
+    """Captions stored as JSON lines of (video_id, vtt), many videos a file: the
+    number of files doesn't grow with that of the videos.  Blank captions give no row."""
+    rows = spark.read.schema("video_id string, vtt string").json(path)
+    return rows.where(F.trim("vtt") != "")
+
+
 # --- media extraction from the source's raw entities ---------------------------
 
 

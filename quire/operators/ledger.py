@@ -35,13 +35,20 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def create_ledger(spark: SparkSession, table: str, path: str) -> None:
-    """Create the ledger table if absent, partitioned by processing day."""
+    """Create the ledger table over `path` if absent.  It is partitioned as the
+    jobs write it, one folder a batch; `add_batches` takes in new folders."""
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {table} ({LEDGER_SCHEMA.replace(':', '')}, processed_date DATE) "
-        f"USING parquet PARTITIONED BY (processed_date) LOCATION '{path}'"
+        f"CREATE TABLE IF NOT EXISTS {table} ({LEDGER_SCHEMA}, batch_id BIGINT) "
+        f"USING parquet PARTITIONED BY (batch_id) LOCATION '{path}'"
     )
 
 
+def add_batches(spark: SparkSession, table: str) -> None:
+    """Register the batch folders that a job has written since in a table
+    partitioned by `batch_id` (the ledger or the published table)."""
+    spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+
+
 def append_bucketed(versions: DataFrame, table: str, path: str, buckets: int) -> None:
     """Append versions to a table bucketed by post id and sorted by id and version
     (made if absent).  Latest-by-key and the joins on the id then read a bucket's
@@ -60,17 +67,6 @@ def append_bucketed(versions: DataFrame, table: str, path: str, buckets: int) ->
     )
 
 
-def append_versions(versions: DataFrame, path: str) -> None:
-    """Append versions, partitioned by day (idempotent per batch when the
-    caller derives `version` from the batch)."""
-    (
-        versions.withColumn("processed_date", F.to_date("processed_at"))
-        .write.mode("append")
-        .partitionBy("processed_date")
-        .parquet(path)
-    )
-
-
 def current(versions: DataFrame, columns: list[str] = PAYLOAD) -> DataFrame:
     """Latest version per post id.  Only `columns` are carried through the
     aggregate and its shuffle; ask for those needed, the stored payload is large."""

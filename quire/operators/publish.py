@@ -18,7 +18,7 @@ from quire.functions import urls as U
 from quire.functions.timefmt import iso
 
 PUBLISHED_COLUMNS = (
-    "page_id STRING, topic STRING, score DOUBLE, score_visual STRING, author STRING, category STRING, "
+    "post_id STRING, page_id STRING, topic STRING, score DOUBLE, score_visual STRING, author STRING, category STRING, "
     "for_you STRING, priority STRING, top_action STRING, primary_link STRING, has_article BOOLEAN, "
     "has_video BOOLEAN, has_thread BOOLEAN, tldr STRING, summary STRING, tags ARRAY<STRING>, "
     "post_url STRING, created_at STRING, processed_at STRING"
@@ -26,11 +26,12 @@ PUBLISHED_COLUMNS = (
 
 
 def ensure_published_table(spark: SparkSession, name: str, path: str) -> bool:
-    """Get or create the published table; True when it already existed."""
+    """Get or create the published table over `path`; True when it already
+    existed.  It is partitioned as `write_pages` writes it, one folder a batch."""
     existed = spark.catalog.tableExists(name)
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({PUBLISHED_COLUMNS}) USING parquet "
-        f"PARTITIONED BY (category) LOCATION '{path}'"
+        f"CREATE TABLE IF NOT EXISTS {name} ({PUBLISHED_COLUMNS}, batch_id BIGINT) USING parquet "
+        f"PARTITIONED BY (batch_id) LOCATION '{path}'"
     )
     return existed
 

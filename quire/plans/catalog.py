@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -286,11 +287,21 @@ def html_escape(spark, sf_dir):
 
 @query
 def caption_files(spark, sf_dir):
-    """Captions read back from one file a video, then cleaned."""
+    """Captions read back from files of JSON lines, many videos a file, then cleaned."""
     path = S.scratch(spark, "captions")
-    captions = fx.transcripts(spark, sf_dir).where(F.col("vtt").isNotNull())
-    captions.select("video_id", F.col("vtt").alias("value")).write.partitionBy("video_id").text(path)
-    return clean_vtt(ingest.read_captions(spark, path), "vtt", "transcript").select("video_id", "transcript")
+    fx.transcripts(spark, sf_dir).select("video_id", "vtt").write.json(path)
+    return clean_vtt(ingest.read_caption_lines(spark, path), "vtt", "transcript").select("video_id", "transcript")
+
+
+@query
+def post_texts(spark, sf_dir):
+    """Post text: a long article's, else a note's, else the plain text (empty ones count as present)."""
+    n = F.col("doc_id")
+    given = lambda kind: F.concat(F.lit(kind + " "), n.cast("string"))
+    article = F.when(n % 6 == 0, "").when(n % 3 == 0, given("article"))
+    return read(spark, sf_dir, "documents").select(
+        n.cast("string").alias("post_id"), ingest.post_text(article, F.when(n % 4 == 0, given("note")), F.col("text")).alias("text")
+    )
 
 
 @query
@@ -640,6 +651,33 @@ def poll_payloads(spark, sf_dir):
     )
 
 
+@query
+def poll_tables(spark, sf_dir):
+    """The ledger and the published pages of that poll through catalog tables over
+    the job's own folders: every post's final state with its page."""
+    path, _ = _poll(spark, sf_dir)
+    versions, pages = (f"{kind}_{uuid.uuid4().hex}" for kind in ("ledger", "pages"))
+    ledger.create_ledger(spark, versions, path + "/ledger")
+    existed = [publish.ensure_published_table(spark, pages, path + "/pages") for _ in range(2)]
+    for name in (versions, pages):
+        ledger.add_batches(spark, name)
+    shown = spark.table(pages).select("post_id", "page_id", F.col("category").alias("page_category"))
+    return ledger.current(spark.table(versions), ["status", "category"]).join(shown, "post_id", "left").select(
+        "post_id", "status", "category", "page_id", "page_category",
+        F.lit(existed[0]).alias("existed_before"), F.lit(existed[1]).alias("exists_now"),
+    )
+
+
+@query
+def ledger_added_column(spark, sf_dir):
+    """A ledger whose older files lack the column `status`, read with the present schema."""
+    path, rows = S.scratch(spark, "ledger"), fx.ledger_rows(spark, sf_dir)
+    old = F.col("version") % 2 == 0
+    rows.where(old).drop("status").write.parquet(path + "/batch_id=0")
+    rows.where(~old).write.parquet(path + "/batch_id=1")
+    return ledger.read_ledger(spark, path).select("post_id", "category", "status")
+
+
 # --- step 7: publish, digest, alerts -------------------------------------------------------
 
 
@@ -680,6 +718,33 @@ def page_blocks(spark, sf_dir):
     return publish.page_blocks(posts, analyses)
 
 
+def _answered(spark, sf_dir):
+    """Documents as posts, with their valid answers and the flags and context that came with them."""
+    given = fx.answered_posts(spark, sf_dir)
+    ok, _ = inference.validate_analysis(given.select("id", "output"))
+    ok = ok.select("id", "analysis")
+    _, arts, trs, imgs, _ = inference.legacy_context(given)
+    flags = inference.merge_flags(ok, enrich.context_summary(arts, trs, imgs))
+    return given.select("id", "text", "author_username", "created_at", "images"), ok.join(flags, "id")
+
+
+@query
+def answers_published(spark, sf_dir):
+    """Published rows of answers with more tags and longer texts than a page shows."""
+    posts, analyses = _answered(spark, sf_dir)
+    rows = publish.publish_rows(posts, analyses, stats.latest_time(fx.ledger_rows(spark, sf_dir)))
+    return rows.select(
+        "post_id", "topic", "score", "score_visual", "category", "priority", F.size("tags").cast("bigint").alias("n_tags"),
+        F.array_join("tags", ",").alias("tags"), "for_you", "tldr",
+    )
+
+
+@query
+def answers_blocks(spark, sf_dir):
+    """Page blocks of answers with quotes, more images, links and insights than a page shows."""
+    return publish.page_blocks(*_answered(spark, sf_dir))
+
+
 def _digest(spark, sf_dir):
     inp = digest.digest_input(stats.week_slice(fx.ledger_rows(spark, sf_dir)))
     d = digest.rule_digest(inp)

@@ -714,7 +714,7 @@ words AS (
 tags AS (
   SELECT id, list(word ORDER BY rk) AS tags FROM (
     SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY n DESC, word) AS rk FROM words
-  ) WHERE rk <= 3 GROUP BY id
+  ) WHERE rk <= 9 GROUP BY id
 ),
 counts AS (
   SELECT l.id,
@@ -743,14 +743,14 @@ an AS (
     CASE WHEN score >= 4 THEN CASE WHEN score >= 9 THEN 'now' WHEN score >= 7 THEN 'this-week' ELSE 'someday' END END AS priority,
     {trunc("coalesce(nullif(first_title, ''), flat)", 50)} AS topic,
     {trunc('flat', 280)} AS tldr,
-    len(list_filter(string_split(regexp_replace(flat, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)), lambda s: length(s) >= 20)) AS n_sent
+    len(list_filter(string_split(regexp_replace(flat, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)), lambda s: s <> '')) AS n_sent
   FROM an0
 )"""
 
 ANALYSIS_RULES = f"""
 WITH {_CTX_ALL},{_ANALYSIS}
 SELECT id AS post_id, category, score, array_to_string(tags, ',') AS tags, topic, tldr, top_action,
-       urls[1] AS primary_link, priority, CAST(least(n_sent, 5) AS BIGINT) AS n_insights,
+       urls[1] AS primary_link, priority, CAST(n_sent AS BIGINT) AS n_insights,
        CAST(len(urls) AS BIGINT) AS n_links
 FROM an
 """
@@ -973,7 +973,7 @@ def _opt_blk(cond: str, block: str) -> str:
     return f"CASE WHEN {cond} THEN [{block}] ELSE {_EMPTY_BLOCKS} END"
 
 
-_SENTENCES = "list_filter(string_split(regexp_replace(flat, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)), lambda s: length(s) >= 20)"
+_SENTENCES = "list_filter(string_split(regexp_replace(flat, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)), lambda s: s <> '')"
 
 _LINK_ICON = (
     "CASE WHEN nullif(regexp_extract(u, '" + _VID + "', 1), '') IS NOT NULL THEN '🎬' "
@@ -1002,6 +1002,76 @@ SELECT id AS post_id, CAST(b.pos - 1 AS BIGINT) AS block_no, b.blk.type AS block
 FROM blocks, unnest(blocks.bl) WITH ORDINALITY AS b(blk, pos)
 """
 
+# --- answered documents ---
+
+_ANSWERED = f"""
+answered AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, coalesce(text, '') AS text, coalesce(source, 'nobody') AS author,
+    list_transform(range(1, doc_id % 7 + 1), lambda i: 'https://img.example.com/' || doc_id || '/' || i || '.jpg') AS images,
+    list_transform(range(1, doc_id % 11 + 1), lambda i: coalesce(lang, 'any') || '-' || doc_id || '-' || i) AS tags,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: s <> '') AS lines,
+    list_transform(range(1, doc_id % 8 + 1), lambda i: {{'url': 'https://www.example.com/' || doc_id || '/' || i, 'title': 'link ' || i,
+      'icon': CASE i % 5 WHEN 0 THEN '🛠️' WHEN 1 THEN '📦' WHEN 2 THEN '🔗' WHEN 3 THEN '🎬' ELSE '📚' END}}) AS links,
+    1 + doc_id % 10 AS score,
+    CASE doc_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'video' ELSE 'knowledge' END AS category,
+    CASE doc_id % 4 WHEN 1 THEN 'now' WHEN 2 THEN 'this-week' ELSE 'someday' END AS priority
+  FROM documents WHERE doc_id % 20 <> 13
+)"""
+
+_MARKS = "CASE WHEN score >= 9 THEN '🔥🔥🔥' WHEN score >= 7 THEN '🔥🔥' WHEN score >= 4 THEN '🔥' ELSE '' END"
+
+ANSWERS_PUBLISHED = f"""
+WITH {_ANSWERED}
+SELECT id AS post_id, {trunc("CASE WHEN doc_id % 5 = 0 THEN lines[1] ELSE text END", 50)} AS topic, CAST(score AS DOUBLE) AS score,
+  {_MARKS} AS score_visual, category, priority, CAST(least(len(tags), 7) AS BIGINT) AS n_tags,
+  array_to_string(list_slice(tags, 1, 7), ',') AS tags, {trunc("text || text", 250)} AS for_you, {trunc("text", 280)} AS tldr
+FROM (SELECT * REPLACE (CASE WHEN len(lines) = 0 THEN [''] ELSE lines END AS lines) FROM answered)
+"""
+
+ANSWERS_BLOCKS = f"""
+WITH {_ANSWERED},
+blocks AS (
+  SELECT id, list_concat(
+    [{_blk('paragraph', _MARKS + " || ' ' || score || '/10 • @' || author || ' • ' || category", "'https://x.com/' || author || '/status/' || id")},
+     {_blk('paragraph', 'text')}],
+    {_opt_blk("text <> ''", _blk('paragraph', "'💡 ' || text || text"))},
+    [{_blk('divider')}, {_blk('quote', trunc('text', 2000))}],
+    list_transform(list_slice(images, 1, 4), lambda u: {_blk('image', url='u')}),
+    list_transform(list_slice(lines, 1, 5), lambda s: {_blk('bulleted_list_item', 's')}),
+    list_transform(list_slice(links, 1, 5), lambda l: {_blk('bulleted_list_item', "l.icon || ' ' || l.title", 'l.url')}),
+    {_opt_blk("doc_id % 2 = 0 AND len(lines) > 0", _blk('toggle', "'💎 Quotes'", detail=trunc("array_to_string(lines, chr(10) || chr(10))", 2000)))},
+    {_opt_blk("doc_id % 6 = 0 AND text <> ''", _blk('toggle', "'🎬 Transcript'", detail=trunc('text', 2000)))},
+    {_opt_blk("doc_id % 9 = 0 AND text <> ''", _blk('toggle', "'📄 Article'", detail=trunc('text', 2000)))}
+  ) AS bl
+  FROM answered
+)
+SELECT id AS post_id, CAST(b.pos - 1 AS BIGINT) AS block_no, b.blk.type AS block_type, b.blk.text AS text,
+       b.blk.url AS url, b.blk.detail AS detail
+FROM blocks, unnest(blocks.bl) WITH ORDINALITY AS b(blk, pos)
+"""
+
+# a third of the posts has an article's text, a fourth a note's; the article's goes first
+POST_TEXTS = """
+SELECT CAST(doc_id AS VARCHAR) AS post_id,
+  CASE WHEN doc_id % 3 = 0 AND doc_id % 6 = 0 THEN ''
+       WHEN doc_id % 3 = 0 THEN 'article ' || doc_id
+       WHEN doc_id % 4 = 0 THEN 'note ' || doc_id ELSE text END AS text
+FROM documents
+"""
+
+POLL_TABLES = _JUDGED + """
+SELECT id AS post_id, CASE WHEN fate = 'failed' THEN 'failed' ELSE 'completed' END AS status,
+       CASE WHEN fate = 'done' THEN answer ELSE 'review' END AS category,
+       CASE WHEN fate = 'done' THEN sha256(id) END AS page_id, CASE WHEN fate = 'done' THEN answer END AS page_category,
+       false AS existed_before, true AS exists_now
+FROM judged
+"""
+
+LEDGER_ADDED_COLUMN = f"""
+WITH {LEDGER_ROWS}
+SELECT post_id, category, CASE WHEN version % 2 = 0 THEN 'completed' ELSE status END AS status FROM ledger_rows
+"""
+
 _DIGEST = f"""
 dcats AS (SELECT category, count(*) AS n FROM week GROUP BY category),
 dtot AS (SELECT sum(n) AS total, count(*) AS ncat FROM dcats),
@@ -1244,6 +1314,11 @@ FROM pieces, unnest({_whole('pieces.p')}) WITH ORDINALITY AS c(piece, pos)
 """
 
 ORACLE: dict[str, str] = {
+    "answers_published": ANSWERS_PUBLISHED,
+    "answers_blocks": ANSWERS_BLOCKS,
+    "post_texts": POST_TEXTS,
+    "poll_tables": POLL_TABLES,
+    "ledger_added_column": LEDGER_ADDED_COLUMN,
     "stream_dedup": STREAM_DEDUP,
     "stream_weekly_watermark": STREAM_WEEKLY_WATERMARK,
     "stream_digests": STREAM_DIGESTS,

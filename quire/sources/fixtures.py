@@ -147,6 +147,40 @@ def posts_pages(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None
     return normalize_posts(_page_post_struct(spark, sf_dir, pages))
 
 
+def answered_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as posts with up to six images, and the analysis a model gives of
+    each as JSON (`output`): up to ten tags, all lines as insights, quotes for
+    even ids, up to seven links; one in twenty names an unknown category."""
+    n, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    name = n.cast("string")
+    numbers = lambda k: F.when(n % k > 0, F.sequence(F.lit(1), (n % k).cast("int"))).otherwise(F.array().cast("array<int>"))
+    kinds = F.array(*[F.lit(x) for x in ("tool", "repo", "article", "video", "docs")])
+    link = lambda i: F.struct(
+        F.concat(F.lit("https://www.example.com/"), name, F.lit("/"), i).alias("url"), F.concat(F.lit("link "), i).alias("title"),
+        F.get(kinds, i % 5).alias("type"), F.lit("").alias("description"),
+    )
+    lines = F.array_remove(F.split(text, "\n"), "")
+    answer = F.struct(
+        F.when(n % 20 == 13, "misc").when(n % 3 == 0, "article").when(n % 3 == 1, "video").otherwise("knowledge").alias("category"),
+        F.when(n % 5 == 0, F.coalesce(F.get(lines, 0), F.lit(""))).otherwise(text).alias("topic"),
+        text.alias("summary"), text.alias("tldr"), F.concat(text, text).alias("forYou"), F.lit("Read").alias("topAction"),
+        F.lit(False).alias("hasArticle"), F.lit(False).alias("hasVideo"), F.lit(False).alias("hasThread"),
+        lines.alias("keyInsights"), F.when(n % 2 == 0, lines).otherwise(F.array().cast("array<string>")).alias("quotes"),
+        F.transform(numbers(8), link).alias("extractedLinks"),
+        F.transform(numbers(11), lambda i: F.concat_ws("-", F.coalesce("lang", F.lit("any")), name, i.cast("string"))).alias("tags"),
+        (1 + n % 10).cast("double").alias("relevanceScore"),
+        F.array(F.struct(F.lit("Read").alias("action"), F.when(n % 4 == 1, "now").when(n % 4 == 2, "this-week").otherwise("someday").alias("priority"))).alias("actionItems"),
+    )
+    image = lambda i: F.concat(F.lit("https://img.example.com/"), name, F.lit("/"), i, F.lit(".jpg"))
+    none = F.lit(None).cast("string")
+    return read(spark, sf_dir, "documents").select(
+        name.alias("id"), text.alias("text"), F.coalesce("source", F.lit("nobody")).alias("author_username"),
+        F.timestamp_seconds(F.lit(EPOCH_2024) + n).alias("created_at"), F.transform(numbers(7), image).alias("images"),
+        F.when(n % 6 == 0, text).otherwise(none).alias("youtube_transcript"), F.when(n % 9 == 0, text).otherwise(none).alias("article_content"),
+        F.lit(None).cast("array<string>").alias("image_descriptions"), F.to_json(answer).alias("output"),
+    )
+
+
 def raw_posts_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same posts as JSON texts, with rule-based broken rows: numeric id
     (page_id % 10 = 3), no author (% 10 = 7), unknown media type (% 20 = 11),

@@ -79,3 +79,12 @@ def test_several_files_at_once(spark, folder):
     paths = [str(folder / n) for n in ("big", "one", "object")]
     got = canonical(ingest.split_bookmarks(spark, paths).collect())
     assert got == sorted(sum((canonical(ingest.read_bookmarks(spark, p).collect()) for p in paths), []))
+
+
+def test_caption_lines_of_many_videos_come_from_few_files(spark, tmp_path):
+    path = str(tmp_path / "captions")
+    rows = [("a", "WEBVTT\n\n00:00.000 --> 00:01.000\nhi"), ("b", "  "), ("c", None), ("a", "WEBVTT")]
+    spark.createDataFrame(rows, "video_id string, vtt string").coalesce(1).write.json(path)
+    got = ingest.read_caption_lines(spark, path)
+    assert len(got.inputFiles()) == 1
+    assert sorted(map(tuple, got.collect())) == sorted([rows[0], rows[3]])

@@ -164,3 +164,43 @@ def test_poll_without_posts_counts_nothing(spark, tmp_path):
     raw = spark.createDataFrame([], "raw string")
     m = poll.run_poll(spark, raw, stores(spark), str(tmp_path / "l"), str(tmp_path / "p"), batch_id=0, now=NOW)
     assert m == dict.fromkeys(poll.COUNTERS, 0)
+
+
+def test_tables_over_the_jobs_folders_follow_a_changed_batch(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    row = lambda post, status, version: (post, NOW, "tool", None, "{}", status, version)
+    write = lambda rows, batch: spark.createDataFrame(rows, ledger.LEDGER_SCHEMA).write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
+    write([row("1", "processing", 1), row("2", "failed", 2)], 0)
+    ledger.create_ledger(spark, "ledger_folders", path)
+    ledger.add_batches(spark, "ledger_folders")
+    write([row("1", "completed", 3)], 1)
+    ledger.add_batches(spark, "ledger_folders")
+    latest = lambda: {r["post_id"]: r["status"] for r in ledger.current(spark.table("ledger_folders"), ["status"]).collect()}
+    assert latest() == {"1": "completed", "2": "failed"}
+    write([row("1", "failed", 3)], 1)
+    spark.catalog.refreshTable("ledger_folders")
+    assert latest() == {"1": "failed", "2": "failed"}
+    spark.sql("DROP TABLE ledger_folders")
+
+
+def test_rule_analysis_keeps_all_sentences_and_the_page_cuts_them(spark):
+    from quire.operators import inference
+
+    posts, _, analyses = _ruled(spark, "One. " * 4 + "Two words. " * 3 + "alpha1 bravo charlie delta echoes foxtrot golfer hotels indigo juliet kilos")
+    a = analyses.first()["analysis"]
+    assert len(a["keyInsights"]) == 8 and a["keyInsights"][0] == "One."
+    assert len(a["tags"]) == 9
+    flags = inference.merge_flags(analyses, spark.createDataFrame([], "id string, n_articles long, n_transcripts long, n_images long, n_thread long, first_title string, first_article string, first_transcript string, image_texts array<string>"))
+    ok = analyses.join(flags, "id")
+    assert len(publish.publish_rows(posts, ok, NOW).first()["tags"]) == 7
+    assert publish.page_blocks(posts, ok).where("block_type = 'bulleted_list_item'").count() == 5
+
+
+def _ruled(spark, text):
+    from quire.operators import inference
+
+    posts = fx.posts_pages(spark, SF).limit(1).withColumn("text", F.lit(text)).withColumn("urls", F.array().cast("array<string>"))
+    posts = spark.createDataFrame(posts.collect(), posts.schema)
+    triage = inference.legacy_context(posts.select("id", F.lit("").alias("article_content"), F.lit("").alias("youtube_transcript"), F.lit(None).cast("array<string>").alias("image_descriptions")))[0]
+    counts = spark.createDataFrame([], "id string, n_articles long, n_transcripts long, n_images long, n_thread long, first_title string, first_article string, first_transcript string, image_texts array<string>")
+    return posts, triage, inference.rule_analysis(posts, triage, counts)
