@@ -21,10 +21,14 @@ RULES = [
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 ]
-# <link rel="canonical" href="...">, attributes in any order, and
-# <meta http-equiv="refresh" content="0; url=...">
-_LINK = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*([^"'\s>]+)"""
+# <link rel="canonical" href="...">, attributes in any order and canonical among
+# other words, <meta http-equiv="refresh" content="0; url=..."> and <base href="...">
+_REL = r"""\brel\s*=\s*(?:"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)"""
+_HREF = r"""\bhref\s*=\s*["']?([^"'\s>]+)"""
+_LINK = rf"""(?is)<link\b(?=[^>]*{_REL})[^>]*{_HREF}"""
+_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
+_BASE = rf"""(?is)<base\b[^>]*{_HREF}"""
+_AMPERSAND = r"(?i)&(?:amp|#38|#x26);"
 
 
 def _rest(url: Column) -> Column:
@@ -46,20 +50,51 @@ def resource_of(url: Column) -> Column:
     return F.concat(host_of(url), F.regexp_extract(_rest(url), r"^[^/?#]*([^#]*)", 1))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its `.` and `..` steps."""
+    steps = F.split(path, "/")
+    last = F.element_at(steps, -1)
+    kept = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda done, s: F.when(s == ".", done)
+        .when(s == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done))
+        .otherwise(F.concat(done, F.array(s))),
+    )
+    return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """The url that the reference `to` means in a document whose base is `base`;
+    null if it has another form than `scheme://`, as `mailto:` has."""
+    site, scheme = F.regexp_extract(base, r"^([^:]*://[^/?#]*)", 1), F.regexp_extract(base, r"^([^:]*:)//", 1)
+    path = F.regexp_extract(base, r"^[^:]*://[^/?#]*([^?#]*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"^(.*/)", 1))
+    whole = (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), to)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None))
+        .when(site == "", F.lit(None))
+        .when(to.startswith("//"), F.concat(scheme, to))
+        .when(to.startswith("/"), F.concat(site, to))
+        .when(to.startswith("?"), F.concat(site, path, to))
+        .when(to.startswith("#"), F.concat(F.regexp_extract(base, r"^[^#]*", 0), to))
+        .otherwise(F.concat(site, folder, to))
+    )
+    part = lambda k: F.regexp_extract(whole, r"(?s)^([^:]*://[^/?#]*)([^?#]*)(.*)$", k)
+    return F.concat(part(1), _without_dots(part(2)), part(3))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """src, dst: a page's url and the absolute targets of its canonical links and
-    refresh redirects."""
+    """src, dst: a page's url and the targets of its canonical links and refresh
+    redirects, relative ones resolved against the page's first `<base>`, else its url."""
     url, html = F.col("url").cast("string"), F.col("html").cast("string")
     targets = F.concat(F.regexp_extract_all(html, F.lit(_LINK), 1), F.regexp_extract_all(html, F.lit(_REFRESH), 1))
-    marked = pages.filter(html.rlike(r"(?i)canonical|http-equiv")).select(url.alias("src"), F.explode(targets).alias("to"))
-    site = F.regexp_extract("src", r"^([^:]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract("src", r"^([^:]*:)//", 1)
-    dst = (
-        F.when(F.col("to").startswith("//"), F.concat(scheme, "to"))
-        .when(F.col("to").startswith("/"), F.concat(site, F.col("to")))
-        .when(F.col("to").contains("://"), F.col("to"))
+    plain = lambda c: F.regexp_replace(c, _AMPERSAND, "&")
+    marked = pages.filter(html.rlike(r"(?i)canonical|http-equiv")).select(
+        url.alias("src"), plain(F.regexp_extract(html, _BASE, 1)).alias("base"), F.explode(targets).alias("to")
     )
-    return marked.select("src", dst.alias("dst")).filter("src is not null and dst is not null")
+    base = F.when(F.col("base") == "", F.col("src")).otherwise(F.coalesce(resolved(F.col("src"), F.col("base")), F.col("src")))
+    ends = marked.select("src", base.alias("base"), plain("to").alias("to"))
+    return ends.select("src", resolved(F.col("base"), F.col("to")).alias("dst")).filter("src is not null and dst is not null")
 
 
 def fitting_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
@@ -78,6 +113,7 @@ def fitting_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict per row of `pages` (page_id, url, html).
+    A page of any length is searched whole for links.
 
     rules: host, path, action (allow or block).  redirects: further edges
     (src, dst) of absolute urls.  A null url, or one without `://`, has an empty

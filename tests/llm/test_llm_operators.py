@@ -18,6 +18,7 @@ pytest.importorskip("quire.llm.catalog")
 from quire.llm import chat, decontaminate, iblt, langid, license_scan, mixing, neardup, setsketch, suffix_dedup, token_count, url_rules, wordhash  # noqa: E402
 from quire.llm.components import connected_components  # noqa: E402
 from quire.llm.deepshallow import repeated_offsets, suffix_order  # noqa: E402
+from quire.llm.transducer import Transducer  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long"
 
@@ -128,6 +129,37 @@ def test_url_rules_and_aliases(spark):
     assert url_rules.judge(df.limit(0), rules).count() == 0
 
 
+def test_relative_links_are_resolved(spark):
+    from urllib.parse import urljoin, urlsplit, urlunsplit
+
+    def want(base, reference):  # urljoin leaves the dots of a reference with a host
+        u = urlsplit(urljoin(base, reference))
+        return urljoin(f"{u.scheme}://{u.netloc}", urlunsplit(("", "", u.path, u.query, u.fragment)))
+
+    bases = ["http://a.org/x/y/z?q=1#f", "http://a.org", "http://a.org/", "https://b.org/k/"]
+    references = ["w", "./w", "../w", "../../../w/.", "/w/../v", "//c.org/p/./q", "?p=2", "http://d.org/a/../b?c=../d", "w/x/..", "a?b=/../c", "#g"]
+    pairs = [(b, r) for b in bases for r in references]
+    df = spark.createDataFrame(pairs, "base string, to string")
+    got = {(r.base, r.to): r.dst for r in df.select("*", url_rules.resolved(F.col("base"), F.col("to")).alias("dst")).collect()}
+    assert got == {(b, r): want(b, r) for b, r in pairs}
+    odd = spark.createDataFrame([("http://a.org/", "mailto:x@y"), ("a.org", "w"), (None, "w"), ("http://a.org/", None)], "base string, to string")
+    assert [r[0] for r in odd.select(url_rules.resolved(F.col("base"), F.col("to"))).collect()] == [None] * 4
+
+
+def test_block_reaches_aliases_through_relative_links(spark):
+    link = "<link rel='shortlink canonical' href='{}'>"
+    pages = [
+        (1, "http://a.org/d/one", link.format("../e/two")), (2, "http://a.org/e/two", link.format("?v=3&amp;w=4")),
+        (3, "http://a.org/e/two?v=3&w=4", '<base href="http://f.org/g/"><link href="h" rel=canonical>'),
+        (4, "http://f.org/g/h", "x" * 300_000 + """<meta http-equiv="refresh" content="0; url='//z.net/'">"""),
+        (5, "http://a.org/e/other", link.format("./other")), (6, "http://a.org/m", link.format("mailto:a@b")),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rules = spark.createDataFrame(url_rules.RULES, "host string, path string, action string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge(df, rules).collect()}
+    assert got == {**{k: (None, "block") for k in (1, 2, 3, 4)}, 5: (None, "allow"), 6: (None, "allow")}
+
+
 # --- 2 decontamination -------------------------------------------------------
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -347,9 +379,48 @@ def test_token_counts(docs, empty):
     assert all(r.over_limit == (r.n_tokens > 2048) for r in got.collect())
     assert token_count.token_counts(empty, path).count() == 0
     counts = token_count.UnitCounts(path)
-    for text in ["a<|endoftext|>b <|startoftext|> c'll", "<|ENDOFTEXT|> É É ", "漢字 👍🏽 \x1c\x85x 12", " \n", "no gap" * 40]:
+
+    def by_chunks(text, size, fan):
+        data = token_count.lowered(text.encode())
+        maps = [token_count.state_map(data[i : i + size], counts) for i in range(0, len(data), size)]
+        while len(maps) > 1:
+            maps = [token_count.composed(maps[i : i + fan], counts) for i in range(0, len(maps), fan)]
+        return token_count.closed(maps[0], counts)
+
+    for text in ["a<|endoftext|>b <|startoftext|> c'll", "<|ENDOFTEXT|> É É ", "漢字 👍🏽 \x1c\x85x 12", " \n", "no gap" * 40, "ǅ İx ß e\u0301 \u0301a <|endoftext|><|endoftext|>"]:
         n = len(library.encode(text, add_special_tokens=False))
-        assert {token_count.count_tokens(text.encode(), counts, size) for size in (3, 7, 64, 1 << 16)} == {n}
+        assert {by_chunks(text, size, fan) for size in (3, 7, 64, 1 << 16) for fan in (2, 5)} == {n}
+
+
+def test_token_counts_by_chunks_in_rows(docs, monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    want = sorted(map(tuple, token_count.token_counts(docs, path).collect()))
+    monkeypatch.setattr(token_count, "FAN", 3)
+    assert sorted(map(tuple, token_count.token_counts(docs, path, chunk=50).collect())) == want
+    one = docs.filter("doc_id = 13").select("doc_id", F.repeat(F.concat("text", F.lit(" ")), 40).alias("text"))
+    dealt = token_count.long_counts(one.select(F.lit("k").alias("key"), "text"), path, 1 << 16)
+    assert dealt.first().n_tokens == token_count.token_counts(one, path, chunk=1 << 30).first().n_tokens
+
+
+def test_transducer_counts_what_the_merges_make():
+    rng = random.Random(5)
+    for end in ("", "</w>"):
+        for _ in range(60):
+            vocabulary = {c + e: 0 for c in "abc" for e in {"", end}}
+            merges = []
+            for _ in range(rng.randint(0, 25)):  # merges as training finds them: of tokens that are there
+                a, b = (rng.choice(list(vocabulary)) for _ in range(2))
+                if a + b not in vocabulary and not (end and a.endswith(end)):
+                    merges.append((a, b))
+                    vocabulary[a + b] = 0
+            machine = Transducer(vocabulary, merges, end)
+            machine.STATES = rng.choice([8, 1000])
+            for _ in range(60):
+                word = "".join(rng.choice("aabc") for _ in range(rng.randint(0, 12)))
+                want = len(machine.merged(machine._symbols(word + end))) if word else 0
+                assert machine.count(word) == want, (merges, word)
 
 
 # --- 6 license scan ----------------------------------------------------------
