@@ -50,6 +50,11 @@ def resource_of(url: Column) -> Column:
     return F.concat(host_of(url), F.regexp_extract(_rest(url), r"^[^/?#]*([^#]*)", 1))
 
 
+def _with(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _without_dots(path: Column) -> Column:
     """A path without its `.` and `..` steps."""
     steps = F.split(path, "/")
@@ -63,13 +68,11 @@ def _without_dots(path: Column) -> Column:
     return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
 
 
-def resolved(base: Column, to: Column) -> Column:
-    """The url that the reference `to` means in a document whose base is `base`;
-    null if it has another form than `scheme://`, as `mailto:` has."""
+def _joined(base: Column, to: Column) -> Column:
     site, scheme = F.regexp_extract(base, r"^([^:]*://[^/?#]*)", 1), F.regexp_extract(base, r"^([^:]*:)//", 1)
     path = F.regexp_extract(base, r"^[^:]*://[^/?#]*([^?#]*)", 1)
     folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"^(.*/)", 1))
-    whole = (
+    return (
         F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), to)
         .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None))
         .when(site == "", F.lit(None))
@@ -79,8 +82,17 @@ def resolved(base: Column, to: Column) -> Column:
         .when(to.startswith("#"), F.concat(F.regexp_extract(base, r"^[^#]*", 0), to))
         .otherwise(F.concat(site, folder, to))
     )
-    part = lambda k: F.regexp_extract(whole, r"(?s)^([^:]*://[^/?#]*)([^?#]*)(.*)$", k)
-    return F.concat(part(1), _without_dots(part(2)), part(3))
+
+
+def _tidy(url: Column) -> Column:
+    part = lambda k: F.regexp_extract(url, r"(?s)^([^:]*://[^/?#]*)([^?#]*)(.*)$", k)
+    return F.concat(part(1), _with(part(2), _without_dots), part(3))
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """The url that the reference `to` means in a document whose base is `base`;
+    null if it has another form than `scheme://`, as `mailto:` has."""
+    return _with(_with(F.struct(base.alias("base"), to.alias("to")), lambda x: _joined(x["base"], x["to"])), _tidy)
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
