@@ -66,3 +66,21 @@ def test_current_for_meets_a_hot_key_before_the_shuffle(spark, monkeypatch, boun
     assert "partial_max" in plan and "raw_data" not in plan
     assert ("BroadcastHashJoin" in plan) == (bound > 0)
     assert sorted((r["post_id"], r["version"]) for r in cur.collect()) == [("1", 1), ("hot", n - 3)]
+
+
+def test_words_of_a_post_are_counted_within_its_row(spark):
+    from quire.operators import inference
+
+    posts = spark.createDataFrame(
+        [("a", "Later apple later APPLE short zebra"), ("a", "zebra zebra"), ("b", "one two"), ("c", None), ("d", "élève Élève above")],
+        "id string, text string",
+    )
+    tags = inference.word_tags(posts, k=3)
+    assert {r["id"]: r["tags"] for r in tags.collect()} == {"a": ["zebra", "apple", "later"], "d": ["élève", "above"]}
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        tags.explain("formatted")
+    # posts are grouped as wholes: no rows for (post, word), neither counted, sorted nor shuffled
+    assert "Window" not in buf.getvalue() and "count(1)" not in buf.getvalue()
+    keys = [line for line in buf.getvalue().splitlines() if line.startswith("Arguments: hashpartitioning")]
+    assert keys and not any("word" in line for line in keys), keys
