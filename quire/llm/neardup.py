@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import setsketch as ss
-from quire.llm.common import staged, table, unstage
-from quire.llm.components import connected_components
+from quire.llm.common import broadcast_if_small, staged, table, unstage
+from quire.llm.components import NODE_BYTES, connected_components
 
 BAND_ROWS = 5
 BANDS = ss.REGISTERS // BAND_ROWS
@@ -65,16 +65,16 @@ def _likely(threshold: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b, n_a, n_b, regs_a, regs_b = (batch.column(i) for i in range(6))
+            a, b, star, n_a, n_b, regs_a, regs_b = (batch.column(i) for i in range(7))
             both = [np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, ss.REGISTERS) for x in (regs_a, regs_b)]
             keep = ss.likely_jaccard(*both, n_a.to_numpy().astype(float), n_b.to_numpy().astype(float)) >= threshold
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in (a, b, star)], names=["a", "b", "star"])
 
     return run
 
 
 def likely_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of representatives whose sizes allow the threshold
+    """pairs (a, b, star) of representatives whose sizes allow the threshold
     and whose estimated similarity is within MARGIN of it."""
     side = lambda x: reps.select(
         F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")
@@ -83,8 +83,8 @@ def likely_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     return (
         sized.filter(fits)
-        .select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
-        .mapInArrow(_likely(percent / 100 - MARGIN), "a long, b long")
+        .select("a", "b", "star", "n_a", "n_b", "regs_a", "regs_b")
+        .mapInArrow(_likely(percent / 100 - MARGIN), "a long, b long, star boolean")
     )
 
 
@@ -115,11 +115,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold.  A task holds one first
     text at a time; a first text with many partners is dealt to SALTS groups."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    text_of = lambda x: texts.select(F.col("doc_id").alias(x), "text")
-    first = salted.select("a", "salt").distinct().join(text_of("a"), "a").withColumn("b", F.lit(None).cast("long"))
-    second = salted.join(text_of("b"), "b")
-    columns = [F.xxhash64("a", "salt").alias("grp"), "a", "b", "text"]
-    rows = first.select(*columns).unionByName(second.select(*columns))
+    grp = F.xxhash64("a", "salt").alias("grp")
+    first = salted.select("a", "salt").distinct().select(grp, "a", F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
+    sides = first.unionByName(salted.select(grp, "a", "b", F.col("b").alias("doc_id")))
+    rows = sides.join(texts, "doc_id").select("grp", "a", "b", "text")
     return (
         rows.repartition("grp")
         .sortWithinPartitions("grp", "a", F.col("b").asc_nulls_first())
@@ -217,12 +216,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     texts_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sk = staged(sketches(texts_in), "nd-sketch")
     sets = sk.filter("n > 0 and doc_id is not null")
-    classes = staged(sets.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep")), "nd-classes")
-    members = sets.join(classes, ["hi", "lo", "n"]).select("doc_id", "rep")
+    # equal sets have equal registers, so any member's stand for the class
     reps = staged(
-        sets.join(classes, ["hi", "lo", "n"]).filter("doc_id = rep").groupBy("doc_id", "hi", "lo", "n").agg(F.first("regs").alias("regs")),
-        "nd-reps",
+        sets.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("doc_id"), F.first("regs").alias("regs")), "nd-reps"
     )
+    members = sets.select("doc_id", "hi", "lo", "n").join(reps.select("hi", "lo", "n", F.col("doc_id").alias("rep")), ["hi", "lo", "n"])
     bands = staged(
         reps.select(
             "doc_id",
@@ -237,20 +235,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .filter("head < last").select("bucket", "head", "size"),
         "nd-heads",
     )
-    crowded = staged(bands.join(heads, "bucket"), "nd-crowded")
+    crowded = staged(bands.join(broadcast_if_small(heads, NODE_BYTES), "bucket"), "nd-crowded")
     unstage(bands)
     small, large = crowded.filter(F.col("size") <= LARGE_BUCKET), crowded.filter(F.col("size") > LARGE_BUCKET)
-    star = crowded.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = crowded.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     inside = small.select("bucket", F.col("doc_id").alias("a")).join(small.select("bucket", F.col("doc_id").alias("b")), "bucket").filter("a < b")
-    likely = staged(likely_pairs(inside.select("a", "b").union(star).distinct(), reps, percent), "nd-likely")
+    pairs = star.withColumn("star", F.lit(True)).unionByName(inside.select("a", "b", F.lit(False).alias("star")))
+    likely = staged(likely_pairs(pairs.groupBy("a", "b").agg(F.bool_or("star").alias("star")), reps, percent), "nd-likely")
     involved = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(large.select("doc_id")).distinct()
     texts = staged(texts_in.join(involved.hint("merge"), "doc_id", "left_semi"), "nd-texts")
 
-    links = staged(confirmed(likely.join(star, ["a", "b"]), texts, percent), "nd-links")
+    links = staged(confirmed(likely.filter("star"), texts, percent), "nd-links")
     parts = staged(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "nd-parts")
     # pairs of small buckets that are still apart
-    part_of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    apart = likely.join(star, ["a", "b"], "left_anti").join(part_of("a"), "a", "left").join(part_of("b"), "b", "left")
+    near = broadcast_if_small(parts, NODE_BYTES)
+    part_of = lambda x: near.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    apart = likely.filter(~F.col("star")).join(part_of("a"), "a", "left").join(part_of("b"), "b", "left")
     apart = apart.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
     more = staged(confirmed(apart, texts, percent), "nd-more")
     # large buckets, joined to clusters

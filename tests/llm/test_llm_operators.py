@@ -85,6 +85,51 @@ def test_components(spark, empty):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_components_end_at_stars_and_write_few_files(spark, monkeypatch, small):
+    from quire.llm import common, components
+
+    labels, files = [], []
+
+    def staged(df, label):
+        out = common.staged(df, label)
+        labels.append(label)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(components, "staged", staged)
+    if not small:
+        monkeypatch.setattr(components, "is_small", lambda df, limit=0: False)
+        monkeypatch.setattr(components, "broadcast_if_small", lambda df, limit=0: df)
+    star = spark.range(1, 400).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"))
+    assert set(connected_components(star).collect()) == {(i, 0) for i in range(400)}
+    assert labels == ["cc-edges", "cc-least"]
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)]
+    parent = list(range(300))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    want = {(x, root(x)) for pair in pairs if pair[0] != pair[1] for x in pair}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    files.clear()
+    labels.clear()
+    try:
+        assert sorted(connected_components(spark.createDataFrame(pairs, "src long, dst long")).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    if small:
+        assert max(n for n, label in zip(files, labels) if label != "cc-edges") <= components.FEW
+
+
 def test_deep_shallow_sort_and_offsets():
     rng = random.Random(3)
     for _ in range(400):
