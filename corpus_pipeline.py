@@ -40,12 +40,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.select("lang", "text"))
     least = langid.bounds(model, docs.select("lang", "text"))
     rows = docs.select(_row(docs).alias("row"), "text")
-    found = langid.predict(model, rows).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    scored = langid.typical(model, found.select("row", F.col("lang_pred").alias("lang"), F.col("row.text").alias("text")))
+    found = langid.judged(model, rows, MIN_SCORE).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
     if not least:
         return docs.limit(0)
-    bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("lang")]
-    return scored.filter(F.col("typical") >= bound).select(*_columns(docs))
+    bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("lang_pred")]
+    return found.filter(F.col("typical") >= bound).select(*_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

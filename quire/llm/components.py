@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import broadcast_if_small, is_small, staged, unstage
+from quire.llm.common import broadcast_if_small, in_few, is_small, staged, unstage
 
 
 # Tasks that write a table made from edges of small measured size, however many
@@ -43,20 +43,21 @@ def _star(pairs: DataFrame, least: DataFrame, larger_only: bool) -> DataFrame:
     return out.filter("u <> v")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, sources: tuple[DataFrame, ...] = ()) -> DataFrame:
     """edges (src, dst), any comparable type -> (node, component), component
     being the smallest reachable node, for every node on an edge between two
     different nodes.  Null ends and loops are ignored; direction and repeats
-    don't matter; no edges give no rows.
+    don't matter; no edges give no rows.  `sources`: the staged tables that the edges are
+    made from, if their sizes may set the number of tasks.
 
     The steps end when the edges are stars around their smallest nodes: no node
     with a smaller neighbour has another one."""
-    e = staged(
+    distinct = (
         edges.filter("src is not null and dst is not null and src <> dst")
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .distinct(),
-        "cc-edges",
+        .distinct()
     )
+    e = staged(in_few(distinct, *sources), "cc-edges")
     for done in range(max_rounds + 1):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         few = (lambda df: df.coalesce(FEW)) if is_small(e) else (lambda df: df)

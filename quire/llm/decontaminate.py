@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import BROADCAST_BYTES, staged, staged_bytes, table, term_words, unstage
+from quire.llm.common import BROADCAST_BYTES, in_few, staged, staged_bytes, table, term_words, unstage
 
 WIDTH = 10
 
@@ -51,18 +51,19 @@ def _term_key(c: str | Column) -> Column:
     return F.xxhash64(c)
 
 
-def rarest_terms(docs: DataFrame, phrases: DataFrame, limit: int) -> DataFrame:
+def rarest_terms(docs: DataFrame, phrases: DataFrame, limit: int, sources: tuple[DataFrame, ...] = ()) -> DataFrame:
     """phrases (phrase, n) -> k (rarest term's key), offset, phrase, n; a phrase
-    with a term that no document has is left out."""
+    with a term that no document has is left out.  `sources`: the staged tables
+    that the phrases are made from, if their sizes may set the number of tasks."""
     terms = phrases.select("phrase", "n", F.posexplode(F.split("phrase", " ")).alias("offset", "term")).withColumn("k", _term_key("term"))
-    vocabulary = staged(terms.select("k").distinct(), "dc-vocabulary")
+    vocabulary = staged(in_few(terms.select("k").distinct(), *sources), "dc-vocabulary")
     seen = docs.select(F.explode_outer(term_words(F.col("text").cast("string"))).alias("term")).select(_term_key("term").alias("k"))
     counted = reduce(DataFrame.unionByName, [seen.join(p, "k").groupBy("k").agg(F.count("*").alias("seen")) for p in _parts(vocabulary, limit)])
-    counts = staged(counted, "dc-counts")
+    counts = staged(in_few(counted, vocabulary), "dc-counts")
     ranked = terms.join(counts, "k", "left").groupBy("phrase", "n").agg(
         F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "k", "offset")).alias("r")
     )
-    out = staged(ranked.filter("r.seen > 0").select("r.k", "r.offset", "phrase", "n"), "dc-rarest")
+    out = staged(in_few(ranked.filter("r.seen > 0").select("r.k", "r.offset", "phrase", "n"), *sources), "dc-rarest")
     unstage(vocabulary)
     unstage(counts)
     return out
@@ -127,9 +128,9 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, limit:
     hit.  Rows that repeat doc_id and text each get the same result.  Other
     columns are ignored; an empty table gives no rows."""
     windows = staged(item_windows(items, width), "dc-windows")
-    rarest = rarest_terms(docs, windows.select("phrase", "n").distinct(), limit)
-    index = postings(docs, rarest.select("k").distinct(), width, limit)
-    hits = staged(matches(index, rarest).select("row_key", "start", "n", "phrase").distinct(), "dc-hits")
+    rarest = rarest_terms(docs, windows.select("phrase", "n").distinct(), limit, (windows,))
+    index = postings(docs, in_few(rarest.select("k").distinct(), rarest), width, limit)
+    hits = staged(in_few(matches(index, rarest).select("row_key", "start", "n", "phrase").distinct(), index), "dc-hits")
     spots = hits.select("row_key", F.explode(F.expr("sequence(start, start + n - 1)")).alias("p")).distinct()
     n_hit = spots.groupBy("row_key").agg(F.count("*").alias("n_hit"))
     named = hits.select("row_key", "phrase").distinct().join(windows.select("phrase", "item_id"), "phrase").select(

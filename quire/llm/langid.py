@@ -114,6 +114,19 @@ def fit(labelled: DataFrame) -> Model:
     return Model([x for x, _ in learned], log_prob, np.log(documents / documents.sum()) if len(learned) else documents)
 
 
+def _best(model: Model, transposed: np.ndarray, text: str | None) -> tuple[int | None, float]:
+    """Number of the text's most likely language (None: null, no letter, or nothing
+    was learned) and its posterior probability."""
+    if not text or not model.languages or not _letters(text):
+        return None, 0.0
+    counts = gram_counts(text)
+    at = np.flatnonzero(counts)
+    joint = counts[at] @ transposed[at] + model.log_prior
+    odds = np.exp(joint - joint.max())
+    best = int(joint.argmax())
+    return best, float(odds[best] / odds.sum())
+
+
 def _predictor(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -121,17 +134,9 @@ def _predictor(shared) -> Callable:
         for batch in batches:
             lang, score = [], []
             for text in batch.column(1).to_pylist():
-                if not text or not model.languages or not _letters(text):
-                    lang.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                counts = gram_counts(text)
-                at = np.flatnonzero(counts)
-                joint = counts[at] @ transposed[at] + model.log_prior
-                odds = np.exp(joint - joint.max())
-                best = int(joint.argmax())
-                lang.append(model.languages[best])
-                score.append(float(odds[best] / odds.sum()))
+                best, odds = _best(model, transposed, text)
+                lang.append(UNKNOWN if best is None else model.languages[best])
+                score.append(odds)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
     return run
@@ -178,6 +183,37 @@ def typical(model: Model, rows: DataFrame) -> DataFrame:
     )
 
 
+def _judge(shared, min_score: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        transposed = np.ascontiguousarray(model.log_prob.T)
+        for batch in batches:
+            lang, score, found = [], [], []
+            for text in batch.column(1).to_pylist():
+                best, odds = _best(model, transposed, text)
+                lang.append(UNKNOWN if best is None else model.languages[best])
+                score.append(odds)
+                found.append(None if best is None or odds < min_score else _typical(model, text, best))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(found, pa.float64())],
+                names=["row", "lang_pred", "score", "typical"],
+            )
+
+    return run
+
+
+def judged(model: Model, rows: DataFrame, min_score: float = 0.0) -> DataFrame:
+    """rows (row struct, text) -> row, lang_pred, score, typical: what `predict`
+    and then `typical` in the predicted language return, in one pass, so a task
+    needs one Python worker and sends its texts once.  typical is null for `und`
+    and below `min_score`."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.select("row", F.col("text").cast("string")).mapInArrow(
+        _judge(shared, min_score), f"row {kind}, lang_pred string, score double, typical double"
+    )
+
+
 def bounds(model: Model, labelled: DataFrame) -> dict[str, float]:
     """Least `typical` of a text of each language, from all labelled rows (lang,
     text); one number per language goes to the driver."""

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import space_words, staged, table, unstage
+from quire.llm.common import in_few, space_words, staged, table, unstage
 
 CAP = 3.0
 DIGIT_BITS = 12
@@ -145,7 +145,7 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, cap: float = CAP, s
     rest = first.groupBy("source").agg((F.sum(F.col("part") * F.col("size")) - F.sum(F.col("extra") * F.col("size"))).alias("need"))
     chosen = staged(_taken_in_order(first, rest, 1.0), "mx-second")
     for i in range(NEAREST_ROUNDS):
-        chosen = staged(_nearest(chosen), f"mx-near{i}")
+        chosen = staged(in_few(_nearest(chosen), chosen), f"mx-near{i}")
     out = chosen.withColumn("copies", (F.col("certain") + F.col("extra")).cast("int"))
     for old in (sums, plan):
         unstage(old)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import setsketch as ss
-from quire.llm.common import broadcast_if_small, staged, table, unstage
+from quire.llm.common import broadcast_if_small, in_few, staged, table, unstage
 from quire.llm.components import NODE_BYTES, connected_components
 
 BAND_ROWS = 5
@@ -182,7 +182,7 @@ def block_links(placed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     BLOCK, large components into blocks of their own; a task compares two blocks
     by matrix products and returns one link for each two components, so neither
     pairs of documents nor a cluster as a whole are ever held as rows."""
-    sizes = staged(placed.groupBy("cluster", "component").agg(F.count("*").alias("c")), "nd-sizes")
+    sizes = staged(in_few(placed.groupBy("cluster", "component").agg(F.count("*").alias("c")), placed), "nd-sizes")
     mixed = sizes.groupBy("cluster").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("c") < BLOCK / 2, F.col("c")).otherwise(0)).alias("pooled")).filter("kinds > 1")
     share = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / BLOCK))
     own = F.col("c") >= BLOCK / 2
@@ -217,9 +217,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     sk = staged(sketches(texts_in), "nd-sketch")
     sets = sk.filter("n > 0 and doc_id is not null")
     # equal sets have equal registers, so any member's stand for the class
-    reps = staged(
-        sets.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("doc_id"), F.first("regs").alias("regs")), "nd-reps"
-    )
+    classes = sets.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("doc_id"), F.first("regs").alias("regs"))
+    reps = staged(in_few(classes, sk), "nd-reps")
     members = sets.select("doc_id", "hi", "lo", "n").join(reps.select("hi", "lo", "n", F.col("doc_id").alias("rep")), ["hi", "lo", "n"])
     bands = staged(
         reps.select(
@@ -230,11 +229,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         ),
         "nd-bands",
     )
-    heads = staged(
-        bands.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("size"))
-        .filter("head < last").select("bucket", "head", "size"),
-        "nd-heads",
-    )
+    buckets = bands.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("size"))
+    heads = staged(in_few(buckets.filter("head < last").select("bucket", "head", "size"), bands), "nd-heads")
     crowded = staged(bands.join(broadcast_if_small(heads, NODE_BYTES), "bucket"), "nd-crowded")
     unstage(bands)
     small, large = crowded.filter(F.col("size") <= LARGE_BUCKET), crowded.filter(F.col("size") > LARGE_BUCKET)
@@ -245,25 +241,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     involved = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(large.select("doc_id")).distinct()
     texts = staged(texts_in.join(involved.hint("merge"), "doc_id", "left_semi"), "nd-texts")
 
-    links = staged(confirmed(likely.filter("star"), texts, percent), "nd-links")
-    parts = staged(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "nd-parts")
+    links = staged(in_few(confirmed(likely.filter("star"), texts, percent), likely, texts), "nd-links")
+    parts = staged(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), sources=(links,)), "nd-parts")
     # pairs of small buckets that are still apart
     near = broadcast_if_small(parts, NODE_BYTES)
     part_of = lambda x: near.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     apart = likely.filter(~F.col("star")).join(part_of("a"), "a", "left").join(part_of("b"), "b", "left")
     apart = apart.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    more = staged(confirmed(apart, texts, percent), "nd-more")
+    more = staged(in_few(confirmed(apart, texts, percent), likely, texts), "nd-more")
     # large buckets, joined to clusters
-    clusters = connected_components(large.select(F.col("doc_id").alias("src"), F.col("head").alias("dst")))
+    clusters = connected_components(large.select(F.col("doc_id").alias("src"), F.col("head").alias("dst")), sources=(crowded,))
     placed = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(part_of("doc_id"), "doc_id", "left")
     placed = staged(placed.select("cluster", "doc_id", F.coalesce("c_doc_id", "doc_id").alias("component")), "nd-placed")
-    more = more.unionByName(staged(block_links(placed, texts, percent), "nd-block-links"))
+    blocked = staged(block_links(placed, texts, percent), "nd-block-links")
 
     edges = parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(
-        more.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        more.unionByName(blocked).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     )
     edges = edges.unionByName(members.select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")))
-    found = connected_components(edges)
+    found = connected_components(edges, sources=(parts, more, blocked, sk))
     component = F.coalesce("component", "doc_id")
     out = sk.select("doc_id", "n").join(found, sk.doc_id == found.node, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),

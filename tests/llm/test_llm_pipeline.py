@@ -131,3 +131,52 @@ def test_passages_are_counted_in_words(spark):
     got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
     assert got[1] == rows[0][1] and got[2] == rows[1][1]
     assert len(got[3].split()) <= 3 and len(got[4].split()) <= 3
+
+
+def test_language_takes_one_python_pass(spark):
+    from quire.llm import langid
+
+    rng = random.Random(3)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+    rows = [(i, text("aeiourstln" if i % 2 else "кшнгдемаои"), "en" if i % 2 else "ru") for i in range(60)]
+    rows += [(100, None, "en"), (101, "", None), (102, "12 34 ...", "en"), (103, text("漢字仮名交"), None), (104, rows[1][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language(spark, docs, "")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    # the same rows and figures as by one pass for each step
+    model = langid.fit(docs.select("lang", "text"))
+    by_row = docs.selectExpr("struct(doc_id, text) AS row", "text")
+    found = langid.predict(model, by_row)
+    two = langid.typical(model, found.selectExpr("row", "lang_pred AS lang", "row.text AS text"))
+    want = {(r.row.doc_id, r.lang_pred, r.score) for r in found.collect()}, {(r.row.doc_id, r.lang, r.typical) for r in two.collect()}
+    got = langid.judged(model, by_row).collect()
+    assert ({(r.row.doc_id, r.lang_pred, r.score) for r in got}, {(r.row.doc_id, r.lang_pred, r.typical) for r in got}) == want
+    least = langid.bounds(model, docs.select("lang", "text"))
+    assert {r.doc_id for r in kept.collect()} == {d for d, x, t in want[1] if t is not None and t >= least[x]}
+
+
+def test_small_tables_go_into_few_files(spark, monkeypatch):
+    from quire.llm import common, decontaminate, mixing, neardup, suffix_dedup
+
+    files, write = {}, common.staged
+
+    def counted(df, label):
+        out = write(df, label)
+        files[label] = max(files.get(label, 0), len(out.inputFiles()))
+        return out
+
+    for module in (neardup, neardup.connected_components.__globals__, suffix_dedup, decontaminate, mixing):
+        (monkeypatch.setitem if isinstance(module, dict) else monkeypatch.setattr)(module, "staged", counted)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.read.parquet(f"{SF}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[1:]:
+            stage(spark, docs, SF).count()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    named = ("nd-reps", "nd-heads", "nd-links", "nd-more", "nd-sizes", "cc-edges", "sd-texts", "sd-cores", "sd-twice", "sd-cut")
+    named += ("dc-vocabulary", "dc-counts", "dc-rarest", "dc-terms", "dc-hits", "mx-near0", "mx-near1", "mx-near2")
+    assert {k for k in named if files[k] > common.FEWEST_TASKS} == set()
